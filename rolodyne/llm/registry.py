@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from .multiset import op5_fingerprints
+from .packing import op6_packing
+from .pieces import op3_sentencepiece
 from .simhash import op2_simhash
+from .urls import op8_urls
 
 
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash}
+    return {
+        "op2_simhash": op2_simhash,
+        "op3_sentencepiece": op3_sentencepiece,
+        "op5_fingerprints": op5_fingerprints,
+        "op6_packing": op6_packing,
+        "op8_urls": op8_urls,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
