@@ -7,10 +7,12 @@ taken out later without the rest of the text. The vector has two parts:
 
 - STRONG lanes modulo 2**64 from a cryptographic hash of the paragraph: equal
   sums mean equal multisets.
-- SOFT lanes modulo 2**16: each three-word shingle of the paragraph (the whole
-  sequence where it has fewer words) adds +1 or -1 to one lane. For these sums
-  the squared distance estimates how many shingles differ, which gives
-  fingerprints a likeness between 0 and 1.
+- SOFT lanes modulo 2**16: each distinct three-word shingle of the paragraph
+  (the whole sequence where it has fewer words) adds to one lane, with a sign of
+  its own, four times the root of how often it occurs there. For these sums the
+  squared distance estimates how many shingles differ, which gives fingerprints
+  a likeness between 0 and 1; the root keeps one word repeated a thousand times
+  from outweighing all else.
 """
 
 from __future__ import annotations
@@ -88,8 +90,12 @@ def _add_soft(out: np.ndarray, data: bytes) -> None:
     h.append(word[first[size == 1]])
     h.append(word[first[size == 2]] * np.uint64(3) + word[first[size == 2] + 1] * np.uint64(11))
     h = _mix(np.concatenate(h))
-    sign = 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
-    out += np.bincount((h & np.uint64(SOFT - 1)).astype(np.int64), weights=sign, minlength=SOFT).astype(np.int64)
+    at = np.concatenate((line[full], line[first[size == 1]], line[first[size == 2]]))
+    # how often each shingle occurs in its paragraph
+    _, one, often = np.unique(h + at.astype(np.uint64) * _BASE, return_index=True, return_counts=True)
+    h, weight = h[one], np.floor(np.sqrt(16.0 * often))
+    weight[((h >> np.uint64(40)) & np.uint64(1)).astype(bool)] *= -1
+    out += np.bincount((h & np.uint64(SOFT - 1)).astype(np.int64), weights=weight, minlength=SOFT).astype(np.int64)
 
 
 class Fingerprint:
