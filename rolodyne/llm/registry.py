@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from .lines import op10_lines
 from .multiset import op5_fingerprints
 from .packing import op6_packing
 from .pieces import op3_sentencepiece
+from .repeats import op1_substrings
 from .simhash import op2_simhash
 from .urls import op8_urls
 
 
 def queries() -> dict:
     return {
+        "op1_substrings": op1_substrings,
         "op2_simhash": op2_simhash,
         "op3_sentencepiece": op3_sentencepiece,
         "op5_fingerprints": op5_fingerprints,
         "op6_packing": op6_packing,
         "op8_urls": op8_urls,
+        "op10_lines": op10_lines,
     }
 
 
