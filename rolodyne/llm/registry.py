@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op4_neighbours
 from .lines import op10_lines
 from .multiset import op5_fingerprints
 from .packing import op6_packing
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op1_substrings": op1_substrings,
         "op2_simhash": op2_simhash,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_neighbours": op4_neighbours,
         "op5_fingerprints": op5_fingerprints,
         "op6_packing": op6_packing,
         "op8_urls": op8_urls,
