@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op4_neighbours
+from .langid import op9_langid
 from .lines import op10_lines
 from .multiset import op5_fingerprints
 from .packing import op6_packing
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op5_fingerprints": op5_fingerprints,
         "op6_packing": op6_packing,
         "op8_urls": op8_urls,
+        "op9_langid": op9_langid,
         "op10_lines": op10_lines,
     }
 
