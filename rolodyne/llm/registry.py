@@ -8,6 +8,7 @@ from .lines import op10_lines
 from .multiset import op5_fingerprints
 from .packing import op6_packing
 from .pieces import op3_sentencepiece
+from .quality import op7_quality
 from .repeats import op1_substrings
 from .simhash import op2_simhash
 from .urls import op8_urls
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op4_neighbours": op4_neighbours,
         "op5_fingerprints": op5_fingerprints,
         "op6_packing": op6_packing,
+        "op7_quality": op7_quality,
         "op8_urls": op8_urls,
         "op9_langid": op9_langid,
         "op10_lines": op10_lines,
