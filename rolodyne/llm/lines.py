@@ -328,8 +328,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [c for c in docs.columns if c.lower() != "lines_removed"]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("o"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
     gone = gone.select(rekey("o").alias("go"), F.col("th").alias("gth"), "gone")
-    if gone.count() <= SMALL // 10:
-        gone = F.broadcast(gone)
     joined = packed.join(gone, (packed.o == F.col("go")) & (packed.th == F.col("gth")), "left")
     lines = F.split(F.col(f"row.`{text_col}`").cast("string"), "\n", -1)
     numbers = F.transform("gone", lambda g: g.line)
