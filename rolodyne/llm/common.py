@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 #: Rows and bytes of an Arrow batch; texts may be very long, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
+#: Base of the polynomial hashes modulo 2**64.
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -42,10 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the
-    lineage, survives lost executors and gives later joins a known size."""
+    lineage, survives lost executors and gives later joins a known size. Where
+    about how many (narrow) rows there are is known, no more files are written
+    than those fill."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, min(parts(spark), -(-rows // 100_000))))
     path = f"{shared_dir(spark)}/rolodyne-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
@@ -113,16 +122,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     row count and a checksum."""
     e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     e = materialize(e)
-    last = None
+    last, n = None, 2 * e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(rekey("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(low, both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large)
+        large = materialize(large, n)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         keyed = low.select(rekey("u").alias("k"), "m")
         small = large.join(keyed, large.u == keyed.k).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        nxt = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        nxt = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), n)
         remove(large)
         remove(e)
         e = nxt
@@ -131,3 +140,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         last = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, n of each at least."""
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 16)
+        for k, base in enumerate((BASE, _INVERSE)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

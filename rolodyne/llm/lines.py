@@ -1,7 +1,7 @@
 """Line dedup: of lines that equal each other or differ by a few edits, directly
 or through a chain, the earliest stays.
 
-A line is normalised (runs of white space become one space, ends are trimmed).
+A line is normalised (runs of spaces become one, white space at the ends goes).
 Lines of MIN_CHARS characters take part; shorter ones stay untouched. Two lines
 are linked when they are equal or, from FUZZY_CHARS characters on, when their
 edit distance is EDITS at most.
@@ -19,6 +19,7 @@ Candidates are verified by edit distance, bit-parallel over a band.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, read_table, rekey, slices
+from .common import connected_components, materialize, mix, powers, read_table, rekey, slices
 
 EDITS, MIN_CHARS, FUZZY_CHARS, LIST, BLOCK = 2, 24, 48, 48, 256
 #: Up to so many rows a side of a join is broadcast; its rows are a few longs.
 SMALL = 500_000
 NO_ID = (1 << 63) - 1
+_spaces = re.compile("  +")
 
 
 def normalise(line: str) -> str:
-    return " ".join(line.split())
+    line = line.strip()
+    return _spaces.sub(" ", line) if "  " in line else line
 
 
 def line_id(line: str) -> int:
@@ -150,30 +153,35 @@ def _fuzzy_lines(batches: Iterator[pa.RecordBatch], fuzzy_chars: int) -> Iterato
         yield ids, lines
 
 
+def substring_hashes(text: str, start: np.ndarray, end: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Hashes of text[start:end], mixed with a seed: from prefix sums of a
+    polynomial modulo 2**64, so that no substring is copied."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    up, down = powers(len(x) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((x + np.uint64(1)) * up[:-1], dtype=np.uint64)))
+    return mix((sums[end] - sums[start]) * down[start] + seed.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
 def postings(rows: DataFrame, edits: int, fuzzy_chars: int) -> DataFrame:
     """-> (key, h, probe): own segments (probe 0) and probed substrings (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        plans: dict[int, list] = {}
-        per = 0
+        plans: dict[int, tuple[np.ndarray, ...]] = {}
         for ids, lines in _fuzzy_lines(batches, fuzzy_chars):
-            for at in range(0, len(lines), 5000):
-                keys, owners, flags = [], [], []
-                for h, line in zip(ids[at : at + 5000], lines[at : at + 5000]):
-                    n = len(line)
-                    plan = plans.get(n)
-                    if plan is None:
-                        own = [(n, i, s, k) for i, (s, k) in enumerate(segments(n, edits))]
-                        plan = plans[n] = [(s, s + k, length * 8 + i) for length, i, s, k in own + probes(n, edits)]
-                    keys += [digest(line[s:e], seed) for s, e, seed in plan]
-                    per = len(plan)
-                    owners.append((h, per))
-                counts = np.array([c for _, c in owners], np.int64)
-                h = np.repeat(np.array([x for x, _ in owners], np.int64), counts)
-                nth = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
-                flags = (nth > edits).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(h), pa.array(flags)], ["key", "h", "probe"])
+            for at in range(0, len(lines), 4000):
+                some = lines[at : at + 4000]
+                lens = list(map(len, some))
+                for n in set(lens) - plans.keys():
+                    own = [(n, i, s, k) for i, (s, k) in enumerate(segments(n, edits))]
+                    plan = np.array([(s, s + k, length * 8 + i) for length, i, s, k in own + probes(n, edits)], np.int64)
+                    plans[n] = (*plan.T, (np.arange(len(plan)) > edits).astype(np.int8))
+                mine = [plans[n] for n in lens]
+                per = np.fromiter((len(m[0]) for m in mine), np.int64, len(mine))
+                start, end, seed, probe = (np.concatenate([m[k] for m in mine]) for k in range(4))
+                first = np.repeat(np.cumsum(lens) - np.array(lens), per)
+                keys = substring_hashes("".join(some), start + first, end + first, seed)
+                h = np.repeat(np.array(ids[at : at + 4000], np.int64), per)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(h), pa.array(probe)], ["key", "h", "probe"])
 
     return rows.mapInArrow(run, "key long, h long, probe byte")
 
@@ -198,16 +206,22 @@ def _meet(dealt: DataFrame, most: int) -> DataFrame:
                     starts, ends = starts[:-1], ends[:-1]
             out = []
             size = ends - starts
-            for s, e in zip(starts[size > 1], ends[size > 1]) if long_key is None else zip(starts, ends):
+            two = starts[size == 2]
+            if long_key is not None:
+                two = two[key[two] != long_key]
+            two = two[(probe[two] == 0) | (probe[two + 1] == 0)]
+            if len(two):
+                out.append((h[two], h[two + 1], None))
+            more = size > 2 if long_key is None else (size > 2) | (key[starts] == long_key)
+            for s, e in zip(starts[more], ends[more]):
                 if key[s] == long_key or e - s > most:
                     long_key = key[s]
                     out.append((h[s:e], probe[s:e].astype(np.int64), np.full(e - s, key[s])))
-                elif e - s > 1:
+                else:
                     i, j = np.triu_indices(e - s, 1)
-                    i, j = i[probe[s:e][i] == 0], j[probe[s:e][i] == 0]  # sorted: the first of a pair is an index row
-                    a, b = h[s:e][i], h[s:e][j]
-                    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-                    out.append((a, b, None))
+                    p = probe[s:e]
+                    good = (p[i] == 0) | (p[j] == 0)
+                    out.append((h[s:e][i[good]], h[s:e][j[good]], None))
             return out, rest
 
         def batch(found: list) -> pa.RecordBatch:
@@ -220,6 +234,9 @@ def _meet(dealt: DataFrame, most: int) -> DataFrame:
                 continue
             now = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "h", "probe"))
             now = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
+            # the same line from several tasks, or with own segment and probe alike: the first row, an index row if there is one
+            fresh = np.concatenate(([True], (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])))
+            now = tuple(x[fresh] for x in now)
             found, held = cut(*now, False)
             if found:
                 yield batch(found)
@@ -248,7 +265,7 @@ def links(rows: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHARS, m
     lists of candidates come enough links to keep their classes whole."""
     if fuzzy_chars < 4 * (edits + 1):
         raise ValueError("segments would be shorter than four characters")
-    dealt = postings(rows.select("t"), edits, fuzzy_chars).repartition("key").sortWithinPartitions("key", "probe", "h")
+    dealt = postings(rows.select("t"), edits, fuzzy_chars).repartition("key").sortWithinPartitions("key", "h", "probe")
     met = materialize(_meet(dealt, most))
     pairs = materialize(met.where("key is null").select("a", "b").distinct())
     hot = met.where("key is not null").select("key", F.col("a").alias("h"), F.col("b").cast("int").alias("probe")).distinct()

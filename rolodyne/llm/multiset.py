@@ -26,30 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, read_table, slices
+from .common import BASE, mix, parts, powers, read_table, slices
 
 STRONG, SOFT, WORDS = 8, 128, 3
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of each at least."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
 
 def soft_vector(data: bytes) -> np.ndarray:
     """Sum of the SOFT lanes over the paragraphs (lines) of data."""
@@ -77,9 +56,9 @@ def _add_soft(out: np.ndarray, data: bytes) -> None:
     starts, ends = change[::2], change[1::2]
     if not len(starts):
         return
-    up, down = _power(len(x) + 1)
+    up, down = powers(len(x) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
-    word = _mix((sums[ends] - sums[starts]) * down[starts])
+    word = mix((sums[ends] - sums[starts]) * down[starts])
     line = np.concatenate(([0], np.cumsum(x == 10)))[starts]
     n = len(word)
     full = np.flatnonzero(line[WORDS - 1 :] == line[: n - WORDS + 1]) if n >= WORDS else np.zeros(0, np.int64)
@@ -89,10 +68,10 @@ def _add_soft(out: np.ndarray, data: bytes) -> None:
     size = np.diff(np.append(first, n))
     h.append(word[first[size == 1]])
     h.append(word[first[size == 2]] * np.uint64(3) + word[first[size == 2] + 1] * np.uint64(11))
-    h = _mix(np.concatenate(h))
+    h = mix(np.concatenate(h))
     at = np.concatenate((line[full], line[first[size == 1]], line[first[size == 2]]))
     # how often each shingle occurs in its paragraph
-    _, one, often = np.unique(h + at.astype(np.uint64) * _BASE, return_index=True, return_counts=True)
+    _, one, often = np.unique(h + at.astype(np.uint64) * BASE, return_index=True, return_counts=True)
     h, weight = h[one], np.floor(np.sqrt(16.0 * often))
     weight[((h >> np.uint64(40)) & np.uint64(1)).astype(bool)] *= -1
     out += np.bincount((h & np.uint64(SOFT - 1)).astype(np.int64), weights=weight, minlength=SOFT).astype(np.int64)
