@@ -1,0 +1,143 @@
+"""Follow-up and reconnect ranking."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Marks of executive titles and of personal mail domains; callers may replace them.
+EXECUTIVE = ["ceo", "cto", "cfo", "coo", "founder", "owner", "director", "partner", "president", "chairman", "head of"]
+PERSONAL_DOMAINS = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com"]
+WEIGHTS = {"job_change": 30.0, "active": 10.0, "profile": 3.0, "no_activity": 0.0, "completeness": 2.0, "executive": 15.0, "personal": 0.3, "gap_cap": 24.0, "headline": 15, "min_months": 6, "min_interactions": 1, "max_months": 60, "top": 200}
+STAGES = ["inbox", "contacted", "in_progress", "meeting", "proposal", "won", "lost", "archived"]
+
+
+def months_gap(last: Column, as_of: str) -> Column:
+    return F.datediff(F.lit(as_of).cast("date"), last) / F.lit(30.0)
+
+
+def is_executive(*texts: Column, marks: list[str] = EXECUTIVE) -> Column:
+    hay = F.lower(F.concat_ws(" ", *texts))
+    return hay.rlike("|".join(f"\\Q{m}\\E" for m in marks))
+
+
+def likely_personal(has_org: Column, has_profile: Column, title: Column, emails: Column, domains: list[str] = PERSONAL_DOMAINS) -> Column:
+    """No company, profile or title, and no mail address outside personal domains."""
+    found = F.transform(F.filter(emails, lambda e: e.contains("@")), lambda e: F.lower(F.element_at(F.split(e, "@"), -1)))
+    only = (F.size(found) > 0) & F.forall(found, lambda d: d.isin(domains))
+    return ~has_org & ~has_profile & (F.coalesce(title, F.lit("")) == "") & ((F.size(emails) == 0) | only)
+
+
+def own_company(org: Column, emails: Column, words: list[str], domains: list[str]) -> Column:
+    named = F.lower(F.coalesce(org, F.lit(""))).rlike("|".join(f"\\Q{w}\\E" for w in words)) if words else F.lit(False)
+    return named | F.exists(emails, lambda e: F.lower(F.element_at(F.split(e, "@"), -1)).isin(domains))
+
+
+def signal_type(kind: Column, headline: Column, shortest: int = WEIGHTS["headline"]) -> Column:
+    """A job change with a short headline counts as a profile only."""
+    return F.when((kind == "job_change") & (F.length(F.trim(F.coalesce(headline, F.lit("")))) < shortest), F.lit("profile")).otherwise(kind)
+
+
+def completeness(*present: Column) -> Column:
+    return sum((p.cast("int") for p in present), F.lit(0))
+
+
+def candidates(rows: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
+    """rows: name, last_date, months_gap, interactions, signal, active, own.
+    Job changes and live activity pass the limits on gap and count; rows without
+    a date need one of them; nameless rows and own colleagues go."""
+    free = F.coalesce((F.col("signal") == "job_change") | F.col("active"), F.lit(False))
+    gap, dated = F.col("months_gap"), F.col("last_date").isNotNull()
+    within = dated & (gap >= weights["min_months"]) & (gap <= weights["max_months"]) & (F.col("interactions") >= weights["min_interactions"])
+    return rows.where((F.coalesce("name", F.lit("")) != "") & ~F.col("own") & (free | within))
+
+
+def follow_up_scores(rows: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
+    """Adds the score's components and score_total."""
+    w = weights
+    signal = F.lit(0.0)
+    for kind in ("job_change", "active", "profile", "no_activity"):
+        signal = F.when(F.col("signal") == kind, F.lit(w[kind])).otherwise(signal)
+    gap = F.least(F.coalesce("months_gap", F.lit(0.0)), F.lit(w["gap_cap"]))
+    out = rows.withColumns(
+        {
+            "score_interaction": F.col("interactions") * gap,
+            "score_signal": signal,
+            "score_completeness": F.col("completeness") * F.lit(w["completeness"]),
+            "score_executive": F.when(F.col("executive"), F.lit(w["executive"])).otherwise(F.lit(0.0)),
+            "multiplier": F.when(F.col("personal"), F.lit(w["personal"])).otherwise(F.lit(1.0)),
+        }
+    )
+    parts = F.col("score_interaction") + F.col("score_signal") + F.col("score_completeness") + F.col("score_executive") + F.coalesce("bonus", F.lit(0.0))
+    return out.withColumn("score_total", F.round(parts * F.col("multiplier"), 1)).withColumn("score_interaction", F.round("score_interaction", 1))
+
+
+def ranked(rows: DataFrame, score: str, tie: str, top: int) -> DataFrame:
+    """The top rows with rank from 1: a top-k first, then a rank over k rows."""
+    best = rows.orderBy(F.desc(score), tie).limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))
+
+
+def reconnect(rows: DataFrame, as_of: str, top: int = 50, months: int = 12, least: int = 2) -> DataFrame:
+    """rows: id, last_date, interactions; score is interactions times the gap."""
+    gap = months_gap(F.col("last_date"), as_of)
+    old = rows.where((F.datediff(F.lit(as_of).cast("date"), "last_date") >= months * 30) & (F.col("interactions") >= least))
+    return ranked(old.withColumn("score", F.round(F.col("interactions") * gap, 1)), "score", "id", top)
+
+
+def year_label(last: Column, as_of: str) -> Column:
+    """Year of the last activity, not beyond the current one; never if none."""
+    return F.when(last.isNull(), F.lit("never")).otherwise(F.least(F.year(last), F.year(F.lit(as_of).cast("date"))).cast("string"))
+
+
+def score_stats(scored: DataFrame) -> DataFrame:
+    return scored.agg(
+        F.count(F.lit(1)).alias("total"),
+        *(F.count_if(F.col("signal") == s).alias(s) for s in ("job_change", "active", "profile", "no_activity")),
+        F.round(F.avg("completeness"), 1).alias("avg_completeness"),
+        F.count_if(F.coalesce("bonus", F.lit(0.0)) != 0).alias("enriched"),
+        F.round(F.avg("bonus"), 1).alias("avg_bonus"),
+    )
+
+
+def lead_signals(job_change: Column, activity: Column, silence_months: Column, executive: Column, channels: Column, awaiting: Column, keywords: Column, inbound: Column) -> Column:
+    """Up to eight tags in this order."""
+    tags = [("job_change", job_change), ("recent_activity", activity), ("long_silence", silence_months >= 12), ("executive", executive), ("multichannel", channels >= 2), ("dm_awaiting_reply", awaiting == "mine"), ("business_talk", keywords >= 1), ("inbound_heavy", inbound > 5)]
+    return F.array_distinct(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(t)) for t, c in tags))))
+
+
+def inbox_cap(cards: DataFrame, cap: int = 50) -> DataFrame:
+    """cards: id, stage, score. Of the inbox only the `cap` best stay."""
+    box = cards.where(F.col("stage") == "inbox").orderBy(F.desc("score"), "id").limit(cap)
+    return box.unionByName(cards.where(F.coalesce(F.col("stage") != "inbox", F.lit(True))))
+
+
+def stage_counts(cards: DataFrame, stages: list[str] = STAGES) -> DataFrame:
+    """Every stage, also those without cards."""
+    spark = cards.sparkSession
+    every = spark.createDataFrame([(s,) for s in stages], "stage string")
+    n = cards.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(n, "stage", "left").select("stage", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def split_active(rows: DataFrame, cap: int = 100) -> DataFrame:
+    """rows: id, score, dismissed -> bucket: dismissed, active (the first `cap`) or backlog."""
+    top = rows.where(~F.col("dismissed")).orderBy(F.desc("score"), "id").limit(cap).select("id", F.lit(True).alias("in_top"))
+    return rows.join(F.broadcast(top), "id", "left").withColumn("bucket", F.when(F.col("dismissed"), "dismissed").when(F.col("in_top"), "active").otherwise("backlog")).drop("in_top")
+
+
+def merge_crm(scores: DataFrame, state: DataFrame) -> DataFrame:
+    """scores (id, name, score) with state (id, stage); ids only the state knows
+    come too unless their stage is the inbox."""
+    both = scores.join(state, "id", "left").select("id", "name", "score", F.coalesce("stage", F.lit("inbox")).alias("stage"))
+    only = state.where(F.col("stage") != "inbox").join(scores, "id", "left_anti").select("id", F.col("id").cast("string").alias("name"), F.lit(0.0).alias("score"), "stage")
+    return both.unionByName(only)
+
+
+def upsert_stage(state: DataFrame, updates: DataFrame, always_stamp: bool = False) -> DataFrame:
+    """state (id, stage, changed_at), updates (id, stage, at): a new stamp only on
+    a real change, unless always_stamp."""
+    u = updates.select("id", F.col("stage").alias("new_stage"), F.col("at"))
+    j = state.join(u, "id", "full_outer")
+    moved = F.col("new_stage").isNotNull() & (F.lit(always_stamp) | ~F.col("new_stage").eqNullSafe(F.col("stage")))
+    return j.select("id", F.coalesce("new_stage", "stage").alias("stage"), F.when(moved, F.col("at")).otherwise(F.col("changed_at")).alias("changed_at"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import activity_queries, audit_queries, resolve_queries, scoring_queries, text_queries
+
+_ALL = {**activity_queries.QUERIES, **audit_queries.QUERIES, **text_queries.QUERIES, **resolve_queries.QUERIES, **scoring_queries.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
