@@ -37,6 +37,11 @@ def _fold_tables() -> tuple[str, str]:
 _FROM, _TO = _fold_tables()
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value bound once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text(c: Column | str) -> Column:
     """Missing, null and empty are one value."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -97,8 +102,10 @@ def digits(c: Column) -> Column:
 
 def distinct_by(values: Column, key) -> Column:
     """Elements whose key(element) hasn't come before, in order."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    def pick(vs: Column) -> Column:
+        return let(F.transform(vs, key), lambda keys: F.filter(vs, lambda x, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1))
+
+    return let(values, pick)
 
 
 def phones_in(c: Column, patterns: list[str] = PHONES) -> Column:
@@ -182,8 +189,8 @@ def postal_code(c: Column) -> Column:
 def clean_email(c: Column) -> Column:
     """struct(value, confidence, valid): invisible characters out, lower case, checked."""
     v = F.lower(F.trim(F.regexp_replace(text(c), "[\\s​‌‍⁠﻿­]", "")))
-    valid = v.rlike(rf"^(?!\.)(?!.*\.\.){EMAIL}$") & ~v.contains(".@")
-    return F.struct(v.alias("value"), F.when(valid, 0.95).otherwise(0.5).alias("confidence"), valid.alias("valid"))
+    valid = lambda x: x.rlike(rf"^(?!\.)(?!.*\.\.){EMAIL}$") & ~x.contains(".@")
+    return let(v, lambda x: F.struct(x.alias("value"), F.when(valid(x), 0.95).otherwise(0.5).alias("confidence"), valid(x).alias("valid")))
 
 
 def domain(c: Column) -> Column:

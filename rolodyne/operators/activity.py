@@ -15,7 +15,7 @@ from ..functions.text import keyword_hits
 
 DAYS = (30, 90, 365)
 #: Business words counted in messages.
-KEYWORDS = ["meeting", "call", "contract", "invoice", "project", "proposal", "offer", "budget", "deadline", "agreement", "quote", "order", "demo", "schedule", "client", "partnership", "investment", "delivery"]
+KEYWORDS = ["meeting", "demo", "price", "pricing", "proposal", "quote", "invoice", "contract", "payment", "deal", "kickoff", "timeline", "scope", "sow", "rfp", "po", "offer", "agreement"]
 #: Points of the engagement bonus and the thresholds they hang on.
 BONUS = {"awaiting": 15.0, "multichannel": 10.0, "keywords": 20.0, "hours": 5.0, "hours_ratio": 0.7, "inbound_heavy": 8.0, "inbound_delta": 5, "stale": -10.0, "stale_count": 3, "silence": -15.0, "silence_days": 180, "low": -20.0, "high": 40.0}
 

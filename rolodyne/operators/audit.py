@@ -33,26 +33,37 @@ def field_category(path: Column) -> Column:
     return F.when(base.isin(known), base).otherwise(F.lit("other"))
 
 
-#: Categories of reasons: the first pattern that matches counts.
+#: Categories of reasons; the first pattern that matches counts.
 CATEGORIES = [
-    ("diacritics", r"diacrit"),
-    ("phone_format", r"phone number normali[sz]ation"),
-    ("phone_type", r"phone type"),
-    ("phone_from_note", r"phone.*note"),
-    ("email_format", r"email normali[sz]ation|invalid email"),
-    ("email_from_note", r"email.*note"),
-    ("duplicate", r"duplicate"),
+    ("diacritics_given", r"diacritics.*given"),
+    ("diacritics_family", r"diacritics.*family"),
+    ("diacritics", r"diacritics"),
+    ("org_case", r"organization|letter casing \(org"),
+    ("title_case", r"letter casing|Title Case"),
+    ("phone_format", r"phone.*normalization|international format"),
+    ("phone_type", r"phone.*type"),
+    ("phone_duplicate", r"duplicate phone"),
+    ("email_normalize", r"email.*normalization|email.*lowercase"),
+    ("email_invalid", r"invalid.*email"),
+    ("email_duplicate", r"duplicate email"),
     ("address_zip", r"postal code"),
     ("address_country", r"country"),
-    ("shared_address", r"shared.*address"),
-    ("org_case", r"organi[sz]ation"),
-    ("corporate_url", r"corporate|homepage|directory"),
-    ("name_case", r"casing|capital"),
-    ("name_split", r"split"),
-    ("name_from_email", r"name.*email"),
-    ("event_from_note", r"birthday|name ?day|anniversary"),
-    ("ids", r"company id|tax id|vat"),
-    ("deletion", r"delet"),
+    ("address_parse", r"address.*pars"),
+    ("name_extract", r"name.*extract|inferred.*name"),
+    ("name_split", r"name.*split|split.*name"),
+    ("name_title", r"title.*extract|prefix.*extract"),
+    ("company_in_name", r"company.*name|company_in_name"),
+    ("family_name_fix", r"family.*name|familyName"),
+    ("x500_dn", r"X\.500 DN"),
+    ("org_from_email", r"inferred from email|organization.*email"),
+    ("phone_from_note", r"phone.*(?:found in|from) notes|phone.*extracted from notes"),
+    ("email_from_note", r"email.*(?:found in|from) notes|email.*extracted from notes"),
+    ("url_from_note", r"(?:URL|url|website).*(?:found in|from) notes|URL.*extracted from notes"),
+    ("event_from_note", r"(?:birthday|anniversary|date|event).*(?:found in|from) notes|(?:from|extracted from) notes"),
+    ("owner_email", r"owner email"),
+    ("corporate_url", r"corporate.*(?:LinkedIn|website|directory|social media)"),
+    ("shared_address", r"shared HQ|shared.*office.*address"),
+    ("tobedeleted", r"low-value contact|deletion candidate"),
 ]
 
 

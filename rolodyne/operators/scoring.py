@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks of executive titles and of personal mail domains; callers may replace them.
-EXECUTIVE = ["ceo", "cto", "cfo", "coo", "founder", "owner", "director", "partner", "president", "chairman", "head of"]
-PERSONAL_DOMAINS = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com"]
+EXECUTIVE = ["ceo", "cto", "cfo", "coo", "cmo", "cpo", "ciso", "cro", "founder", "co-founder", "cofounder", "owner", "president", "managing director", "managing partner", "partner", "head of", "vp ", "vice president", "director", "zakladatel", "majitel", "spolumajitel", "riaditel", "konatel"]
+PERSONAL_DOMAINS = ["gmail.com", "hotmail.com", "yahoo.com", "icloud.com", "me.com", "zoznam.sk", "azet.sk", "pobox.sk", "centrum.sk", "centrum.cz", "seznam.cz", "post.cz", "email.cz"]
+#: Words that tell a lead's kind.
+TOP_EXECUTIVE = ["ceo", "chief executive", "founder", "owner", "president", "majitel", "zakladatel"]
+BANKING = ["bank", "banka", "poistovna", "poistovňa", "insurance", "sporiteln", "slsp", "vub", "vúb", "pps", "unicredit", "tatra", "csob", "čsob", "kb ", "komercni", "komerční", "raiffeisen", "intesa", "erste", "finance", "financ", "bcpb", "burza", "capital"]
+MODERNISATION = ["ai transformation", "ai-transformation", "modernis", "legacy", "rebuild", "replatform", "re-platform", "digital transformation", "cloud migration"]
+AGENTIC = ["cursor", "copilot", "agentic", "vibecoding", "vibe coding", "claude", "gpt", "llm"]
 WEIGHTS = {"job_change": 30.0, "active": 10.0, "profile": 3.0, "no_activity": 0.0, "completeness": 2.0, "executive": 15.0, "personal": 0.3, "gap_cap": 24.0, "headline": 15, "min_months": 6, "min_interactions": 1, "max_months": 60, "top": 200}
 STAGES = ["inbox", "contacted", "in_progress", "meeting", "proposal", "won", "lost", "archived"]
 
@@ -100,10 +105,29 @@ def score_stats(scored: DataFrame) -> DataFrame:
     )
 
 
-def lead_signals(job_change: Column, activity: Column, silence_months: Column, executive: Column, channels: Column, awaiting: Column, keywords: Column, inbound: Column) -> Column:
-    """Up to eight tags in this order."""
-    tags = [("job_change", job_change), ("recent_activity", activity), ("long_silence", silence_months >= 12), ("executive", executive), ("multichannel", channels >= 2), ("dm_awaiting_reply", awaiting == "mine"), ("business_talk", keywords >= 1), ("inbound_heavy", inbound > 5)]
-    return F.array_distinct(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(t)) for t, c in tags))))
+def mentions(c: Column, words: list[str]) -> Column:
+    return F.lower(F.coalesce(c, F.lit(""))).rlike("|".join(f"\\Q{w}\\E" for w in words))
+
+
+def lead_signals(job_change: Column, title: Column, org: Column, headline: Column, role: Column, awaiting: Column) -> Column:
+    """Up to eight tags, in this order, each once: a job change (with a top or
+    another executive role: promoted or new), an executive title, banking and
+    finance, modernisation, agentic work, a message that waits for an answer."""
+    spaced = lambda *cs: F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in cs))
+    roles, companies = spaced(title, headline, role), spaced(org, headline)
+    moved = F.coalesce(job_change, F.lit(False))
+    top, executive = mentions(roles, TOP_EXECUTIVE), mentions(roles, EXECUTIVE)
+    tags = [
+        ("recent_job_change", moved),
+        ("promoted_ceo", top & moved),
+        ("new_c_level", ~top & executive & moved),
+        ("exec_title", (top | executive) & ~moved),
+        ("bank_finance", mentions(companies, BANKING)),
+        ("it_modernisation", mentions(roles, MODERNISATION)),
+        ("vibecoding_agentic", mentions(headline, AGENTIC)),
+        ("dm_awaiting_reply", F.coalesce(awaiting == "mine", F.lit(False))),
+    ]
+    return F.array_distinct(F.array_compact(F.array(*(F.when(c, F.lit(t)) for t, c in tags))))
 
 
 def inbox_cap(cards: DataFrame, cap: int = 50) -> DataFrame:

@@ -72,15 +72,26 @@ SPLIT_ACTIVE = f"""WITH {_CARDS}, r AS (SELECT *, row_number() OVER (PARTITION B
 SELECT CASE WHEN stage = 'won' THEN 'dismissed' WHEN n <= 100 THEN 'active' ELSE 'backlog' END AS bucket, count(*) AS n, min(score) AS low, max(score) AS high FROM r GROUP BY 1"""
 
 
+_LEADS = [("CEO", "Tatra banka", "Legacy rebuild"), ("Director", "Acme", "Agentic tools"), ("Clerk", "Erste", ""), ("Owner", "", "Digital transformation and GPT"), ("", "Burza", "Vice president")]
+
+
 def lead_signal_counts(spark, sf):
     p = table(spark, sf, "part")
-    tags = S.lead_signals(F.col("p_size") > 40, F.col("p_size") % 2 == 0, F.col("p_size"), F.col("p_type") == "ECONOMY", F.col("p_partkey") % 4, F.when(F.col("p_partkey") % 3 == 0, "mine").otherwise("theirs"), F.col("p_partkey") % 2, F.col("p_partkey") % 9)
+    pick = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in _LEADS)), (F.col("p_partkey") % len(_LEADS) + 1).cast("int"))
+    tags = S.lead_signals(F.col("p_size") > 40, pick(0), pick(1), pick(2), F.lit(""), F.when(F.col("p_partkey") % 3 == 0, "mine").otherwise("theirs"))
     return p.select(F.explode(tags).alias("signal")).groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
 
 
-LEAD_SIGNAL_COUNTS = """SELECT signal, n FROM (SELECT count(*) FILTER (p_size > 40) AS job_change, count(*) FILTER (p_size % 2 = 0) AS recent_activity, count(*) FILTER (p_size >= 12) AS long_silence, count(*) FILTER (p_type = 'ECONOMY') AS executive,
- count(*) FILTER (p_partkey % 4 >= 2) AS multichannel, count(*) FILTER (p_partkey % 3 = 0) AS dm_awaiting_reply, count(*) FILTER (p_partkey % 2 >= 1) AS business_talk, count(*) FILTER (p_partkey % 9 > 5) AS inbound_heavy FROM part)
-UNPIVOT (n FOR signal IN (job_change, recent_activity, long_silence, executive, multichannel, dm_awaiting_reply, business_talk, inbound_heavy)) WHERE n > 0"""
+def _has(column: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({column}), '{w}')" for w in words) + ")"
+
+
+LEAD_SIGNAL_COUNTS = f"""WITH v AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(_LEADS))}) t(k, title, org, headline)),
+r AS (SELECT p_size > 40 AS moved, {_has("concat_ws(' ', title, headline, '')", S.TOP_EXECUTIVE)} AS top, {_has("concat_ws(' ', title, headline, '')", S.EXECUTIVE)} AS ex,
+ {_has("concat_ws(' ', org, headline)", S.BANKING)} AS bank, {_has("concat_ws(' ', title, headline, '')", S.MODERNISATION)} AS it, {_has("headline", S.AGENTIC)} AS ag, p_partkey % 3 = 0 AS waits FROM part JOIN v ON k = p_partkey % {len(_LEADS)}),
+c AS (SELECT count(*) FILTER (moved) AS recent_job_change, count(*) FILTER (top AND moved) AS promoted_ceo, count(*) FILTER (NOT top AND ex AND moved) AS new_c_level, count(*) FILTER ((top OR ex) AND NOT moved) AS exec_title,
+ count(*) FILTER (bank) AS bank_finance, count(*) FILTER (it) AS it_modernisation, count(*) FILTER (ag) AS vibecoding_agentic, count(*) FILTER (waits) AS dm_awaiting_reply FROM r)
+SELECT signal, n FROM (UNPIVOT c ON COLUMNS(*) INTO NAME signal VALUE n) WHERE n > 0"""
 
 
 def crm_merge(spark, sf):
