@@ -72,14 +72,18 @@ class Logistic:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float = 1.0, rounds: int = 25):
         weight = np.ones(len(y)) if weight is None else weight
-        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-        z = np.hstack(((x - self.mean) / self.scale, np.ones((len(x), 1))))
-        w, ridge = np.zeros(z.shape[1]), np.full(z.shape[1], penalty)
+        self.mean = x.mean(axis=0, dtype=np.float64)
+        self.scale = np.maximum(x.std(axis=0, dtype=np.float64), 1e-3)
+        n = x.shape[1] + 1
+        w, ridge = np.zeros(n), np.full(n, penalty)
         ridge[-1] = 1e-6
         for _ in range(rounds):
-            p = _sigmoid(z @ w)
-            g = z.T @ (weight * (p - y)) + ridge * w
-            h = (z * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z + np.diag(ridge)
+            g, h = ridge * w, np.diag(ridge)
+            for s in range(0, len(x), 1000):  # standardised block by block, never as a whole
+                z = np.hstack(((x[s : s + 1000] - self.mean) / self.scale, np.ones((len(x[s : s + 1000]), 1))))
+                p, k = _sigmoid(z @ w), weight[s : s + 1000]
+                g = g + z.T @ (k * (p - y[s : s + 1000]))
+                h = h + (z * (k * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z
             step = np.linalg.solve(h, g)
             w = w - step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
             if np.abs(step).max() < 1e-5:
@@ -139,9 +143,12 @@ class CoTrained:
 
 
 def _features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    @F.pandas_udf("struct<t:array<double>,m:array<double>>")
+    """Both views as 32-bit floats in bytes, which the driver gathers compactly."""
+
+    @F.pandas_udf("struct<t:binary,m:binary>")
     def both(text: pd.Series, source: pd.Series, lang: pd.Series, n: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"t": list(text_features(text.tolist())), "m": list(meta_features(source.tolist(), lang.tolist(), n.tolist()))})
+        pack = lambda x: [r.tobytes() for r in x.astype(np.float32)]
+        return pd.DataFrame({"t": pack(text_features(text.tolist())), "m": pack(meta_features(source.tolist(), lang.tolist(), n.tolist()))})
 
     return docs.select(*keep, both(*_inputs()).alias("f")).select(*keep, "f.t", "f.m")
 
@@ -162,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> CoTra
     share = min(1.0, 1.1 * UNLABELLED / max(1, docs.count()))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).limit(UNLABELLED)
     others = _features(drawn.join(F.broadcast(chosen.select("id")), F.col("doc_id") == F.col("id"), "left_anti"), ["doc_id"]).toPandas().sort_values("doc_id")  # UNLABELLED rows at most
-    stack = lambda s, n: np.stack(s.to_list()) if len(s) else np.zeros((0, n))
+    stack = lambda s, n: np.frombuffer(b"".join(s), np.float32).reshape(-1, n)
     return CoTrained((stack(known.t, TEXT_FEATURES), stack(known.m, META_FEATURES), known.y.to_numpy()), (stack(others.t, TEXT_FEATURES), stack(others.m, META_FEATURES)))
 
 
