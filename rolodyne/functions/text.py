@@ -16,7 +16,7 @@ FREE_DOMAINS = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 URL = r"https?://[^\s<>\"')\]]+"
 #: Patterns for phone numbers in running text, in order of preference.
-PHONES = [r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}", r"\b00\d{1,3}(?:[ .-]?\d{2,4}){2,4}", r"\b0\d{2,3}[ /.-]?\d{3}[ .-]?\d{3}\b", r"\b\d{3}[ .-]\d{3}[ .-]\d{3}\b", r"\b0\d/\d{3,4}[ .-]?\d{2}[ .-]?\d{2}\b"]
+PHONES = [r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}", r"\b00\d{1,3}(?:[ .-]?\d{2,4}){2,4}", r"(?<![\d+])0\d{2,3}[ /.-]?\d{3}[ .-]?\d{3}\b", r"(?<![\d+])(?<!\d[ .-])\d{3}[ .-]\d{3}[ .-]\d{3}(?![ .-]?\d)", r"(?<!\d)0\d/\d{3,4}[ .-]?\d{2}[ .-]?\d{2}\b"]
 
 
 def _fold_tables() -> tuple[str, str]:

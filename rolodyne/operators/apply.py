@@ -61,7 +61,9 @@ def apply_to(contact: dict, changes: list[dict]) -> dict:
         array = ALIASES.get(m[1], m[1]) if m else None
         if array not in FIELDS:
             continue
-        entries, sub, new, extra = out.setdefault(array, []) or [], m[3], c["new"], dict(c.get("extra") or {})
+        extra = c.get("extra") or {}
+        extra = json.loads(extra) if isinstance(extra, str) else dict(extra)
+        entries, sub, new = out.setdefault(array, []) or [], m[3], c["new"]
         out[array] = entries
         part = MAIN.get(array, "value") if sub in (None, "value") else sub
         if m[2] == "+":
@@ -96,7 +98,7 @@ def _new_entry(array: str, part: str, new: str, extra: dict) -> dict:
 def apply_changes(contacts: DataFrame, changes: DataFrame) -> DataFrame:
     """Contacts (of schema CONTACT) after their changes, by contact; contacts
     without changes pass. One contact's changes meet in one row, never more."""
-    listed = changes.groupBy("resource_name").agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", "field", "new", "extra")))).alias("changes"))
+    listed = changes.groupBy("resource_name").agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", "field", "new", F.to_json("extra").alias("extra"))))).alias("changes"))
     whole = contacts.select("resourceName", F.to_json(F.struct("*")).alias("contact")).join(listed, F.col("resourceName") == F.col("resource_name"), "left")
 
     @F.pandas_udf("string")
