@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, slices
+from .common import materialize, read_table, remove, slices
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 12, 16, (2, 3, 4)
 PER_LANGUAGE, LANGUAGES, EPOCHS = 1500, 200, 12
@@ -156,7 +156,7 @@ def training_windows(docs: DataFrame) -> pd.DataFrame:
     each PER_LANGUAGE documents at most, one window at a hashed place each."""
     langs = [r.lang for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
     if not langs:
-        return pd.DataFrame({"lang": [], "window": []})
+        return pd.DataFrame({"lang": [], "r": [], "window": []})
     salted = docs.where(F.col("lang").isin(langs)).withColumn("r", F.xxhash64("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,23 +173,11 @@ def training_windows(docs: DataFrame) -> pd.DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], ["lang", "r", "window"])
 
-    tasks = salted.select("text", "lang", "r").mapInArrow(cut, "lang string, r long, window binary")
-    # the hash spreads evenly, so a share of its range holds about the rows wanted of all tasks
-    return _least(tasks, langs)
-
-
-def _least(rows: DataFrame, langs: list[str]) -> pd.DataFrame:
-    """The PER_LANGUAGE rows of smallest hash of each language."""
-    parts = None
-    for lang in langs:
-        one = rows.where(F.col("lang") == lang).orderBy("r", "window").limit(PER_LANGUAGE)
-        parts = one if parts is None or len(langs) > 12 else parts.unionByName(one)
-    if len(langs) > 12:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("lang").orderBy("r", "window")
-        parts = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= PER_LANGUAGE)
-    return parts.select("lang", "r", "window").toPandas()
+    tasks = materialize(salted.select("text", "lang", "r").mapInArrow(cut, "lang string, r long, window binary"))
+    # of all tasks' rows again the PER_LANGUAGE of smallest hash of each language, at most LANGUAGES small top-k reads
+    found = [tasks.where(F.col("lang") == lang).orderBy("r", "window").limit(PER_LANGUAGE).toPandas() for lang in langs]
+    remove(tasks)
+    return pd.concat(found)
 
 
 def train(docs: DataFrame) -> ByteConv:
