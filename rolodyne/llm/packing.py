@@ -195,7 +195,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     found = materialize(pieces(docs, id_col, text_col, capacity, keep_ids))
     salts = parts(spark)
     salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    sizes = materialize(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
+    sizes = materialize(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), capacity * salts)
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     table = places(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
