@@ -68,12 +68,13 @@ def _byte(col: str, k: int) -> F.Column:
     return F.shiftrightunsigned(F.col(col), 8 * k).bitwiseAND(255)
 
 
-def link_edges(fps: DataFrame) -> DataFrame:
+def link_edges(fps: DataFrame, rows: int | None = None) -> DataFrame:
     """Distinct fp -> (src, dst): enough links to connect whatever is within
-    MAX_BITS; all pairs for short posting lists, spanning ones for long lists."""
+    MAX_BITS; all pairs for short posting lists, spanning ones for long lists.
+    rows: about how many fingerprints there are."""
     keys = [sum((_byte("fp", k) * (1 << (8 * j)) for j, k in enumerate(s)), F.lit(c << 32).cast("long")) for c, s in enumerate(BYTE_SETS)]
     postings = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    lists = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    lists = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), rows)
     short = lists.where(f"n <= {MAX_LIST}").select(rekey("key").alias("k"))
     long = lists.where(f"n > {MAX_LIST}").select(rekey("key").alias("k"))
     grouped = postings.join(short, postings.key == short.k).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
@@ -96,11 +97,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with equal ids or texts each give a row; null ids take part and are never
     the smallest unless the group has no other (then component_id is null)."""
     fp = materialize(fingerprints(docs.select(id_col, text_col), id_col, text_col).withColumnRenamed(id_col, "i"))
-    firsts = materialize(fp.groupBy("fp").agg(F.min("i").alias("first")))
-    comp = connected_components(link_edges(firsts.select("fp")))
+    rows = fp.count()
+    firsts = materialize(fp.groupBy("fp").agg(F.min("i").alias("first")), rows)
+    comp = connected_components(link_edges(firsts.select("fp"), rows))
     of = firsts.join(comp, firsts.fp == comp.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     least = of.groupBy("c").agg(F.min("first").alias("component_id")).select(rekey("c").alias("g"), "component_id")
-    named = materialize(of.join(least, of.c == least.g).select(F.col("fp").alias("f"), "component_id"))
+    named = materialize(of.join(least, of.c == least.g).select(F.col("fp").alias("f"), "component_id"), rows)
     return fp.join(named, fp.fp == named.f).select(F.col("i").alias(id_col), "fp", "component_id")
 
 
