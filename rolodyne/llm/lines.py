@@ -257,19 +257,20 @@ def _texts(rows: DataFrame, wanted: DataFrame, count: int, fuzzy_chars: int) ->
 
     lines = rows.select("t").mapInArrow(run, "h long, line string")
     found = lines.join(F.broadcast(wanted) if count <= SMALL else wanted, "h", "left_semi")
-    return materialize(found.groupBy("h").agg(F.first("line").alias("line")))
+    return materialize(found.groupBy("h").agg(F.first("line").alias("line")), 20 * count)
 
 
-def links(rows: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHARS, most: int = LIST) -> DataFrame:
+def links(rows: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHARS, most: int = LIST, count: int | None = None) -> DataFrame:
     """-> (src, dst): ids of different lines within `edits` edits. From longer
-    lists of candidates come enough links to keep their classes whole."""
+    lists of candidates come enough links to keep their classes whole. count:
+    about how many lines there are."""
     if fuzzy_chars < 4 * (edits + 1):
         raise ValueError("segments would be shorter than four characters")
     dealt = postings(rows.select("t"), edits, fuzzy_chars).repartition("key").sortWithinPartitions("key", "h", "probe")
     met = materialize(_meet(dealt, most))
-    pairs = materialize(met.where("key is null").select("a", "b").distinct())
+    pairs = materialize(met.where("key is null").select("a", "b").distinct(), count)
     hot = met.where("key is not null").select("key", F.col("a").alias("h"), F.col("b").cast("int").alias("probe")).distinct()
-    wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).union(hot.select("h")).distinct())
+    wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).union(hot.select("h")).distinct(), count)
     texts = _texts(rows, wanted, wanted.count(), fuzzy_chars)
     left = texts.select(rekey("h").alias("ha"), F.col("line").alias("x"))
     right = texts.select(rekey("h").alias("hb"), F.col("line").alias("y"))
@@ -311,7 +312,7 @@ def links(rows: DataFrame, edits: int = EDITS, fuzzy_chars: int = FUZZY_CHARS, m
         return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
 
     dense = filled.groupBy("key", "i", "j").applyInPandas(compare, "src long, dst long")
-    return materialize(close.unionByName(dense).distinct())
+    return materialize(close.unionByName(dense).distinct(), count)
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, fuzzy_chars: int = FUZZY_CHARS, most: int = LIST) -> DataFrame:
@@ -320,13 +321,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
     is the one with the smallest (id, digest of the text, line number)."""
     rows = _rows(docs, id_col, text_col)
     found = materialize(occurrences(rows, min_chars))
+    count = found.count()
     place = F.struct("o", "th", "line")
     firsts = found.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    comp = connected_components(links(rows, edits, fuzzy_chars, most))
+    comp = connected_components(links(rows, edits, fuzzy_chars, most, count))
     comp = comp.select(rekey("node").alias("node"), "component")
     # classes of one line that occurs once need no further step
     classed = firsts.join(comp, firsts.h == comp.node, "left").where("n > 1 or component is not null").select("h", "first", F.coalesce("component", "h").alias("c"))
-    classed = materialize(classed)
+    classed = materialize(classed, count)
     lead = classed.groupBy("c").agg(F.min("first").alias("lead")).select(rekey("c").alias("g"), "lead")
     known = classed.join(lead, classed.c == lead.g).select(rekey("h").alias("k"), "lead")
     gone = found.join(known, found.h == known.k).where(place != F.col("lead"))
