@@ -155,12 +155,48 @@ def engagement_bonus(kpi: DataFrame, as_of: str, points: dict = BONUS) -> DataFr
     return kpi.withColumn("bonus", F.greatest(F.lit(p["low"]), F.least(total, F.lit(p["high"]))))
 
 
-def contact_kpis(events: DataFrame, as_of: str, days: tuple[int, ...] = DAYS, keywords: list[str] | None = None) -> DataFrame:
-    """Everything the bonus needs, one row per contact; the shortest window's figures."""
-    short = window_kpis(events, as_of, days, keywords).where(F.col("window_days") == min(days))
-    short = short.select("contact_id", "messages_in", "messages_out", F.size("channels").alias("n_channels"), "business_ratio", "keyword_hits")
-    everyone = first_last(events)
-    return everyone.join(short, "contact_id", "left").join(awaiting_side(events), "contact_id", "left").join(stale_sent(events, as_of), "contact_id", "left").join(primary_channel(events, as_of, days[1] if len(days) > 1 else days[0]), "contact_id", "left")
+def contact_kpis(events: DataFrame, as_of: str, days: tuple[int, ...] = DAYS, keywords: list[str] | None = None, **hours) -> DataFrame:
+    """Everything the bonus needs, one row per contact; the shortest window's
+    figures and the second window's main channel. Two passes over the events: one
+    aggregation by contact and channel that a second one sums up by contact, and
+    the window by thread for unanswered messages."""
+    at, way = F.col("ts"), F.col("direction")
+    short, middle = before(as_of, min(days)), before(as_of, sorted(days)[1] if len(days) > 1 else days[0])
+    inside = (at >= short) & (at < instant(as_of))
+    hits = keyword_hits(F.col("body"), keywords) if keywords else F.lit(0)
+    by_channel = (
+        usable(events)
+        .groupBy("contact_id", "channel")
+        .agg(
+            F.min(at).alias("first"),
+            F.max(F.when(way == "inbound", at)).alias("last_in"),
+            F.max(F.when(way == "outbound", at)).alias("last_out"),
+            F.max(F.struct(at, "event_id", way)).alias("latest"),
+            F.count_if(inside & (way == "inbound")).alias("n_in"),
+            F.count_if(inside & (way == "outbound")).alias("n_out"),
+            F.sum(F.when(inside, business_hours(at, **hours).cast("int"))).alias("open"),
+            F.sum(F.when(inside, hits)).alias("hits"),
+            F.count_if(at >= middle).alias("n_middle"),
+        )
+    )
+    n = F.sum("n_in") + F.sum("n_out")
+    present = lambda c: F.when(n > 0, c)
+    used = F.when(F.col("n_middle") > 0, F.struct(-F.col("n_middle"), "channel"))
+    rolled = by_channel.groupBy("contact_id").agg(
+        F.min("first").alias("first_seen"),
+        F.max("last_in").alias("last_inbound_ever"),
+        F.max("last_out").alias("last_outbound_ever"),
+        F.max("latest").alias("latest"),
+        present(F.sum("n_in")).alias("messages_in"),
+        present(F.sum("n_out")).alias("messages_out"),
+        present(F.count_if(F.col("n_in") + F.col("n_out") > 0)).alias("n_channels"),
+        present(F.round(F.sum("open") / n, 2)).alias("business_ratio"),
+        present(F.sum("hits")).alias("keyword_hits"),
+        F.min(used).alias("main"),
+    )
+    side = F.when(F.col("latest.direction") == "inbound", "mine").otherwise("theirs")
+    figures = rolled.select("contact_id", "first_seen", "last_inbound_ever", "last_outbound_ever", "messages_in", "messages_out", "n_channels", "business_ratio", "keyword_hits", side.alias("awaiting_side"), F.col("main.channel").alias("channel_primary"))
+    return figures.join(stale_sent(events, as_of), "contact_id", "left")
 
 
 def staleness(ts: Column, as_of: str) -> Column:
