@@ -31,12 +31,29 @@ def activity_block(title: str, as_of: str) -> Column:
     second = F.concat_ws(" · ", F.concat(F.lit("Last heard: "), F.date_format("last_inbound_ever", "yyyy-MM-dd"), F.lit(" "), short_channel(F.col("channel_primary"))), wait, F.when(F.col("stale_sent") >= 3, F.concat(F.lit("Stale sent: "), F.col("stale_sent").cast("string"))))
     quiet = (n == 0) & F.col("last_inbound_ever").isNull() & F.col("last_outbound_ever").isNull()
     body = F.when(quiet, F.lit("No recent activity across messaging channels.")).otherwise(F.concat_ws("\n", first, F.nullif(second, F.lit(""))))
+    return block(title, as_of, body)
+
+
+def block(title: str, as_of: str, body: Column) -> Column:
+    """A block of any title around a body, LONGEST characters at most."""
     head, end = f"{MARK} {title} (auto · {as_of[:10]}) {MARK}", f"{MARK} End {title} {MARK}"
     room = LONGEST - len(head) - len(end) - 20
     cut = F.when(F.length(body) > room + 18, F.concat(F.left(body, F.lit(room)), F.lit("…"))).otherwise(body)
     return F.concat_ws("\n", F.lit(head), cut, F.lit(end))
 
 
+def interaction_body(mail_date: Column, subject: Column, meeting_date: Column, title: Column) -> Column:
+    """What was last said and when: a line for mail and one for meetings."""
+    line = lambda what, at, said: F.when(at.isNotNull(), F.concat(F.lit(f"{what}: "), at.cast("string"), F.coalesce(F.concat(F.lit(" – "), F.nullif(said, F.lit(""))), F.lit(""))))
+    return F.concat_ws("\n", line("Email", mail_date, subject), line("Meeting", meeting_date, title))
+
+
+def state_body(stage: Column, tags: Column, notes: Column) -> Column:
+    """Stage, tags and notes of a card, a line each, without empty ones."""
+    line = lambda what, c: F.concat(F.lit(f"{what}: "), F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit("")))
+    return F.concat_ws("\n", line("Stage", stage), line("Tags", F.array_join(tags, ", ")), line("Notes", notes))
+
+
 def strip(note: str, title: str) -> str:
     """The note without its block of that title; unchanged where the block has no end."""
     lines = (note or "").split("\n")

@@ -96,6 +96,19 @@ def windowed_counts(stream: DataFrame, at: str = "ts", size: str = "1 day", late
     return stream.withWatermark(at, late).groupBy(F.window(at, size), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def learn_matches(cache: DataFrame, matched: DataFrame) -> DataFrame:
+    """cache (handle, contact_id) with what a batch has matched; the first contact
+    learned for a handle stays."""
+    fresh = matched.where("handle is not null and contact_id is not null").groupBy("handle").agg(F.min_by("contact_id", "ts").alias("contact_id"))
+    return cache.unionByName(fresh.join(cache, "handle", "left_anti"))
+
+
+def known_contacts(batch: DataFrame, cache: DataFrame) -> DataFrame:
+    """A batch (handle, contact_id) with contacts filled in from the cache."""
+    known = cache.select("handle", F.col("contact_id").alias("_known"))
+    return batch.join(known, "handle", "left").withColumn("contact_id", F.coalesce("contact_id", "_known")).drop("_known")
+
+
 def run_ingest(stream: DataFrame, target: str, checkpoint: str, contact_of: Callable[[DataFrame], DataFrame] | None = None, unknown: str | None = None, month: str = "ym", at: str = "ts", paused: bool = False) -> StreamingQuery | None:
     """Takes in what is there and stops; offsets advance only on success. Each
     batch is matched to contacts and written by month; rows without a contact

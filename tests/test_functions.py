@@ -157,3 +157,12 @@ def test_activity_block(spark):
     a, b = [r.b for r in df.select(notes.activity_block("Activity", "2024-01-31 12:00:00").alias("b")).collect()]
     assert a.splitlines()[1:3] == ["Primary: WA · 30d: 12 msgs · 4 channels", "Last heard: 2024-01-29 WA · Awaiting: my reply (2d) · Stale sent: 4"]
     assert "No recent activity" in b
+
+
+def test_other_blocks(spark):
+    df = spark.createDataFrame([("2024-01-01", "Hello", None, None, "won", ["a", "b"], " n ")], "d string, s string, m string, t string, stage string, tags array<string>, notes string")
+    mail, card = df.select(notes.interaction_body(F.col("d"), F.col("s"), F.col("m"), F.col("t")), notes.block("CRM", "2024-01-31", notes.state_body(F.col("stage"), F.col("tags"), F.col("notes")))).first()
+    assert mail == "Email: 2024-01-01 – Hello"
+    assert card.splitlines()[1:4] == ["Stage: won", "Tags: a, b", "Notes: n"]
+    long = spark.range(1).select(notes.block("X", "2024-01-31", F.lit("y" * 900))).first()[0]
+    assert len(long) <= notes.LONGEST and "…" in long

@@ -109,3 +109,24 @@ def test_windows_of_runs():
     assert I.window_of(None, None, "2024-01-10T00:00:00+00:00")[0] == "2024-01-09T00:00:00+00:00"
     assert I.window_of(None, "2024-01-09T12:00:00+00:00", "2024-01-10T00:00:00+00:00")[0] == "2024-01-09T11:55:00+00:00"
     assert I.window_of("2000-01-01T00:00:00+00:00", None, "2024-01-10T00:00:00+00:00")[0].startswith("2015-01-01")
+
+
+def test_stream_windows_equal_batch(spark, tmp_path):
+    rows = [(i, f"2024-01-{1 + i // 20:02d} 0{i % 10}:00:00", "ab"[i % 2]) for i in range(200)]
+    src = f"{tmp_path}/in"
+    spark.createDataFrame(rows, "event_id long, t string, kind string").select("event_id", F.col("t").cast("timestamp").alias("ts"), "kind").write.parquet(src)
+    stream = I.windowed_counts(I.read_stream(spark, src, "event_id long, ts timestamp, kind string"), "ts", "1 day", "0 seconds", "kind")
+    query = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r.window.start, r.kind): r.n for r in spark.table("windows").collect()}
+    want = {(r.w.start, r.kind): r.n for r in spark.read.parquet(src).groupBy(F.window("ts", "1 day").alias("w"), "kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == want and sum(got.values()) == 200
+
+
+def test_learned_matches(spark):
+    cache = spark.createDataFrame([("h1", "c1")], "handle string, contact_id string")
+    batch = spark.createDataFrame([("h1", "c9", 1), ("h2", "c2", 2), ("h2", "c3", 1), (None, "c4", 1), ("h5", None, 1)], "handle string, contact_id string, ts int")
+    learned = I.learn_matches(cache, batch)
+    assert {r.handle: r.contact_id for r in learned.collect()} == {"h1": "c1", "h2": "c3"}
+    new = spark.createDataFrame([("h2", None), ("h7", None)], "handle string, contact_id string")
+    assert {r.handle: r.contact_id for r in I.known_contacts(new, learned).collect()} == {"h2": "c3", "h7": None}
