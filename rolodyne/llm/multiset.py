@@ -143,7 +143,8 @@ def with_following(docs: DataFrame, run, schema: str, id_col: str = "doc_id", te
     last = F.lit((1 << 63) - 1)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.coalesce(F.col(id_col).cast("long"), last).alias("o"))
     ranges = 4 * parts(spark)
-    cuts = rows.select("o").agg(F.percentile_approx("o", [k / ranges for k in range(1, ranges)], 1000 * 10).alias("c")).first().c if ranges > 1 else []
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = rows.agg(F.percentile_approx("o", shares, max(10_000, 4 * ranges)).alias("c")).first().c if shares else []
     cuts = np.unique(np.array(cuts or [], np.int64))
 
     @F.pandas_udf("int")
@@ -153,9 +154,9 @@ def with_following(docs: DataFrame, run, schema: str, id_col: str = "doc_id", te
     heads = sorted((r.o, r.b) for r in rows.select("o", range_of("o").alias("b")).groupBy("b").agg(F.min("o").alias("o")).collect())  # a row a range
     ranged = rows.select("i", "t", "o", range_of("o").alias("b"), F.lit(0).alias("s"))
     if heads:
-        before = dict(zip((o for o, _ in heads), [heads[-1][1], *(b for _, b in heads[:-1])]))
-        to = F.create_map(*(x for o, b in before.items() for x in (F.lit(o), F.lit(b))))
-        extra = rows.where(F.col("o").isin(list(before))).select("i", "t", "o", F.element_at(to, F.col("o")).alias("b"), F.lit(1).alias("s"))
+        before = [heads[-1][1], *(b for _, b in heads[:-1])]
+        to = spark.createDataFrame([(o, b) for (o, _), b in zip(heads, before)], "h long, b int")  # a row a range
+        extra = rows.join(F.broadcast(to), F.col("o") == F.col("h")).select("i", "t", "o", "b", F.lit(1).alias("s"))
         ranged = ranged.unionByName(extra)
     dealt = ranged.repartition("b").sortWithinPartitions("b", "s", "o", "t").select("i", "t", "b", "s")
 
