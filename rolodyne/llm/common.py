@@ -6,7 +6,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,23 @@ def remove(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+@contextmanager
+def intermediate() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables written within, but for those given to the function it
+    yields: for work whose result is written and no longer needs them."""
+    mark, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._rolodyne_path)
+        return df
+
+    yield keep
+    for spark, path in _written[mark:]:
+        if path not in kept:
+            _delete(spark, path)
+    _written[mark:] = [x for x in _written[mark:] if x[1] in kept]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
