@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolodyne.llm import lines, packing, quality, repeats, simhash
-from rolodyne.llm.common import materialize, read_table, tune
+from rolodyne.llm.common import intermediate, materialize, read_table, tune
 
 
 def _columns(changed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -65,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with intermediate() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir)))
     return docs
