@@ -142,8 +142,9 @@ def display_name(names: Column) -> Column:
 def keyword_hits(c: Column, keywords: list[str]) -> Column:
     """How many of the keywords occur as whole words (Unicode boundaries)."""
     low = F.lower(text(c))
-    hit = lambda k: low.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){k}($|[^\p{{L}}\p{{N}}_])").cast("int")
-    return sum((hit(k) for k in keywords), F.lit(0))
+    # the literal comes first, so that most places are ruled out by one character
+    hit = lambda c, k: c.rlike(rf"\Q{k}\E(?![\p{{L}}\p{{N}}_])(?<![\p{{L}}\p{{N}}_]\Q{k}\E)").cast("int")
+    return let(low, lambda c: sum((hit(c, k) for k in keywords), F.lit(0)))
 
 
 def truncate(c: Column, limit: int = 500) -> Column:
