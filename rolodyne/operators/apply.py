@@ -39,6 +39,11 @@ def medium(changes: DataFrame) -> DataFrame:
     return changes.where(band(F.col("confidence")) == "medium")
 
 
+def needs_review(changes: Column, sure: float = 0.90) -> Column:
+    """Whether any of a contact's changes (array of struct) is less than sure."""
+    return F.exists(changes, lambda c: c.confidence < sure)
+
+
 def review_file(changes: DataFrame) -> DataFrame:
     """Per contact its real changes, in order; contacts without any drop out."""
     real = changes.where(~F.col("old").eqNullSafe(F.col("new")))

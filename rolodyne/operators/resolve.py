@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import fast_name_ratio, fast_ratio, ratio_bound
+from ..functions.similarity import fast_name_ratio, fast_ratio, ratio_bound, weighted_ratio
 from ..functions.text import compare_key, digits, text, title_case
 
 
@@ -63,11 +63,11 @@ def duplicates(contacts: DataFrame, threshold: float = 80.0) -> DataFrame:
     return best.select("a", "b", "m.match_type", "m.confidence", "m.detail")
 
 
-def best_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, company: float = 75.0, block: int | None = None) -> DataFrame:
-    """left (id, name, org), right (key, name, org): for each left row the right
-    row of the highest score; the better of plain and token-sorted ratio, 15 more
-    for a similar company, 100 at most. `block` limits pairs to equal first
-    letters; without it, right must be small: it is the list that was given."""
+def scored_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, company: float = 75.0, block: int | None = None) -> DataFrame:
+    """left (id, name, org), right (key, name, org) -> (id, key, score): the better
+    of plain and token-sorted ratio, 15 more for a similar company, 100 at most.
+    `block` limits pairs to equal first letters; without it, right must be small:
+    it is the list that was given."""
     a = left.select("id", compare_key(F.col("name")).alias("na"), compare_key(text("org")).alias("oa"))
     b = right.select("key", compare_key(F.col("name")).alias("nb"), compare_key(text("org")).alias("ob"))
     da, db = a.select("na").distinct(), b.select("nb").distinct()
@@ -81,7 +81,12 @@ def best_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, com
     near = pairs.withColumn("score", fast_name_ratio("na", "nb")).where(F.col("score") >= threshold)
     full = a.join(near, "na").join(b, "nb")
     bonus = F.when((F.col("oa") != "") & (F.col("ob") != ""), F.when(fast_ratio("oa", "ob") >= company, 15.0)).otherwise(0.0)
-    scored = full.withColumn("score", F.least(F.lit(100.0), F.col("score") + F.coalesce(bonus, F.lit(0.0))))
+    return full.select("id", "key", F.least(F.lit(100.0), F.col("score") + F.coalesce(bonus, F.lit(0.0))).alias("score"))
+
+
+def best_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, company: float = 75.0, block: int | None = None) -> DataFrame:
+    """For each left row the right row of the highest score; ties to the smaller key."""
+    scored = scored_matches(left, right, threshold, company, block)
     w = Window.partitionBy("id").orderBy(F.desc("score"), "key")
     return scored.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("id", "key", F.round("score", 2).alias("score"))
 
@@ -159,3 +164,32 @@ def suggest_members(members: DataFrame, orgs: DataFrame, share: float = 0.5, lea
 
 def match_report(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count(F.lit(1)).alias("matches"), F.count_if(F.col("score") >= 95).alias("sure"), F.count_if((F.col("score") >= 85) & (F.col("score") < 95)).alias("likely"), F.count_if(F.col("score") < 85).alias("weak"))
+
+
+def match_connections(connections: DataFrame, contacts: DataFrame, threshold: float = 85.0, block: int | None = 2) -> DataFrame:
+    """connections (id, name, email, org), contacts (key, seq, names array, emails
+    array, org) -> (id, key, score, route): by mail address first (98, the last
+    contact that has it), else by the best of a contact's names; each contact once."""
+    mails = contacts.select("key", "seq", F.explode("emails").alias("e")).select("key", "seq", F.lower(F.trim("e")).alias("m")).where("m <> ''")
+    owner = mails.groupBy("m").agg(F.max_by("key", "seq").alias("key"))
+    by_mail = connections.join(owner, F.lower(F.trim("email")) == F.col("m")).groupBy("key").agg(F.min("id").alias("id")).select("id", "key", F.lit(98.0).alias("score"), F.lit("email").alias("route"))
+    open_ = connections.join(by_mail.select("id"), "id", "left_anti").select("id", "name", "org")
+    free = contacts.join(by_mail.select("key"), "key", "left_anti").select("key", F.explode("names").alias("name"), "org")
+    near = scored_matches(open_, free, threshold, block=block).groupBy("id", "key").agg(F.max("score").alias("score"))
+    fixed = assign_one_to_one(near)
+    with_org = fixed.join(connections.select("id", compare_key(text("org")).alias("oa")), "id").join(contacts.select("key", compare_key(text("org")).alias("ob")), "key")
+    alike = (F.col("oa") != "") & (F.col("ob") != "") & (fast_ratio("oa", "ob") >= 75.0)
+    return by_mail.unionByName(with_org.select("id", "key", "score", F.when(alike, "company").otherwise("name").alias("route")))
+
+
+def fuzzy_participants(records: DataFrame, names: DataFrame, cutoff: float = 92.0, block: int = 1) -> DataFrame:
+    """records (record, names array), names (contact, name) -> (record, contact,
+    score): the contact whose name is most alike (weighted ratio) to any of a
+    record's participants. Distinct names are compared, within equal first letters."""
+    asked = records.select("record", F.explode("names").alias("n")).select("record", compare_key(F.col("n")).alias("q")).where("q <> ''").distinct()
+    have = names.select("contact", compare_key(F.col("name")).alias("h")).where("h <> ''")
+    pairs = asked.select("q", F.left("q", F.lit(block)).alias("blk")).distinct().join(have.select("h", F.left("h", F.lit(block)).alias("blk")).distinct(), "blk")
+    near = pairs.withColumn("score", weighted_ratio("q", "h")).where(F.col("score") >= cutoff).select("q", "h", "score")
+    hits = asked.join(near, "q").join(have, "h")
+    w = Window.partitionBy("record").orderBy(F.desc("score"), "contact")
+    return hits.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("record", "contact", "score")

@@ -83,6 +83,51 @@ def ranked(rows: DataFrame, score: str, tie: str, top: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))
 
 
+def last_activity(emails: DataFrame, cache: DataFrame) -> DataFrame:
+    """emails (id, email), cache (email, email_date, meeting_date) -> per id the
+    latest date and how many kinds of contact there were (0 to 2)."""
+    j = emails.join(cache, "email")
+    has = lambda c: F.max((F.coalesce(F.col(c).cast("string"), F.lit("")) != "").cast("int"))
+    return j.groupBy("id").agg(F.greatest(F.max("email_date"), F.max("meeting_date")).alias("last_date"), (has("email_date") + has("meeting_date")).alias("interactions"))
+
+
+def all_mail_count(emails: DataFrame, cache: DataFrame) -> DataFrame:
+    """The other count: every address with mail and every one with a meeting."""
+    j = emails.join(cache, "email")
+    one = lambda c: F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
+    return j.groupBy("id").agg(F.greatest(F.max("email_date"), F.max("meeting_date")).alias("last_date"), (one("email_date") + one("meeting_date")).alias("interactions"))
+
+
+def score_contacts(contacts: DataFrame, cache: DataFrame, signals: DataFrame, kpis: DataFrame, as_of: str, own_words: list[str] | None = None, own_domains: list[str] | None = None, weights: dict = WEIGHTS) -> DataFrame:
+    """The follow-up ranking from its sources: contacts (id, name, emails array,
+    has_phone, org, title, profile_url), cache (email, email_date, meeting_date),
+    signals (id, signal_type, headline, current_role), kpis (id, bonus, active_30d).
+    Whoever has activity in the cache or the indicators is looked at; each source
+    joins on its key, and the top rows are ranked."""
+    mails = contacts.select("id", F.explode("emails").alias("e")).select("id", F.lower(F.trim("e")).alias("email")).distinct()
+    seen = last_activity(mails, cache)
+    s = signals.select("id", signal_type(F.col("signal_type"), F.col("headline")).alias("signal"), "headline", "current_role", F.lit(True).alias("has_signal"))
+    everyone = seen.select("id").union(kpis.select("id")).distinct()
+    j = contacts.join(everyone, "id", "left_semi").join(seen, "id", "left").join(s, "id", "left").join(kpis.select("id", "bonus", "active_30d"), "id", "left")
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    has_org, has_profile = blank("org") != "", (blank("profile_url") != "") | F.coalesce("has_signal", F.lit(False))
+    rows = j.select(
+        "id",
+        "name",
+        "last_date",
+        months_gap(F.col("last_date").cast("date"), as_of).alias("months_gap"),
+        F.coalesce("interactions", F.lit(0)).alias("interactions"),
+        "signal",
+        (F.coalesce("active_30d", F.lit(0)) > 0).alias("active"),
+        own_company(F.col("org"), F.col("emails"), own_words or [], own_domains or []).alias("own"),
+        completeness(F.size("emails") > 0, F.coalesce("has_phone", F.lit(False)), has_org, has_profile).alias("completeness"),
+        is_executive(blank("title"), blank("headline"), blank("current_role")).alias("executive"),
+        likely_personal(has_org, has_profile, F.col("title"), F.col("emails")).alias("personal"),
+        F.coalesce("bonus", F.lit(0.0)).alias("bonus"),
+    )
+    return ranked(follow_up_scores(candidates(rows, weights), weights), "score_total", "id", weights["top"])
+
+
 def reconnect(rows: DataFrame, as_of: str, top: int = 50, months: int = 12, least: int = 2) -> DataFrame:
     """rows: id, last_date, interactions; score is interactions times the gap."""
     gap = months_gap(F.col("last_date"), as_of)

@@ -204,3 +204,34 @@ def test_audit_invariants(spark):
 @pytest.mark.parametrize("conf,want", [(0.90, "high"), (0.8999, "medium"), (0.60, "medium"), (0.5999, "low")])
 def test_bands(spark, conf, want):
     assert spark.range(1).select(U.band(F.lit(conf))).first()[0] == want
+
+
+def test_connections(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    left = spark.createDataFrame([(1, "Ann Lee", "A@x.y", ""), (2, "Lee Bob", "", "Acme"), (3, "Bob Lee", "", ""), (4, "Zoe", "", "")], "id long, name string, email string, org string")
+    right = spark.createDataFrame([(10, 1, ["Other"], ["a@x.y"], ""), (11, 2, ["Ann Lee"], ["a@x.y"], ""), (12, 3, ["Bob Lee", "Bobby"], [], "Acme")], "key long, seq int, names array<string>, emails array<string>, org string")
+    got = {r.id: (r.key, r.route) for r in R.match_connections(left, right, block=None).collect()}
+    assert got == {1: (11, "email"), 2: (12, "company")}
+
+
+def test_participants(spark):
+    records = spark.createDataFrame([("r", ["Zdeno", "Ann Lée"]), ("s", ["Nobody"])], "record string, names array<string>")
+    names = spark.createDataFrame([("c1", "Ann Lee"), ("c2", "Ann Leeds")], "contact string, name string")
+    assert [(r.record, r.contact, r.score) for r in R.fuzzy_participants(records, names).collect()] == [("r", "c1", 100.0)]
+
+
+def test_score_contacts(spark):
+    c = spark.createDataFrame([("a", "Ann", ["a@x.sk", "b@x.sk"], True, "X", "CEO", ""), ("b", "Bob", ["b@gmail.com"], False, "", "", ""), ("c", "Own", ["c@own.sk"], True, "Own", "", ""), ("d", "Dan", [], False, "", "", "")], "id string, name string, emails array<string>, has_phone boolean, org string, title string, profile_url string")
+    cache = spark.createDataFrame([("a@x.sk", "2023-01-01", None), ("b@x.sk", None, "2023-06-01"), ("b@gmail.com", "2023-06-01", ""), ("c@own.sk", "2023-06-01", None)], "email string, email_date string, meeting_date string")
+    signals = spark.createDataFrame([("a", "active", "h", None)], "id string, signal_type string, headline string, current_role string")
+    kpis = spark.createDataFrame([("d", 10.0, 3)], "id string, bonus double, active_30d long")
+    got = S.score_contacts(c, cache, signals, kpis, "2024-06-01", ["own"], ["own.sk"]).collect()
+    assert [(r["rank"], r.id) for r in got] == [(1, "a"), (2, "b"), (3, "d")]
+    # gap 366 days: 2 kinds x 12.2 months + 10 + 4 x 2 + 15
+    assert got[0].score_total == 57.4 and got[1].multiplier == 0.3 and got[2].bonus == 10.0
+    assert S.all_mail_count(spark.createDataFrame([("a", "a@x.sk"), ("a", "b@x.sk")], "id string, email string"), cache).first().interactions == 2
+
+
+def test_needs_review(spark):
+    df = spark.createDataFrame([([(0.95,), (0.7,)],), ([(0.95,)],), ([],)], "c array<struct<confidence: double>>")
+    assert [r[0] for r in df.select(P.needs_review(F.col("c"))).collect()] == [True, False, False]
