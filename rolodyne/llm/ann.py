@@ -84,15 +84,20 @@ class Index:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # first, so that no square over- or underflows
     x = x.astype(np.float32)
-    scale = np.abs(x).max(axis=1, keepdims=True)
-    x = x / scale
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row by row, in double precision, the same sum order for every row."""
-    return (q * x).sum(axis=-1) / (np.sqrt((q * q).sum(axis=-1)) * np.sqrt((x * x).sum(axis=-1)))
+    with np.errstate(all="ignore"):
+        out = (q * x).sum(axis=-1) / (np.sqrt((q * q).sum(axis=-1)) * np.sqrt((x * x).sum(axis=-1)))
+        odd = np.flatnonzero(~np.isfinite(out))
+        if len(odd):  # squares out of range: the same on scaled vectors
+            a, b = q[odd] / np.abs(q[odd]).max(axis=1, keepdims=True), x[odd] / np.abs(x[odd]).max(axis=1, keepdims=True)
+            out[odd] = (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
+    return out
 
 
 def search_cell(index: Index, which: int, base: tuple[np.ndarray, np.ndarray, np.ndarray], queries: tuple[np.ndarray, np.ndarray], top: int) -> list[tuple[np.ndarray, ...]]:
@@ -130,7 +135,10 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = 5, id_col
     the sample's most frequent one. A repeated id is one query, whose own rows are no
     candidates; repeated candidates stay separate rows."""
     spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<float>").alias("v"))
+    # vectors keep their precision for the exact scores
+    wide = dict(vectors.dtypes)[vec_col] == "array<double>"
+    kind = np.dtype(np.float64 if wide else np.float32)
+    v = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>" if wide else "array<float>").alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     v = v.where(F.col("i").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda c: c != 0))
     schema = "query_id long, rank int, vec_id long, score double"
@@ -152,7 +160,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = 5, id_col
         ix = send.value
         for b in batches:
             if b.num_rows:
-                x = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
                 own, codes = ix.code(unit(x))
                 yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["i", "list", "code", "x"])
 
@@ -162,7 +170,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = 5, id_col
         ix = send.value
         for b in batches:
             if b.num_rows:
-                x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).reshape(-1, dim)
+                x = np.frombuffer(b"".join(b.column("x").to_pylist()), kind).reshape(-1, dim)
                 near = ix.probes(unit(x))
                 take = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([b.column("i").take(take), pa.array(near.ravel().astype(np.int32)), b.column("x").take(take)], ["q", "list", "x"])
@@ -191,8 +199,8 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = 5, id_col
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         flat = lambda s, t, w: np.frombuffer(b"".join(s), t).reshape(-1, w)
         ix = send.value
-        rows = (a.i.to_numpy(), flat(a.code, np.uint8, len(ix.cuts)), flat(a.x, np.float32, dim))
-        found = search_cell(ix, int(a.list.iloc[0]), rows, (b.q.to_numpy(), flat(b.x, np.float32, dim)), top)
+        rows = (a.i.to_numpy(), flat(a.code, np.uint8, len(ix.cuts)), flat(a.x, kind, dim))
+        found = search_cell(ix, int(a.list.iloc[0]), rows, (b.q.to_numpy(), flat(b.x, kind, dim)), top)
         return pd.DataFrame({k: np.concatenate([f[c] for f in found]) for c, k in enumerate(("query_id", "vec_id", "score"))})
 
     found = base.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(meet, "query_id long, vec_id long, score double")

@@ -222,6 +222,16 @@ def test_neighbours_edge_cases(spark):
     assert got == [(0, 1, 5), (0, 2, 6)]
 
 
+def test_neighbours_of_double_vectors(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(120, 6)) * 1e-200
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df).toPandas()
+    u = x * 1e200
+    for q, v, s in zip(got.query_id, got.vec_id, got.score):
+        assert abs(s - u[q] @ u[v] / np.sqrt((u[q] @ u[q]) * (u[v] @ u[v]))) < 1e-14
+
+
 def test_hot_vector_is_split(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL", 32)
     r = np.random.default_rng(1)
