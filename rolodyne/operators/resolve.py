@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,9 @@ def assign_one_to_one(scored: DataFrame, rounds: int = 50) -> DataFrame:
     (ties to smaller id and key). Differs from a pass in input order only where
     that pass would give a key to an earlier, worse row. Every round fixes the
     best pair left, so it ends; results are checkpointed by round."""
+    context = scored.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # only without a cluster; there spark.checkpoint.dir names it
+        context.setCheckpointDir(scored.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rolodyne-"))
     left, fixed = scored.select("id", "key", "score"), None
     for _ in range(rounds):
         by_id = left.groupBy("id").agg(F.max_by("key", F.struct("score", (-F.col("key")).alias("k"))).alias("key"))
