@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -237,21 +238,22 @@ class PieceCodec:
         """-> ids of all texts, offsets of each (one more than texts)."""
         memory = self.memory
         split = [self.words(t or "") for t in texts]
-        fresh = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in memory]
+        flat_words = list(chain.from_iterable(split))
+        fresh = [w for w in dict.fromkeys(flat_words) if w not in memory]
         if len(memory) + len(fresh) > REMEMBERED:
             memory.clear()
             self._ids, self._lens = [], []
-            fresh = list(dict.fromkeys(w for ws in split for w in ws))
+            fresh = list(dict.fromkeys(flat_words))
         if fresh:
             ids, lens = self.merge(fresh)
             memory.update(zip(fresh, range(len(memory), len(memory) + len(fresh))))
             self._ids = [np.concatenate((*self._ids, ids))]
             self._lens = [np.concatenate((*self._lens, lens))]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        total = int(counts.sum())
+        total = len(flat_words)
         if not total:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        which = np.fromiter((memory[w] for ws in split for w in ws), np.int64, total)
+        which = np.fromiter(map(memory.__getitem__, flat_words), np.int64, total)
         ids, lens = self._ids[0], self._lens[0]
         flat, size = _gather(ids, np.cumsum(lens) - lens, lens, which)
         upto = np.concatenate(([0], np.cumsum(size)))
