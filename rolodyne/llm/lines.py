@@ -43,8 +43,11 @@ def normalise(line: str) -> str:
     return _spaces.sub(" ", line) if "  " in line else line
 
 
-def line_id(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
+def line_id(line: str) -> tuple[int, int]:
+    """A line's digest of 128 bits as two longs. Equal lines are told by both;
+    the first alone numbers candidates, whose texts are then compared."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(line), 1 << 64)
+    return low - (1 << 63), high - (1 << 63)
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -118,7 +121,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def occurrences(rows: DataFrame, min_chars: int) -> DataFrame:
-    """-> (o, th, line, h): the lines that take part, by document and number."""
+    """-> (o, th, line, h, g): the lines that take part, by document and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
@@ -130,9 +133,11 @@ def occurrences(rows: DataFrame, min_chars: int) -> DataFrame:
                         number.append(at)
                         ids.append(line_id(line))
             take = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("o").take(take), b.column("th").take(take), pa.array(number, pa.int32()), pa.array(ids, pa.int64())], ["o", "th", "line", "h"])
+            both = np.array(ids, np.int64).reshape(-1, 2)
+            cols = [b.column("o").take(take), b.column("th").take(take), pa.array(number, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(cols, ["o", "th", "line", "h", "g"])
 
-    return rows.mapInArrow(run, "o long, th long, line int, h long")
+    return rows.mapInArrow(run, "o long, th long, line int, h long, g long")
 
 
 def _fuzzy_lines(batches: Iterator[pa.RecordBatch], fuzzy_chars: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -143,7 +148,7 @@ def _fuzzy_lines(batches: Iterator[pa.RecordBatch], fuzzy_chars: int) -> Iterato
         for text in b.column("t").to_pylist():
             for line in text.split("\n"):
                 if len(line) >= fuzzy_chars and len(line := normalise(line)) >= fuzzy_chars:
-                    h = line_id(line)
+                    h = line_id(line)[0]
                     if h not in seen:
                         seen.add(h)
                         ids.append(h)
@@ -323,15 +328,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
     found = materialize(occurrences(rows, min_chars))
     count = found.count()
     place = F.struct("o", "th", "line")
-    firsts = found.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     comp = connected_components(links(rows, edits, fuzzy_chars, most, count))
     comp = comp.select(rekey("node").alias("node"), "component")
-    # classes of one line that occurs once need no further step
-    classed = firsts.join(comp, firsts.h == comp.node, "left").where("n > 1 or component is not null").select("h", "first", F.coalesce("component", "h").alias("c"))
-    classed = materialize(classed, count)
-    lead = classed.groupBy("c").agg(F.min("first").alias("lead")).select(rekey("c").alias("g"), "lead")
-    known = classed.join(lead, classed.c == lead.g).select(rekey("h").alias("k"), "lead")
-    gone = found.join(known, found.h == known.k).where(place != F.col("lead"))
+    # a class is a component of near lines, or else a line's digest; classes of one line that occurs once need no further step
+    near = F.col("component").isNotNull()
+    classed = firsts.join(comp, firsts.h == comp.node, "left").where((F.col("n") > 1) | near)
+    classed = materialize(classed.select("h", "g", "first", F.coalesce("component", "h").alias("c"), F.when(near, F.lit(0).cast("long")).otherwise(F.col("g")).alias("d")), count)
+    lead = classed.groupBy("c", "d").agg(F.min("first").alias("lead")).select(rekey("c").alias("lc"), F.col("d").alias("ld"), "lead")
+    known = classed.join(lead, (classed.c == F.col("lc")) & (classed.d == F.col("ld"))).select(rekey("h").alias("kh"), F.col("g").alias("kg"), "lead")
+    gone = found.join(known, (found.h == F.col("kh")) & (found.g == F.col("kg"))).where(place != F.col("lead"))
     return gone.groupBy("o", "th").agg(F.array_sort(F.collect_list(F.struct("line", F.col("lead.o").alias("kept")))).alias("gone"))
 
 
