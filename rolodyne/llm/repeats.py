@@ -8,8 +8,9 @@ normalised (lower case, single spaces, no punctuation at the ends) and hashed;
 digests are grouped over the whole table, and the earliest occurrence of each, by
 document id and offset, stays. Later ones are taken out where they stand in a
 run of RUN words at least, so that common short sentences survive. Units of
-fewer than UNIT words are too common to count: they go along with the run they
-stand in.
+fewer than UNIT words are too common to be told by their own words: they are
+hashed with what follows them, and end a run like any other unit unless they are
+repeats themselves. Characters of scripts without blanks count as half a word.
 """
 
 from __future__ import annotations
@@ -27,41 +28,64 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table, rekey, slices
 
 UNIT, RUN, LONG, EVERY = 4, 16, 32, 12
+#: Of scripts without blanks so many characters count as a word, and of anything this many.
+DENSE_CHARS, WORD_CHARS = 2, 24
 NO_ID = (1 << 63) - 1
-_end = re.compile(r"[.!?;:。！？]+(?=\s)|\n")
+_scripts = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_dense = re.compile(f"[{_scripts}]")
+_end = re.compile(r"[.!?;:]+(?=\s)|[。！？；：｡]+|\n")
 _word = re.compile(r"\S+")
-_trim = " \t.,;:!?\"'()[]|*#$%&-–—"
+_token = re.compile(rf"[{_scripts}]|[^\s{_scripts}]+")
+_trim = " \t.,;:!?\"'()[]|*#$%&-–—。，、；：！？「」『』（）"
+
+
+def _count(piece: str, words: int, dense: bool) -> int:
+    if dense and (n := len(_dense.findall(piece))):
+        words = len(_token.findall(piece)) - n + -(-n // DENSE_CHARS)
+    return max(words, len(piece) // WORD_CHARS) if words else 0
 
 
 def units(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of the units with UNIT words or more; offsets
-    are code points of the text, and blanks around a unit belong to it."""
-    out, at = [], 0
+    """(start, end, words, digest) of all units with a word; offsets are code
+    points of the text, and blanks around a unit belong to it. The digest of a
+    unit of fewer than UNIT words also covers what follows it, up to RUN words."""
+    found, at = [], 0
+    dense = _dense.search(text) is not None
     ends = [m.end() for m in _end.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
     for end in ends:
         piece = text[at:end]
         words = piece.split()
-        n = len(words)
+        n = _count(piece, len(words), dense)
         if n > LONG:
-            cut, count = at, 0
-            for m in _word.finditer(piece):
-                count += 1
+            cut = at
+            for m in (_token if dense else _word).finditer(piece):
                 if zlib.crc32(m.group().lower().encode("utf-8", "surrogatepass")) % EVERY == 0:
-                    _unit(out, text, cut, at + m.end(), count)
-                    cut, count = at + m.end(), 0
-            if count:
-                _unit(out, text, cut, end, count)
-        elif n >= UNIT:
-            out.append((at, end, n, xxhash.xxh3_128_intdigest(" ".join(words).lower().strip(_trim))))
+                    _unit(found, text, cut, at + m.end(), dense)
+                    cut = at + m.end()
+            _unit(found, text, cut, end, dense)
+        elif n:
+            found.append((at, end, n, " ".join(words).lower().strip(_trim)))
         at = end
+    out = []
+    for k, (start, end, n, norm) in enumerate(found):
+        if n < UNIT:
+            have, parts = n, [norm]
+            for _, _, more, then in found[k + 1 : k + 1 + RUN]:
+                if have >= RUN:
+                    break
+                have += more
+                parts.append(then)
+            norm = "\n".join(parts) + "\n" * (1 + (have < RUN))
+        out.append((start, end, n, xxhash.xxh3_128_intdigest(norm.encode("utf-8", "surrogatepass"))))
     return out
 
 
-def _unit(out: list, text: str, start: int, end: int, words: int) -> None:
-    if words >= UNIT:
-        out.append((start, end, words, xxhash.xxh3_128_intdigest(" ".join(text[start:end].split()).lower().strip(_trim))))
+def _unit(found: list, text: str, start: int, end: int, dense: bool) -> None:
+    words = text[start:end].split()
+    if words:
+        found.append((start, end, _count(text[start:end], len(words), dense), " ".join(words).lower().strip(_trim)))
 
 
 def _unit_rows(rows: DataFrame) -> DataFrame:
@@ -87,13 +111,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("o"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     found = materialize(_unit_rows(rows))
     place = F.struct("o", "th", "start")
-    first = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(rekey("h").alias("fh"), F.col("g").alias("fg"), "first")
-    later = found.join(first, (found.h == F.col("fh")) & (found.g == F.col("fg"))).where(place != F.col("first"))
-    later = later.select("o", "th", "k", "start", "end", "words", "first")
-    by_doc = Window.partitionBy("o", "th").orderBy("k")
-    once = later.dropDuplicates(["o", "th", "k"])
-    island = once.withColumn("island", F.col("k") - F.row_number().over(by_doc))
-    spans = island.groupBy("o", "th", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("units"), F.min_by("first", "k").alias("first"))
+    first = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(rekey("h").alias("fh"), F.col("g").alias("fg"), "first")
+    # two ints to a long: they travel twice
+    pack = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long"))
+    high, low = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    packed = found.select("h", "g", "o", "th", pack("start", "end").alias("at"), pack("k", "words").alias("kw"))
+    later = packed.join(first, (packed.h == F.col("fh")) & (packed.g == F.col("fg"))).where(F.struct("o", "th", high("at").alias("start")) != F.col("first"))
+    later = later.select("o", "th", "kw", "at", F.col("first.o").alias("fo"), F.col("first.start").alias("fs"))
+    by_doc = Window.partitionBy("o", "th").orderBy("kw")
+    once = later.dropDuplicates(["o", "th", "kw"])
+    island = once.withColumn("island", high("kw") - F.row_number().over(by_doc))
+    spans = island.groupBy("o", "th", "island").agg(F.min(high("at")).alias("start"), F.max(low("at")).alias("end"), F.sum(low("kw")).alias("words"), F.count(F.lit(1)).alias("units"), F.min_by(F.struct(F.col("fo").alias("o"), F.col("fs").alias("start")), "kw").alias("first"))
     return spans.where(F.col("words") >= run).select("o", "th", "start", "end", "words", "units", F.col("first.o").alias("kept_id"), F.col("first.start").alias("kept_start"))
 
 

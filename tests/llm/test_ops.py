@@ -646,3 +646,27 @@ def test_repeats_edge_cases(spark):
     assert repeats.drop_repeats(docs(spark, [])).count() == 0
     twice = repeats.drop_repeats(docs(spark, [long, long, long], [5, 5, None])).collect()
     assert sorted((x.doc_id or -1, x.text) for x in twice) == [(-1, ""), (5, long), (5, long)]
+
+
+def test_unique_short_lines_between_repeats_stay(spark):
+    a, b = "the first sentence has ten words and it is repeated.", "another sentence of ten words that is also repeated here."
+    lists = "\n".join(f"item{k} {k}" for k in range(1000))
+    text = f"{a}\n{lists}\n{b}"
+    out = {x.doc_id: x.text for x in repeats.drop_repeats(docs(spark, [f"{a}\n{b}", text, text.replace("item", "unit")])).collect()}
+    assert lists in out[1] and lists.replace("item", "unit") in out[2]
+
+
+def test_repeated_short_lines_go(spark):
+    verse = "\n".join(f"line{k} of verse" for k in range(40))
+    out = {x.doc_id: x.text for x in repeats.drop_repeats(docs(spark, [f"before it\n{verse}\nthe end", f"other words\n{verse}\nmore"])).collect()}
+    assert "line0 of" not in out[1] and "line30 of" not in out[1] and out[1].startswith("other words") and out[1].endswith("more")
+
+
+def test_repeats_of_text_without_blanks(spark):
+    r = random.Random(12)
+    prose = lambda n: "".join("".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(17)) + "。" for _ in range(n))
+    passage, thai = prose(20), "".join(chr(r.randrange(0xE01, 0xE2E)) for _ in range(400))
+    texts = [prose(3) + passage + prose(3), prose(4) + passage + prose(2), thai, "".join(reversed(thai)) + " " + thai]
+    out = {x.doc_id: x.text for x in repeats.drop_repeats(docs(spark, texts)).collect()}
+    assert out[0] == texts[0] and out[1] == texts[1].replace(passage, "")
+    assert len(out[3]) < len(texts[3]) - 300
