@@ -381,6 +381,18 @@ def test_tokens_equal_the_library():
         assert packing.token_ids(x).tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
 
 
+def test_added_tokens_equal_the_library():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    r = random.Random(7)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "x<|endoftext|><|endoftext|>\n\n y"]
+    texts += ["".join(r.choice(["<|endoftext|>", "<|", "|>", "a", " ", "  ", "\n", "'s", "漢", "1"]) for _ in range(20)) for _ in range(1000)]
+    for x in texts:
+        assert packing.token_ids(x).tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
+
+
 # --- 8 urls ---------------------------------------------------------------------------
 
 
