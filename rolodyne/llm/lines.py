@@ -2,9 +2,9 @@
 or through a chain, the earliest stays.
 
 A line is normalised (runs of spaces become one, white space at the ends goes).
-Lines of MIN_CHARS characters take part; shorter ones stay untouched. Two lines
-are linked when they are equal or, from FUZZY_CHARS characters on, when their
-edit distance is EDITS at most.
+All but blank lines take part (MIN_CHARS). Two lines are linked when they are
+equal or, from FUZZY_CHARS characters on, the least whose segments have four
+each, when their edit distance is EDITS at most.
 
 Links between different lines come from a segment-partition join: each line is
 cut into EDITS + 1 even segments, of which a line within EDITS edits must hold
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, mix, powers, read_table, rekey, slices
 
-EDITS, MIN_CHARS, FUZZY_CHARS, LIST, BLOCK = 2, 24, 48, 48, 256
+EDITS, MIN_CHARS, FUZZY_CHARS, LIST, BLOCK = 2, 1, 12, 48, 256
 #: Up to so many rows a side of a join is broadcast; its rows are a few longs.
 SMALL = 500_000
 NO_ID = (1 << 63) - 1

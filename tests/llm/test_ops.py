@@ -610,6 +610,12 @@ def test_line_query(spark, sf, table):
         assert got.n_removed[i] == len(gone) and got.text_sha256[i] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_short_lines_take_part(spark):
+    texts = ["ok\n\n这是一个句子，只有一个字不同而已\nfirst of them", "ok\n\n这是一个句子，只有两个字不同而已\nsecond here"]
+    out = {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert out == {0: texts[0], 1: "\nsecond here"}
+
+
 # --- 1 repeats -----------------------------------------------------------------------------
 
 
