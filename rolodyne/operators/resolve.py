@@ -171,10 +171,11 @@ def match_report(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count(F.lit(1)).alias("matches"), F.count_if(F.col("score") >= 95).alias("sure"), F.count_if((F.col("score") >= 85) & (F.col("score") < 95)).alias("likely"), F.count_if(F.col("score") < 85).alias("weak"))
 
 
-def match_connections(connections: DataFrame, contacts: DataFrame, threshold: float = 85.0, block: int | None = 2) -> DataFrame:
+def match_connections(connections: DataFrame, contacts: DataFrame, threshold: float = 85.0, block: int | None = None) -> DataFrame:
     """connections (id, name, email, org), contacts (key, seq, names array, emails
     array, org) -> (id, key, score, route): by mail address first (98, the last
-    contact that has it), else by the best of a contact's names; each contact once."""
+    contact that has it), else by the best of a contact's names; each contact once. A block size limits
+    names to equal first letters and loses pairs of another word order."""
     mails = contacts.select("key", "seq", F.explode("emails").alias("e")).select("key", "seq", F.lower(F.trim("e")).alias("m")).where("m <> ''")
     owner = mails.groupBy("m").agg(F.max_by("key", "seq").alias("key"))
     by_mail = connections.join(owner, F.lower(F.trim("email")) == F.col("m")).groupBy("key").agg(F.min("id").alias("id")).select("id", "key", F.lit(98.0).alias("score"), F.lit("email").alias("route"))
@@ -187,13 +188,15 @@ def match_connections(connections: DataFrame, contacts: DataFrame, threshold: fl
     return by_mail.unionByName(with_org.select("id", "key", "score", F.when(alike, "company").otherwise("name").alias("route")))
 
 
-def fuzzy_participants(records: DataFrame, names: DataFrame, cutoff: float = 92.0, block: int = 1) -> DataFrame:
+def fuzzy_participants(records: DataFrame, names: DataFrame, cutoff: float = 92.0, block: int | None = None) -> DataFrame:
     """records (record, names array), names (contact, name) -> (record, contact,
     score): the contact whose name is most alike (weighted ratio) to any of a
-    record's participants. Distinct names are compared, within equal first letters."""
+    record's participants. Distinct names are compared, each with every other; a
+    block size limits them to equal first letters and loses other word orders."""
     asked = records.select("record", F.explode("names").alias("n")).select("record", compare_key(F.col("n")).alias("q")).where("q <> ''").distinct()
     have = names.select("contact", compare_key(F.col("name")).alias("h")).where("h <> ''")
-    pairs = asked.select("q", F.left("q", F.lit(block)).alias("blk")).distinct().join(have.select("h", F.left("h", F.lit(block)).alias("blk")).distinct(), "blk")
+    q, h = asked.select("q").distinct(), have.select("h").distinct()
+    pairs = q.join(h, F.left("q", F.lit(block)) == F.left("h", F.lit(block))) if block else q.crossJoin(h)
     near = pairs.withColumn("score", weighted_ratio("q", "h")).where(F.col("score") >= cutoff).select("q", "h", "score")
     hits = asked.join(near, "q").join(have, "h")
     w = Window.partitionBy("record").orderBy(F.desc("score"), "contact")

@@ -235,3 +235,13 @@ def test_score_contacts(spark):
 def test_needs_review(spark):
     df = spark.createDataFrame([([(0.95,), (0.7,)],), ([(0.95,)],), ([],)], "c array<struct<confidence: double>>")
     assert [r[0] for r in df.select(P.needs_review(F.col("c"))).collect()] == [True, False, False]
+
+
+def test_swapped_names_meet(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    left = spark.createDataFrame([(1, "Novak Jan", "", "")], "id long, name string, email string, org string")
+    right = spark.createDataFrame([(10, 1, ["Jan Novak"], ["x@y.z"], "")], "key long, seq int, names array<string>, emails array<string>, org string")
+    assert [(r.id, r.key, r.route) for r in R.match_connections(left, right).collect()] == [(1, 10, "name")]
+    records = spark.createDataFrame([("r", ["Novak Jan"])], "record string, names array<string>")
+    names = spark.createDataFrame([("c1", "Jan Novak"), ("c2", "Nora Vak")], "contact string, name string")
+    assert [(r.record, r.contact) for r in R.fuzzy_participants(records, names).collect()] == [("r", "c1")]
