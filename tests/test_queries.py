@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import importlib.util
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from oracle import connect, difference
@@ -35,3 +39,14 @@ def test_entry_points(spark):
     assert set(NAMES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("also", [[], ["corpus_pipeline.py"]])
+def test_entry_points_without_the_training_data_part(tmp_path, also):
+    root = Path(__file__).parent.parent
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists() and name not in also:
+            shutil.copy(root / name, tmp_path / name)
+    shutil.copytree(root / "rolodyne", tmp_path / "rolodyne", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert q and set(s) <= set(q) and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
