@@ -1,18 +1,22 @@
-"""SimHash near-duplicates: 64-bit fingerprints of 3-word shingles, linked when
+"""SimHash near-duplicates: 64-bit fingerprints of word shingles, linked when
 they differ in two bits at most.
 
-Method: a byte-position inverted index with count filtering. Two fingerprints
-that differ in at most two bits agree in at least six of their eight positional
-bytes. Postings of single bytes would hold 1/256 of all rows each, so four
-positional bytes make up one posting key; the six chosen sets of four leave out
-every pair of bytes at least once, hence every qualifying pair shares a key.
-For pairs that meet, the shared positional bytes are tallied, pairs below six
-are dropped, and the rest is verified by the number of differing bits.
-
-A key with more than MAX_LIST fingerprints isn't expanded into pairs. Its
-fingerprints are written out with their 64 one-bit neighbours: two fingerprints
-differ in at most two bits exactly if they share such a value, and no value has
-more than 65 distinct fingerprints around it. Both ways are exact.
+Method: an inverted index of positional bytes with count filtering. Two
+fingerprints that differ in at most MAX_BITS bits share MIN_BYTES of their
+POSITIONS positional bytes at least, so that at most SKIPS of the positions
+before their last shared one are not shared. A posting list is named by a path:
+the positions p1 < p2 < ... that its members share, each with its byte, where
+SKIPS positions at most are left out. A pair belongs to one path of each length,
+that of its first shared positions, so that no pair is met twice.
+
+Lists of one byte hold 1/256 of all rows and would grow with the square. The
+index therefore begins with paths so long that an even list has MAX_LIST members
+at most, and every list that is longer is split by a further positional byte,
+until MIN_BYTES are shared. A pair that meets in a list has its shared bytes
+tallied over all positions; those below MIN_BYTES are dropped before the rest is
+verified by the number of differing bits. Lists of MIN_BYTES bytes differ in two
+bytes only, hence have 65,536 members at most, whatever the table; their pairs
+all reach the tally and are verified block by block.
 """
 
 from __future__ import annotations
@@ -21,31 +25,32 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, read_table, rekey, slices
 
-SEED, WORDS, MAX_BITS, MIN_BYTES, MAX_LIST = 42, 3, 2, 6, 64
-#: Two of four byte pairs: whichever two bytes differ, one of the sets avoids both.
-BYTE_SETS = [sum(((2 * a, 2 * a + 1) for a in c), ()) for c in combinations(range(4), 2)]
+SEED, WORDS, MAX_BITS, POSITIONS, MIN_BYTES, MAX_LIST = 42, 3, 2, 8, 6, 64
+SKIPS = POSITIONS - MIN_BYTES
+NO_ID = (1 << 63) - 1
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, words: int = WORDS) -> int:
     """Unsigned 64-bit SimHash; 0 for a text without words (or null)."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(found)
     if not n:
         return 0
-    joined = b" ".join(words)
-    if n <= WORDS:
+    joined = b" ".join(found)
+    if n <= words:
         return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    starts = np.concatenate(([0], ends[: n - WORDS]))
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, n) + 1)
+    starts = np.concatenate(([0], ends[: n - words]))
     m, h = len(starts), xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts.tolist(), (ends[WORDS - 1 :] - 1).tolist())), np.uint64, m)
+    hashes = np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())), np.uint64, m)
     ones = np.zeros(64, np.int64)
     for at in range(0, m, 1 << 15):
         block = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -53,75 +58,153 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > m, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> (id_col, fp): fp holds the unsigned fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, digest: Column | None = None) -> DataFrame:
+    """-> (id_col, fp[, h]): fp holds the unsigned fingerprint's bits as a long,
+    h what `digest` says of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            fps = np.fromiter(map(fingerprint, b.column("t").to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(fps.view(np.int64))], ["i", "fp"])
+            fps = np.fromiter((fingerprint(t, words) for t in b.column("t").to_pylist()), np.uint64, b.num_rows)
+            more = [c for c in b.schema.names if c == "h"]
+            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(fps.view(np.int64)), *(b.column(c) for c in more)], ["i", "fp", *more])
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "i long, fp long").select(F.col("i").alias(id_col), "fp")
+    more = [] if digest is None else [digest.alias("h")]
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), *more)
+    return rows.mapInArrow(run, "i long, fp long" + ", h long" * len(more)).withColumnRenamed("i", id_col)
 
 
-def _byte(col: str, k: int) -> F.Column:
-    return F.shiftrightunsigned(F.col(col), 8 * k).bitwiseAND(255)
+def _mask(positions: tuple[int, ...]) -> int:
+    """The bits of some byte positions, as a signed long."""
+    m = sum(255 << (8 * p) for p in positions)
+    return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def link_edges(fps: DataFrame, rows: int | None = None) -> DataFrame:
-    """Distinct fp -> (src, dst): enough links to connect whatever is within
-    MAX_BITS; all pairs for short posting lists, spanning ones for long lists.
-    rows: about how many fingerprints there are."""
-    keys = [sum((_byte("fp", k) * (1 << (8 * j)) for j, k in enumerate(s)), F.lit(c << 32).cast("long")) for c, s in enumerate(BYTE_SETS)]
-    postings = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    lists = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), rows)
-    short = lists.where(f"n <= {MAX_LIST}").select(rekey("key").alias("k"))
-    long = lists.where(f"n > {MAX_LIST}").select(rekey("key").alias("k"))
-    grouped = postings.join(short, postings.key == short.k).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    pairs = grouped.select(F.posexplode("fps").alias("at", "src"), "fps").select("src", F.explode(F.slice("fps", F.col("at") + 2, F.lit(MAX_LIST))).alias("dst"))
+def paths(depth: int) -> list[tuple[int, int]]:
+    """(mask, last position) of all paths of so many shared positions."""
+    return [(_mask(c), c[-1]) for c in combinations(range(POSITIONS), depth) if c[-1] + 1 - depth <= SKIPS]
+
+
+def _postings(fps: DataFrame, depth: int) -> DataFrame:
+    """(fp) -> (fp, mask, last, v): v holds the bytes that the path names."""
+    each = F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.lit(p).alias("last")) for m, p in paths(depth)))
+    return fps.select("fp", F.inline(each)).withColumn("v", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def _longer(members: DataFrame, depth: int) -> DataFrame:
+    """Postings of `depth` positions, split by a further one."""
+    further = F.sequence(F.col("last") + 1, F.lit(depth + SKIPS))
+    split = members.select("fp", "mask", F.explode(further).alias("last"))
+    mask = F.col("mask").bitwiseOR(F.call_function("shiftleft", F.lit(255).cast("long"), F.col("last") * 8))
+    return split.select("fp", mask.alias("mask"), "last").withColumn("v", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def _pairs(grouped: DataFrame, depth: int) -> DataFrame:
+    """(last, fps) of short lists -> (src, dst) verified pairs."""
+    pairs = grouped.select("last", F.posexplode("fps").alias("at", "src"), "fps").select("last", "src", F.explode(F.slice("fps", F.col("at") + 2, F.size("fps"))).alias("dst"))
     x = pairs.withColumn("x", F.col("src").bitwiseXOR(F.col("dst")))
-    tally = sum((F.when(_byte("x", k) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
-    close = x.where((tally >= MIN_BYTES) & (F.bit_count("x") <= MAX_BITS)).select("src", "dst")
-    hot = postings.join(long, postings.key == long.k, "left_semi").select("fp").distinct()
-    flips = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    around = hot.select("fp", F.explode(flips).alias("v")).groupBy("v").agg(F.min("fp").alias("src"), F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = around.select("src", F.explode("fps").alias("dst")).where("src <> dst")
-    return close.unionByName(stars)
+    shared = [(F.shiftrightunsigned(F.col("x"), 8 * k).bitwiseAND(255) == 0).cast("int") for k in range(POSITIONS)]
+    first = sum((F.when(F.lit(k) <= F.col("last"), s).otherwise(0) for k, s in enumerate(shared)), F.lit(0))
+    tallied = x.withColumn("shared", sum(shared, F.lit(0))).where((first == depth) & (F.col("shared") >= MIN_BYTES))
+    return tallied.where(F.bit_count("x") <= MAX_BITS).select("src", "dst")
+
+
+def _verify_blocks(group: pd.DataFrame) -> pd.DataFrame:
+    """Spanning links of a list whose members differ in two bytes at most."""
+    fps = np.unique(group.fp.to_numpy(np.int64)).view(np.uint64)
+    up = np.arange(len(fps))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
 
+    out = []
+    for s in range(0, len(fps), 512):
+        i, j = np.nonzero(np.bitwise_count(fps[s : s + 512, None] ^ fps[None, s:]) <= MAX_BITS)
+        for a, b in zip((s + i[i < j]).tolist(), (s + j[i < j]).tolist()):
+            x, y = top(a), top(b)
+            if x != y:
+                up[y] = x
+                out.append((fps[a], fps[b]))
+    return pd.DataFrame(np.array(out, np.uint64).reshape(-1, 2).view(np.int64), columns=["src", "dst"])
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def link_edges(fps: DataFrame, rows: int | None = None) -> DataFrame:
+    """Distinct fp -> (src, dst): all pairs within MAX_BITS, and of lists of
+    MIN_BYTES bytes with over MAX_LIST members as many as keep them connected.
+    rows: about how many fingerprints there are."""
+    n = fps.count() if rows is None else rows
+    depth = 1
+    while depth < MIN_BYTES and n > MAX_LIST << (8 * depth):
+        depth += 1
+    postings, out = _postings(fps, depth), None
+    while True:
+        sizes = materialize(postings.groupBy("mask", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), n)
+        sizes = sizes.select(F.col("mask").alias("m"), rekey("v").alias("k"), "n")
+        here = (F.col("mask") == F.col("m")) & (F.col("v") == F.col("k"))
+        short = postings.join(sizes.where(f"n <= {MAX_LIST}"), here, "left_semi")
+        found = _pairs(short.groupBy("mask", "v", "last").agg(F.array_sort(F.collect_list("fp")).alias("fps")), depth)
+        out = found if out is None else out.unionByName(found)
+        if sizes.where(f"n > {MAX_LIST}").isEmpty():
+            return out
+        long = postings.join(sizes.where(f"n > {MAX_LIST}"), here, "left_semi")
+        if depth == MIN_BYTES:
+            return out.unionByName(long.select("mask", "v", "fp").groupBy("mask", "v").applyInPandas(_verify_blocks, "src long, dst long"))
+        postings, depth = materialize(_longer(long, depth)), depth + 1
+
+
+def grouped_fingerprints(rows: DataFrame, words: int = WORDS, digest: Column | None = None) -> DataFrame:
+    """(i, t) -> (i, fp, c[, h]): c is the same for linked fingerprints; h the
+    digest asked for. Written to the shared folder."""
+    found = fingerprints(rows, "i", "t", words, digest)
+    fp = materialize(found)
+    n = fp.count()
+    distinct = materialize(fp.select("fp").distinct(), n)
+    comp = connected_components(link_edges(distinct, n))
+    named = distinct.join(comp, distinct.fp == comp.node).select(F.col("fp").alias("f"), F.col("component").alias("c"))
+    named = materialize(named, n).select(rekey("f").alias("f"), "c")
+    return fp.join(named, fp.fp == named.f, "left").select(*fp.columns, F.coalesce("c", "fp").alias("c"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """-> (id_col, fp, component_id) per input row: component_id is the smallest
     id whose fingerprint is reachable over links.
 
     Null and wordless texts have fingerprint zero and link like any other. Rows
     with equal ids or texts each give a row; null ids take part and are never
     the smallest unless the group has no other (then component_id is null)."""
-    fp = materialize(fingerprints(docs.select(id_col, text_col), id_col, text_col).withColumnRenamed(id_col, "i"))
-    rows = fp.count()
-    firsts = materialize(fp.groupBy("fp").agg(F.min("i").alias("first")), rows)
-    comp = connected_components(link_edges(firsts.select("fp"), rows))
-    of = firsts.join(comp, firsts.fp == comp.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
-    least = of.groupBy("c").agg(F.min("first").alias("component_id")).select(rekey("c").alias("g"), "component_id")
-    named = materialize(of.join(least, of.c == least.g).select(F.col("fp").alias("f"), "component_id"), rows)
-    return fp.join(named, fp.fp == named.f).select(F.col("i").alias(id_col), "fp", "component_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    fp = materialize(grouped_fingerprints(rows, words))
+    least = fp.groupBy("c").agg(F.min("i").alias("component_id")).select(rekey("c").alias("g"), "component_id")
+    return fp.join(least, fp.c == least.g).select(F.col("i").alias(id_col), "fp", "component_id")
 
 
-def hex_fingerprint(col: str = "fp") -> F.Column:
+def hex_fingerprint(col: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id; of
-    rows that share that doc_id, one. Columns stay as they are."""
-    near = near_duplicates(docs)
-    keep = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"), "fp")
-    # rows without an id form groups by fingerprint only; they are rare, so a digest of the text separates them
-    keep = keep.groupBy("_keep").agg(F.count(F.lit(1)).alias("_n"))
-    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    joined = packed.join(keep, packed._id.eqNullSafe(keep._keep))
-    one = Window.partitionBy("_id").orderBy(F.xxhash64("_row.text"))
-    twins = joined.where("_n > 1").withColumn("_r", F.row_number().over(one)).where("_r = 1").select("_row")
-    return joined.where("_n = 1").select("_row").unionByName(twins).select("_row.*")
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """One document of each group of linked fingerprints stays: the one with the
+    smallest doc_id (null ids last), of rows that share that id the one with the
+    smallest fingerprint and digest of the text. What a row shares its id with
+    doesn't matter: rows without an id, or with one that others have, are judged
+    by their own text. Of wordless or null texts one stays. Columns stay as they
+    are, whatever their names."""
+    packed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_o"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("i"), F.col("text").cast("string").alias("t"))
+    near = grouped_fingerprints(named, words, F.xxhash64("t"))
+    # of a group's rows the first; rows equal in id and text are numbered by any order
+    first = near.groupBy("c").agg(F.min(F.struct("i", "fp", "h")).alias("f")).select("f.i", "f.h")
+    first = materialize(first.select(rekey("i").alias("_fi"), F.col("h").alias("_fh")).distinct())
+    kept = packed.join(first, (packed._o == F.col("_fi")) & (packed._h == F.col("_fh")))
+    # repeated rows of equal id and text: one of them; only those few ids that have such rows are numbered
+    twice = materialize(named.groupBy("i", F.xxhash64("t").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(rekey("i").alias("_ti"), F.col("h").alias("_th")))
+    if twice.isEmpty():
+        return kept.select("_row.*")
+    at = (F.col("_o") == F.col("_ti")) & (F.col("_h") == F.col("_th"))
+    once = kept.join(twice, at, "left_anti").select("_row")
+    again = kept.join(twice, at, "left_semi").groupBy("_o", "_h").agg(F.first("_row").alias("_row")).select("_row")
+    return once.unionByName(again).select("_row.*")
 
 
 def op2_simhash(spark, sf_dir):

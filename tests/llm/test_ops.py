@@ -107,11 +107,26 @@ def brute_components(fps):
     return [top(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("most", [64, 3])
-def test_links_of_short_and_long_lists(spark, monkeypatch, most):
+def test_every_near_pair_is_on_one_path_of_each_length():
+    r = random.Random(4)
+    for _ in range(2000):
+        x = 0
+        for _ in range(r.randrange(1, 3)):
+            x ^= 1 << r.randrange(64)
+        shared = [k for k in range(8) if not x >> (8 * k) & 255]
+        for depth in range(1, simhash.MIN_BYTES + 1):
+            assert (simhash._mask(tuple(shared[:depth])), shared[depth - 1]) in simhash.paths(depth)
+
+
+@pytest.mark.parametrize(("most", "rows"), [(64, None), (1, None), (3, 1 << 24)])
+def test_links_of_short_and_long_lists(spark, monkeypatch, most, rows):
     monkeypatch.setattr(simhash, "MAX_LIST", most)
     r = random.Random(7)
     fps = {r.getrandbits(64) for _ in range(60)}
+    # a list that no further byte splits, and one that all rows share a byte of
+    dense = r.getrandbits(64)
+    fps |= {dense ^ r.getrandbits(7) ^ r.getrandbits(7) << 40 for _ in range(90)}
+    fps |= {r.getrandbits(56) << 8 | 17 for _ in range(60)}
     for f in list(fps)[:20]:
         for _ in range(12):
             g = f
@@ -120,7 +135,7 @@ def test_links_of_short_and_long_lists(spark, monkeypatch, most):
             fps.add(g)
     fps = sorted(fps)
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    edges = simhash.link_edges(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    edges = simhash.link_edges(spark.createDataFrame([(f,) for f in signed], "fp long"), rows)
     comp = {x.node: x.component for x in common.connected_components(edges).collect()}
     want = brute_components(fps)
     group = {}
@@ -135,8 +150,14 @@ def test_simhash_edge_cases(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     twice = simhash.near_duplicates(docs(spark, ["a b c d", "a b c d", "a b c d"], [4, 4, None]))
     assert sorted((r.doc_id or -1, r.component_id) for r in twice.collect()) == [(-1, 4), (4, 4), (4, 4)]
-    kept = simhash.drop_near_duplicates(docs(spark, ["a b c d", "a b c d", "other words here", "other words here"], [4, 4, 7, 9], _id=1))
-    assert sorted(r.doc_id for r in kept.collect()) == [4, 7] and "_id" in kept.columns
+    kept = simhash.drop_near_duplicates(docs(spark, ["a b c d", "a b c d", "other words here", "other words here"], [4, 4, 7, 9], _id=1, _row=2, _o=3, _h=4, i=5, fp=6))
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 7] and {"_id", "_row", "_o", "_h", "i", "fp"} <= set(kept.columns)
+    # unrelated rows that share an id, or have none, all stay; a copy goes whatever id it shares
+    texts, ids = ["first of them here", "quite another thing", "a third one without", "seven says this much", "seven also says that", "four has this text", "seven also says that"], [None, None, None, 7, 7, 4, 7]
+    kept = simhash.drop_near_duplicates(docs(spark, [*texts, "four has this text"], [*ids, 7]))
+    assert sorted(r.text for r in kept.collect()) == sorted(set(texts))
+    kept = simhash.drop_near_duplicates(docs(spark, ["same text", "same text", None, ""], [None, None, None, 3]))
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "same text"), (3, "")]
 
 
 def test_simhash_query(spark, sf, table):
