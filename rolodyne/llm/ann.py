@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by cosine: an inverted file with product
 quantisation and exact reranking.
 
-A bounded sample of the vectors (SAMPLE rows at most) fits the coarse centroids
+A bounded sample of the vectors (SAMPLE rows at most) fits the coarse quantiser
 and the codebooks of the residuals, and sets how many lists a query probes: as
-few as hold at least TARGET of the sample's true neighbours. All rows are
-assigned and coded. A query meets the lists it probes in cells: a long list is
-dealt over several cells by a hash of the id, and so are the queries of a list
-many of them probe, so that a cell never holds more than about CELL rows of
-either. In a cell, asymmetric distance tables (query against codewords) rank the
-rows; the best RERANK of each query, with all that tie with the last, are scored
-exactly on the original vectors.
+few as hold at least TARGET of the sample's true neighbours. The coarse quantiser
+has two levels, centroids and centroids of what they leave over, so that the
+number of lists grows with the root of the number of rows (up to COARSE * FINE)
+though the sample is bounded; small tables need one level. All rows are assigned
+and coded. A query meets the lists it probes in cells: a long list is dealt over
+several cells by a hash of the row, and so are the queries of a list many of them
+probe, so that a cell never holds more than about CELL rows of either. In a cell,
+asymmetric distance tables (query against codewords) rank the rows; the best
+RERANK of each query, with all that tie with the last, are scored exactly on the
+original vectors. Queries that find too few rows probe all lists.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, parts, read_table
 
-SAMPLE, LISTS, SUBSPACES, CODES, CELL, RERANK, TARGET = 20_000, 4096, 16, 256, 4096, 128, 0.99
+SAMPLE, COARSE, FINE, SUBSPACES, CODES, CELL, RERANK, TARGET = 20_000, 2048, 256, 16, 256, 4096, 32, 0.99
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -46,44 +49,67 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids, codebooks and the number of lists to probe."""
+    """Coarse quantiser, codebooks and the number of lists to probe."""
 
     def __init__(self, sample: np.ndarray, lists: int, top: int, seed: int = 1):
         x = unit(sample)
         self.dim = x.shape[1]
-        self.coarse = kmeans(x, lists, seed=seed)
-        own = nearest(x, self.coarse)
-        rest = x - self.coarse[own]
+        first = min(lists, COARSE, max(1, len(x) // 8))
+        self.coarse = kmeans(x, first, seed=seed)
+        rest = x - self.coarse[nearest(x, self.coarse)]
+        second = min(FINE, -(-lists // first))
+        self.fine = kmeans(rest, second, seed=seed) if second > 1 and len(x) > 8 * FINE else np.zeros((1, self.dim), np.float32)
+        self.lists = len(self.coarse) * len(self.fine)
+        own, rest = self._assign(x)
         self.cuts = np.array_split(np.arange(self.dim), min(SUBSPACES, self.dim))
         self.books = [kmeans(np.ascontiguousarray(rest[:, c]), CODES, seed=seed) for c in self.cuts]
         self.probe = self._calibrate(x, own, top)
 
+    def _assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """List of each unit vector, and what its centroids leave over."""
+        one = nearest(x, self.coarse)
+        rest = x - self.coarse[one]
+        two = nearest(rest, self.fine)
+        return one * len(self.fine) + two, rest - self.fine[two]
+
+    def nearness(self, q: np.ndarray) -> np.ndarray:
+        """Queries by all lists."""
+        return ((q @ self.coarse.T)[:, :, None] + (q @ self.fine.T)[:, None, :]).reshape(len(q), -1)
+
+    def centre(self, which: int) -> np.ndarray:
+        return self.coarse[which // len(self.fine)] + self.fine[which % len(self.fine)]
+
     def _calibrate(self, x: np.ndarray, own: np.ndarray, top: int) -> int:
         """Lists to probe so that TARGET of the true neighbours within the sample are met."""
-        queries = x[np.linspace(0, len(x) - 1, min(300, len(x))).astype(int)]
-        order = np.argsort(-(queries @ self.coarse.T), axis=1)
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
-        true = np.argsort(-(queries @ x.T), axis=1)[:, : top + 1]
-        needed = np.sort(np.take_along_axis(place, own[true], axis=1).ravel())
+        needed = []
+        for k in np.linspace(0, len(x) - 1, min(300, len(x))).astype(int):
+            near = self.nearness(x[k : k + 1])[0]
+            true = own[np.argsort(-(x @ x[k]))[: top + 1]]
+            needed.append((near[None, :] > near[true][:, None]).sum(axis=1))
+        needed = np.sort(np.concatenate(needed))
         at = min(len(needed) - 1, int(np.ceil(TARGET * len(needed))) - 1)
-        return int(min(len(self.coarse), needed[at] + 2))
+        return int(min(self.lists, needed[at] + 2))
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vectors -> list and residual codes of each."""
-        own = nearest(x, self.coarse)
-        rest = x - self.coarse[own]
+        own, rest = self._assign(x)
         return own, np.stack([nearest(np.ascontiguousarray(rest[:, c]), b) for c, b in zip(self.cuts, self.books)], axis=1).astype(np.uint8)
 
     def probes(self, q: np.ndarray) -> np.ndarray:
-        near = q @ self.coarse.T
-        return np.argsort(-near, axis=1, kind="stable")[:, : self.probe]
+        """The lists nearest to each query, a few queries at a time."""
+        step, out = max(1, (1 << 22) // self.lists), []
+        for s in range(0, len(q), step):
+            near = -self.nearness(q[s : s + step])
+            take = np.argpartition(near, self.probe - 1, axis=1)[:, : self.probe] if self.probe < self.lists else np.tile(np.arange(self.lists), (len(near), 1))
+            out.append(take)
+        return np.concatenate(out)
 
     def table(self, q: np.ndarray) -> list[np.ndarray]:
         return [q[:, c] @ b.T for c, b in zip(self.cuts, self.books)]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one in 32-bit floats."""
     x = x / np.abs(x).max(axis=1, keepdims=True)  # first, so that no square over- or underflows
     x = x.astype(np.float32)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -101,7 +127,8 @@ def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def search_cell(index: Index, which: int, base: tuple[np.ndarray, np.ndarray, np.ndarray], queries: tuple[np.ndarray, np.ndarray], top: int) -> list[tuple[np.ndarray, ...]]:
-    """The best `top` rows of a cell for each query: (query, id, score)."""
+    """The best `top` rows of a cell for each query: (query, id, score). Of the
+    rows that equal the query in id and vector one is the query's own."""
     ids, codes, x = base
     order = np.argsort(ids, kind="stable")
     ids, codes, x = ids[order], codes[order], x[order]
@@ -109,10 +136,13 @@ def search_cell(index: Index, which: int, base: tuple[np.ndarray, np.ndarray, np
     for s in range(0, len(queries[0]), 128):
         qid, q = queries[0][s : s + 128], queries[1][s : s + 128]
         qu = unit(q)
-        near = np.repeat((qu @ index.coarse[which])[:, None], len(ids), axis=1)
+        near = np.repeat((qu @ index.centre(which))[:, None], len(ids), axis=1)
         for k, t in enumerate(index.table(qu)):
             near += t[:, codes[:, k]]
-        near[qid[:, None] == ids[None, :]] = -np.inf
+        lo, hi = np.searchsorted(ids, qid), np.searchsorted(ids, qid, side="right")
+        for k in np.flatnonzero(hi > lo):
+            same = np.flatnonzero((x[lo[k] : hi[k]] == q[k]).all(axis=1))
+            near[k, lo[k] + same[:1]] = -np.inf
         take = min(RERANK, len(ids))
         last = np.partition(near, len(ids) - take, axis=1)[:, len(ids) - take]
         i, j = np.nonzero((near >= last[:, None]) & np.isfinite(near))
@@ -128,12 +158,14 @@ def search_cell(index: Index, which: int, base: tuple[np.ndarray, np.ndarray, np
 
 def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """-> (query_id, rank, vec_id, score): for each row whose id is divisible by
-    `every`, its `top` nearest found among all other rows, ties to smaller ids.
+    `every`, its `top` nearest found among all other rows, ties to smaller ids;
+    always `top` of them, or all where there are fewer.
 
     Rows with a null id and vectors that are null, empty, zero or hold null or
     non-finite components take no part, nor do vectors of another dimension than
-    the sample's most frequent one. A repeated id is one query, whose own rows are no
-    candidates; repeated candidates stay separate rows."""
+    the sample's most frequent one. A repeated id is one query, that of its
+    vector that sorts first; its other rows are candidates like all others, and
+    repeated candidates stay separate rows."""
     spark = vectors.sparkSession
     # vectors keep their precision for the exact scores
     wide = dict(vectors.dtypes)[vec_col] == "array<double>"
@@ -145,16 +177,17 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = 5, id_col
     n = v.count()
     if not n:
         return spark.createDataFrame([], schema)
+    draw = F.xxhash64("i", "v")
     share = min(1.0, 1.2 * SAMPLE / n)
-    drawn = v.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).limit(SAMPLE).toPandas()  # SAMPLE rows at most
+    few = v.where(F.pmod(draw, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    drawn = few.orderBy(draw, "i", "v").limit(SAMPLE).toPandas()  # SAMPLE rows at most
     if not len(drawn):
-        drawn = v.limit(SAMPLE).toPandas()
+        drawn = v.orderBy(draw, "i", "v").limit(1000).toPandas()
     dim = int(pd.Series([len(x) for x in drawn.v]).mode().iloc[0])
     v = v.where(F.size("v") == dim)
-    sample = np.stack([x for x in drawn.v if len(x) == dim]).astype(np.float32)
-    lists = int(min(LISTS, max(1, np.sqrt(n)), max(1, len(sample) // 8)))
-    index = Index(sample, lists, top)
-    send = spark.sparkContext.broadcast(index)  # LISTS centroids and CODES codewords at most
+    sample = np.stack([x for x in drawn.v if len(x) == dim]).astype(kind)
+    index = Index(sample, max(1, int(np.sqrt(n))), top)
+    send = spark.sparkContext.broadcast(index)  # COARSE + FINE centroids and CODES codewords a subspace at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = send.value
@@ -165,47 +198,62 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = 5, id_col
                 yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["i", "list", "code", "x"])
 
     coded = materialize(v.mapInArrow(assign, "i long, list int, code binary, x binary"))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = send.value
-        for b in batches:
-            if b.num_rows:
-                x = np.frombuffer(b"".join(b.column("x").to_pylist()), kind).reshape(-1, dim)
-                near = ix.probes(unit(x))
-                take = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column("i").take(take), pa.array(near.ravel().astype(np.int32)), b.column("x").take(take)], ["q", "list", "x"])
-
-    queries = coded.where(F.col("i") % every == 0).dropDuplicates(["i"]).select("i", "x")
-    probes = materialize(queries.mapInArrow(probe, "q long, list int, x binary"))
     rows_in = {r.list: r.n for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list
-    queries_in = {r.list: r.n for r in probes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    most = int(min(CELL, max(32, n / (2 * parts(spark)))))
-    # cells of a list: shards of its rows times blocks of its queries, numbered over all lists
-    layout, first = [], 0
-    for c in range(len(index.coarse)):
-        shards, blocks = -(-rows_in.get(c, 0) // most), -(-queries_in.get(c, 0) // CELL)
-        layout.append((c, shards, blocks, first))
-        first += shards * blocks
-    cells = F.broadcast(spark.createDataFrame(layout, "list int, shards int, blocks int, first long"))  # LISTS rows at most
-    base = coded.join(cells, "list").where("shards * blocks > 0")
-    base = base.select("list", "i", "code", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), (F.col("first") + F.pmod(F.xxhash64("i", "x"), "shards")).alias("at"), "shards")
-    base = base.select((F.col("at") + F.col("block") * F.col("shards")).alias("cell"), "list", "i", "code", "x")
-    asked = probes.join(cells, "list").where("shards * blocks > 0")
-    asked = asked.select("q", "x", "first", "shards", F.pmod(F.xxhash64("q"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    asked = asked.select((F.col("first") + F.col("block") * F.col("shards") + F.col("shard")).alias("cell"), "q", "x")
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        flat = lambda s, t, w: np.frombuffer(b"".join(s), t).reshape(-1, w)
-        ix = send.value
-        rows = (a.i.to_numpy(), flat(a.code, np.uint8, len(ix.cuts)), flat(a.x, kind, dim))
-        found = search_cell(ix, int(a.list.iloc[0]), rows, (b.q.to_numpy(), flat(b.x, kind, dim)), top)
-        return pd.DataFrame({k: np.concatenate([f[c] for f in found]) for c, k in enumerate(("query_id", "vec_id", "score"))})
 
-    found = base.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # `top` rows a probed cell
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    def search(queries: DataFrame, every_list: bool) -> DataFrame:
+        """(i, x) -> (query_id, vec_id, score), `top` rows a probed cell at most."""
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ix = send.value
+            for b in batches:
+                if b.num_rows:
+                    x = np.frombuffer(b"".join(b.column("x").to_pylist()), kind).reshape(-1, dim)
+                    near = np.tile(np.arange(ix.lists), (len(x), 1)) if every_list else ix.probes(unit(x))
+                    take = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([b.column("i").take(take), pa.array(near.ravel().astype(np.int32)), b.column("x").take(take)], ["q", "list", "x"])
+
+        probes = materialize(queries.mapInArrow(probe, "q long, list int, x binary"))
+        queries_in = {r.list: r.n for r in probes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list
+        most = int(min(CELL, max(32, n / (2 * parts(spark)))))
+        # cells of a list: shards of its rows times blocks of its queries, numbered over all lists
+        layout, first = [], 0
+        for c in sorted(rows_in.keys() & queries_in.keys()):
+            shards, blocks = -(-rows_in[c] // most), -(-queries_in[c] // CELL)
+            layout.append((c, shards, blocks, first))
+            first += shards * blocks
+        cells = F.broadcast(spark.createDataFrame(layout, "list int, shards int, blocks int, first long"))  # COARSE * FINE rows of four numbers at most
+        base = coded.join(cells, "list")
+        base = base.select("list", "i", "code", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), (F.col("first") + F.pmod(F.xxhash64("i", "x"), "shards")).alias("at"), "shards")
+        base = base.select((F.col("at") + F.col("block") * F.col("shards")).alias("cell"), "list", "i", "code", "x")
+        asked = probes.join(cells, "list")
+        asked = asked.select("q", "x", "first", "shards", F.pmod(F.xxhash64("q"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+        asked = asked.select((F.col("first") + F.col("block") * F.col("shards") + F.col("shard")).alias("cell"), "q", "x")
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            flat = lambda s, t, w: np.frombuffer(b"".join(s), t).reshape(-1, w)
+            ix = send.value
+            rows = (a.i.to_numpy(), flat(a.code, np.uint8, len(ix.cuts)), flat(a.x, kind, dim))
+            found = search_cell(ix, int(a.list.iloc[0]), rows, (b.q.to_numpy(), flat(b.x, kind, dim)), top)
+            return pd.DataFrame({k: np.concatenate([f[c] for f in found]) for c, k in enumerate(("query_id", "vec_id", "score"))})
+
+        return base.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(meet, "query_id long, vec_id long, score double")
+
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+    queries = coded.where(F.col("i") % every == 0).groupBy("i").agg(F.min("x").alias("x"))
+    got = materialize(best(search(queries, False)))
+    there = min(top, sum(rows_in.values()) - 1)
+    full = got.where(F.col("rank") == there).select(F.col("query_id").alias("i"))
+    short = materialize(queries.join(full, "i", "left_anti"))
+    if there == 0 or index.probe == index.lists or short.isEmpty():
+        return got
+    again = best(search(short, True))
+    return got.join(short.select(F.col("i").alias("query_id")), "query_id", "left_anti").unionByName(again)
 
 
 def op4_neighbours(spark, sf_dir):

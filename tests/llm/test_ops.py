@@ -243,16 +243,46 @@ def test_neighbours_edge_cases(spark):
     assert got == [(0, 1, 5), (0, 2, 6)]
 
 
-def test_neighbours_of_double_vectors(spark):
-    r = np.random.default_rng(3)
-    x = r.normal(size=(120, 6)) * 1e-200
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+@pytest.mark.parametrize("size", [1e-200, 1e300])
+def test_neighbours_of_double_vectors(spark, size):
+    u = np.random.default_rng(3).normal(size=(120, 6))
+    df = spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>")
     got = ann.nearest_neighbours(df).toPandas()
-    u = x * 1e200
+    assert len(got) == 15
     for q, v, s in zip(got.query_id, got.vec_id, got.score):
         assert abs(s - u[q] @ u[v] / np.sqrt((u[q] @ u[q]) * (u[v] @ u[v]))) < 1e-14
 
 
+def test_two_level_lists_and_recall(monkeypatch):
+    """The quantiser of a table too large for one level, on the sample's own rows."""
+    monkeypatch.setattr(ann, "COARSE", 32)
+    monkeypatch.setattr(ann, "FINE", 16)
+    r = np.random.default_rng(5)
+    x = (r.normal(size=(60, 16))[r.integers(0, 60, 4000)] + 0.4 * r.normal(size=(4000, 16))).astype(np.float32)
+    ix = ann.Index(x, 500, 5)
+    assert ix.lists == 32 * 16 and ix.probe < ix.lists / 3
+    u = ann.unit(x)
+    own, _ = ix.code(u)
+    probes = ix.probes(u[:200])
+    hits = sum(np.isin(own[np.argsort(-(u @ u[k]))[1:6]], probes[k]).sum() for k in range(200))
+    assert hits / 1000 > 0.97
+
+
+def test_neighbours_are_topped_up(spark, monkeypatch):
+    """Lists that hold too few rows: every query still gets all it can."""
+    monkeypatch.setattr(ann.Index, "_calibrate", lambda *_: 1)
+    x = np.random.default_rng(2).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest_neighbours(df, every=5, top=40).toPandas()
+    assert (got.groupby("query_id").size() == 40).all() and got.query_id.nunique() == 60
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0])]
+    got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert got.query_id.tolist() == [0] * 3 and sorted(got.vec_id) == [0, 0, 1]
+
+
 def test_hot_vector_is_split(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL", 32)
     r = np.random.default_rng(1)
