@@ -7,12 +7,14 @@ taken out later without the rest of the text. The vector has two parts:
 
 - STRONG lanes modulo 2**64 from a cryptographic hash of the paragraph: equal
   sums mean equal multisets.
-- SOFT lanes modulo 2**16: each distinct three-word shingle of the paragraph
+- SOFT lanes modulo 2**32: each distinct three-word shingle of the paragraph
   (the whole sequence where it has fewer words) adds to one lane, with a sign of
   its own, four times the root of how often it occurs there. For these sums the
   squared distance estimates how many shingles differ, which gives fingerprints
   a likeness between 0 and 1; the root keeps one word repeated a thousand times
-  from outweighing all else.
+  in a paragraph from outweighing all else. A lane leaves its range where one
+  paragraph stands 2**29 times in a text, more than a text of 2**31 bytes holds
+  but of single characters.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import BASE, mix, parts, powers, read_table, slices
 
 STRONG, SOFT, WORDS = 8, 128, 3
+_LANE = (1 << 32) - 1
+
 
 def soft_vector(data: bytes) -> np.ndarray:
     """Sum of the SOFT lanes over the paragraphs (lines) of data."""
@@ -93,12 +97,12 @@ class Fingerprint:
 
     def add(self, text: str) -> Fingerprint:
         strong, soft = self._sum(text)
-        self.strong, self.soft = self.strong + strong, (self.soft + soft) & 0xFFFF
+        self.strong, self.soft = self.strong + strong, (self.soft + soft) & _LANE
         return self
 
     def subtract(self, text: str) -> Fingerprint:
         strong, soft = self._sum(text)
-        self.strong, self.soft = self.strong - strong, (self.soft - soft) & 0xFFFF
+        self.strong, self.soft = self.strong - strong, (self.soft - soft) & _LANE
         return self
 
     def copy(self) -> Fingerprint:
@@ -107,14 +111,14 @@ class Fingerprint:
         return out
 
     def __str__(self) -> str:
-        return self.strong.astype("<u8").tobytes().hex() + self.soft.astype("<u2").tobytes().hex()
+        return self.strong.astype("<u8").tobytes().hex() + self.soft.astype("<u4").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal fingerprints; else about twice the shared shingles over
         the shingles of both, 0 at least and below 1."""
-        a, b = ((x.soft + 0x8000) % 0x10000 - 0x8000 for x in (self, other))
-        if np.array_equal(self.strong, other.strong) and np.array_equal(a, b):
+        if np.array_equal(self.strong, other.strong) and np.array_equal(self.soft, other.soft):
             return 1.0
+        a, b = (((x.soft + (1 << 31) & _LANE) - (1 << 31)).astype(np.float64) for x in (self, other))
         both = float((a * a).sum() + (b * b).sum())
         return min(max(2.0 * float((a * b).sum()) / both, 0.0), 1.0 - 2.0**-20) if both else 0.0
 
@@ -134,31 +138,47 @@ def edited_fingerprint(own: Fingerprint, text: str, following: str) -> Fingerpri
 
 def with_following(docs: DataFrame, run, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Apply run(rows of (id, text, next id, next text)) to all documents in
-    ascending order of (id, text), the last one followed by the first.
-
-    Ids are cut into ranges at approximate quantiles; the first document of a
-    range is also sent to the range before it. One shuffle of the texts, no
-    global sort and nothing but the range ends on the driver. Null ids come last."""
+    ascending order of id, the last one followed by the first. Rows of one id
+    come in order of their texts, those of an id so frequent that it fills
+    several ranges in order of a digest of them.
+
+    Rows are cut into ranges at approximate quantiles of their ids; an id that
+    holds several quantiles, or rows without one, is cut further by the digest.
+    The first document of a range is also sent to the range before it. The texts
+    are read once and shuffled once; nothing but the range ends comes to the
+    driver. Null ids come last."""
     spark = docs.sparkSession
     last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.coalesce(F.col(id_col).cast("long"), last).alias("o"))
+    ids = F.coalesce(F.col(id_col).cast("long"), last)
     ranges = 4 * parts(spark)
     shares = [k / ranges for k in range(1, ranges)]
-    cuts = rows.agg(F.percentile_approx("o", shares, max(10_000, 4 * ranges)).alias("c")).first().c if shares else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    cuts = docs.select(ids.alias("o")).agg(F.percentile_approx("o", shares, max(10_000, 4 * ranges)).alias("c")).first().c if shares else []
+    cuts = np.array(cuts or [], np.int64)
+    held, often = np.unique(cuts, return_counts=True)
+    hot = held[often > 1].tolist()
+    # without a frequent id the digest is a constant, and the heads are found without reading texts
+    digest = F.when(F.col("o").isin(hot), F.xxhash64("t")).otherwise(F.lit(0)) if hot else F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), ids.alias("o")).withColumn("d", digest)
 
     @F.pandas_udf("int")
-    def range_of(o: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, o.to_numpy(np.int64), side="right").astype(np.int32))
-
-    heads = sorted((r.o, r.b) for r in rows.select("o", range_of("o").alias("b")).groupBy("b").agg(F.min("o").alias("o")).collect())  # a row a range
-    ranged = rows.select("i", "t", "o", range_of("o").alias("b"), F.lit(0).alias("s"))
+    def range_of(o: pd.Series, d: pd.Series) -> pd.Series:
+        o, d = o.to_numpy(np.int64), d.to_numpy(np.int64)
+        low, high = np.searchsorted(cuts, o), np.searchsorted(cuts, o, side="right")
+        place = (d.astype(np.float64) + 2.0**63) / 2.0**64  # in order of d
+        inner = np.minimum(low + 1 + np.floor(place * (high - low)).astype(np.int64), high)
+        return pd.Series(np.where(high - low > 1, inner, high).astype(np.int32))
+
+    heads = sorted((r.f.o, r.f.d, r.b) for r in rows.select("o", "d", range_of("o", "d").alias("b")).groupBy("b").agg(F.min(F.struct("o", "d")).alias("f")).collect())  # a row a range
+    ranged = rows.withColumn("b", range_of("o", "d"))
+    own = F.struct("b", F.lit(0).alias("s"))
     if heads:
-        before = [heads[-1][1], *(b for _, b in heads[:-1])]
-        to = spark.createDataFrame([(o, b) for (o, _), b in zip(heads, before)], "h long, b int")  # a row a range
-        extra = rows.join(F.broadcast(to), F.col("o") == F.col("h")).select("i", "t", "o", "b", F.lit(1).alias("s"))
-        ranged = ranged.unionByName(extra)
-    dealt = ranged.repartition("b").sortWithinPartitions("b", "s", "o", "t").select("i", "t", "b", "s")
+        before = [heads[-1][2], *(b for _, _, b in heads[:-1])]
+        to = spark.createDataFrame([(o, d, b) for (o, d, _), b in zip(heads, before)], "ho long, hd long, to int")  # a row a range
+        ranged = ranged.join(F.broadcast(to), (F.col("o") == F.col("ho")) & (F.col("d") == F.col("hd")), "left")
+        both = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("b"), F.lit(1).alias("s"))))
+    else:
+        both = F.array(own)
+    dealt = ranged.select("i", "t", "o", "d", F.inline(both)).repartition("b").sortWithinPartitions("b", "s", "o", "d", "t").select("i", "t", "b", "s")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return run(_followed(batches))
@@ -179,7 +199,8 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its fingerprint, that of its edited text, and its likeness
     to both the edited text's and the following document's. Null texts are
-    empty; a lone document follows itself; repeated ids follow each other."""
+    empty; a lone document follows itself; repeated ids follow each other, and
+    rows without an id come after all others."""
 
     def run(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -338,6 +339,35 @@ def test_fingerprint_edge_cases(spark):
     assert len(twice) == 3
 
 
+def test_repeated_lines_keep_their_likeness(spark):
+    line = "one line that is repeated very often in a document"
+    for n in (1_000, 10_000, 40_000):
+        text = "\n".join([line] * n)
+        changed = multiset.edited(text, "some other words stand here now " * n)
+        assert multiset.Fingerprint(text).likeness(multiset.Fingerprint(changed)) > 0.9
+    got = multiset.fingerprints(docs(spark, ["\n".join([line] * 10_000), "other text"])).where("doc_id = 0").first()
+    assert got.near_edited > 0.9 and len(got.fingerprint) == 2 * (8 * multiset.STRONG + 4 * multiset.SOFT)
+
+
+def test_followers_of_frequent_ids(spark):
+    """An id, and rows without one, that fill several ranges: each row has one follower, and all make one ring."""
+    texts = [f"text number {k}" for k in range(400)]
+    ids = [7] * 150 + [None] * 130 + [1000 + k for k in range(120)]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string()]
+    out = multiset.with_following(docs(spark, texts, ids), lambda rows: (pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(r, kinds)], ["i", "t", "j", "u"]) for r in rows), "i long, t string, j long, u string").collect()
+    follow = {r.t: r.u for r in out}
+    assert len(out) == len(follow) == 400
+    seen, at = [], out[0].t
+    while at not in seen:
+        seen.append(at)
+        at = follow[at]
+    assert len(seen) == 400
+    of = dict(zip(texts, ids))
+    ring = [of[t] if of[t] is not None else 1 << 62 for t in seen]
+    turn = ring.index(7) if ring[-1] != 7 else next(k for k in range(400) if ring[k] == 7 and ring[k - 1] != 7)
+    assert ring[turn:] + ring[:turn] == sorted(ring)
+
+
 # --- 6 packing -----------------------------------------------------------------------
 
 
