@@ -7,7 +7,9 @@ fixed at once: pieces nothing fits beside, pairs that fill a sequence, and
 pairs where no two smaller pieces could do better), and packs the remainder
 best-fit decreasing. The plan is a table of runs (so many sequences of this
 composition); each piece finds its place by its rank among those of its length,
-counted in two levels so that a frequent length never meets in one task.
+counted in two levels so that a frequent length never meets in one task. Pieces
+of the full size, the most of a corpus of long texts, need no rank: each is a
+sequence.
 """
 
 from __future__ import annotations
@@ -193,24 +195,28 @@ def places(runs: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, list[tupl
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """-> pieces() with sequence_id and offset: sequences are gapless from
     offset 0 and hold at most `capacity` tokens. Every row gives its pieces,
-    repeated rows and ids too; an empty table gives none."""
+    repeated rows and ids too; an empty table gives none. Sequences of one full
+    piece have negative ids, the others ids from 0 on."""
     spark = docs.sparkSession
-    found = materialize(pieces(docs, id_col, text_col, capacity, keep_ids))
+    # numbered once, where they are written: whatever else they share, rows are told apart and dealt out evenly
+    found = materialize(pieces(docs, id_col, text_col, capacity, keep_ids).withColumn("row", F.monotonically_increasing_id()))
     salts = parts(spark)
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = found.where(F.col("length") < capacity).withColumn("salt", F.pmod("row", F.lit(salts)).cast("int"))
     sizes = materialize(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), capacity * salts)
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     table = places(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select(rekey("length").alias("l"), F.col("salt").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("r", F.row_number().over(own) - 1).join(base, (F.col("length") == base.l) & (F.col("salt") == base.s)).withColumn("rank", F.col("base") + F.col("r"))
     schema = "w long, slots array<struct<at:long,n:long,first:long,q:long,offset:long>>"
     where = F.broadcast(spark.createDataFrame(sorted(table.items()), schema))  # one row a length, a few thousand slots in all
     slot = F.filter("slots", lambda x: (x.at <= F.col("rank")) & (F.col("rank") < x.at + x.n))[0]
     placed = ranked.join(where, ranked.length == where.w).withColumn("slot", slot).withColumn("k", F.col("rank") - F.col("slot.at"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-    return placed.select(*names, (F.col("slot.first") + F.floor(F.col("k") / F.col("slot.q"))).alias("sequence_id"), (F.col("slot.offset") + F.pmod("k", F.col("slot.q")) * F.col("length")).alias("offset"))
+    mixed = placed.select(*names, (F.col("slot.first") + F.floor(F.col("k") / F.col("slot.q"))).alias("sequence_id"), (F.col("slot.offset") + F.pmod("k", F.col("slot.q")) * F.col("length")).alias("offset"))
+    full = found.where(F.col("length") == capacity).select(*names, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return mixed.unionByName(full)
 
 
 def op6_packing(spark, sf_dir):

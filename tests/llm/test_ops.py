@@ -447,6 +447,8 @@ def test_packing_edge_cases(spark):
     check_packing(rows.drop(columns="ids"), {i: t or "" for i, t in enumerate(EDGE)})
     assert all(len(i) == n for i, n in zip(rows.ids, rows.length))
     assert packing.pack(docs(spark, [])).count() == 0
+    same = packing.pack(docs(spark, ["word " * 1500] * 40, [None] * 40)).toPandas()
+    assert same[same.length == 1024].sequence_id.nunique() == 40 and (same.groupby("sequence_id").length.sum() <= 1024).all() and same.groupby(["sequence_id", "offset"]).size().max() == 1
     twice = packing.pack(docs(spark, ["a", "a", "a"], [1, 1, None])).toPandas()
     assert len(twice) == 3 and twice.groupby("sequence_id").offset.nunique().sum() == 3
 
