@@ -7,8 +7,9 @@ with the largest sum of log-probabilities over its windows. For prediction the
 embeddings and filters are folded into tables indexed by pairs of bytes, so that
 a filter of four bytes costs two lookups.
 
-Training uses a bounded sample (PER_LANGUAGE windows of each language at most,
-RECENT languages at most by frequency) of the documents allowed for learning.
+Training uses a bounded sample of the documents allowed for learning: windows of
+different texts, PER_LANGUAGE of each language at most, and TOTAL at most over
+all languages, which then share them evenly. Every language is learned.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table, remove, slices
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 12, 16, (2, 3, 4)
-PER_LANGUAGE, LANGUAGES, EPOCHS = 1500, 200, 12
+PER_LANGUAGE, TOTAL, EPOCHS = 1500, 60_000, 12
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}")
 #: A-Z as a-z, digits as one, so that shouting and numbers don't look like another language.
@@ -35,16 +36,13 @@ _fold[48:58] = 48
 
 
 def windows(text: str) -> np.ndarray:
-    """Rows of WINDOW bytes that cover the whole text; the last one is filled up
-    with zeros (a short rest joins no window of its own when there is another)."""
+    """Rows of WINDOW bytes that cover the whole text. A short text is filled up
+    with zeros; what full windows leave over is in a last one that overlaps them."""
     x = _fold[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    n = max(1, -(-len(x) // WINDOW))
-    if n > 1 and len(x) - (n - 1) * WINDOW < WINDOW // 4:
-        n -= 1
-        x = x[: n * WINDOW] if len(x) == n * WINDOW else np.concatenate((x[: (n - 1) * WINDOW], x[-WINDOW:]))
-    out = np.zeros(n * WINDOW, np.uint8)
-    out[: len(x)] = x[: n * WINDOW]
-    return out.reshape(n, WINDOW)
+    if len(x) < WINDOW:
+        return np.pad(x, (0, WINDOW - len(x)))[None]
+    full = x[: len(x) // WINDOW * WINDOW].reshape(-1, WINDOW)
+    return full if len(x) % WINDOW == 0 else np.concatenate((full, x[None, -WINDOW:]))
 
 
 class ByteConv:
@@ -151,33 +149,39 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def training_windows(docs: DataFrame) -> pd.DataFrame:
-    """(text, lang) -> windows of a bounded sample: LANGUAGES at most, and of
-    each PER_LANGUAGE documents at most, one window at a hashed place each."""
-    langs = [r.lang for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    if not langs:
+def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> pd.DataFrame:
+    """(text, lang) -> (lang, r, window) of a bounded sample: of each language the
+    different texts of smallest hash, one window at a hashed place of each.
+
+    A first pass estimates how many different texts each language has; the second
+    keeps those whose hash lies so low that about three times as many as wanted
+    remain, whatever the size of the table and however often a text is repeated."""
+    hashed = docs.select("text", "lang", F.xxhash64("text").alias("r"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("r").alias("n"))
+    sizes = materialize(sizes, 1)
+    n_langs = sizes.count()
+    if not n_langs:
         return pd.DataFrame({"lang": [], "r": [], "window": []})
-    salted = docs.where(F.col("lang").isin(langs)).withColumn("r", F.xxhash64("text"))
+    most = max(1, min(per_language, total // n_langs))
+    share = sizes.select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(3.0 * most) / F.col("n")).alias("share"))
+    place = (F.col("r").cast("double") + 2.0**63) / 2.0**64
+    low = hashed.join(share, F.col("lang") == F.col("l")).where(place <= F.col("share")).select("text", "lang", "r")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per task the PER_LANGUAGE rows of smallest hash, as windows."""
-        kept: dict[str, list] = {}
         for b in slices(batches, "text"):
+            rows = []
             for text, lang, r in zip(*(b.column(k).to_pylist() for k in ("text", "lang", "r"))):
                 if _letter.search(text):
                     w = windows(text)
-                    kept.setdefault(lang, []).append((r, w[r % len(w)].tobytes()))
-                    if len(kept[lang]) > 2 * PER_LANGUAGE:
-                        kept[lang] = sorted(kept[lang])[:PER_LANGUAGE]
-        rows = [(lang, r, w) for lang, found in kept.items() for r, w in sorted(found)[:PER_LANGUAGE]]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], ["lang", "r", "window"])
-
-    tasks = materialize(salted.select("text", "lang", "r").mapInArrow(cut, "lang string, r long, window binary"))
-    # of all tasks' rows again the PER_LANGUAGE of smallest hash of each language, at most LANGUAGES small top-k reads
-    found = [tasks.where(F.col("lang") == lang).orderBy("r", "window").limit(PER_LANGUAGE).toPandas() for lang in langs]
-    remove(tasks)
-    return pd.concat(found)
+                    rows.append((lang, r, w[r % len(w)].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], ["lang", "r", "window"])
+
+    once = low.mapInArrow(cut, "lang string, r long, window binary").groupBy("lang", "r").agg(F.min("window").alias("window"))
+    first = Window.partitionBy("lang").orderBy("r")  # about three times `most` rows a language
+    found = once.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).drop("k").toPandas()  # `total` rows, or one a language, at most
+    remove(sizes)
+    return found
 
 
 def train(docs: DataFrame) -> ByteConv:

@@ -551,9 +551,51 @@ def test_language_edge_cases(spark):
 
 
 def test_windows_cover_the_text():
-    for n in (1, 255, 256, 257, 300, 600, 5000):
-        w = langid.windows("a" * (n - 1) + "z")
-        assert w.shape[1] == 256 and (w == ord("z")).any()
+    r = random.Random(3)
+    for n in (0, 1, 255, 256, 257, 300, 319, 320, 511, 512, 5000, 5119):
+        text = "".join(r.choice("abcdefgh") for _ in range(n))
+        w = langid.windows(text)
+        flat = b"".join(x.tobytes() for x in w[: n // 256]) + (w[-1].tobytes()[-(n % 256) :] if n > 256 and n % 256 else b"") if n >= 256 else w[0].tobytes()[:n]
+        assert w.shape[1] == 256 and flat.decode() == text
+
+
+def test_training_windows_of_skewed_languages(spark):
+    """A language with one very frequent text, and more languages than the total has room for: all are learned from different texts."""
+    rows = [("the same text again and again", "aa")] * 3000 + [(f"text {k} of aa", "aa") for k in range(50)] + [(f"words {k} in it", f"l{k % 40}") for k in range(400)]
+    got = langid.training_windows(spark.createDataFrame(rows, "text string, lang string"), 20, 200)
+    assert got.groupby("lang").size().between(1, 4).all() and got.lang.nunique() == 41 and not got.duplicated(["lang", "r"]).any()
+    every = langid.training_windows(spark.createDataFrame(rows, "text string, lang string"), 100, 100_000)
+    assert len(every) == 51 + 400
+
+
+def test_gradient_equals_differences():
+    r = np.random.default_rng(6)
+    net = langid.ByteConv(["a", "b", "c"])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y = r.integers(97, 123, (3, langid.WINDOW)).astype(np.uint8), np.array([0, 2, 1])
+
+    def loss():
+        e, pooled = net.p["e"][x], []
+        for w in langid.WIDTHS:
+            z = np.concatenate([e[:, k : langid.WINDOW - w + 1 + k] for k in range(w)], axis=2) @ net.p[f"f{w}"] + net.p[f"b{w}"]
+            pooled.append(z.max(axis=1))
+        out = np.maximum(np.concatenate(pooled, axis=1), 0) @ net.p["o"] + net.p["c"]
+        out -= out.max(axis=1, keepdims=True)
+        return -(out[np.arange(3), y] - np.log(np.exp(out).sum(axis=1))).mean() + 5e-5 * (net.p["o"] ** 2).sum()
+
+    g = net._gradient(x, y)
+    for name, values in net.p.items():
+        for _ in range(6):
+            at = tuple(r.integers(0, s) for s in values.shape)
+            if name == "e":
+                at = (int(r.choice(x.ravel())), at[1])
+            old, step = values[at], 1e-6
+            values[at] = old + step
+            up = loss()
+            values[at] = old - step
+            down = loss()
+            values[at] = old
+            assert abs((up - down) / (2 * step) - g[name][at]) < 1e-5 + 1e-3 * abs(g[name][at])
 
 
 # --- 7 quality ---------------------------------------------------------------------------
