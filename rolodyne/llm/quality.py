@@ -2,13 +2,18 @@
 
 Two views of a document, the content of its text and its metadata (source,
 language, recorded length), each get a logistic classifier. Both start from the
-same labelled documents; over ROUNDS rounds each hands its most confident
-judgements of unlabelled documents to the other as further, lighter training
-rows. The views are then calibrated and combined on labelled documents set
-aside, and the combination scores every document over its whole text.
-
-Fitting uses LABELLED labelled and UNLABELLED unlabelled documents at most, drawn
-by a hash of their ids; scoring covers all rows.
+same labelled documents. In each of ROUNDS rounds both judge every document
+without a label; each view then hands those LENT documents to the other one that
+it is surest of and hasn't handed over yet, in the labels' proportion, as further
+training rows. What a view is surest of is relative to what the labels alone say:
+a lent row carries the view's probability as its target and weighs as much as
+that probability tells more than the share of good documents does, so that a view
+that knows little teaches little. The views are then calibrated and combined on
+labelled documents set aside, and the combination scores every document over its
+whole text.
+
+Fitting uses LABELLED labelled documents at most, drawn by a hash of their ids;
+judging, in every round and at the end, covers all rows.
 """
 
 from __future__ import annotations
@@ -21,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import materialize, read_table, remove
 
-LABELLED, UNLABELLED, ROUNDS, SURE, SHARE = 8000, 8000, 3, 0.95, 0.1
+LABELLED, ROUNDS, LENT, WEIGHT = 8000, 3, 800, 0.3
 SOURCES, LANGUAGES = 64, 16
 #: Kinds of bytes; a text's pairs of neighbouring kinds are counted.
 KINDS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "!", "?", "|", "#$%&*@^~", "-_", "'\"()[]{}<>", ":;/\\=+`"]
@@ -98,41 +103,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-class CoTrained:
+class Scorer:
     """Both views' classifiers, their calibration and the combination."""
 
-    def __init__(self, labelled: tuple[np.ndarray, np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray]):
-        *views, y = labelled
-        aside = np.arange(len(y)) % 4 == 3
-        if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
-            aside = np.zeros(len(y), bool)
-        fit, check = ~aside, aside if aside.any() else ~aside
-        lent: list[dict[int, float]] = [{}, {}]  # per view: rows the other one has judged
-        self.models: list[Logistic] = []
-        for turn in range(ROUNDS + 1):
-            self.models = []
-            for v in (0, 1):
-                rows = np.array(sorted(lent[v]), int)
-                x = np.vstack((views[v][fit], unlabelled[v][rows]))
-                target = np.concatenate((y[fit], [lent[v][r] for r in rows.tolist()]))
-                self.models.append(Logistic(x, target, np.concatenate((np.ones(fit.sum()), np.full(len(rows), 0.3)))))
-            self.calibrated = [Logistic(m.logit(x[check])[:, None], y[check]) for m, x in zip(self.models, views)]
-            if turn < ROUNDS:
-                for v in (0, 1):
-                    p = _sigmoid(self.view(v, unlabelled[v]))
-                    for r in self._surest(p, y.mean()):
-                        lent[1 - v].setdefault(r, float(p[r] > 0.5))
-        both = np.stack([self.view(v, views[v][check]) for v in (0, 1)], axis=1)
-        self.join = Logistic(both, y[check])
-
-    @staticmethod
-    def _surest(p: np.ndarray, good: float) -> list[int]:
-        """Of a round's judgements the surest, in the labels' proportion."""
-        most = max(1, int(SHARE * len(p)))
-        order = np.argsort(p, kind="stable")
-        low = [r for r in order[: max(1, int(most * (1 - good)))].tolist() if p[r] <= 1 - SURE]
-        high = [r for r in order[::-1][: max(1, int(most * good))].tolist() if p[r] >= SURE]
-        return low + high
+    def __init__(self, models: list[Logistic], calibrated: list[Logistic], join: Logistic):
+        self.models, self.calibrated, self.join = models, calibrated, join
 
     def view(self, v: int, x: np.ndarray) -> np.ndarray:
         return self.calibrated[v].logit(self.models[v].logit(x)[:, None]) if len(x) else np.zeros(0)
@@ -142,6 +117,54 @@ class CoTrained:
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.join.logit(np.stack((a, b), axis=1)))
 
 
+def entropy(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return -(p * np.log(p) + (1 - p) * np.log(1 - p))
+
+
+class CoTraining:
+    """Labelled rows of both views, what the views have lent each other, and the
+    classifiers learned from them. history has, per round, the rows handed over
+    (by the text view, by the metadata view), their mean weights, and the losses
+    of both views and of the combination on the documents set aside."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray):
+        self.views, self.y, self.prior = (text, meta), y, float(y.mean())
+        aside = np.arange(len(y)) % 4 == 3
+        if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
+            aside = np.zeros(len(y), bool)
+        self.fitted, self.check = ~aside, aside if aside.any() else ~aside
+        none = lambda x: (np.zeros((0, x.shape[1]), np.float32), np.zeros(0), np.zeros(0))
+        self.lent = [none(text), none(meta)]  # what each view got: rows, targets, weights
+        self.history: list[dict] = []
+        self.scorer = self._learn()
+
+    def _learn(self) -> Scorer:
+        models = []
+        for x, (more, target, weight) in zip(self.views, self.lent):
+            models.append(Logistic(np.vstack((x[self.fitted], more)), np.concatenate((self.y[self.fitted], target)), np.concatenate((np.ones(self.fitted.sum()), weight))))
+        y = self.y[self.check]
+        calibrated = [Logistic(m.logit(x[self.check])[:, None], y) for m, x in zip(models, self.views)]
+        scorer = Scorer(models, calibrated, None)
+        both = np.stack([scorer.view(v, x[self.check]) for v, x in enumerate(self.views)], axis=1)
+        scorer.join = Logistic(both, y)
+        loss = lambda p: float(-np.mean(np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-9, 1))))
+        scores = scorer.score(*(x[self.check] for x in self.views))
+        self.history.append({"lent": (len(self.lent[1][1]), len(self.lent[0][1])), "weight": tuple(float(w[2].mean()) if len(w[2]) else 0.0 for w in (self.lent[1], self.lent[0])), "loss": tuple(map(loss, scores))})
+        return scorer
+
+    def weigh(self, p: np.ndarray) -> np.ndarray:
+        """What a probability tells beyond the share of good documents, of WEIGHT."""
+        return WEIGHT * np.clip(1 - entropy(p) / max(float(entropy(np.array(self.prior))), 1e-9), 0, 1)
+
+    def exchange(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """rows[v]: features for the other view, and view v's probabilities."""
+        for v, (x, p) in enumerate(rows):
+            old = self.lent[1 - v]
+            self.lent[1 - v] = (np.vstack((old[0], x)), np.concatenate((old[1], p)), np.concatenate((old[2], self.weigh(p))))
+        self.scorer = self._learn()
+
+
 def _features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Both views as 32-bit floats in bytes, which the driver gathers compactly."""
 
@@ -157,23 +180,56 @@ def _inputs() -> list[F.Column]:
     return [F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("double")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> CoTrained | None:
-    """None where the labelled documents don't have both classes."""
+def _gather(docs: DataFrame, keep: list[str]) -> pd.DataFrame:
+    """Features of the documents, one row of each key: rows that share an id or
+    all inputs are as many as they like, the smallest features stand for them."""
+    return _features(docs, keep).groupBy(*keep).agg(F.min(F.struct("t", "m")).alias("f")).select(*keep, "f.t", "f.m").toPandas()
+
+
+def surest(pool: DataFrame, gone: list[int], by: str, prior: float, most: int) -> list[tuple[int, float]]:
+    """(k, p, ...) -> the `most` rows that the view `by` is surest of, in the
+    labels' proportion and on their side of their share; ties by a hash."""
+    free = pool.where(~F.col("k").isin(gone)) if gone else pool
+    good = max(1, round(most * prior))
+    sure = F.round(by, 3)
+    top = free.where(F.col(by) > prior).orderBy(F.desc(sure), F.xxhash64("k"), "k").limit(good)
+    low = free.where(F.col(by) < prior).orderBy(sure, F.xxhash64("k"), "k").limit(max(1, most - good))
+    return [(r.k, r.p) for r in top.unionByName(low).select("k", F.col(by).alias("p")).collect()]  # `most` rows
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rounds: int = ROUNDS, lent: int = LENT) -> CoTraining | None:
+    """None where the labelled documents don't have both classes. Labels without
+    an id or other than 0 and 1 take no part; of documents that share a labelled
+    id one stands for all. Documents equal in all inputs are lent once."""
     docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    marks = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y in (0, 1)")
-    chosen = marks.orderBy(F.xxhash64("id"), "id", "y").limit(LABELLED)
-    known = _features(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")), ["id", "y"]).toPandas()  # LABELLED rows
+    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y in (0, 1)")
+    chosen = marks.distinct().orderBy(F.xxhash64("id"), "id", "y").limit(LABELLED)
+    known = _gather(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")), ["id", "y"])  # LABELLED rows
     if known.y.nunique() < 2:
         return None
     known = known.assign(h=[xxhash.xxh3_64_intdigest(str(i)) for i in known.id]).sort_values(["h", "id", "y"])
-    share = min(1.0, 1.1 * UNLABELLED / max(1, docs.count()))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).limit(UNLABELLED)
-    others = _features(drawn.join(F.broadcast(chosen.select("id")), F.col("doc_id") == F.col("id"), "left_anti"), ["doc_id"]).toPandas().sort_values("doc_id")  # UNLABELLED rows at most
     stack = lambda s, n: np.frombuffer(b"".join(s), np.float32).reshape(-1, n)
-    return CoTrained((stack(known.t, TEXT_FEATURES), stack(known.m, META_FEATURES), known.y.to_numpy()), (stack(others.t, TEXT_FEATURES), stack(others.m, META_FEATURES)))
-
-
-def score_documents(docs: DataFrame, model: CoTrained | None) -> DataFrame:
+    model = CoTraining(stack(known.t, TEXT_FEATURES), stack(known.m, META_FEATURES), known.y.to_numpy())
+    key = F.xxhash64(*_inputs())
+    handed: list[list[int]] = [[], []]
+    for _ in range(rounds):
+        judged = score_documents(docs.select("*", key.alias("k")), model).select("doc_id", "k", F.col("text_score").alias("p0"), F.col("meta_score").alias("p1"))
+        unknown = judged.join(marks.select("id"), F.col("doc_id") == F.col("id"), "left_anti")
+        pool = materialize(unknown.groupBy("k").agg(F.min("p0").alias("p0"), F.min("p1").alias("p1")))
+        picked = [surest(pool, handed[v], f"p{v}", model.prior, lent) for v in (0, 1)]
+        remove(pool)
+        wanted = docs.sparkSession.createDataFrame([(k,) for k in sorted({k for some in picked for k, _ in some})], "k long")  # 2 * LENT rows
+        got = _gather(docs.withColumn("_k", key).join(F.broadcast(wanted), F.col("_k") == F.col("k")), ["k"]).set_index("k")  # 2 * LENT rows
+        rows = []
+        for v, (column, width) in enumerate((("m", META_FEATURES), ("t", TEXT_FEATURES))):
+            ks = [k for k, _ in picked[v]]
+            rows.append((stack(got[column].loc[ks], width) if ks else np.zeros((0, width), np.float32), np.array([p for _, p in picked[v]])))
+            handed[v] += ks
+        model.exchange(rows)
+    return model
+
+
+def score_documents(docs: DataFrame, model: CoTraining | None) -> DataFrame:
     """The input with columns text_score, meta_score and score, each 0 to 1 (1 is
     good). Null texts and metadata have features of their own; an empty text is
     scored like any other. Without a model every score is 1. Input columns of
@@ -181,7 +237,7 @@ def score_documents(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text_score", "meta_score", "score")))
     if model is None:
         return docs.select("*", *(F.lit(1.0).alias(c) for c in ("text_score", "meta_score", "score")))
-    send = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
+    send = docs.sparkSession.sparkContext.broadcast(model.scorer)  # a fixed number of weights
 
     @F.pandas_udf("struct<a:double,b:double,c:double>")
     def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -669,6 +669,67 @@ def test_quality_edge_cases(spark):
     assert quality.score_documents(docs(spark, EDGE), model).count() == len(EDGE) and quality.score_documents(docs(spark, []), model).count() == 0
 
 
+def test_the_surest_of_a_view(spark):
+    r = random.Random(5)
+    rows = [(k, round(r.random(), 4), r.random()) for k in range(500)]
+    pool = spark.createDataFrame(rows, "k long, p0 double, p1 double")
+    gone = [k for k, p, _ in rows if p > 0.95]
+    got = quality.surest(pool, gone, "p0", 0.7, 50)
+    free = {k: p for k, p, _ in rows if k not in gone}
+    order = sorted(free, key=lambda k: free[k])
+    assert len(got) == 50 and dict(got).keys().isdisjoint(gone) and all(free[k] == p for k, p in got)
+    near = lambda a, b: all(abs(x - y) <= 0.0011 for x, y in zip(sorted(a), sorted(b)))
+    assert near([p for _, p in got if p > 0.7], [free[k] for k in order[-35:]]) and near([p for _, p in got if p < 0.7], [free[k] for k in order[:15]])
+
+
+def plain_logistic(x, y, weight):
+    """Newton's method in one piece, with the same penalty and scaling."""
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    z = np.hstack(((x - mean) / scale, np.ones((len(x), 1))))
+    w, ridge = np.zeros(z.shape[1]), np.append(np.ones(x.shape[1]), 1e-6)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        step = np.linalg.solve((z.T * (weight * np.maximum(p * (1 - p), 1e-4))) @ z + np.diag(ridge), z.T @ (weight * (p - y)) + ridge * w)
+        w -= step * min(1, 5 / max(np.abs(step).max(), 1e-12))
+    return lambda q: ((q - mean) / scale) @ w[:-1] + w[-1]
+
+
+def test_a_round_equals_plain_numpy_and_helps():
+    """Two views that each know something, few labels: a round done by hand, and what rounds gain."""
+    r = np.random.default_rng(8)
+    y = (r.random(6000) < 0.6).astype(float)
+    a = y[:, None] * r.normal(0.5, 0.2, 12) + r.normal(size=(6000, 12))
+    b = y[:, None] * r.normal(0.5, 0.2, 12) + r.normal(size=(6000, 12))
+    n = 48
+    model = quality.CoTraining(a[:n], b[:n], y[:n])
+    first = [model.scorer.view(v, x[n:]) for v, x in enumerate((a, b))]
+    p = [1 / (1 + np.exp(-z)) for z in first]
+    picks = [np.argsort(-np.abs(q - model.prior))[:300] for q in p]
+    model.exchange([(b[n:][picks[0]], p[0][picks[0]]), (a[n:][picks[1]], p[1][picks[1]])])
+    fit, check = np.arange(n) % 4 != 3, np.arange(n) % 4 == 3
+    h = lambda q: -(q * np.log(q) + (1 - q) * np.log(1 - q))
+    for v, (x, other) in enumerate(((a, 1), (b, 0))):
+        q = p[other][picks[other]]
+        weight = 0.3 * np.clip(1 - h(np.clip(q, 1e-9, 1 - 1e-9)) / h(y[:n].mean()), 0, 1)
+        plain = plain_logistic(np.vstack((x[:n][fit], x[n:][picks[other]])), np.concatenate((y[:n][fit], q)), np.concatenate((np.ones(fit.sum()), weight)))
+        outer = plain_logistic(plain(x[:n][check])[:, None], y[:n][check], np.ones(check.sum()))
+        assert np.allclose(model.scorer.view(v, x[n:]), outer(plain(x[n:])[:, None]), atol=1e-3)
+    auc = lambda s, t: (s[t == 1][:, None] > s[t == 0][None]).mean()
+    rest = np.ones(6000 - n, bool)
+    rest[np.concatenate(picks)] = False
+    for v, x in enumerate((a, b)):
+        assert auc(model.scorer.view(v, x[n:][rest]), y[n:][rest]) > auc(first[v][rest], y[n:][rest]) + 0.01
+    assert model.history[-1]["lent"] == (300, 300) and min(model.history[-1]["weight"]) > 0.02
+
+
+def test_rounds_hand_over_new_rows_both_ways(spark, sf):
+    docs_, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs_, marks, lent=40)
+    assert [h["lent"] for h in model.history] == [(0, 0), (40, 40), (80, 80), (120, 120)]
+    again = quality.fit(docs_.repartition(7), marks, lent=40)
+    assert np.allclose(model.scorer.join.w, again.scorer.join.w)
+
+
 # --- 10 lines ----------------------------------------------------------------------------
 
 
