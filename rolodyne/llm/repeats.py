@@ -6,11 +6,13 @@ cuts into the same passage wherever it stands. A passage copied into the middle
 of another text thus shares all units but the two at its ends. Units are
 normalised (lower case, single spaces, no punctuation at the ends) and hashed;
 digests are grouped over the whole table, and the earliest occurrence of each, by
-document id and offset, stays. Later ones are taken out where they stand in a
-run of RUN words at least, so that common short sentences survive. Units of
-fewer than UNIT words are too common to be told by their own words: they are
-hashed with what follows them, and end a run like any other unit unless they are
-repeats themselves. Characters of scripts without blanks count as half a word.
+document id and offset, stays. Later ones are taken out, all of them with run=1;
+with a larger `run` only where repeated units follow each other without a gap and
+have so many words together, so that common short sentences and license lines
+survive (RUN is what the query and the pipeline take). Units of fewer than UNIT
+words are too common to be told by their own words: they are hashed with what
+follows them, and end a run like any other unit unless they are repeats
+themselves. Characters of scripts without blanks count as half a word.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table, rekey, slices
 
-UNIT, RUN, LONG, EVERY = 4, 16, 32, 12
+UNIT, RUN, AHEAD, LONG, EVERY = 4, 24, 16, 32, 8
 #: Of scripts without blanks so many characters count as a word, and of anything this many.
 DENSE_CHARS, WORD_CHARS = 2, 24
 NO_ID = (1 << 63) - 1
@@ -48,7 +50,7 @@ def _count(piece: str, words: int, dense: bool) -> int:
 def units(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, words, digest) of all units with a word; offsets are code
     points of the text, and blanks around a unit belong to it. The digest of a
-    unit of fewer than UNIT words also covers what follows it, up to RUN words."""
+    unit of fewer than UNIT words also covers what follows it, up to AHEAD words."""
     found, at = [], 0
     dense = _dense.search(text) is not None
     ends = [m.end() for m in _end.finditer(text)]
@@ -72,12 +74,12 @@ def units(text: str) -> list[tuple[int, int, int, int]]:
     for k, (start, end, n, norm) in enumerate(found):
         if n < UNIT:
             have, parts = n, [norm]
-            for _, _, more, then in found[k + 1 : k + 1 + RUN]:
-                if have >= RUN:
+            for _, _, more, then in found[k + 1 : k + 1 + AHEAD]:
+                if have >= AHEAD:
                     break
                 have += more
                 parts.append(then)
-            norm = "\n".join(parts) + "\n" * (1 + (have < RUN))
+            norm = "\n".join(parts) + ("\n." if have < AHEAD else "\n,")  # ends no part has
         out.append((start, end, n, xxhash.xxh3_128_intdigest(norm.encode("utf-8", "surrogatepass"))))
     return out
 
@@ -103,13 +105,15 @@ def _unit_rows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "o long, th long, k int, start int, end int, words int, h long, g long")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
-    """-> (o, th, start, end, words, units, kept_id, kept_start): the spans to
-    take out, each with the place where its first unit stays. Spans of a document
-    don't overlap. A document's own repetitions count too. Rows with equal id
-    and text are one document; null texts have no spans; null ids rank last."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 1) -> DataFrame:
+    """-> (o, th, start, end, words, units, kept_id, kept_start, links): the spans
+    to take out, each with the place where its first unit stays, and in links
+    (start, kept_id, kept_start) of every unit of it, in order. Spans of a
+    document don't overlap. A document's own repetitions count too. Rows with
+    equal id and text are one document; null texts have no spans; null ids rank
+    last. Units are cut twice rather than kept: they take more room than texts."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("o"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    found = materialize(_unit_rows(rows))
+    found = _unit_rows(rows)
     place = F.struct("o", "th", "start")
     first = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(rekey("h").alias("fh"), F.col("g").alias("fg"), "first")
     # two ints to a long: they travel twice
@@ -121,15 +125,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_doc = Window.partitionBy("o", "th").orderBy("kw")
     once = later.dropDuplicates(["o", "th", "kw"])
     island = once.withColumn("island", high("kw") - F.row_number().over(by_doc))
-    spans = island.groupBy("o", "th", "island").agg(F.min(high("at")).alias("start"), F.max(low("at")).alias("end"), F.sum(low("kw")).alias("words"), F.count(F.lit(1)).alias("units"), F.min_by(F.struct(F.col("fo").alias("o"), F.col("fs").alias("start")), "kw").alias("first"))
-    return spans.where(F.col("words") >= run).select("o", "th", "start", "end", "words", "units", F.col("first.o").alias("kept_id"), F.col("first.start").alias("kept_start"))
+    link = F.struct(high("at").alias("start"), F.when(F.col("fo") != NO_ID, F.col("fo")).alias("kept_id"), F.col("fs").alias("kept_start"))
+    spans = island.groupBy("o", "th", "island").agg(F.min(high("at")).alias("start"), F.max(low("at")).alias("end"), F.sum(low("kw")).alias("words"), F.count(F.lit(1)).alias("units"), F.array_sort(F.collect_list(link)).alias("links"))
+    spans = spans.where(F.col("words") >= run)
+    return spans.select("o", "th", "start", "end", "words", "units", F.col("links")[0].kept_id.alias("kept_id"), F.col("links")[0].kept_start.alias("kept_start"), "links")
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 1) -> DataFrame:
     """The input with repeated spans cut out of the text, and a column
     spans_removed (array of start, end in the original text). Rows are never
     dropped; a text may end up empty. An input column spans_removed is replaced."""
-    spans = materialize(repeated_spans(docs, id_col, text_col, run))
+    spans = materialize(repeated_spans(docs, id_col, text_col, run).select("o", "th", "start", "end"))
     cut = spans.groupBy("o", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut"))
     cut = cut.select(rekey("o").alias("co"), F.col("th").alias("cth"), "cut")
     names = [c for c in docs.columns if c.lower() != "spans_removed"]
@@ -146,6 +152,5 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op1_substrings(spark, sf_dir):
-    spans = repeated_spans(read_table(spark, sf_dir, "documents"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return spans.select(real("o").alias("doc_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), "words", "units", real("kept_id").alias("kept_doc_id"), F.col("kept_start").alias("kept_start"))
+    spans = repeated_spans(read_table(spark, sf_dir, "documents"), run=RUN)
+    return spans.select(F.when(F.col("o") != NO_ID, F.col("o")).alias("doc_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), "words", "units", F.col("kept_id").alias("kept_doc_id"), "kept_start", "links")

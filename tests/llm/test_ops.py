@@ -844,8 +844,59 @@ def test_short_lines_take_part(spark):
 # --- 1 repeats -----------------------------------------------------------------------------
 
 
-def brute_spans(texts, ids):
-    first, found = {}, {i: repeats.units(t or "") for i, t in zip(ids, texts)}
+NO_BLANKS = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+
+
+def plain_size(piece):
+    if not piece.split():
+        return 0
+    dense = len(re.findall(NO_BLANKS, piece))
+    return max(len(re.sub(NO_BLANKS, " ", piece).split()) + (dense + 1) // 2, len(piece) // 24)
+
+
+def plain_units(text):
+    """(start, end, words, what is hashed), cut one character or word at a time."""
+    pieces, start = [], 0
+    for k, c in enumerate(text):
+        after = text[k + 1 : k + 2]
+        mark = c in ".!?;:" and (after.isspace() and after != "")
+        wide = c in "。！？；：｡" and after not in list("。！？；：｡")
+        if c == "\n" or mark or wide:
+            pieces.append((start, k + 1))
+            start = k + 1
+    if start < len(text) or not pieces:
+        pieces.append((start, len(text)))
+    cut = []
+    for s, e in pieces:
+        size = plain_size(text[s:e])
+        if size <= 32:
+            cut += [(s, e)] if size else []
+            continue
+        words, at = [], s
+        for m in re.finditer(f"{NO_BLANKS}|[^\\s]+?(?={NO_BLANKS}|\\s|$)", text[s:e]):
+            words.append((m.group(), s + m.end()))
+        for w, end in words:
+            if zlib.crc32(w.lower().encode()) % 8 == 0:
+                cut.append((at, end))
+                at = end
+        if text[at:e].split():
+            cut.append((at, e))
+    ends = " \t.,;:!?\"'()[]|*#$%&-–—。，、；：！？「」『』（）"
+    plain = [" ".join(text[s:e].split()).lower().strip(ends) for s, e in cut]
+    out = []
+    for k, (s, e) in enumerate(cut):
+        n, what = plain_size(text[s:e]), (plain[k],)
+        if n < 4:
+            total, j = n, k + 1
+            while total < 16 and j < len(cut) and j <= k + 16:
+                total, what, j = total + plain_size(text[cut[j][0] : cut[j][1]]), (*what, plain[j]), j + 1
+            what = ("short", *what, total < 16)
+        out.append((s, e, n, what))
+    return out
+
+
+def brute_spans(texts, ids, least=24):
+    first, found = {}, {i: plain_units(t or "") for i, t in zip(ids, texts)}
     for i in ids:
         for s, _, _, h in found[i]:
             first.setdefault(h, (i, s))
@@ -856,15 +907,35 @@ def brute_spans(texts, ids):
             if u and first[u[3]] != (i, u[0]):
                 run.append(u)
                 continue
-            if run and sum(x[2] for x in run) >= repeats.RUN:
-                spans.add((i, run[0][0], run[-1][1], *first[run[0][3]]))
+            if run and sum(x[2] for x in run) >= least:
+                spans.add((i, run[0][0], run[-1][1], *first[run[0][3]], tuple((x[0], *first[x[3]]) for x in run)))
             run = []
     return spans
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab  .!;\n。漢ก,'\t"), max_size=60), st.integers(1, 40))
+def test_units_equal_a_plain_form(text, times):
+    for t in (text, text * times):
+        got, want = repeats.units(t), plain_units(t)
+        assert [u[:3] for u in got] == [u[:3] for u in want]
+        assert len({u[3] for u in got}) == len({u[3] for u in want}) == len({(a[3], b[3]) for a, b in zip(got, want)})
+
+
 def test_repeats_query(spark, sf, table):
     got = registry.queries()["op1_substrings"](spark, sf).toPandas()
-    assert {tuple(r) for r in got[["doc_id", "span_start", "span_end", "kept_doc_id", "kept_start"]].itertuples(index=False)} == brute_spans(table.text, table.doc_id.tolist())
+    rows = {(r.doc_id, r.span_start, r.span_end, r.kept_doc_id, r.kept_start, tuple(tuple(x.values()) for x in r.links)) for r in got.itertuples()}
+    assert rows == brute_spans(table.text, table.doc_id.tolist())
+
+
+def test_every_later_unit_goes_by_default(spark, table):
+    r = random.Random(11)
+    texts = [*table.text.tolist()[:60], "nine words are in this line that is repeated\nshort one", "nine words are in this line that is repeated\nshort two"]
+    texts += ["\n".join(r.choice(["a line of five words", "另一行汉字在这里", "x", "short one", "and a sentence. Then more of it."]) for _ in range(6)) for _ in range(20)]
+    got = {(x.o, x.start, x.end) for x in repeats.repeated_spans(docs(spark, texts)).collect()}
+    assert got == {x[:3] for x in brute_spans(texts, range(len(texts)), 1)}
+    cut = {x.doc_id: x.text for x in repeats.drop_repeats(docs(spark, texts)).collect()}
+    assert cut[61] == "short two"
 
 
 def test_passage_in_the_middle_is_found(spark):
@@ -874,7 +945,7 @@ def test_passage_in_the_middle_is_found(spark):
     bare = " ".join(word() for _ in range(120))
     passage = prose(8)
     texts = [prose(6) + " and then " + passage + " so on " + prose(5), prose(7), prose(3) + " but " + passage + " ends", word() + " " + bare, prose(2) + " x " + bare]
-    out = {x.doc_id: x for x in repeats.drop_repeats(docs(spark, texts)).collect()}
+    out = {x.doc_id: x for x in repeats.drop_repeats(docs(spark, texts), run=repeats.RUN).collect()}
     assert out[0].text == texts[0] and out[1].text == texts[1] and passage not in out[2].text and len(out[2].text) < len(texts[2]) - 0.8 * len(passage)
     assert out[3].text == texts[3] and len(out[4].text) < len(texts[4]) - 0.5 * len(bare)
     for x in out.values():
@@ -891,6 +962,13 @@ def test_repeats_edge_cases(spark):
     assert sorted((x.doc_id or -1, x.text) for x in twice) == [(-1, ""), (5, long), (5, long)]
 
 
+def test_repeats_of_null_and_repeated_ids(spark):
+    a, b = "this sentence stands in several rows of the table.", "and this one only in two of its rows, or so."
+    texts, ids = [a, b + " " + a, "own words here.", a, b, None, ""], [None, None, 4, 4, 9, 9, None]
+    got = sorted(((x.doc_id, x.text) for x in repeats.drop_repeats(docs(spark, texts, ids)).collect()), key=str)
+    assert got == sorted([(None, ""), (None, ""), (4, "own words here."), (4, a), (9, b), (9, None), (None, "")], key=str)
+
+
 def test_unique_short_lines_between_repeats_stay(spark):
     a, b = "the first sentence has ten words and it is repeated.", "another sentence of ten words that is also repeated here."
     lists = "\n".join(f"item{k} {k}" for k in range(1000))
