@@ -4,16 +4,21 @@ A text is cut where a space begins a word (no piece of such a vocabulary holds
 a space after another character, which is checked), the distinct words of a
 batch are laid out as flat symbol arrays, and in each round every word merges
 its best-ranked pair wherever it stands, leftmost first; finished words leave
-the arrays. Ids equal those of the sentencepiece library for models with
+the arrays. As rounds grow with the length of a word, words are cut beforehand
+wherever no piece holds the two characters that meet there: no merge can cross
+such a place, so that text without spaces falls into short words, too. What is
+not finished after ROUNDS rounds, such as a short pattern repeated a hundred
+thousand times, is merged pair by pair from a heap. Ids equal those of the sentencepiece library for models with
 identity normalisation, a dummy prefix, no whitespace removal and byte
 fallback; other models are refused when loaded.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import read_table, slices
 
 SPACE, NONE = "▁", np.int32(2**31 - 1)
-#: Encoded words a worker remembers between batches.
-REMEMBERED = 300_000
+#: Encoded words, and ids of them, that a worker remembers between batches.
+REMEMBERED, REMEMBERED_IDS = 300_000, 4_000_000
+ROUNDS = 400
 
 
 class _Table:
@@ -126,6 +132,8 @@ class PieceCodec:
             self.simple[part] = r > part
         self.pairs = _Table(np.array(keys, np.int64), np.array(values, np.int32))
         chars = {ord(p): r for p, r in rank.items() if len(p) == 1}
+        meet = {(rank[a] << 22) | rank[b] for p in rank for a, b in zip(p, p[1:]) if a in rank and b in rank}
+        self.meeting = _Table(np.array(sorted(meet), np.int64), np.zeros(len(meet), np.int32))
         self.char = np.arange(0x110000, dtype=np.int32) + np.int32(n)
         self.char[list(chars)] = list(chars.values())
         raw = [bytes([int(pieces[i][1:-1], 16)]) if sp.is_byte(i) else b"" if i in special else pieces[i].replace(SPACE, " ").encode() for i in range(n)]
@@ -152,10 +160,22 @@ class PieceCodec:
         """Words (each preceded by a space) -> ids of all, number of ids of each."""
         lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
         points = np.frombuffer((SPACE + SPACE.join(words)).encode("utf-32-le"), np.uint32)
-        sym, word = self.char[points], np.repeat(np.arange(len(words)), lens)
+        sym, real = self.char[points], np.repeat(np.arange(len(words)), lens)
+        # what is merged by itself: the stretches between places that no piece crosses
+        apart = np.ones(len(sym), bool)
+        apart[1:] = (real[1:] != real[:-1]) | (self.meeting.get((sym[:-1].astype(np.int64) << 22) | sym[1:]) == NONE)
+        word, real = np.cumsum(apart) - 1, real[apart]
         rank = self._rank(sym, word, np.arange(len(sym)))
-        done_sym, done_word = [], []
+        done_sym, done_word, rounds = [], [], 0
         while len(sym):
+            rounds += 1
+            if rounds > ROUNDS:
+                starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
+                rest = [self._finish(sym[s:e].tolist()) for s, e in zip(starts, starts[1:])]
+                done_word.append(np.repeat(word[starts[:-1]], list(map(len, rest))))
+                sym = np.array(list(chain.from_iterable(rest)), np.int32)
+                done_sym.append(sym)
+                break
             starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             sizes = np.diff(np.append(starts, len(word)))
             best = np.minimum.reduceat(rank, starts)
@@ -188,9 +208,32 @@ class PieceCodec:
             before = here[here > 0] - 1
             touched = np.concatenate((here, before))
             rank[touched] = self._rank(sym, word, touched)
-        sym, word = np.concatenate(done_sym or [sym]), np.concatenate(done_word or [word])
+        sym, word = (np.concatenate(done_sym), np.concatenate(done_word)) if done_sym else (sym, word)
         order = np.argsort(word, kind="stable")
-        return self._emit(sym[order], word[order], len(words))
+        return self._emit(sym[order], real[word[order]], len(words))
+
+    @cached_property
+    def _pair_rank(self) -> dict[int, int]:
+        full = self.pairs.keys != -1
+        return dict(zip(self.pairs.keys[full].tolist(), self.pairs.values[full].tolist()))
+
+    def _finish(self, sym: list[int]) -> list[int]:
+        """Merge one word's symbols pair by pair, the best rank first, then from the left."""
+        rank, n = self._pair_rank, len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank[key], k) for k in range(n - 1) if (key := (sym[k] << 22) | sym[k + 1]) in rank]
+        heapq.heapify(heap)
+        while heap:
+            best, k = heapq.heappop(heap)
+            if sym[k] < 0 or (m := after[k]) >= n or rank.get((sym[k] << 22) | sym[m]) != best:
+                continue  # what stood here has been merged since
+            sym[k], sym[m], after[k] = best, -1, after[m]
+            if after[k] < n:
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and after[left] < n and (new := rank.get((sym[left] << 22) | sym[after[left]])) is not None:
+                    heapq.heappush(heap, (new, left))
+        return [x for x in sym if x >= 0]
 
     def _rank(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.full(len(at), NONE, np.int32)
@@ -240,7 +283,7 @@ class PieceCodec:
         split = [self.words(t or "") for t in texts]
         flat_words = list(chain.from_iterable(split))
         fresh = [w for w in dict.fromkeys(flat_words) if w not in memory]
-        if len(memory) + len(fresh) > REMEMBERED:
+        if len(memory) + len(fresh) > REMEMBERED or sum(map(len, self._ids)) > REMEMBERED_IDS:
             memory.clear()
             self._ids, self._lens = [], []
             fresh = list(dict.fromkeys(flat_words))
@@ -299,7 +342,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """-> (id_col, ids array<int>, decoded string), one row per input row.
 
     Null texts count as empty: no ids, an empty decoded text. Repeated rows and
-    ids are kept. `model` names a file of the tokenizer package, which every
+    ids are kept, and texts of any length, with or without spaces, are encoded
+    whole. `model` names a file of the tokenizer package, which every
     worker has; words a worker has encoded are remembered up to REMEMBERED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

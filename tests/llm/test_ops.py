@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -201,6 +202,24 @@ def test_pieces_of_vocabulary_mixes(library):
     same(library, [*EDGE, " " * 1000 + "x", "ab" * 4000, " ".join("a" * k for k in range(60))])
 
 
+def test_pieces_finished_by_a_heap(library, monkeypatch):
+    monkeypatch.setattr(pieces, "ROUNDS", 2)
+    r = random.Random(14)
+    vocabulary = [library.id_to_piece(i).replace("▁", " ") for i in range(259, 32000)]
+    pieces.codec.cache_clear()
+    same(library, ["".join(r.choices(vocabulary, k=8)) for _ in range(500)] + ["aab" * 50, "ab" * 70, "aaaa" * 33])
+    pieces.codec.cache_clear()
+
+
+def test_pieces_of_long_unspaced_texts(library, table):
+    r = random.Random(9)
+    million = 1_000_000
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(million)), "".join(table.text).replace(" ", "").replace("\n", "")[:million], "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(million // 3)), "ab" * 100_000, "aab" * 100_000]
+    began = time.perf_counter()
+    same(library, texts)
+    assert time.perf_counter() - began < 120
+
+
 def test_pieces_query(spark, sf, table, library):
     got = registry.queries()["op3_sentencepiece"](spark, sf).toPandas().set_index("doc_id")
     assert len(got) == len(table)
