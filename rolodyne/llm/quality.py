@@ -7,8 +7,9 @@ without a label; each view then hands those LENT documents to the other one that
 it is surest of and hasn't handed over yet, in the labels' proportion, as further
 training rows. What a view is surest of is relative to what the labels alone say:
 a lent row carries the view's probability as its target and weighs as much as
-that probability tells more than the share of good documents does, so that a view
-that knows little teaches little. The views are then calibrated and combined on
+that probability tells more than the share of good documents does. Views that
+tell less than a quarter of what there is to know about the documents set aside
+weigh less in proportion, so that one that knows nothing teaches nothing. The views are then calibrated and combined on
 labelled documents set aside, and the combination scores every document over its
 whole text.
 
@@ -150,18 +151,20 @@ class CoTraining:
         scorer.join = Logistic(both, y)
         loss = lambda p: float(-np.mean(np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-9, 1))))
         scores = scorer.score(*(x[self.check] for x in self.views))
+        blind = max(float(entropy(np.array(y.mean()))), 1e-9)
+        self.gain = [min(1.0, 4 * max(0.0, 1 - loss(p) / blind)) for p in scores[:2]]
         self.history.append({"lent": (len(self.lent[1][1]), len(self.lent[0][1])), "weight": tuple(float(w[2].mean()) if len(w[2]) else 0.0 for w in (self.lent[1], self.lent[0])), "loss": tuple(map(loss, scores))})
         return scorer
 
-    def weigh(self, p: np.ndarray) -> np.ndarray:
-        """What a probability tells beyond the share of good documents, of WEIGHT."""
-        return WEIGHT * np.clip(1 - entropy(p) / max(float(entropy(np.array(self.prior))), 1e-9), 0, 1)
+    def weigh(self, v: int, p: np.ndarray) -> np.ndarray:
+        """What a view's probabilities tell beyond the share of good documents, of WEIGHT."""
+        return WEIGHT * self.gain[v] * np.clip(1 - entropy(p) / max(float(entropy(np.array(self.prior))), 1e-9), 0, 1)
 
     def exchange(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """rows[v]: features for the other view, and view v's probabilities."""
         for v, (x, p) in enumerate(rows):
             old = self.lent[1 - v]
-            self.lent[1 - v] = (np.vstack((old[0], x)), np.concatenate((old[1], p)), np.concatenate((old[2], self.weigh(p))))
+            self.lent[1 - v] = (np.vstack((old[0], x)), np.concatenate((old[1], p)), np.concatenate((old[2], self.weigh(v, p))))
         self.scorer = self._learn()
 
 

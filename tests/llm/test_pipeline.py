@@ -49,3 +49,23 @@ def test_stages_equal_brute_force(stages, sf):
 
 def test_run(spark, sf, stages):
     assert C.run(spark, sf).count() == len(stages[-1])
+
+
+def test_stages_of_odd_rows(spark, sf):
+    """Nulls everywhere, repeated and missing ids, and columns called like the operators' own."""
+    line = "this line is repeated in several of the documents, word by word"
+    rows = [(None, "one text without an id", None, None, None), (None, "quite another one without an id", "en", "s", 1), (None, None, None, None, None), (-7, None, "en", None, 3), (-7, "", "en", "s", 0), (-5, f"{line}\nfirst tail of it", "en", "s", 9), (-5, f"{line}\nthe second tail has more", "en", "s", 9), (-4, "word " * 30000, "xx", "s", 150000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["score", "text_score", "lines_removed", "spans_removed", "_row", "o", "fp", "k", "cut"]
+    docs = docs.select("*", *(C.F.lit(f"own {n}").alias(n) for n in names))
+    for name, stage in C.STAGES[:4]:
+        got = C.materialize(stage(spark, docs, sf))
+        assert got.columns == docs.columns and got.schema["n_chars"].dataType == docs.schema["n_chars"].dataType, name
+        out = got.toPandas()
+        assert all((out[n] == f"own {n}").all() for n in names), name
+        if name == "line dedup":
+            assert len(out) == len(rows) and sorted(out.text.dropna())[0] == "" and "the second tail has more" in set(out.text)
+        if name == "simhash near-dedup":
+            assert len(out) == 6 and out.text.notna().sum() >= 5
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    assert C.STAGES[4][1](spark, docs, sf).where("doc_id = -4").count() > 20
