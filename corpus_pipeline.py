@@ -15,37 +15,51 @@ from rolodyne.llm import lines, packing, quality, repeats, simhash
 from rolodyne.llm.common import intermediate, materialize, read_table, tune
 
 
-def _columns(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    return changed.select(*(F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+def _apart(docs: DataFrame, inputs: list[str]) -> DataFrame:
+    """The text and the other inputs of an operator, and all columns but the text
+    in one, so that whatever they are called they can't clash with its own."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row")
+    return docs.select("text", *inputs, row)
+
+
+def _together(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    size = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return changed.select(*(F.col("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
+    """Documents that the co-trained classifier rejects go. Null and empty texts
+    and null metadata are judged like any others; repeated rows alike. Without
+    labels of both classes all documents stay."""
     tune(spark)
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).where("score >= 0.5").select(*docs.columns)
+    scored = quality.score_documents(_apart(docs, ["source", "lang", "n_chars"]), model).where("score >= 0.5")
+    return scored.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal and nearly equal lines the earliest stays."""
+    """Of equal and nearly equal lines the earliest stays. No document goes; a
+    text may end up empty, a null one stays null. Rows without an id come last."""
     tune(spark)
-    return _columns(lines.dedup_lines(docs), docs)
+    return _together(lines.dedup_lines(_apart(docs, ["doc_id"])), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each SimHash group stays, and of those without a word one.
+    Rows are judged by their texts, whether or not they share an id or have none."""
     tune(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out."""
+    """Passages of repeats.RUN words and more that an earlier document holds are
+    cut out. No document goes; a null text stays null."""
     tune(spark)
-    return _columns(repeats.drop_repeats(docs), docs)
+    return _together(repeats.drop_repeats(_apart(docs, ["doc_id"]), run=repeats.RUN), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 1024."""
+    """Token sequences of 1024. Every document takes part; a null text is empty."""
     tune(spark)
     return packing.pack(docs)
 
