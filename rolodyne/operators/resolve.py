@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,21 +67,43 @@ def duplicates(contacts: DataFrame, threshold: float = 80.0) -> DataFrame:
     return best.select("a", "b", "m.match_type", "m.confidence", "m.detail")
 
 
+#: Letters from rare to frequent; other characters come before them. Any order gives the same pairs.
+RARE_FIRST = "qzxjkvbpygfwmuclhdrsnitoae "
+
+
+def rare_characters(c: Column, least: float) -> Column:
+    """The characters of a name, numbered where they repeat, that a name of at
+    least `least` percent ratio must share one of: two names share so many
+    characters that they meet among each one's rarest few (prefix filter)."""
+    chars = F.array_sort(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.struct(F.instr(F.lit(RARE_FIRST), x).alias("o"), x.alias("x"))))
+    with_number = F.transform(chars, lambda x, i: F.concat(x.x, (i - F.array_position(chars, x)).cast("string")))
+    needed = F.ceil(F.length(c) * least / (200.0 - least)).cast("int")
+    return F.slice(with_number, 1, F.greatest(F.length(c) - needed + 1, F.lit(1)))
+
+
+def near_names(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Distinct names a (na), b (nb) -> every pair whose plain or token-sorted
+    ratio can reach the threshold, by lengths and shared rare characters alone."""
+    if not 0 < threshold <= 100:
+        raise ValueError("a threshold above 0 and up to 100")
+    left = a.where("na <> ''").select("na", F.explode(rare_characters(F.col("na"), threshold)).alias("x"))
+    right = b.where("nb <> ''").select("nb", F.explode(rare_characters(F.col("nb"), threshold)).alias("y"))
+    return left.join(right, (F.col("x") == F.col("y")) & (ratio_bound(F.col("na"), F.col("nb")) >= threshold)).select("na", "nb").distinct()
+
+
 def scored_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, company: float = 75.0, block: int | None = None) -> DataFrame:
     """left (id, name, org), right (key, name, org) -> (id, key, score): the better
     of plain and token-sorted ratio, 15 more for a similar company, 100 at most.
-    `block` limits pairs to equal first letters; without it, right must be small:
-    it is the list that was given."""
+    Empty names match nothing. Without a block every pair that can reach the
+    threshold is compared, whatever its word order; `block` limits pairs to equal
+    first letters and loses the others."""
     a = left.select("id", compare_key(F.col("name")).alias("na"), compare_key(text("org")).alias("oa"))
     b = right.select("key", compare_key(F.col("name")).alias("nb"), compare_key(text("org")).alias("ob"))
     da, db = a.select("na").distinct(), b.select("nb").distinct()
     if block:
         pairs = da.withColumn("blk", F.left("na", F.lit(block))).join(db.withColumn("blk", F.left("nb", F.lit(block))), "blk")
     else:
-        size = db.count()
-        if size > 10_000:
-            raise ValueError(f"{size} names to compare with every row; give a block size")
-        pairs = da.join(F.broadcast(db.groupBy().agg(F.collect_list("nb").alias("list"))), F.lit(True)).select("na", F.explode("list").alias("nb"))
+        pairs = near_names(da, db, threshold)
     near = pairs.withColumn("score", fast_name_ratio("na", "nb")).where(F.col("score") >= threshold)
     full = a.join(near, "na").join(b, "nb")
     bonus = F.when((F.col("oa") != "") & (F.col("ob") != ""), F.when(fast_ratio("oa", "ob") >= company, 15.0)).otherwise(0.0)
@@ -93,25 +117,53 @@ def best_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, com
     return scored.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("id", "key", F.round("score", 2).alias("score"))
 
 
-def assign_one_to_one(scored: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, key, score) candidates -> each id and each key at most once. Rounds of
-    mutual best: a pair is fixed when each is the other's best among what is left
-    (ties to smaller id and key). Differs from a pass in input order only where
-    that pass would give a key to an earlier, worse row. Every round fixes the
-    best pair left, so it ends; results are checkpointed by round."""
-    context = scored.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # only without a cluster; there spark.checkpoint.dir names it
-        context.setCheckpointDir(scored.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rolodyne-"))
-    left, fixed = scored.select("id", "key", "score"), None
-    for _ in range(rounds):
-        by_id = left.groupBy("id").agg(F.max_by("key", F.struct("score", (-F.col("key")).alias("k"))).alias("key"))
-        by_key = left.groupBy("key").agg(F.max_by("id", F.struct("score", (-F.col("id")).alias("i"))).alias("id"))
+#: So few pairs are left to one task; they are a few numbers or words each.
+FEW = 100_000
+
+
+def assign_one_to_one(scored: DataFrame, first_come: bool = False, few: int = FEW) -> DataFrame:
+    """(id, key, score) candidates -> each id and each key at most once, of any
+    type that sorts. The best pair is fixed first, then the best of what is left
+    (ties to smaller id, then key); with first_come ids choose in their order,
+    each the best key that is left.
+
+    Each round fixes every pair that comes first for both its id and its key,
+    which is what a pass over all pairs in order would do. Rounds go on until
+    nothing is left; long chains of dependent pairs, once there are `few` pairs,
+    are finished in one task. Results are checkpointed by round."""
+    spark = scored.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rolodyne-"))
+    left, fixed = scored.groupBy("id", "key").agg(F.max("score").alias("score")).checkpoint(), None
+    worse = -F.col("score")
+    for_key = F.struct("id", worse) if first_come else F.struct(worse, F.col("id"))
+
+    def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in rows if b.num_rows]
+        if batches:
+            table = pa.Table.from_batches(batches)
+            pairs = list(zip(*(table.column(c).to_pylist() for c in ("id", "key", "score"))))
+            ids, keys, keep = set(), set(), []
+            for k in sorted(range(len(pairs)), key=lambda k: (pairs[k][0], -pairs[k][2], pairs[k][1]) if first_come else (-pairs[k][2], pairs[k][0], pairs[k][1])):
+                if pairs[k][0] not in ids and pairs[k][1] not in keys:
+                    ids.add(pairs[k][0])
+                    keys.add(pairs[k][1])
+                    keep.append(k)
+            yield from table.take(pa.array(keep, pa.int64())).combine_chunks().to_batches()
+
+    while True:
+        n = left.count()
+        if n <= few:
+            rest = left.coalesce(1).mapInArrow(finish, left.schema)
+            return rest if fixed is None else fixed.unionByName(rest)
+        by_id = left.groupBy("id").agg(F.min_by("key", F.struct(worse, F.col("key"))).alias("key"))
+        by_key = left.groupBy("key").agg(F.min_by("id", for_key).alias("id"))
         pairs = by_id.join(by_key, ["id", "key"]).join(left, ["id", "key"]).select("id", "key", "score").checkpoint()
-        if pairs.isEmpty():
-            break
         fixed = pairs if fixed is None else fixed.unionByName(pairs)
         left = left.join(pairs.select("id"), "id", "left_anti").join(pairs.select("key"), "key", "left_anti").checkpoint()
-    return fixed if fixed is not None else left
 
 
 def ranked_lookup(candidates: DataFrame, index: DataFrame) -> DataFrame:
@@ -174,7 +226,8 @@ def match_report(matches: DataFrame) -> DataFrame:
 def match_connections(connections: DataFrame, contacts: DataFrame, threshold: float = 85.0, block: int | None = None) -> DataFrame:
     """connections (id, name, email, org), contacts (key, seq, names array, emails
     array, org) -> (id, key, score, route): by mail address first (98, the last
-    contact that has it), else by the best of a contact's names; each contact once. A block size limits
+    contact that has it), else by the best of a contact's names; each contact
+    once, connections choosing in the order of their ids. A block size limits
     names to equal first letters and loses pairs of another word order."""
     mails = contacts.select("key", "seq", F.explode("emails").alias("e")).select("key", "seq", F.lower(F.trim("e")).alias("m")).where("m <> ''")
     owner = mails.groupBy("m").agg(F.max_by("key", "seq").alias("key"))
@@ -182,7 +235,7 @@ def match_connections(connections: DataFrame, contacts: DataFrame, threshold: fl
     open_ = connections.join(by_mail.select("id"), "id", "left_anti").select("id", "name", "org")
     free = contacts.join(by_mail.select("key"), "key", "left_anti").select("key", F.explode("names").alias("name"), "org")
     near = scored_matches(open_, free, threshold, block=block).groupBy("id", "key").agg(F.max("score").alias("score"))
-    fixed = assign_one_to_one(near)
+    fixed = assign_one_to_one(near, first_come=True)
     with_org = fixed.join(connections.select("id", compare_key(text("org")).alias("oa")), "id").join(contacts.select("key", compare_key(text("org")).alias("ob")), "key")
     alike = (F.col("oa") != "") & (F.col("ob") != "") & (fast_ratio("oa", "ob") >= 75.0)
     return by_mail.unionByName(with_org.select("id", "key", "score", F.when(alike, "company").otherwise("name").alias("route")))
@@ -191,12 +244,25 @@ def match_connections(connections: DataFrame, contacts: DataFrame, threshold: fl
 def fuzzy_participants(records: DataFrame, names: DataFrame, cutoff: float = 92.0, block: int | None = None) -> DataFrame:
     """records (record, names array), names (contact, name) -> (record, contact,
     score): the contact whose name is most alike (weighted ratio) to any of a
-    record's participants. Distinct names are compared, each with every other; a
-    block size limits them to equal first letters and loses other word orders."""
+    record's participants; ties to the smaller contact.
+
+    Above a cutoff of 90 partial ratios don't count, and a pair either shares a
+    whole word or has a plain or token-sorted ratio of the cutoff: those pairs are
+    compared, no others. Below, no index finds all pairs; a block size is needed,
+    which limits them to equal first letters."""
     asked = records.select("record", F.explode("names").alias("n")).select("record", compare_key(F.col("n")).alias("q")).where("q <> ''").distinct()
     have = names.select("contact", compare_key(F.col("name")).alias("h")).where("h <> ''")
     q, h = asked.select("q").distinct(), have.select("h").distinct()
-    pairs = q.join(h, F.left("q", F.lit(block)) == F.left("h", F.lit(block))) if block else q.crossJoin(h)
+    if block:
+        pairs = q.join(h, F.left("q", F.lit(block)) == F.left("h", F.lit(block)))
+    elif cutoff <= 90:
+        raise ValueError("a cutoff of 90 or less needs a block size")
+    else:
+        plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
+        x, y = q.select("q", plain(F.col("q")).alias("na")), h.select("h", plain(F.col("h")).alias("nb"))
+        alike = near_names(x.select("na").distinct(), y.select("nb").distinct(), cutoff)
+        words = x.select("na", F.explode(F.split("na", " ")).alias("w")).distinct().join(y.select("nb", F.explode(F.split("nb", " ")).alias("v")).distinct(), (F.col("w") == F.col("v")) & (F.greatest(F.length("na"), F.length("nb")) < 1.5 * F.least(F.length("na"), F.length("nb"))))
+        pairs = x.join(alike.union(words.select("na", "nb")).distinct(), "na").join(y, "nb").select("q", "h")
     near = pairs.withColumn("score", weighted_ratio("q", "h")).where(F.col("score") >= cutoff).select("q", "h", "score")
     hits = asked.join(near, "q").join(have, "h")
     w = Window.partitionBy("record").orderBy(F.desc("score"), "contact")

@@ -245,3 +245,48 @@ def test_swapped_names_meet(spark, tmp_path):
     records = spark.createDataFrame([("r", ["Novak Jan"])], "record string, names array<string>")
     names = spark.createDataFrame([("c1", "Jan Novak"), ("c2", "Nora Vak")], "contact string, name string")
     assert [(r.record, r.contact) for r in R.fuzzy_participants(records, names).collect()] == [("r", "c1")]
+
+
+def test_assignment_of_string_ids(spark, tmp_path):
+    """Rounds and the last task give what a pass over the sorted pairs gives, also on a long chain."""
+    import random
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    r = random.Random(3)
+    pairs = {(f"a{r.randrange(40)}", f"people/c{r.randrange(40)}"): float(r.randrange(80, 90)) for _ in range(250)}
+    pairs |= {(f"x{k:03}", f"people/x{k + j:03}"): 100.0 - (2 * k + j) / 10 for k in range(60) for j in (0, 1)}
+    df = spark.createDataFrame([(*k, v) for k, v in pairs.items()], "id string, key string, score double")
+    for first_come in (False, True):
+        used, want = set(), set()
+        for (i, k), v in sorted(pairs.items(), key=lambda x: (x[0][0], -x[1], x[0][1]) if first_come else (-x[1], *x[0])):
+            if ("i", i) not in used and ("k", k) not in used:
+                used |= {("i", i), ("k", k)}
+                want.add((i, k, v))
+        for few in (R.FEW, 200):
+            assert {tuple(x) for x in R.assign_one_to_one(df, first_come, few).collect()} == want
+    empty = R.assign_one_to_one(df.limit(0))
+    assert empty.count() == 0
+
+
+def test_no_near_name_is_lost(spark):
+    """The pairs that are compared hold all that reach the threshold, against every pair."""
+    import random
+
+    from rolodyne.functions.similarity import _name_score, weighted
+
+    r = random.Random(5)
+    parts = ["jan", "novak", "nowak", "anna", "lee", "li", "petrova", "peter", "o", "maria", "van", "der", "berg", "kovacova"]
+    names = sorted({" ".join(r.choice(parts) for _ in range(r.randrange(1, 4))) for _ in range(60)} | {"jan novk", "noavk jan", "kovacov anna", "čeng 漢字"})
+    a = spark.createDataFrame([(n,) for n in names], "na string")
+    for least in (60.0, 85.0, 97.0):
+        got = {tuple(x) for x in R.near_names(a, a.withColumnRenamed("na", "nb"), least).collect()}
+        assert {(x, y) for x in names for y in names if _name_score(x, y) >= least} <= got
+    records = spark.createDataFrame([(n, [n]) for n in names], "record string, names array<string>")
+    contacts_ = spark.createDataFrame([(f"people/{n}", n) for n in names[::2]], "contact string, name string")
+    got = {x.record: (x.contact, round(x.score, 6)) for x in R.fuzzy_participants(records, contacts_).collect()}
+    from rolodyne.functions.text import compare_key
+
+    fold = {x.n: x.k for x in a.select(F.col("na").alias("n"), compare_key(F.col("na")).alias("k")).collect()}
+    for n in names:
+        best = max(((round(weighted(fold[n], fold[m]), 6), m) for m in names[::2]), key=lambda x: x[0])[0]
+        assert (got[n][1] == best if best >= 92 else n not in got)
