@@ -162,8 +162,8 @@ def parse_instant(c: Column) -> Column:
 
 
 def apple_time(ns: Column) -> Column:
-    """Nanoseconds since 2001-01-01 UTC to a timestamp."""
-    return F.timestamp_micros((ns / 1000).cast("long") + F.lit(978_307_200_000_000))
+    """Nanoseconds since 2001-01-01 UTC to a timestamp, in whole numbers throughout."""
+    return F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000)) + F.lit(978_307_200_000_000))
 
 
 def to_apple_time(ts: Column) -> Column:
