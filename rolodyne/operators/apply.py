@@ -17,7 +17,7 @@ PATH = r"^([A-Za-z]+)\[(\+|\d+)\](?:\.([A-Za-z]+))?$"
 ALIASES = {"name": "names", "phone": "phoneNumbers", "phones": "phoneNumbers", "email": "emailAddresses", "emails": "emailAddresses", "address": "addresses", "organization": "organizations", "url": "urls", "birthday": "birthdays", "event": "events", "note": "biographies", "notes": "biographies"}
 #: Which part of an entry a plain value stands for.
 MAIN = {"addresses": "formattedValue", "names": "givenName", "organizations": "name"}
-FIELDS = ["names", "phoneNumbers", "emailAddresses", "addresses", "organizations", "urls", "birthdays", "events", "userDefined", "biographies"]
+FIELDS = ["names", "phoneNumbers", "emailAddresses", "addresses", "organizations", "urls", "birthdays", "events", "userDefined", "biographies", "nicknames"]
 
 
 def parsed_path(path: Column) -> Column:

@@ -242,7 +242,7 @@ def cross_field_rules() -> Column:
     words = F.split(F.trim(T.text(n.displayName)), r"\s+")
     return _changes(
         _change(missing, "names[0].givenName", F.lit(""), words[0], 0.80, "name extracted from display name"),
-        _change(missing, "names[0].familyName", F.lit(""), F.array_join(F.slice(words, 2, 100), " "), 0.80, "name extracted from display name"),
+        _change(missing, "names[0].familyName", F.lit(""), F.array_join(F.slice(words, F.lit(2), F.size(words)), " "), 0.80, "name extracted from display name"),
     )
 
 

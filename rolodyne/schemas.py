@@ -13,7 +13,8 @@ biographies ARRAY<STRUCT<value: STRING, contentType: STRING>>,
 urls ARRAY<STRUCT<value: STRING, type: STRING>>,
 birthdays ARRAY<STRUCT<date: {_date}>>,
 events ARRAY<STRUCT<date: {_date}, type: STRING>>,
-userDefined ARRAY<STRUCT<key: STRING, value: STRING>>"""
+userDefined ARRAY<STRUCT<key: STRING, value: STRING>>,
+nicknames ARRAY<STRUCT<value: STRING, type: STRING>>"""
 CHANGE = "STRUCT<field: STRING, old: STRING, new: STRING, confidence: DOUBLE, reason: STRING, extra: MAP<STRING, STRING>>"
 INTERACTION = """interactionId STRING, contactId STRING, matchCandidates STRUCT<emails: ARRAY<STRING>, phones: ARRAY<STRING>, handles: ARRAY<STRING>>,
 channel STRING, direction STRING, threadId STRING, timestamp TIMESTAMP, subject STRING, summary STRING, fullTextRef STRING,

@@ -1,16 +1,19 @@
 """Paginated responses as a Spark data source.
 
-PagedSource turns anything that gives pages into rows: a batch read splits the
-accounts (or whatever the pages belong to) over tasks; a stream read advances a
-cursor of instants, with an overlap for late data. What fetches a page is a
-plain function, so tests need no network."""
+PagedSource turns anything that gives pages into rows: reads split the accounts
+(or whatever the pages belong to) over tasks. A stream read has a cursor of
+instants for each account, so that a slow one isn't passed by the others; each
+batch also looks back `overlap` seconds for late rows, whose repeats a
+deduplication by id takes out downstream. What fetches a page is a plain
+function, so tests need no network."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: name -> fetch(account, cursor) -> (rows, next cursor or None)
 FETCHERS: dict[str, Callable] = {}
@@ -57,19 +60,51 @@ class _Batch(DataSourceReader):
         yield from pages(self.fetch, partition.account, self.options.get("since"), self.options.get("until"))
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    def __init__(self, options: dict, fetch: Callable):
-        self.options, self.fetch = options, fetch
+class _Slice(InputPartition):
+    """An account's instants after `since` up to and with `until`, and before that from `again` on."""
 
-    def initialOffset(self) -> dict:
-        return {"since": self.options.get("since", "2015-01-01T00:00:00Z")}
+    def __init__(self, account: str, again: str, until: str):
+        self.account, self.again, self.until = account, again, until
+
+
+def earlier(instant: str, seconds: float) -> str:
+    """An ISO instant some seconds before, spelled like the given one."""
+    if not seconds:
+        return instant
+    at = datetime.fromisoformat(instant) - timedelta(seconds=seconds)
+    return at.isoformat().replace("+00:00", "Z" if instant.endswith("Z") else "+00:00")
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = [r for a in self.options.get("accounts", "").split(",") if a for r in pages(self.fetch, a, start["since"])]
-        return iter(rows), {"since": max((r[-1] for r in rows), default=start["since"])}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for a in self.options.get("accounts", "").split(",") if a for r in pages(self.fetch, a, start["since"]) if r[-1] <= end["since"]])
+class _Stream(DataSourceStreamReader):
+    def __init__(self, options: dict, fetch: Callable):
+        self.fetch, self.overlap = fetch, float(options.get("overlap", 0))
+        self.accounts = [a for a in options.get("accounts", "").split(",") if a]
+        self.since = options.get("since", "2015-01-01T00:00:00Z")
+
+    def initialOffset(self) -> dict:
+        return {a: self.since for a in self.accounts}
+
+    def latestOffset(self) -> dict:
+        """Each account's newest instant, from its first page that has rows."""
+        return {a: next(iter(self._newest(a)), self.since) for a in self.accounts}
+
+    def _newest(self, account: str) -> Iterator[str]:
+        cursor = None
+        while True:
+            rows, cursor = self.fetch(account, cursor)
+            if rows:
+                yield max(self.since, max(r[-1] for r in rows))
+            if rows or cursor is None:
+                return
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Slice(a, start.get(a, self.since), end[a]) for a in sorted(end) if end[a] > start.get(a, self.since)]
+
+    def read(self, partition: _Slice) -> Iterator[tuple]:
+        first = earlier(partition.again, self.overlap)
+        for r in pages(self.fetch, partition.account, first):
+            if r[-1] <= partition.until and (r[-1] > partition.again or self.overlap or partition.again == self.since):
+                yield r
 
 
 def paged_source(name: str, fetch: Callable, columns: str) -> type[DataSource]:
@@ -86,22 +121,27 @@ def paged_source(name: str, fetch: Callable, columns: str) -> type[DataSource]:
         def reader(self, schema) -> DataSourceReader:
             return _Batch(self.options, fetch)
 
-        def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        def streamReader(self, schema) -> DataSourceStreamReader:
             return _Stream(self.options, fetch)
 
     return PagedSource
 
 
-def read_jdbc(spark, url: str, tables: dict[str, str], since: str | None = None, until: str | None = None, **options):
+def read_jdbc(spark, url: str, tables: dict[str, str], since: int | str | None = None, until: int | str | None = None, partitions: int = 1, **options):
     """Messages of a database: the message table with its handle and chat, by two
     left joins; predicates on the date reach the database. tables names the
-    message, handle, chat and bridge tables (or subqueries)."""
+    message, handle, chat and bridge tables (or subqueries). With both limits and
+    several partitions the messages are read in as many ranges of the date, one
+    task each; rows come in no order."""
     from pyspark.sql import functions as F
 
-    t = {k: spark.read.jdbc(url, v, properties=options) for k, v in tables.items()}
-    m = t["message"]
+    t = {k: spark.read.jdbc(url, v, properties=options) for k, v in tables.items() if k != "message"}
+    if partitions > 1 and since is not None and until is not None:
+        m = spark.read.jdbc(url, tables["message"], column="date", lowerBound=since, upperBound=until, numPartitions=partitions, properties=options)
+    else:
+        m = spark.read.jdbc(url, tables["message"], properties=options)
     if since is not None:
         m = m.where(F.col("date") >= since)
     if until is not None:
         m = m.where(F.col("date") < until)
-    return m.join(t["handle"], "handle_id", "left").join(t["bridge"], "message_id", "left").join(t["chat"], "chat_id", "left").orderBy("date")
+    return m.join(t["handle"], "handle_id", "left").join(t["bridge"], "message_id", "left").join(t["chat"], "chat_id", "left")

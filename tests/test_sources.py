@@ -86,6 +86,36 @@ def test_paged_source(spark):
     assert list(rest.pages(flaky, "a", wait=0.0)) == [("x", "2024")] and len(tries) == 3
 
 
+def test_paged_stream(spark, tmp_path):
+    """A cursor for each account, one task each; the overlap brings late rows again, and only then."""
+    stop = tmp_path / "upto"
+    stop.write_text("3")
+    path = str(stop)
+
+    def fetch(account, cursor):
+        upto = int(open(path).read()) - (2 if account == "slow" else 0)
+        days = list(range(upto, 0, -1))
+        at = int(cursor or 0)
+        rows = [(account, f"2024-01-{d:02d}T00:00:00Z") for d in days[at : at + 2]]
+        return rows, str(at + 2) if at + 2 < len(days) else None
+
+    for name, overlap, want in (("paged_plain", 0, {("fast", d): 1 for d in range(1, 7)} | {("slow", d): 1 for d in range(1, 5)}), ("paged_late", 86400, {("fast", d): 1 + (d in (2, 3)) for d in range(1, 7)} | {("slow", d): 1 for d in range(1, 5)})):
+        stop.write_text("3")
+        spark.dataSource.register(rest.paged_source(name, fetch, "account string, at string"))
+        out, check = str(tmp_path / name), str(tmp_path / f"{name}-check")
+        for upto in (3, 6):
+            stop.write_text(str(upto))
+            stream = spark.readStream.format(name).option("accounts", "fast,slow").option("overlap", overlap).option("since", "2024-01-01T00:00:00Z").load()
+            q = stream.writeStream.format("parquet").option("checkpointLocation", check).start(out)
+            q.processAllAvailable()
+            q.stop()
+        got = {}
+        for r in spark.read.parquet(out).collect():
+            k = (r.account, int(r.at[8:10]))
+            got[k] = got.get(k, 0) + 1
+        assert got == want, name
+
+
 def test_records_from_messages(spark):
     people = [{"handle": "+421 903 123 456", "name": "Ann", "self": False}, {"handle": "me@x.y", "name": "Me", "self": True}]
     df = spark.createDataFrame([("c", "slackgo.T1", "1", "2024-01-01", "", True, ["f"], people), ("c", "signal", "2", None, "lost", False, [], people), ("c", "signal", "3", "2024-01-02", " hi ", False, [], people)], "chat string, network string, id string, t string, text string, is_sender boolean, attachments array<string>, participants array<struct<handle: string, name: string, self: boolean>>")
