@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     unset, as in tests, a temporary one is made."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = getattr(spark.sparkContext, "_rolodyne_dir", None)
         if base is None:
             base = spark.sparkContext._rolodyne_dir = f"file://{tempfile.mkdtemp(prefix='rolodyne-')}"
