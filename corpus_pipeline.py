@@ -44,11 +44,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _together(lines.dedup_lines(_apart(docs, ["doc_id"])), docs)
 
 
+#: The near-duplicate stage: shingles of so many words, fingerprints linked within so many of 64 bits.
+SHINGLE_WORDS, NEAR_BITS = 5, 5
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays, and of those without a word one.
+    Shingles have five words; fingerprints link within five bits, about what texts
+    of a similarity of 0.93 differ by (0.8: ten bits, beyond what bytes can find).
     Rows are judged by their texts, whether or not they share an id or have none."""
     tune(spark)
-    return simhash.drop_near_duplicates(docs)
+    return simhash.drop_near_duplicates(docs, SHINGLE_WORDS, NEAR_BITS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

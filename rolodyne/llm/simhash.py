@@ -1,22 +1,23 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked when
-they differ in two bits at most.
+they differ in a few bits at most (`bits`: two unless the caller says otherwise).
 
 Method: an inverted index of positional bytes with count filtering. Two
-fingerprints that differ in at most MAX_BITS bits share MIN_BYTES of their
-POSITIONS positional bytes at least, so that at most SKIPS of the positions
+fingerprints that differ in at most `bits` bits share POSITIONS - bits of their
+POSITIONS positional bytes at least, so that at most `bits` of the positions
 before their last shared one are not shared. A posting list is named by a path:
 the positions p1 < p2 < ... that its members share, each with its byte, where
-SKIPS positions at most are left out. A pair belongs to one path of each length,
+`bits` positions at most are left out. A pair belongs to one path of each length,
 that of its first shared positions, so that no pair is met twice.
 
 Lists of one byte hold 1/256 of all rows and would grow with the square. The
 index therefore begins with paths so long that an even list has MAX_LIST members
 at most, and every list that is longer is split by a further positional byte,
-until MIN_BYTES are shared. A pair that meets in a list has its shared bytes
-tallied over all positions; those below MIN_BYTES are dropped before the rest is
-verified by the number of differing bits. Lists of MIN_BYTES bytes differ in two
-bytes only, hence have 65,536 members at most, whatever the table; their pairs
-all reach the tally and are verified block by block.
+until the guaranteed number is shared. A pair that meets in a list has its shared
+bytes tallied over all positions; those below that number are dropped before the
+rest is verified by the number of differing bits. Lists that no further byte may
+split (for two bits they differ in two bytes only, hence have 65,536 members at
+most) hold pairs that all reach the tally; they are verified block against block,
+each pair of blocks in a task of its own.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, read_table, rekey, slices
 
-SEED, WORDS, MAX_BITS, POSITIONS, MIN_BYTES, MAX_LIST = 42, 3, 2, 8, 6, 64
-SKIPS = POSITIONS - MIN_BYTES
+SEED, WORDS, MAX_BITS, POSITIONS, MAX_LIST = 42, 3, 2, 8, 64
+
+#: Members of one block of a long list.
+BLOCK = 4096
+
 NO_ID = (1 << 63) - 1
 
 
@@ -79,37 +83,37 @@ def _mask(positions: tuple[int, ...]) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def paths(depth: int) -> list[tuple[int, int]]:
+def paths(depth: int, bits: int = MAX_BITS) -> list[tuple[int, int]]:
     """(mask, last position) of all paths of so many shared positions."""
-    return [(_mask(c), c[-1]) for c in combinations(range(POSITIONS), depth) if c[-1] + 1 - depth <= SKIPS]
+    return [(_mask(c), c[-1]) for c in combinations(range(POSITIONS), depth) if c[-1] + 1 - depth <= bits]
 
 
-def _postings(fps: DataFrame, depth: int) -> DataFrame:
+def _postings(fps: DataFrame, depth: int, bits: int) -> DataFrame:
     """(fp) -> (fp, mask, last, v): v holds the bytes that the path names."""
-    each = F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.lit(p).alias("last")) for m, p in paths(depth)))
+    each = F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.lit(p).alias("last")) for m, p in paths(depth, bits)))
     return fps.select("fp", F.inline(each)).withColumn("v", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def _longer(members: DataFrame, depth: int) -> DataFrame:
+def _longer(members: DataFrame, depth: int, bits: int) -> DataFrame:
     """Postings of `depth` positions, split by a further one."""
-    further = F.sequence(F.col("last") + 1, F.lit(depth + SKIPS))
+    further = F.sequence(F.col("last") + 1, F.lit(depth + bits))
     split = members.select("fp", "mask", F.explode(further).alias("last"))
     mask = F.col("mask").bitwiseOR(F.call_function("shiftleft", F.lit(255).cast("long"), F.col("last") * 8))
     return split.select("fp", mask.alias("mask"), "last").withColumn("v", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def _pairs(grouped: DataFrame, depth: int) -> DataFrame:
+def _pairs(grouped: DataFrame, depth: int, bits: int) -> DataFrame:
     """(last, fps) of short lists -> (src, dst) verified pairs."""
     pairs = grouped.select("last", F.posexplode("fps").alias("at", "src"), "fps").select("last", "src", F.explode(F.slice("fps", F.col("at") + 2, F.size("fps"))).alias("dst"))
     x = pairs.withColumn("x", F.col("src").bitwiseXOR(F.col("dst")))
     shared = [(F.shiftrightunsigned(F.col("x"), 8 * k).bitwiseAND(255) == 0).cast("int") for k in range(POSITIONS)]
     first = sum((F.when(F.lit(k) <= F.col("last"), s).otherwise(0) for k, s in enumerate(shared)), F.lit(0))
-    tallied = x.withColumn("shared", sum(shared, F.lit(0))).where((first == depth) & (F.col("shared") >= MIN_BYTES))
-    return tallied.where(F.bit_count("x") <= MAX_BITS).select("src", "dst")
+    tallied = x.withColumn("shared", sum(shared, F.lit(0))).where((first == depth) & (F.col("shared") >= POSITIONS - bits))
+    return tallied.where(F.bit_count("x") <= bits).select("src", "dst")
 
 
-def _verify_blocks(group: pd.DataFrame) -> pd.DataFrame:
-    """Spanning links of a list whose members differ in two bytes at most."""
+def _spanning_links(group: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """Of the links among some fingerprints as many as keep them connected."""
     fps = np.unique(group.fp.to_numpy(np.int64)).view(np.uint64)
     up = np.arange(len(fps))
 
@@ -120,7 +124,7 @@ def _verify_blocks(group: pd.DataFrame) -> pd.DataFrame:
 
     out = []
     for s in range(0, len(fps), 512):
-        i, j = np.nonzero(np.bitwise_count(fps[s : s + 512, None] ^ fps[None, s:]) <= MAX_BITS)
+        i, j = np.nonzero(np.bitwise_count(fps[s : s + 512, None] ^ fps[None, s:]) <= bits)
         for a, b in zip((s + i[i < j]).tolist(), (s + j[i < j]).tolist()):
             x, y = top(a), top(b)
             if x != y:
@@ -129,44 +133,54 @@ def _verify_blocks(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.array(out, np.uint64).reshape(-1, 2).view(np.int64), columns=["src", "dst"])
 
 
-def link_edges(fps: DataFrame, rows: int | None = None) -> DataFrame:
-    """Distinct fp -> (src, dst): all pairs within MAX_BITS, and of lists of
-    MIN_BYTES bytes with over MAX_LIST members as many as keep them connected.
+def _links_of_long_lists(long: DataFrame, bits: int) -> DataFrame:
+    """(mask, v, n, fp) -> (src, dst): lists are dealt into blocks of about BLOCK
+    members, and every two blocks of a list meet in a group of their own."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    met = long.select("mask", "v", "fp", own.alias("a"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"))
+    met = met.select("mask", "v", "fp", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.groupBy("mask", "v", "a", "b").applyInPandas(lambda g: _spanning_links(g, bits), "src long, dst long")
+
+
+def link_edges(fps: DataFrame, rows: int | None = None, bits: int = MAX_BITS) -> DataFrame:
+    """Distinct fp -> (src, dst): all pairs within `bits` (0 to 7), and of lists
+    that no further byte may split as many as keep them connected.
     rows: about how many fingerprints there are."""
-    n = fps.count() if rows is None else rows
+    n, deepest = fps.count() if rows is None else rows, POSITIONS - bits
     depth = 1
-    while depth < MIN_BYTES and n > MAX_LIST << (8 * depth):
+    while depth < deepest and n > MAX_LIST << (8 * depth):
         depth += 1
-    postings, out = _postings(fps, depth), None
+    postings, out = _postings(fps, depth, bits), None
     while True:
         sizes = materialize(postings.groupBy("mask", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), n)
         sizes = sizes.select(F.col("mask").alias("m"), rekey("v").alias("k"), "n")
         here = (F.col("mask") == F.col("m")) & (F.col("v") == F.col("k"))
         short = postings.join(sizes.where(f"n <= {MAX_LIST}"), here, "left_semi")
-        found = _pairs(short.groupBy("mask", "v", "last").agg(F.array_sort(F.collect_list("fp")).alias("fps")), depth)
+        found = _pairs(short.groupBy("mask", "v", "last").agg(F.array_sort(F.collect_list("fp")).alias("fps")), depth, bits)
         out = found if out is None else out.unionByName(found)
         if sizes.where(f"n > {MAX_LIST}").isEmpty():
             return out
-        long = postings.join(sizes.where(f"n > {MAX_LIST}"), here, "left_semi")
-        if depth == MIN_BYTES:
-            return out.unionByName(long.select("mask", "v", "fp").groupBy("mask", "v").applyInPandas(_verify_blocks, "src long, dst long"))
-        postings, depth = materialize(_longer(long, depth)), depth + 1
+        long = postings.join(sizes.where(f"n > {MAX_LIST}"), here)
+        if depth == deepest:
+            return out.unionByName(_links_of_long_lists(long, bits))
+        postings, depth = materialize(_longer(long, depth, bits)), depth + 1
 
 
-def grouped_fingerprints(rows: DataFrame, words: int = WORDS, digest: Column | None = None) -> DataFrame:
+def grouped_fingerprints(rows: DataFrame, words: int = WORDS, digest: Column | None = None, bits: int = MAX_BITS) -> DataFrame:
     """(i, t) -> (i, fp, c[, h]): c is the same for linked fingerprints; h the
     digest asked for. Written to the shared folder."""
     found = fingerprints(rows, "i", "t", words, digest)
     fp = materialize(found)
     n = fp.count()
     distinct = materialize(fp.select("fp").distinct(), n)
-    comp = connected_components(link_edges(distinct, n))
+    comp = connected_components(link_edges(distinct, n, bits))
     named = distinct.join(comp, distinct.fp == comp.node).select(F.col("fp").alias("f"), F.col("component").alias("c"))
     named = materialize(named, n).select(rekey("f").alias("f"), "c")
     return fp.join(named, fp.fp == named.f, "left").select(*fp.columns, F.coalesce("c", "fp").alias("c"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = MAX_BITS) -> DataFrame:
     """-> (id_col, fp, component_id) per input row: component_id is the smallest
     id whose fingerprint is reachable over links.
 
@@ -174,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with equal ids or texts each give a row; null ids take part and are never
     the smallest unless the group has no other (then component_id is null)."""
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    fp = materialize(grouped_fingerprints(rows, words))
+    fp = materialize(grouped_fingerprints(rows, words, bits=bits))
     least = fp.groupBy("c").agg(F.min("i").alias("component_id")).select(rekey("c").alias("g"), "component_id")
     return fp.join(least, fp.c == least.g).select(F.col("i").alias(id_col), "fp", "component_id")
 
@@ -183,7 +197,7 @@ def hex_fingerprint(col: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = MAX_BITS) -> DataFrame:
     """One document of each group of linked fingerprints stays: the one with the
     smallest doc_id (null ids last), of rows that share that id the one with the
     smallest fingerprint and digest of the text. What a row shares its id with
@@ -192,7 +206,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     are, whatever their names."""
     packed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_o"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("i"), F.col("text").cast("string").alias("t"))
-    near = grouped_fingerprints(named, words, F.xxhash64("t"))
+    near = grouped_fingerprints(named, words, F.xxhash64("t"), bits)
     # of a group's rows the first; rows equal in id and text are numbered by any order
     first = near.groupBy("c").agg(F.min(F.struct("i", "fp", "h")).alias("f")).select("f.i", "f.h")
     first = materialize(first.select(rekey("i").alias("_fi"), F.col("h").alias("_fh")).distinct())

@@ -72,12 +72,12 @@ def test_materialize_and_remove(spark):
 # --- 2 simhash ------------------------------------------------------------------
 
 
-def plain_simhash(text):
+def plain_simhash(text, size=3):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    shingles = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or [" ".join(words)]
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -93,7 +93,7 @@ def test_shingle_hash_equals_the_engine(spark):
     assert [r.h % 2**64 for r in df.select(F.xxhash64("s").alias("h")).collect()] == [xxhash.xxh64_intdigest(s.encode(), 42) for s in ("a b c", "ü x y")]
 
 
-def brute_components(fps):
+def brute_components(fps, bits=2):
     up = list(range(len(fps)))
 
     def top(x):
@@ -103,26 +103,28 @@ def brute_components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            if (fps[i] ^ fps[j]).bit_count() <= bits:
                 a, b = top(i), top(j)
                 up[max(a, b)] = min(a, b)
     return [top(i) for i in range(len(fps))]
 
 
-def test_every_near_pair_is_on_one_path_of_each_length():
+@pytest.mark.parametrize("bits", [0, 2, 5, 7])
+def test_every_near_pair_is_on_one_path_of_each_length(bits):
     r = random.Random(4)
     for _ in range(2000):
         x = 0
-        for _ in range(r.randrange(1, 3)):
+        for _ in range(r.randrange(bits + 1)):
             x ^= 1 << r.randrange(64)
         shared = [k for k in range(8) if not x >> (8 * k) & 255]
-        for depth in range(1, simhash.MIN_BYTES + 1):
-            assert (simhash._mask(tuple(shared[:depth])), shared[depth - 1]) in simhash.paths(depth)
+        for depth in range(1, 8 - bits + 1):
+            assert (simhash._mask(tuple(shared[:depth])), shared[depth - 1]) in simhash.paths(depth, bits)
 
 
-@pytest.mark.parametrize(("most", "rows"), [(64, None), (1, None), (3, 1 << 24)])
-def test_links_of_short_and_long_lists(spark, monkeypatch, most, rows):
+@pytest.mark.parametrize(("most", "rows", "bits"), [(64, None, 2), (1, None, 2), (3, 1 << 24, 2), (64, None, 5), (3, 1 << 24, 5)])
+def test_links_of_short_and_long_lists(spark, monkeypatch, most, rows, bits):
     monkeypatch.setattr(simhash, "MAX_LIST", most)
+    monkeypatch.setattr(simhash, "BLOCK", 20)
     r = random.Random(7)
     fps = {r.getrandbits(64) for _ in range(60)}
     # a list that no further byte splits, and one that all rows share a byte of
@@ -132,14 +134,14 @@ def test_links_of_short_and_long_lists(spark, monkeypatch, most, rows):
     for f in list(fps)[:20]:
         for _ in range(12):
             g = f
-            for _ in range(r.randrange(1, 4)):
+            for _ in range(r.randrange(1, 2 * bits)):
                 g ^= 1 << r.randrange(64)
             fps.add(g)
     fps = sorted(fps)
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    edges = simhash.link_edges(spark.createDataFrame([(f,) for f in signed], "fp long"), rows)
+    edges = simhash.link_edges(spark.createDataFrame([(f,) for f in signed], "fp long"), rows, bits)
     comp = {x.node: x.component for x in common.connected_components(edges).collect()}
-    want = brute_components(fps)
+    want = brute_components(fps, bits)
     group = {}
     for s, w in zip(signed, want):
         group.setdefault(w, set()).add(comp.get(s, s))

@@ -32,7 +32,7 @@ def test_stages_equal_brute_force(stages, sf):
     gone = brute_lines(first.text, first.doc_id)
     want = ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in zip(first.doc_id, first.text)]
     assert second.text.tolist() == want
-    lead = brute_components([plain_simhash(t) for t in second.text])
+    lead = brute_components([plain_simhash(t, C.SHINGLE_WORDS) for t in second.text], C.NEAR_BITS)
     assert third.doc_id.tolist() == second.doc_id[[k for k, c in enumerate(lead) if c == k]].tolist()
     texts = dict(zip(third.doc_id, third.text))
     cuts = {}
