@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .align import op13_alignment
 from .ann import op4_neighbours
+from .fim import OP11_FILL_MIDDLE, op11_fill_middle
+from .hosts import OP12_HOST_RULES, op12_host_rules
 from .langid import op9_langid
 from .lines import op10_lines
 from .multiset import op5_fingerprints
@@ -26,8 +29,11 @@ def queries() -> dict:
         "op8_urls": op8_urls,
         "op9_langid": op9_langid,
         "op10_lines": op10_lines,
+        "op11_fill_middle": op11_fill_middle,
+        "op12_host_rules": op12_host_rules,
+        "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fill_middle": OP11_FILL_MIDDLE, "op12_host_rules": OP12_HOST_RULES}
