@@ -10,9 +10,10 @@ the positions p1 < p2 < ... that its members share, each with its byte, where
 that of its first shared positions, so that no pair is met twice.
 
 Lists of one byte hold 1/256 of all rows and would grow with the square. The
-index therefore begins with paths so long that an even list has MAX_LIST members
-at most, and every list that is longer is split by a further positional byte,
-until the guaranteed number is shared. A pair that meets in a list has its shared
+index therefore begins with paths so long that an even list has one member at
+most, so that unlike rows seldom meet however many there are, and every list of
+over MAX_LIST members is split by a further positional byte, until the guaranteed
+number is shared. A pair that meets in a list has its shared
 bytes tallied over all positions; those below that number are dropped before the
 rest is verified by the number of differing bits. Lists that no further byte may
 split (for two bits they differ in two bytes only, hence have 65,536 members at
@@ -149,7 +150,7 @@ def link_edges(fps: DataFrame, rows: int | None = None, bits: int = MAX_BITS) ->
     rows: about how many fingerprints there are."""
     n, deepest = fps.count() if rows is None else rows, POSITIONS - bits
     depth = 1
-    while depth < deepest and n > MAX_LIST << (8 * depth):
+    while depth < deepest and n > 1 << (8 * depth):
         depth += 1
     postings, out = _postings(fps, depth, bits), None
     while True:
