@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import global_rank
+
 
 def band(confidence: Column, high: float = 0.90, medium: float = 0.60) -> Column:
     return F.when(confidence >= high, "high").when(confidence >= medium, "medium").otherwise("low")
@@ -161,22 +163,11 @@ def search(log: DataFrame, needle: str | None = None, field: str | None = None,
 
 
 def batches(rows: DataFrame, size: int = 50) -> DataFrame:
-    """rows: resource_name, high, total -> with batch from 1, the most certain
-    first. Ranks come from ranges of the sort order, not from one task."""
-    order = [F.desc("high"), F.desc("total"), F.col("resource_name")]
-    keyed = rows.withColumn("_k", F.struct((-F.col("high")).alias("lead")))
-    return global_rank(keyed, "_k", order).withColumn("batch", F.ceil(F.col("rank") / size).cast("long")).drop("_k")
-
-
-def global_rank(rows: DataFrame, key: str, order: list) -> DataFrame:
-    """rank 1..n over the whole table in two levels: counts of coarse groups
-    first (here the leading key), ranks within each group added."""
-    lead = rows.withColumn("_g", F.col(f"{key}.lead"))
-    sizes = lead.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    local = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
-    return lead.withColumn("_r", local).join(base, "_g").withColumn("rank", (F.col("_base") + F.col("_r")).cast("long")).drop("_g", "_r", "_base")
+    """rows: resource_name, high, total -> with rank and batch from 1, the most
+    certain first. Ranks come from ranges of the whole order, so contacts of equal
+    figures spread over tasks like any others."""
+    ranked = global_rank(rows, [F.desc("high"), F.desc("total"), F.col("resource_name")])
+    return ranked.withColumn("batch", F.ceil(F.col("rank") / size).cast("long"))
 
 
 def change_hash(changes: DataFrame) -> DataFrame:

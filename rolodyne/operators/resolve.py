@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import fast_name_ratio, fast_ratio, ratio_bound, weighted_ratio
+from ..functions.similarity import fast_name_ratio, fast_ratio, weighted_ratio
 from ..functions.text import compare_key, digits, text, title_case
+from ..shared import connected_components, global_rank, materialize, rekey, remove
+from .near import near_pairs, sorted_characters
 
 
 def phone_key(c: Column, size: int = 9) -> Column:
@@ -38,13 +39,11 @@ def groups(rows: DataFrame, id_col: str, key: str) -> DataFrame:
 def fuzzy_pairs(rows: DataFrame, id_col: str, name: str, threshold: float = 80.0, block: int = 3) -> DataFrame:
     """Pairs a < b whose names share the first folded characters and are at least
     `threshold` alike. Distinct names are compared, not rows, so equal names cost
-    nothing; lengths rule out most of the rest before any table is filled.
+    nothing; which ones is told by an index of their segments.
     -> (name_a, name_b, score) over distinct folded names."""
-    keys = rows.select(compare_key(F.col(name)).alias("key")).where(F.length("key") >= block).distinct()
-    a = keys.select(F.left("key", F.lit(block)).alias("block"), F.col("key").alias("name_a"))
-    b = keys.select(F.left("key", F.lit(block)).alias("block"), F.col("key").alias("name_b"))
-    near = a.join(b, "block").where((F.col("name_a") < F.col("name_b")) & (ratio_bound(F.col("name_a"), F.col("name_b")) >= threshold))
-    return near.withColumn("score", fast_ratio("name_a", "name_b")).where(F.col("score") >= threshold).select("name_a", "name_b", "score")
+    keys = rows.select(compare_key(F.col(name)).alias("na")).where(F.length("na") >= block).distinct()
+    near = near_pairs(keys, keys.withColumnRenamed("na", "nb"), threshold, (str,), block).where("na < nb")
+    return near.withColumn("score", fast_ratio("na", "nb")).where(F.col("score") >= threshold).select(F.col("na").alias("name_a"), F.col("nb").alias("name_b"), "score")
 
 
 def duplicates(contacts: DataFrame, threshold: float = 80.0) -> DataFrame:
@@ -67,28 +66,55 @@ def duplicates(contacts: DataFrame, threshold: float = 80.0) -> DataFrame:
     return best.select("a", "b", "m.match_type", "m.confidence", "m.detail")
 
 
-#: Letters from rare to frequent; other characters come before them. Any order gives the same pairs.
-RARE_FIRST = "qzxjkvbpygfwmuclhdrsnitoae "
+def duplicate_keys(contacts: DataFrame) -> DataFrame:
+    """contacts: resource_name, display_name, phones array, emails array -> distinct
+    (resource_name, kind, key): phone, email and folded name."""
+    phone = contacts.select("resource_name", F.explode("phones").alias("p")).select("resource_name", F.lit("phone").alias("kind"), phone_key(F.col("p")).alias("key"))
+    mail = contacts.select("resource_name", F.explode("emails").alias("e")).select("resource_name", F.lit("email").alias("kind"), F.nullif(F.lower(F.trim("e")), F.lit("")).alias("key"))
+    names = contacts.select("resource_name", F.lit("name").alias("kind"), compare_key(F.col("display_name")).alias("key")).where(F.length("key") >= 3)
+    return phone.unionByName(mail).unionByName(names).where("key is not null").distinct()
 
 
-def rare_characters(c: Column, least: float) -> Column:
-    """The characters of a name, numbered where they repeat, that a name of at
-    least `least` percent ratio must share one of: two names share so many
-    characters that they meet among each one's rarest few (prefix filter)."""
-    chars = F.array_sort(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.struct(F.instr(F.lit(RARE_FIRST), x).alias("o"), x.alias("x"))))
-    with_number = F.transform(chars, lambda x, i: F.concat(x.x, (i - F.array_position(chars, x)).cast("string")))
-    needed = F.ceil(F.length(c) * least / (200.0 - least)).cast("int")
-    return F.slice(with_number, 1, F.greatest(F.length(c) - needed + 1, F.lit(1)))
+def duplicate_classes(contacts: DataFrame, threshold: float | None = 80.0) -> DataFrame:
+    """contacts: resource_name, display_name, phones array, emails array ->
+    (resource_name, class_id, members, match_type, phone_links, email_links,
+    name_links, links): a row for each contact that shares a phone, an address or
+    a name with another, or has a name as similar as `threshold` (None: equal names
+    only). class_id is the smallest name of a contact it reaches over such links;
+    links counts other contacts by key, once for each key shared; match_type is the
+    first of phone, email, name that the contact shares itself.
+
+    Linear in rows: a shared key links its holders to its smallest one, never to
+    each other, so n contacts of one phone give n rows. The pair to report for a
+    contact is (class_id, resource_name)."""
+    ids = materialize(contacts.select("resource_name").where("resource_name is not null").distinct().withColumn("n", F.monotonically_increasing_id()))
+    keyed = materialize(duplicate_keys(contacts).join(ids, "resource_name").select("n", "kind", "key"))
+    shared = keyed.groupBy("kind", "key").agg(F.min("n").alias("lead"), F.count(F.lit(1)).alias("holders"))
+    own = keyed.join(shared.where("holders > 1").select(F.col("kind").alias("k"), F.concat("key", F.lit("")).alias("v"), "lead", "holders"), (F.col("kind") == F.col("k")) & (F.col("key") == F.col("v")))
+    edges = own.select(F.col("n").alias("src"), F.col("lead").alias("dst"))
+    counts = own.select("n", "kind", (F.col("holders") - 1).alias("links"))
+    if threshold is not None:
+        names = shared.where("kind = 'name'").select("key", "lead", "holders")
+        alike = materialize(fuzzy_pairs(names, "lead", "key", threshold).select("name_a", "name_b"))
+        other = lambda s: names.select(F.col("key").alias(f"name_{s}"), F.col("lead").alias(f"lead_{s}"), F.col("holders").alias(f"holders_{s}"))
+        both = materialize(alike.join(other("a"), "name_a").join(other("b"), "name_b"))
+        edges = edges.unionByName(both.select(F.col("lead_a").alias("src"), F.col("lead_b").alias("dst")))
+        side = lambda s, o: both.select(F.col(f"name_{s}").alias("key"), F.col(f"holders_{o}").alias("links"))
+        near = side("a", "b").unionByName(side("b", "a")).groupBy("key").agg(F.sum("links").alias("links"))
+        members = keyed.where("kind = 'name'").select("n", F.col("key").alias("v")).join(near, F.col("v") == F.col("key")).select("n", F.lit("name").alias("kind"), "links")
+        counts = counts.unionByName(members)
+    classes = connected_components(edges)
+    each = counts.groupBy("n").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("links"))), F.lit(0)).alias(f"{k}_links") for k in ("phone", "email", "name")))
+    linked = materialize(each.join(classes.select(rekey("node").alias("node"), "component"), F.col("n") == F.col("node")).join(ids.select(rekey("n").alias("i"), "resource_name"), F.col("n") == F.col("i")).drop("node", "i"))
+    size = linked.groupBy("component").agg(F.min("resource_name").alias("class_id"), F.count(F.lit(1)).alias("members")).select(rekey("component").alias("c"), "class_id", "members")
+    kind = F.when(F.col("phone_links") > 0, "phone").when(F.col("email_links") > 0, "email").otherwise("name")
+    return linked.join(size, F.col("component") == F.col("c")).select("resource_name", "class_id", "members", kind.alias("match_type"), "phone_links", "email_links", "name_links", (F.col("phone_links") + F.col("email_links") + F.col("name_links")).alias("links"))
 
 
 def near_names(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """Distinct names a (na), b (nb) -> every pair whose plain or token-sorted
-    ratio can reach the threshold, by lengths and shared rare characters alone."""
-    if not 0 < threshold <= 100:
-        raise ValueError("a threshold above 0 and up to 100")
-    left = a.where("na <> ''").select("na", F.explode(rare_characters(F.col("na"), threshold)).alias("x"))
-    right = b.where("nb <> ''").select("nb", F.explode(rare_characters(F.col("nb"), threshold)).alias("y"))
-    return left.join(right, (F.col("x") == F.col("y")) & (ratio_bound(F.col("na"), F.col("nb")) >= threshold)).select("na", "nb").distinct()
+    ratio reaches the threshold, and few others."""
+    return near_pairs(a, b, threshold)
 
 
 def scored_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, company: float = 75.0, block: int | None = None) -> DataFrame:
@@ -117,53 +143,105 @@ def best_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, com
     return scored.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("id", "key", F.round("score", 2).alias("score"))
 
 
-#: So few pairs are left to one task; they are a few numbers or words each.
+#: So many pairs at most are assigned in one task; they are a few numbers or words each.
 FEW = 100_000
+#: Rounds that fix pairs all over the table go on while each leaves this share of the pairs at most.
+ROUND_LEAVES = 0.7
 
 
-def assign_one_to_one(scored: DataFrame, first_come: bool = False, few: int = FEW) -> DataFrame:
-    """(id, key, score) candidates -> each id and each key at most once, of any
-    type that sorts. The best pair is fixed first, then the best of what is left
-    (ties to smaller id, then key); with first_come ids choose in their order,
-    each the best key that is left.
+def _in_turn(pairs: list[tuple], first_come: bool) -> list[int]:
+    """Of (id, key, score) the places of those that a pass in order fixes."""
+    ids, keys, keep = set(), set(), []
+    for k in sorted(range(len(pairs)), key=lambda k: (pairs[k][0], -pairs[k][2], pairs[k][1]) if first_come else (-pairs[k][2], pairs[k][0], pairs[k][1])):
+        if pairs[k][0] not in ids and pairs[k][1] not in keys:
+            ids.add(pairs[k][0])
+            keys.add(pairs[k][1])
+            keep.append(k)
+    return keep
 
-    Each round fixes every pair that comes first for both its id and its key,
-    which is what a pass over all pairs in order would do. Rounds go on until
-    nothing is left; long chains of dependent pairs, once there are `few` pairs,
-    are finished in one task. Results are checkpointed by round."""
-    spark = scored.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rolodyne-"))
-    left, fixed = scored.groupBy("id", "key").agg(F.max("score").alias("score")).checkpoint(), None
-    worse = -F.col("score")
-    for_key = F.struct("id", worse) if first_come else F.struct(worse, F.col("id"))
+
+def _one_task(pairs: DataFrame, first_come: bool) -> DataFrame:
+    """A pass in order over a table of FEW pairs at most."""
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in rows if b.num_rows]
         if batches:
             table = pa.Table.from_batches(batches)
-            pairs = list(zip(*(table.column(c).to_pylist() for c in ("id", "key", "score"))))
-            ids, keys, keep = set(), set(), []
-            for k in sorted(range(len(pairs)), key=lambda k: (pairs[k][0], -pairs[k][2], pairs[k][1]) if first_come else (-pairs[k][2], pairs[k][0], pairs[k][1])):
-                if pairs[k][0] not in ids and pairs[k][1] not in keys:
-                    ids.add(pairs[k][0])
-                    keys.add(pairs[k][1])
-                    keep.append(k)
+            keep = _in_turn(list(zip(*(table.column(c).to_pylist() for c in ("id", "key", "score")))), first_come)
             yield from table.take(pa.array(keep, pa.int64())).combine_chunks().to_batches()
 
-    while True:
-        n = left.count()
-        if n <= few:
-            rest = left.coalesce(1).mapInArrow(finish, left.schema)
-            return rest if fixed is None else fixed.unionByName(rest)
+    return pairs.coalesce(1).mapInArrow(finish, pairs.schema)
+
+
+def _without(pairs: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Pairs whose id and key are both still free."""
+    return pairs.join(fixed.select("id"), "id", "left_anti").join(fixed.select("key"), "key", "left_anti")
+
+
+def _by_component(pairs: DataFrame) -> DataFrame:
+    """pairs with the component of the graph of ids and keys they are in, and its size."""
+    nodes = materialize(pairs.select(F.struct(F.lit(0).alias("side"), F.col("id").cast("string").alias("v")).alias("x")).unionByName(pairs.select(F.struct(F.lit(1).alias("side"), F.col("key").cast("string").alias("v")).alias("x"))).distinct().select("x.*", F.monotonically_increasing_id().alias("n")))
+    side = lambda s, c: nodes.where(f"side = {s}").select(F.col("v").alias(f"v{c}"), F.col("n").alias(f"n{c}"))
+    numbered = materialize(pairs.join(side(0, "i"), F.col("id").cast("string") == F.col("vi")).join(side(1, "k"), F.col("key").cast("string") == F.col("vk")).select("id", "key", "score", "ni", "nk"))
+    comp = connected_components(numbered.select(F.col("ni").alias("src"), F.col("nk").alias("dst"))).select(rekey("node").alias("node"), "component")
+    named = materialize(numbered.join(comp, F.col("ni") == F.col("node")).select("id", "key", "score", "component"))
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(rekey("component").alias("c"), "size")
+    return materialize(named.join(sizes, F.col("component") == F.col("c")).drop("c"))
+
+
+def assign_one_to_one(scored: DataFrame, first_come: bool = False, few: int = FEW) -> DataFrame:
+    """(id, key, score) candidates -> each id and each key at most once, of any
+    type that sorts. The best pair is fixed first, then the best of what is left
+    (ties to smaller id, then key); with first_come ids choose in their order,
+    each the best key that is left.
+
+    Rounds fix every pair that comes first for both its id and its key, which is
+    what a pass over all pairs in order would do, as long as a round settles a
+    good part of the pairs. What is left are chains, where each pair waits for the
+    one before: they fall apart into components of ids and keys, and components of
+    up to `few` pairs are passed through in order, all at once. Larger ones are
+    taken together in their order, `few` pairs at a time, each lot without the ids
+    and keys that the earlier ones took; so many jobs at most as there are such
+    lots. All steps are written to the shared folder."""
+    left, done = materialize(scored.groupBy("id", "key").agg(F.max("score").alias("score"))), []
+    worse = -F.col("score")
+    for_key = F.struct("id", worse) if first_come else F.struct(worse, F.col("id"))
+    order = [F.col("id"), F.desc("score"), F.col("key")] if first_come else [F.desc("score"), F.col("id"), F.col("key")]
+    n = left.count()
+    while n > few:
         by_id = left.groupBy("id").agg(F.min_by("key", F.struct(worse, F.col("key"))).alias("key"))
         by_key = left.groupBy("key").agg(F.min_by("id", for_key).alias("id"))
-        pairs = by_id.join(by_key, ["id", "key"]).join(left, ["id", "key"]).select("id", "key", "score").checkpoint()
-        fixed = pairs if fixed is None else fixed.unionByName(pairs)
-        left = left.join(pairs.select("id"), "id", "left_anti").join(pairs.select("key"), "key", "left_anti").checkpoint()
+        pairs = materialize(by_id.join(by_key, ["id", "key"]).join(left, ["id", "key"]).select("id", "key", "score"))
+        done.append(pairs)
+        rest = materialize(_without(left, pairs).select("id", "key", "score"))
+        remove(left)
+        left, before, n = rest, n, rest.count()
+        if n > ROUND_LEAVES * before:
+            break
+    if n > few:
+        parted = _by_component(left)
+        small = parted.where(F.col("size") <= few)
+
+        def settle(group: pa.Table) -> pa.Table:
+            group = group.drop_columns(["component", "size"])
+            return group.take(pa.array(_in_turn(list(zip(*(group.column(c).to_pylist() for c in ("id", "key", "score")))), first_come), pa.int64()))
+
+        done.append(materialize(small.groupBy("component").applyInArrow(settle, left.schema)))
+        large = parted.where(F.col("size") > few).select("id", "key", "score")
+        if not large.isEmpty():
+            ranked = materialize(global_rank(large, order, "_rank"))
+            for begin in range(0, ranked.count(), few):
+                lot = ranked.where((F.col("_rank") > begin) & (F.col("_rank") <= begin + few)).drop("_rank")
+                for earlier in taken if begin else []:
+                    lot = _without(lot, earlier)
+                taken = ([] if not begin else taken) + [materialize(_one_task(lot.select("id", "key", "score"), first_come))]
+            done += taken
+    else:
+        done.append(materialize(_one_task(left, first_come)))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def ranked_lookup(candidates: DataFrame, index: DataFrame) -> DataFrame:
@@ -241,15 +319,55 @@ def match_connections(connections: DataFrame, contacts: DataFrame, threshold: fl
     return by_mail.unionByName(with_org.select("id", "key", "score", F.when(alike, "company").otherwise("name").alias("route")))
 
 
+#: Names of more words than this meet by any word they share instead of by sets of words.
+MANY_WORDS = 12
+
+
+def _common_words(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (na, nb), lengths within 1.5 times, whose common words alone reach
+    `threshold` with one of the names: sets of a name's words are looked up, of one
+    name those that leave out little of it, of the other all that are long enough."""
+    share = threshold / (200.0 - threshold)  # of the name's length that the common words have at least
+
+    def sets(name: str, least: float) -> list[str]:
+        words = sorted(set(name.split()))
+        if len(words) > MANY_WORDS:
+            return []
+        whole = len(" ".join(words))
+        every = (" ".join(w for k, w in enumerate(words) if bits >> k & 1) for bits in range(1, 1 << len(words)))
+        return [s for s in every if len(s) >= least * whole - 1e-9]
+
+    def of(names: DataFrame, col: str, least: float) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(s, n) for n in batch.column(0).to_pylist() for s in sets(n, least)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["s", col])
+
+        return names.select(col).mapInArrow(run, f"s string, {col} string")
+
+    near = F.greatest(F.length("na"), F.length("nb")) < 1.5 * F.least(F.length("na"), F.length("nb"))
+    out = None
+    for left, right in ((share, 0.0), (0.0, share)):
+        met = of(a, "na", left).join(of(b, "nb", right), "s").where(near).select("na", "nb")
+        out = met if out is None else out.unionByName(met)
+    many = F.size(F.array_distinct(F.split("na", " "))) > MANY_WORDS
+    words = lambda names, c: names.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("s"))
+    other = F.size(F.array_distinct(F.split("nb", " "))) > MANY_WORDS
+    wordy = words(a.where(many), "na").join(words(b, "nb"), "s").where(near).select("na", "nb").unionByName(words(a, "na").join(words(b.where(other), "nb"), "s").where(near).select("na", "nb"))
+    return out.unionByName(wordy).distinct()
+
+
 def fuzzy_participants(records: DataFrame, names: DataFrame, cutoff: float = 92.0, block: int | None = None) -> DataFrame:
     """records (record, names array), names (contact, name) -> (record, contact,
     score): the contact whose name is most alike (weighted ratio) to any of a
     record's participants; ties to the smaller contact.
 
-    Above a cutoff of 90 partial ratios don't count, and a pair either shares a
-    whole word or has a plain or token-sorted ratio of the cutoff: those pairs are
-    compared, no others. Below, no index finds all pairs; a block size is needed,
-    which limits them to equal first letters."""
+    Above a cutoff of 90 partial ratios don't count. What then reaches the cutoff
+    has a plain or token-sorted ratio of it, or common words that are nearly all of
+    one name, or nearly the same characters: three indexes find those pairs. Below,
+    no index finds all pairs; a block size is needed, which limits them to equal
+    first letters."""
     asked = records.select("record", F.explode("names").alias("n")).select("record", compare_key(F.col("n")).alias("q")).where("q <> ''").distinct()
     have = names.select("contact", compare_key(F.col("name")).alias("h")).where("h <> ''")
     q, h = asked.select("q").distinct(), have.select("h").distinct()
@@ -260,9 +378,13 @@ def fuzzy_participants(records: DataFrame, names: DataFrame, cutoff: float = 92.
     else:
         plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
         x, y = q.select("q", plain(F.col("q")).alias("na")), h.select("h", plain(F.col("h")).alias("nb"))
-        alike = near_names(x.select("na").distinct(), y.select("nb").distinct(), cutoff)
-        words = x.select("na", F.explode(F.split("na", " ")).alias("w")).distinct().join(y.select("nb", F.explode(F.split("nb", " ")).alias("v")).distinct(), (F.col("w") == F.col("v")) & (F.greatest(F.length("na"), F.length("nb")) < 1.5 * F.least(F.length("na"), F.length("nb"))))
-        pairs = x.join(alike.union(words.select("na", "nb")).distinct(), "na").join(y, "nb").select("q", "h")
+        na, nb = x.select("na").where("na <> ''").distinct(), y.select("nb").where("nb <> ''").distinct()
+        alike = near_names(na, nb, cutoff)
+        # token sets count 0.95: their common words make up one name but for a letter or two ...
+        sets = _common_words(na, nb, cutoff / 0.95) if cutoff <= 95 else alike.limit(0)
+        # ... or the names' other words differ little, and then so do all their characters
+        letters = near_pairs(na, nb, cutoff / 0.95, (sorted_characters,)) if cutoff <= 95 else alike.limit(0)
+        pairs = x.join(alike.unionByName(sets).unionByName(letters).distinct(), "na").join(y, "nb").select("q", "h")
     near = pairs.withColumn("score", weighted_ratio("q", "h")).where(F.col("score") >= cutoff).select("q", "h", "score")
     hits = asked.join(near, "q").join(have, "h")
     w = Window.partitionBy("record").orderBy(F.desc("score"), "contact")
