@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio, token_sort_ratio
@@ -149,3 +150,101 @@ QUERIES = {
     "key_union": (key_union, KEY_UNION),
     "key_diff": (key_diff, KEY_DIFF),
 }
+
+
+def _spelled(key: str) -> Column:
+    """A word for each key: its digits, well mixed, as letters."""
+    return F.translate((F.col(key) * 7919 % 99991).cast("string"), "0123456789", "aeioubdgkm")
+
+
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def _customer_names(spark, sf):
+    """Customers and suppliers as people: a spelled word and a segment, in either order."""
+    left = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat_ws(" ", _spelled("c_custkey"), F.lower("c_mktsegment")).alias("name"), F.repeat(F.char(F.col("c_nationkey") + 97), 4).alias("org"))
+    right = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("key"), F.concat_ws(" ", F.lower(F.element_at(F.array(*map(F.lit, _SEGMENTS)), (F.col("s_suppkey") % 5 + 1).cast("int"))), _spelled("s_suppkey")).alias("name"), F.repeat(F.char(F.col("s_nationkey") + 97), 4).alias("org"))
+    return left, right
+
+
+def name_join(spark, sf):
+    left, right = _customer_names(spark, sf)
+    return R.scored_matches(left, right, 85.0).withColumn("score", F.round("score", 4))
+
+
+_NAMES = """a AS (SELECT concat('c', c_custkey) AS id, concat(translate(CAST(c_custkey * 7919 % 99991 AS VARCHAR), '0123456789', 'aeioubdgkm'), ' ', lower(c_mktsegment)) AS name, repeat(chr(97 + c_nationkey), 4) AS org FROM customer),
+b AS (SELECT concat('s', s_suppkey) AS key, concat(lower(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][1 + s_suppkey % 5]), ' ', translate(CAST(s_suppkey * 7919 % 99991 AS VARCHAR), '0123456789', 'aeioubdgkm')) AS name, repeat(chr(97 + s_nationkey), 4) AS org FROM supplier),
+p AS (SELECT id, key, a.org = b.org AS company, a.name AS x, b.name AS y FROM a, b UNION ALL SELECT id, key, a.org = b.org, array_to_string(list_sort(string_split(a.name, ' ')), ' '), array_to_string(list_sort(string_split(b.name, ' ')), ' ') FROM a, b),
+t(id, key, company, x, y, i, r) AS (SELECT id, key, company, x, y, 0, list_transform(range(0, length(y) + 1), lambda z: 0) FROM p
+ UNION ALL SELECT id, key, company, x, y, i + 1, list_reduce(range(1, length(y) + 1), lambda acc, j: list_append(acc, CASE WHEN x[i + 1] = y[j] THEN r[j] + 1 ELSE greatest(acc[-1], r[j + 1]) END), [0::INT]) FROM t
+ WHERE i < length(x) AND 200.0 * (r[-1] + length(x) - i) >= 85 * (length(x) + length(y))),
+s AS (SELECT id, key, least(100, max(200.0 * r[-1] / (length(x) + length(y))) + CASE WHEN any_value(company) THEN 15 ELSE 0 END)::DOUBLE AS score FROM t WHERE i = length(x) AND 200.0 * r[-1] >= 85 * (length(x) + length(y)) GROUP BY id, key)"""
+NAME_JOIN = f"WITH RECURSIVE {_NAMES} SELECT id, key, round(score, 4) AS score FROM s"
+
+
+def name_assignment(spark, sf):
+    """Each customer and each supplier at most once, by both rules of order."""
+    left, right = _customer_names(spark, sf)
+    scored = R.materialize(R.scored_matches(left, right, 85.0))
+    best = R.assign_one_to_one(scored).select(F.lit("best").alias("rule"), "id", "key", F.round("score", 4).alias("score"))
+    first = R.assign_one_to_one(scored, first_come=True).select(F.lit("first").alias("rule"), "id", "key", F.round("score", 4).alias("score"))
+    return best.unionByName(first)
+
+
+NAME_ASSIGNMENT = f"""WITH RECURSIVE {_NAMES},
+o AS (SELECT 'best' AS rule, list({{'id': id, 'key': key, 'score': score}} ORDER BY score DESC, id, key) AS l FROM s UNION ALL SELECT 'first', list({{'id': id, 'key': key, 'score': score}} ORDER BY id, score DESC, key) FROM s),
+g(rule, n, l, ids, keys, id, key, score) AS (SELECT rule, 0, l, []::VARCHAR[], []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE FROM o
+ UNION ALL SELECT rule, n + 1, list_filter(l, lambda c: c.id <> l[1].id AND c.key <> l[1].key), ids, keys, l[1].id, l[1].key, l[1].score FROM g WHERE len(l) > 0)
+SELECT rule, id, key, round(score, 4) AS score FROM g WHERE n > 0"""
+
+
+def _as_contacts(spark, sf):
+    """Customers with phones and addresses that some of them share."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    phones = F.array_compact(F.array(F.concat(F.lit("+421 9"), F.lpad((k * 31 % 997).cast("string"), 8, "0")), F.when(k % 9 == 0, F.concat(F.lit("9"), F.lpad((k * 17 % 991).cast("string"), 8, "0")))))
+    emails = F.array_compact(F.array(F.when(k % 4 == 0, F.concat(F.lit(" M"), k * 13 % 487, F.lit("@Acme.example"))), F.when(k % 5 == 0, F.lit(" "))))
+    return c.select(F.concat(F.lit("people/c"), k).alias("resource_name"), F.when(k % 6 == 0, F.concat(F.lit("Näme "), k % 211)).alias("display_name"), phones.alias("phones"), emails.alias("emails"))
+
+
+def duplicate_classes(spark, sf):
+    return R.duplicate_classes(_as_contacts(spark, sf), None)
+
+
+DUPLICATE_CLASSES = """WITH RECURSIVE k AS (SELECT DISTINCT concat('people/c', c_custkey) AS n, x.kind, x.key FROM (SELECT c_custkey, unnest([{'kind': 'phone', 'key': concat('9', lpad(CAST(c_custkey * 31 % 997 AS VARCHAR), 8, '0'))},
+ {'kind': 'phone', 'key': CASE WHEN c_custkey % 9 = 0 THEN concat('9', lpad(CAST(c_custkey * 17 % 991 AS VARCHAR), 8, '0')) END},
+ {'kind': 'email', 'key': CASE WHEN c_custkey % 4 = 0 THEN concat('m', c_custkey * 13 % 487, '@acme.example') END}, {'kind': 'name', 'key': CASE WHEN c_custkey % 6 = 0 THEN concat('name ', c_custkey % 211) END}]) AS x FROM customer) WHERE x.key IS NOT NULL),
+h AS (SELECT *, count(*) OVER (PARTITION BY kind, key) - 1 AS others, min(n) OVER (PARTITION BY kind, key) AS lead FROM k),
+e AS (SELECT n AS a, lead AS b FROM h WHERE others > 0 UNION SELECT lead, n FROM h WHERE others > 0),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS n, min(b) AS class_id, count(*) AS members FROM r GROUP BY a),
+l AS (SELECT n, coalesce(sum(others) FILTER (kind = 'phone'), 0)::BIGINT AS phone_links, coalesce(sum(others) FILTER (kind = 'email'), 0)::BIGINT AS email_links, coalesce(sum(others) FILTER (kind = 'name'), 0)::BIGINT AS name_links FROM h GROUP BY n)
+SELECT n AS resource_name, class_id, members, CASE WHEN phone_links > 0 THEN 'phone' WHEN email_links > 0 THEN 'email' ELSE 'name' END AS match_type, phone_links, email_links, name_links, phone_links + email_links + name_links AS links FROM c JOIN l USING (n)"""
+
+
+def tag_groups(spark, sf):
+    """Segments written in several ways as tags, part names as groups."""
+    c, p = table(spark, sf, "customer"), table(spark, sf, "part")
+    word = F.element_at(F.split("p_name", " "), 1)
+    names = p.select(F.initcap("p_name").alias("name")).distinct()
+    tags = p.select(F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit("s"))).otherwise(F.concat(word, F.lit("er gizmos"), F.col("p_size") % 4)).alias("tag")).unionByName(c.select(F.lower("c_mktsegment").alias("tag"))).distinct()
+    aliases = p.select(F.lower("p_brand").alias("alias"), F.initcap("p_name").alias("name")).limit(0).unionByName(c.select(F.initcap("c_mktsegment").alias("alias"), F.concat(F.lit("Segment "), F.length("c_mktsegment")).alias("name")).where("name <> 'Segment 9'").distinct())
+    return R.resolve_tags(tags, names, aliases)
+
+
+TAG_GROUPS = """WITH RECURSIVE n AS (SELECT DISTINCT p_name AS low FROM part), g AS (SELECT low, array_to_string(list_transform(string_split(low, ' '), lambda w: concat(upper(w[1]), w[2:])), ' ') AS name FROM n),
+t AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_name, 's') ELSE concat(string_split(p_name, ' ')[1], 'er gizmos', p_size % 4) END AS tag FROM part UNION SELECT DISTINCT lower(c_mktsegment) FROM customer),
+p AS (SELECT tag, name, lower(tag) AS x, low AS y FROM t, g UNION ALL SELECT tag, name, array_to_string(list_sort(string_split(lower(tag), ' ')), ' '), array_to_string(list_sort(string_split(low, ' ')), ' ') FROM t, g),
+m(tag, name, x, y, i, r) AS (SELECT tag, name, x, y, 0, list_transform(range(0, length(y) + 1), lambda z: 0) FROM p
+ UNION ALL SELECT tag, name, x, y, i + 1, list_reduce(range(1, length(y) + 1), lambda acc, j: list_append(acc, CASE WHEN x[i + 1] = y[j] THEN r[j] + 1 ELSE greatest(acc[-1], r[j + 1]) END), [0::INT]) FROM m
+ WHERE i < length(x) AND 200.0 * (r[-1] + length(x) - i) >= 90 * (length(x) + length(y))),
+s AS (SELECT tag, name FROM m WHERE i = length(x) AND 200.0 * r[-1] >= 90 * (length(x) + length(y)) QUALIFY row_number() OVER (PARTITION BY tag ORDER BY 200.0 * r[-1] / (length(x) + length(y)) DESC, name) = 1),
+al AS (SELECT DISTINCT lower(c_mktsegment) AS tag, concat('Segment ', length(c_mktsegment)) AS name FROM customer WHERE length(c_mktsegment) <> 9),
+c AS (SELECT t.tag, al.name AS by_alias, g.name AS same, s.name AS close FROM t LEFT JOIN al USING (tag) LEFT JOIN g ON g.low = lower(t.tag) LEFT JOIN s ON s.tag = t.tag)
+SELECT tag, coalesce(by_alias, same, close, array_to_string(list_transform(string_split(tag, ' '), lambda w: concat(upper(w[1]), lower(w[2:]))), ' ')) AS group_name, CASE WHEN by_alias IS NOT NULL THEN 'alias' WHEN same IS NOT NULL THEN 'equal' WHEN close IS NOT NULL THEN 'similar' ELSE 'create' END AS route FROM c"""
+
+QUERIES |= {
+    "name_join": (name_join, NAME_JOIN),
+    "name_assignment": (name_assignment, NAME_ASSIGNMENT),
+    "duplicate_classes": (duplicate_classes, DUPLICATE_CLASSES),
+    "tag_groups": (tag_groups, TAG_GROUPS),
+}
