@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, read_table, rekey, slices
+from .common import connected_components, materialize, mix, read_table, rekey, remove, slices
 
 SEED, WORDS, MAX_BITS, POSITIONS, MAX_LIST = 42, 3, 2, 8, 64
 
@@ -198,22 +198,159 @@ def hex_fingerprint(col: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group of linked fingerprints stays: the one with the
-    smallest doc_id (null ids last), of rows that share that id the one with the
-    smallest fingerprint and digest of the text. What a row shares its id with
-    doesn't matter: rows without an id, or with one that others have, are judged
-    by their own text. Of wordless or null texts one stays. Columns stay as they
-    are, whatever their names."""
-    packed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_o"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("i"), F.col("text").cast("string").alias("t"))
-    near = grouped_fingerprints(named, words, F.xxhash64("t"), bits)
-    # of a group's rows the first; rows equal in id and text are numbered by any order
-    first = near.groupBy("c").agg(F.min(F.struct("i", "fp", "h")).alias("f")).select("f.i", "f.h")
-    first = materialize(first.select(rekey("i").alias("_fi"), F.col("h").alias("_fh")).distinct())
+#: Parts of a text's shingles that are fingerprinted by themselves, and how many
+#: shingles a part has at least on the finer of two levels.
+PARTS, PART_SHINGLES = 16, 3
+#: Shingle hashes a text keeps for the comparison: all of up to so many, else the least.
+SKETCH = 512
+#: Share of common shingles from which on two texts are near copies.
+SIMILAR = 0.8
+_SEEDS = mix(np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, sorted; none without a word."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(found)
+    if n <= words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)][:n], np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, n) + 1)
+    starts, h = np.concatenate(([0], ends[: n - words])), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())), np.uint64, len(starts)))
+
+
+def _majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """SimHash of each stretch of hashes."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    size = np.diff(np.append(starts, len(hashes)))
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def part_fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """-> (fingerprints of parts, a number that similar texts share with each).
+
+    Part k of a text on level l holds the shingles whose k-th hash falls into one
+    of 2**l ranges. Levels are chosen by the number of shingles, two next to each
+    other, so that texts of nearly the same size have one in common. A part is
+    untouched by a change of the other shingles; its SimHash then stays the same."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    fine = max(0, int(np.log2(n / PART_SHINGLES))) if n > PART_SHINGLES else 0
+    own = mix(hashes[None, :] ^ _SEEDS[:, None])
+    least, fps, orders = own.min(axis=1), [], []
+    for level in {fine, max(0, fine - 1)}:
+        part, at = np.nonzero(own < np.uint64((1 << (64 - level)) - 1)) if level else (np.zeros(n, np.int64), np.arange(n))
+        if len(part):
+            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            which = part[starts]
+            salt = mix(np.uint64(level * PARTS + 1) + which.astype(np.uint64))
+            fps.append(mix(_majority(hashes[at], starts) ^ salt))
+            orders.append(least[(which + 1) % PARTS])
+    return (np.concatenate(fps), np.concatenate(orders)) if fps else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """The least SKETCH values of 32 bits of the hashes, sorted."""
+    return np.unique(mix(hashes) >> np.uint64(32)).astype("<u4")[:SKETCH].tobytes()
+
+
+def sketch_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity: of all shingles where both texts have few, else of the
+    least ones of their union."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        both = both[:SKETCH]
+    if not len(both):
+        return 1.0
+    return len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), both, assume_unique=True)) / len(both)
+
+
+def _described(rows: DataFrame, words: int) -> DataFrame:
+    """(i, t) -> (i, h, fp, parts, orders, sketch): h tells texts apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda arrays: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)))
+        for b in slices(batches, "t"):
+            fps, parts, orders, sketches = [], [], [], []
+            for t in b.column("t").to_pylist():
+                hashes = shingle_hashes(t, words)
+                p, o = part_fingerprints(hashes)
+                parts.append(p)
+                orders.append(o)
+                sketches.append(sketch(hashes))
+                fps.append(fingerprint(t, words))
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), pa.array(np.array(fps, np.uint64).view(np.int64)), lists(parts), lists(orders), pa.array(sketches, pa.binary())], ["i", "h", "fp", "parts", "orders", "sketch"])
+
+    return rows.select("i", text_digest("t").alias("h"), "t").mapInArrow(run, "i long, h long, fp long, parts array<long>, orders array<long>, sketch binary")
+
+
+def text_digest(col: str) -> Column:
+    """Tells texts apart; those without a word are all the same."""
+    t = F.coalesce(F.col(col), F.lit(""))
+    return F.when(t.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(t)).otherwise(F.lit(0).cast("long"))
+
+
+def similar_texts(texts: DataFrame, bits: int = MAX_BITS, least: float = SIMILAR) -> DataFrame:
+    """Distinct texts (i, h, fp, parts, orders, sketch) -> verified links (src, dst).
+
+    Compared are texts whose fingerprints lie within `bits`, told by the index of
+    positional bytes, and texts of which a part's fingerprint agrees in all eight
+    bytes. Of the texts that share such a fingerprint each is compared with the
+    first of them and with the first that also shares a least hash: never all with
+    all. A pair is linked if the share of common shingles is `least` at least."""
+    first = lambda *by: [*by, F.min(F.struct("i", "h")).alias("f"), F.count(F.lit(1)).alias("n")]
+    parts = materialize(texts.select("i", "h", F.explode(F.arrays_zip("parts", "orders")).alias("x")).select("i", "h", F.col("x.parts").alias("p"), F.col("x.orders").alias("o")))
+    shared = parts.groupBy("p").agg(*first()).where("n > 1").select(rekey("p").alias("k"), F.col("f.h").alias("lead"))
+    met = materialize(parts.join(shared, F.col("p") == F.col("k")).select("i", "h", "p", "o", "lead"))
+    remove(parts)
+    second = met.groupBy("p", "o").agg(*first()).where("n > 1").select(rekey("p").alias("k"), rekey("o").alias("l"), F.col("f.h").alias("nearer"))
+    pairs = met.select("h", "lead").unionByName(met.join(second, (F.col("p") == F.col("k")) & (F.col("o") == F.col("l"))).select("h", F.col("nearer").alias("lead")))
+    # whole fingerprints: texts with the same one, and the first texts of linked ones
+    whole = materialize(texts.groupBy("fp").agg(*first()).select("fp", F.col("f.h").alias("lead"), "n"))
+    same = texts.select("h", "fp").join(whole.where("n > 1").select(rekey("fp").alias("k"), "lead"), F.col("fp") == F.col("k")).select("h", "lead")
+    links = link_edges(whole.select("fp"), None, bits)
+    of = lambda s: whole.select(F.col("fp").alias(f"fp_{s}"), F.col("lead").alias(s))
+    near = links.join(of("a"), F.col("src") == F.col("fp_a")).join(of("b"), F.col("dst") == F.col("fp_b")).select(F.col("a").alias("h"), F.col("b").alias("lead"))
+    pairs = materialize(pairs.unionByName(same).unionByName(near).where("h <> lead").select(F.least("h", "lead").alias("src"), F.greatest("h", "lead").alias("dst")).distinct())
+
+    @F.pandas_udf("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([sketch_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    sketches = lambda s: texts.select(F.col("h").alias(f"h_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    both = pairs.join(sketches("a"), F.col("src") == F.col("h_a")).join(sketches("b"), F.col("dst") == F.col("h_b"))
+    return both.where(similarity("sketch_a", "sketch_b") >= least).select("src", "dst")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = MAX_BITS, least: float = SIMILAR) -> DataFrame:
+    """One document of each group of similar texts stays: the one with the smallest
+    doc_id (null ids last), of rows that share that id the one with the smallest
+    digest of the text. Groups are what verified links of similar_texts() connect;
+    texts of a similarity of 0.8 meet with a probability of 0.95 or more, more alike
+    ones surely but for a few in a thousand, and none goes without a link to one
+    that has `least` of its shingles (estimated from 512 for longer texts, which
+    near `least` may be off by 0.02). What a row shares its id with doesn't matter:
+    rows without an id, or with one that others have, are judged by their own text.
+    Of wordless or null texts one stays. Columns stay as they are, whatever their
+    names."""
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    named = docs.select(order.alias("i"), F.col("text").cast("string").alias("t"))
+    described = materialize(_described(named, words))
+    # of the rows with one text the first is described once
+    texts = materialize(described.groupBy("h").agg(F.min("i").alias("i"), F.min("fp").alias("fp"), F.first("parts").alias("parts"), F.first("orders").alias("orders"), F.first("sketch").alias("sketch")))
+    comp = connected_components(similar_texts(texts, bits, least)).select(rekey("node").alias("node"), "component")
+    grouped = materialize(texts.select("i", "h").join(comp, F.col("h") == F.col("node"), "left").select("i", "h", F.coalesce("component", "h").alias("c")))
+    first = materialize(grouped.groupBy("c").agg(F.min(F.struct("i", "h")).alias("f")).select(F.col("f.i").alias("_fi"), F.col("f.h").alias("_fh")))
+    remove(described)
+    remove(texts)
+    packed = docs.select(F.struct("*").alias("_row"), order.alias("_o"), text_digest("text").alias("_h"))
     kept = packed.join(first, (packed._o == F.col("_fi")) & (packed._h == F.col("_fh")))
-    # repeated rows of equal id and text: one of them; only those few ids that have such rows are numbered
-    twice = materialize(named.groupBy("i", F.xxhash64("t").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(rekey("i").alias("_ti"), F.col("h").alias("_th")))
+    # rows equal in id and text: one of them; only the few ids that have such rows are numbered
+    twice = materialize(named.groupBy("i", text_digest("t").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(rekey("i").alias("_ti"), F.col("h").alias("_th")))
     if twice.isEmpty():
         return kept.select("_row.*")
     at = (F.col("_o") == F.col("_ti")) & (F.col("_h") == F.col("_th"))

@@ -164,6 +164,84 @@ def test_simhash_edge_cases(spark):
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "same text"), (3, "")]
 
 
+def shingle_set(text, size=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def similar_groups(texts, least=0.8):
+    """Each text's largest similarity to another, and the first text of its group."""
+    sets, holders, met = [shingle_set(t) for t in texts], {}, {}
+    for k, s in enumerate(sets):
+        shared = Counter(j for x in s for j in holders.get(x, ()))
+        met.update({(j, k): n / (len(sets[j]) + len(s) - n) for j, n in shared.items()})
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    empty = [k for k, s in enumerate(sets) if not s]
+    met.update({(empty[0], k): 1.0 for k in empty[1:]})
+    best, up = [0.0] * len(texts), list(range(len(texts)))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for (j, k), s in met.items():
+        best[j], best[k] = max(best[j], s), max(best[k], s)
+        if s >= least:
+            x, y = top(j), top(k)
+            up[max(x, y)] = min(x, y)
+    return best, [top(k) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("changed", [1, 2, 3, 6, 9])
+def test_near_copies_are_found(spark, table, changed):
+    """Of documents that keep a similarity of 0.8 after so many words were changed nearly all go, and no others."""
+    r, rows = random.Random(changed), []
+    words = [w for t in table.text[:200] for w in t.split()]
+    for text in [t for t in table.text if 60 <= len(t.split()) <= 900][:250]:
+        new = text.split(" ")
+        for _ in range(changed):
+            new[r.randrange(len(new))] = r.choice(words)
+        rows += [text, " ".join(new)]
+    near, lead = similar_groups(rows)
+    kept = {x.doc_id for x in simhash.drop_near_duplicates(docs(spark, rows), 5).collect()}
+    copies = [k for k in range(1, len(rows), 2) if lead[k] != k]
+    assert copies and sum(k not in kept for k in copies) >= 0.97 * len(copies)
+    assert all(near[k] >= 0.78 for k in range(len(rows)) if k not in kept)
+
+
+def test_groups_of_copies_are_not_paired(spark):
+    """A thousand near copies of one text, beside as many texts that only share a passage with them."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base, passage = [word() for _ in range(300)], [word() for _ in range(60)]
+    rows = []
+    for _ in range(1000):
+        new = list(base)
+        new[r.randrange(300)] = word()
+        rows += [" ".join(new), " ".join([*(word() for _ in range(r.randrange(30, 300))), *passage])]
+    texts = materialized(spark, rows)
+    assert simhash.similar_texts(texts).count() < 60_000
+    kept = {x.doc_id for x in simhash.drop_near_duplicates(docs(spark, rows), 5).collect()}
+    assert {k for k in kept if k % 2 == 0} == {0} and len(kept) == 1001
+
+
+def materialized(spark, rows):
+    return common.materialize(simhash._described(spark.createDataFrame(list(enumerate(rows)), "i long, t string"), 5))
+
+
+def test_sketches_and_parts():
+    r = np.random.default_rng(1)
+    for n, common_ in ((0, 0), (3, 2), (400, 350), (5000, 4500)):
+        x, own = r.integers(0, 1 << 63, n + 1, dtype=np.uint64)[:n], n - common_
+        y = np.concatenate((x[:common_], r.integers(0, 1 << 63, own, dtype=np.uint64)))
+        want = common_ / (n + own) if n else 1.0
+        assert abs(simhash.sketch_similarity(simhash.sketch(np.sort(x)), simhash.sketch(np.sort(y))) - want) < (0.06 if n + own > simhash.SKETCH else 1e-9)
+        parts, orders = simhash.part_fingerprints(np.unique(x))
+        assert len(parts) == len(orders) <= 2 * simhash.PARTS and (n == 0) == (len(parts) == 0)
+
+
 def test_simhash_query(spark, sf, table):
     got = registry.queries()["op2_simhash"](spark, sf).toPandas().set_index("doc_id")
     fps = [plain_simhash(t) for t in table.text]

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pandas as pd
 import pytest
-from test_ops import brute_components, brute_lines, brute_spans, check_packing, plain_simhash
+from test_ops import brute_lines, brute_spans, check_packing, similar_groups
 
 import corpus_pipeline as C
 
@@ -32,8 +32,11 @@ def test_stages_equal_brute_force(stages, sf):
     gone = brute_lines(first.text, first.doc_id)
     want = ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in zip(first.doc_id, first.text)]
     assert second.text.tolist() == want
-    lead = brute_components([plain_simhash(t, C.SHINGLE_WORDS) for t in second.text], C.NEAR_BITS)
-    assert third.doc_id.tolist() == second.doc_id[[k for k, c in enumerate(lead) if c == k]].tolist()
+    near, lead = similar_groups(second.text.tolist())
+    one_each = {second.doc_id[k] for k, c in enumerate(lead) if c == k}
+    assert len(one_each ^ set(third.doc_id)) <= 2  # long texts of a similarity close to 0.8 are estimated
+    assert all(second.doc_id[k] in set(third.doc_id) or near[k] >= 0.78 for k in range(len(second)))
+    assert third.text.tolist() == second.set_index("doc_id").text.loc[third.doc_id].tolist()
     texts = dict(zip(third.doc_id, third.text))
     cuts = {}
     for i, s, e, *_ in brute_spans(third.text, third.doc_id.tolist()):
