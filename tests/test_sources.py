@@ -160,3 +160,101 @@ def test_learned_matches(spark):
     assert {r.handle: r.contact_id for r in learned.collect()} == {"h1": "c1", "h2": "c3"}
     new = spark.createDataFrame([("h2", None), ("h7", None)], "handle string, contact_id string")
     assert {r.handle: r.contact_id for r in I.known_contacts(new, learned).collect()} == {"h2": "c3", "h7": None}
+
+
+def test_instants_of_any_spelling(spark, tmp_path):
+    """Rows whose instants have a fraction, none, or another zone come in order and once."""
+    assert rest.micros("2024-01-01T00:00:00Z") == rest.micros("2024-01-01T01:00:00.000+01:00") == rest.micros("2024-01-01T00:00:00") and rest.micros("junk") is None
+    assert rest.micros("2024-01-01T00:00:00Z") < rest.micros("2024-01-01T00:00:00.500Z") < rest.micros("2024-01-01T00:00:03Z")
+    stop = tmp_path / "upto"
+    path, all_rows = str(stop), ["2024-01-01T00:00:00Z", "2024-01-01T00:00:00.500Z", "2024-01-01T01:00:03+01:00"]
+
+    def fetch(account, cursor):
+        return [(account, x) for x in reversed(all_rows[: int(open(path).read())])] + [(account, None)], None
+
+    for name, overlap, want in (("spelled_plain", "0", [1, 1, 1]), ("spelled_late", None, [3, 2, 1])):
+        spark.dataSource.register(rest.paged_source(name, fetch, "account string, at string"))
+        out, check = str(tmp_path / name), str(tmp_path / f"{name}-check")
+        for upto in (1, 2, 3):
+            stop.write_text(str(upto))
+            options = {"accounts": "a", "since": "2023-12-31T00:00:00Z"} | ({} if overlap is None else {"overlap": overlap})
+            q = spark.readStream.format(name).options(**options).load().writeStream.format("parquet").option("checkpointLocation", check).start(out)
+            q.processAllAvailable()
+            q.stop()
+        got = [r.at for r in spark.read.parquet(out).collect()]
+        assert [got.count(x) for x in all_rows] == want, name  # by default five minutes are read again
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp"])
+def test_filters_reach_the_pages(spark, tmp_path, kind):
+    """A where on the instant or the account changes what is fetched; counts come from the source."""
+    from datetime import UTC, datetime
+
+    log = str(tmp_path / "log")
+
+    def fetch(account, cursor):
+        with open(log, "a") as f:
+            f.write(f"{account} {cursor}\n")
+        n = int(cursor or 0)
+        at = [datetime(2024, 1, 30 - 3 * n - k, 12, tzinfo=UTC) for k in range(3)]
+        return [(account, n, x if kind == "timestamp" else x.isoformat().replace("+00:00", "Z")) for x in at], str(n + 1) if n < 8 else None
+
+    def count(account, since, until):
+        return 7 if (since, until) == (rest.micros("2024-01-05T00:00:00Z"), None) else -1
+
+    spark.dataSource.register(rest.paged_source(f"pushed_{kind}", fetch, f"account string, page int, at {kind}", count))
+    rows = rest.read_pages(spark, f"pushed_{kind}", accounts="a,b,c")
+    at = lambda day: f"2024-01-{day:02d}T00:00:00Z" if kind == "string" else datetime(2024, 1, day, tzinfo=UTC)
+
+    def fetched(df):
+        open(log, "w").close()
+        n = len(df.collect())
+        return n, [x.split()[0] for x in open(log)]
+
+    n, calls = fetched(rows)
+    assert n == 81 and len(calls) == 27
+    n, calls = fetched(rows.where((F.col("at") >= F.lit(at(25))) & (F.col("account") == "b")))
+    assert n == 6 and set(calls) == {"b"} and len(calls) <= 4
+    n, calls = fetched(rows.where(F.col("account").isin("a", "c") & (F.col("at") > F.lit(at(29))) & (F.col("at") < F.lit(at(30)))))
+    assert n == 2 and len(calls) <= 4 and "b" not in calls
+    assert fetched(rows.where((F.col("at") > F.lit(at(29))) & (F.col("at") < F.lit(at(10))))) == (0, [])
+    counts = rest.count_rows(spark, f"pushed_{kind}", accounts="a,b", since="2024-01-05T00:00:00Z")
+    open(log, "w").close()
+    assert sorted(tuple(r) for r in counts.collect()) == [("a", 7), ("b", 7)] and open(log).read() == ""
+
+
+def test_updates_under_a_condition(spark, tmp_path):
+    """Batches of the size asked for; changed tags are reported; a task that fails midway and runs again writes once."""
+    import os
+
+    store, log, failed = tmp_path / "store", str(tmp_path / "requests"), str(tmp_path / "failed")
+    store.mkdir()
+    for k in range(40):
+        (store / f"p{k}").write_text(json.dumps({"tag": "t1" if k % 10 else "t9", "body": "old", "writes": 0}))
+    folder, report = str(store), str(tmp_path / "report")
+
+    def send(key, lot):
+        out = []
+        for i, tag, body in lot:
+            entry = json.load(open(f"{folder}/{i}"))
+            ok = entry["tag"] == tag or (entry["body"] == body and entry["tag"] == f"after {tag}")
+            if entry["tag"] == tag:
+                json.dump({"tag": f"after {tag}", "body": body, "writes": entry["writes"] + 1}, open(f"{folder}/{i}", "w"))
+            out.append(ok)
+        with open(log, "a") as f:
+            f.write(f"{key} {len(lot)}\n")
+        if not os.path.exists(failed):
+            open(failed, "w").close()
+            raise OSError("the answer is lost")
+        return out
+
+    spark.dataSource.register(rest.conditional_sink("updates", send, lambda n, conflicts: open(report, "w").write(json.dumps([n, conflicts]))))
+    updates = spark.range(40).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), F.lit("t1").alias("tag"), F.concat(F.lit("new "), F.col("id").cast("string")).alias("body"))
+    rest.write_updates(updates, "updates", request="7")
+    assert json.load(open(report)) == [36, ["p0", "p10", "p20", "p30"]]
+    entries = {k: json.load(open(store / f"p{k}")) for k in range(40)}
+    assert all(e["writes"] == (k % 10 > 0) and e["body"] == (f"new {k}" if k % 10 else "old") for k, e in entries.items())
+    sizes = [int(x.split()[1]) for x in open(log)]
+    assert max(sizes) == 7 and sum(sizes) > 40
+    rest.write_updates(updates, "updates", request="7")  # all of it again: nothing is written twice
+    assert all(json.load(open(store / f"p{k}"))["writes"] <= 1 for k in range(40)) and json.load(open(report))[0] == 36
