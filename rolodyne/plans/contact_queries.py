@@ -286,7 +286,35 @@ def message_log(spark, sf):
 
 MESSAGE_LOG = "SELECT count(*) FILTER (o_orderstatus IN ('F', 'O')) AS sent, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS skipped, CAST(round(100.0 * count(*) FILTER (o_orderstatus = 'O') / count(*) FILTER (o_orderstatus IN ('F', 'O'))) AS BIGINT) AS answered_percent, count(*) FILTER (o_orderstatus = 'F' AND CAST(o_orderdate AS DATE) + 7 <= DATE '1996-01-01') AS due FROM orders"
 
+def applied_changes(spark, sf):
+    """Proposals of seven kinds made to the customers' contacts, in order."""
+    people, k = contacts(spark, sf), F.col("c_custkey")
+    one = lambda seq, every, field, new, **extra: F.when(k % every == 0, F.struct(F.lit(seq).alias("seq"), F.lit(field).alias("field"), F.concat(*(k.cast("string") if x is None else F.lit(x) for x in new)).alias("new"), (F.create_map(*(F.lit(x) for kv in extra.items() for x in kv)) if extra else F.lit(None)).cast("map<string,string>").alias("extra")))
+    made = F.array_compact(
+        F.array(
+            one(1, 2, "emailAddresses[0].value", ["m", None, "@new.example"]),
+            one(2, 3, "email[0]", [""]),
+            one(3, 4, "url[+]", ["https://x.example/", None], type="profile"),
+            one(4, 5, "addresses[0].city", ["Zilina ", None]),
+            one(5, 6, "birthdays[+]", ["in May"], date="1980-05-06"),
+            one(6, 1, "organizations[7].name", ["none"]),
+            one(7, 7, "name[+].familyName", ["N", None]),
+        )
+    )
+    changes = people.select(F.col("resourceName").alias("resource_name"), F.explode(made).alias("x")).select("resource_name", "x.*")
+    after = P.apply_changes(people, changes)
+    text = lambda c, f: F.array_join(F.transform(c, f), ",", "-")
+    return after.select("c_custkey", text("emailAddresses", lambda e: e.value).alias("emails"), text("urls", lambda e: F.concat_ws("|", e.type, e.value)).alias("urls"), text("addresses", lambda e: F.concat_ws("|", e.city, e.postalCode)).alias("places"), text("birthdays", lambda e: F.concat_ws("-", e.date.year, e.date.month, e.date.day)).alias("birthdays"), text("organizations", lambda e: e["name"]).alias("orgs"), text("names", lambda e: e.familyName).alias("names"))
+
+
+APPLIED_CHANGES = """WITH c AS (SELECT c_custkey AS k, c_mktsegment, list_filter([CASE WHEN c_custkey % 2 = 0 THEN concat('m', c_custkey, '@new.example') ELSE concat(' C', c_custkey, '@Acme.Example') END, CASE WHEN c_custkey % 2 = 0 THEN concat('c', c_custkey, '@acme.example') END,
+ CASE WHEN c_custkey % 5 = 0 THEN 'bad@@x' END, CASE WHEN c_custkey % 7 = 0 THEN 'own@acme.example' END], lambda x: x IS NOT NULL) AS mails FROM customer)
+SELECT k AS c_custkey, array_to_string(CASE WHEN k % 3 = 0 THEN mails[2:] ELSE mails END, ',') AS emails, CASE WHEN k % 4 = 0 THEN concat('profile|https://x.example/', k) END AS urls,
+ concat_ws('|', CASE WHEN k % 5 = 0 THEN concat('Zilina ', k) WHEN k % 3 <> 0 THEN 'Nitra' END, CAST(10000 + k * 37 % 89999 AS VARCHAR)) AS places, CASE WHEN k % 6 = 0 THEN '1980-5-6' END AS birthdays, concat(c_mktsegment, ' SRO') AS orgs, CASE WHEN k % 7 = 0 THEN concat('N', k) END AS names FROM c"""
+
+
 QUERIES = {
+    "applied_changes": (applied_changes, APPLIED_CHANGES),
     "mail_rules": (mail_rules, MAIL_RULES),
     "place_rules": (place_rules, PLACE_RULES),
     "company_rules": (company_rules, COMPANY_RULES),

@@ -116,13 +116,91 @@ def test_apply_and_empty_tables(spark):
     assert rules.analyse(empty).count() == 0 and P.apply_changes(empty, changes.limit(0)).count() == 0
 
 
-def test_apply_paths():
-    person = {"urls": [{"value": "a"}, {"value": "b"}], "names": [{"givenName": "x"}]}
-    ch = lambda f, n, **k: {"field": f, "new": n} | k
-    got = P.apply_to(person, [ch("urls[0]", ""), ch("urls[1].value", "c"), ch("urls[+]", "d"), ch("name[0].familyName", "Lee"), ch("events[+]", "2020-01-02", extra={"type": "anniversary"}), ch("events[+]", "bad"), ch("unknown[0]", "z"), ch("email[+]", "m@n.o")])
-    assert [u["value"] for u in got["urls"]] == ["c", "d"] and got["names"][0]["familyName"] == "Lee"
-    assert got["events"] == [{"date": {"year": 2020, "month": 1, "day": 2}, "type": "anniversary"}] and got["emailAddresses"] == [{"value": "m@n.o", "type": "other"}]
-    assert person["urls"][0]["value"] == "a"
+MAIN_PART = {"addresses": "formattedValue", "names": "givenName", "organizations": "name"}
+
+
+def plain_apply(person, changes):
+    """A contact after its changes, with lists and dicts."""
+    import copy
+    import re
+
+    out, removed = copy.deepcopy(person), []
+    arrays = {f.name: [p.name for p in f.dataType.elementType] for f in SCHEMA if f.name != "resourceName"}
+    for c in changes:
+        found = re.fullmatch(r"([A-Za-z]+)\[(\+|\d+)\](?:\.([A-Za-z]+))?", c["field"] or "")
+        name = found and P.ALIASES.get(found[1], found[1])
+        if name not in arrays:
+            continue
+        out[name] = out.get(name) or []
+        here, at, extra = out[name], found[2], c.get("extra") or {}
+        part = found[3] if found[3] not in (None, "value") else MAIN_PART.get(name, "value")
+        if at == "+":
+            if name in ("birthdays", "events"):
+                entry = None
+                for text in (extra.get("date"), c["new"]):
+                    if entry is None and text and re.fullmatch(r"\d+-\d+-\d+", text):
+                        entry = {"date": dict(zip(("year", "month", "day"), map(int, text.split("-"))))}
+                    elif entry is None and text and text.startswith("{"):
+                        entry = {"date": json.loads(text)}
+            elif name == "userDefined":
+                entry = {"key": extra.get("key", ""), "value": extra.get("value", c["new"])}
+            else:
+                entry = {part: c["new"]} if part in arrays[name] else {}
+            if entry is not None and name in ("phoneNumbers", "emailAddresses", "urls", "addresses", "events"):
+                entry = {"type": extra.get("type", "other")} | entry
+            if name == "names" and here:
+                here[0].update(entry)
+            elif entry is not None:
+                here.append(entry)
+        elif int(at) < len(here):
+            if c["new"] == "" and found[3] is None:
+                removed.append((name, int(at)))
+            elif part in arrays[name] and part != "date":
+                here[int(at)][part] = c["new"]
+    for name in {n for n, _ in removed}:
+        out[name] = [e for k, e in enumerate(out[name]) if (name, k) not in removed]
+    return out
+
+
+SCHEMA = None  # of contacts, known once there is a session
+
+
+def test_apply_equals_a_plain_form(spark):
+    """Random change lists over random contacts, as columns and as dicts."""
+    import random
+
+    global SCHEMA
+    r, rows, changes = random.Random(9), [], []
+    SCHEMA = contacts(spark, CONTACTS).schema
+    paths = ["names", "name", "phones", "emailAddresses", "address", "organizations", "url", "birthdays", "event", "userDefined", "notes", "nicknames", "unknown"]
+    subs = ["", "", ".value", ".type", ".givenName", ".city", ".key", ".nothing", ".date", ".title"]
+    extras = [None, {"type": "work"}, {"key": "k", "value": "v"}, {"date": "1980-05-06"}, {"date": '{"month": 5, "day": 6}'}, {"date": "soon"}]
+    for k in range(60):
+        person = {"resourceName": f"people/{k}"}
+        for f in SCHEMA:
+            if f.name != "resourceName" and r.random() < 0.6:
+                parts = [p.name for p in f.dataType.elementType if p.name != "date"]
+                person[f.name] = [{p: r.choice(["a", "b", ""]) for p in parts if r.random() < 0.7} for _ in range(r.randrange(4))]
+        rows.append(person)
+        own = [{"field": f"{r.choice(paths)}[{r.choice(['+', '0', '1', '2', '9'])}]{r.choice(subs)}", "new": r.choice(["x", "y", "", "2001-02-03", None]), "extra": r.choice(extras)} for _ in range(r.randrange(9))]
+        own += [{"field": r.choice(["names", "names[x]", "", None]), "new": "z", "extra": None}]
+        changes.append((person, own))
+    flat = [(p["resourceName"], s, c["field"], c["new"], c["extra"]) for p, own in changes for s, c in enumerate(own)]
+    r.shuffle(flat)
+    df = spark.createDataFrame(flat, "resource_name string, seq long, field string, new string, extra map<string,string>")
+    table = contacts(spark, rows).withColumns({"_todo_": F.lit("own"), "part": F.lit("own"), "seq": F.lit(1)})
+    got = P.apply_changes(table, df)
+    want = contacts(spark, [plain_apply(p, own) for p, own in changes])
+    assert {x.resourceName: x for x in got.select(*want.columns).collect()} == {x.resourceName: x for x in want.collect()}
+    assert {x.part for x in got.collect()} == {"own"} and got.columns == table.columns
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert P.apply_changes(table, df.limit(0)).count() == 60
+
+
+def test_a_birthday_has_its_date_in_extra(spark):
+    person = contacts(spark, [{"resourceName": "p"}])
+    changes = spark.createDataFrame([("p", 1, "birthdays[+]", "6 May", {"date": "1980-05-06"}), ("p", 2, "birthdays[+]", "2001-02-03", None), ("p", 3, "birthdays[+]", "never", None)], "resource_name string, seq long, field string, new string, extra map<string,string>")
+    assert [tuple(b.date) for b in P.apply_changes(person, changes).first().birthdays] == [(1980, 5, 6), (2001, 2, 3)]
 
 
 def test_duplicates(spark):
