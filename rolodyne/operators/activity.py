@@ -95,13 +95,28 @@ def awaiting_side(events: DataFrame) -> DataFrame:
     return latest.select("contact_id", F.when(F.col("way") == "inbound", F.lit("mine")).otherwise(F.lit("theirs")).alias("awaiting_side"))
 
 
-def response_pairs(events: DataFrame, trigger: str, response: str, thread: list[str]) -> DataFrame:
+def response_pairs(events: DataFrame, trigger: str, response: str, thread: list[str], every: int = 86_400) -> DataFrame:
     """Each trigger with the next response of its thread; several triggers may
-    share one. A response at the same instant makes no pair. Read backwards, the
-    next response is the last one seen, so the frame only grows."""
-    back = Window.partitionBy(*thread).orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
-    following = F.last(F.when(F.col("direction") == response, F.col("ts")), ignorenulls=True).over(back)
-    return events.withColumn("response_ts", following).where((F.col("direction") == trigger) & (F.col("response_ts") > F.col("ts")))
+    share one. A response at the same instant makes no pair, nor one after it.
+
+    A thread is cut into stretches of `every` seconds, so that one that holds much
+    of all messages doesn't meet in one task. Within a stretch the next response is
+    the last one seen when read backwards; where there is none it is the first one
+    of a later stretch, of which each has a single row."""
+    stretch = F.floor(F.unix_micros("ts") / (every * 1_000_000))
+    cut = [*thread, "_stretch"]
+    rows = events.withColumn("_stretch", stretch)
+    seen = F.when(F.col("direction") == response, F.struct("ts", "event_id"))
+    firsts = rows.groupBy(*cut).agg(F.min(seen).alias("_first"))
+    later = Window.partitionBy(*thread).orderBy(F.desc("_stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    following = firsts.select(*cut, F.last("_first.ts", ignorenulls=True).over(later).alias("_later"))
+    back = Window.partitionBy(*cut).orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_inside", F.last(F.when(F.col("direction") == response, F.col("ts")), ignorenulls=True).over(back)).where(F.col("direction") == trigger)
+    same = F.lit(True)
+    for c in cut:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    met = inside.alias("x").join(following.alias("y"), same, "left").select("x.*", "y._later")
+    return met.withColumn("response_ts", F.coalesce("_inside", "_later")).where(F.col("response_ts") > F.col("ts")).drop("_stretch", "_inside", "_later")
 
 
 def hours(later: Column, earlier: Column) -> Column:
@@ -127,13 +142,17 @@ def reply_lags(events: DataFrame, as_of: str, days: int) -> DataFrame:
 
 def stale_sent(events: DataFrame, as_of: str, days: int = 7, within: int = 30) -> DataFrame:
     """Outbound messages of the last `within` days, at least `days` old, that no
-    later inbound message of the thread follows."""
-    recent = usable(events).where(F.col("ts") >= before(as_of, within))
-    back = Window.partitionBy("contact_id", "thread_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
-    answered = F.max(F.when(F.col("direction") == "inbound", F.col("ts"))).over(back)
-    left = recent.withColumn("answer", answered)
-    stale = (F.col("direction") == "outbound") & (F.col("ts") <= before(as_of, days)) & F.col("answer").isNull()
-    return left.groupBy("contact_id").agg(F.count_if(stale).alias("stale_sent"))
+    later inbound message of the thread follows. Threads are cut by days: a day's
+    messages are looked at together, and a thread has one row a day after that."""
+    thread, at = ["contact_id", "thread_id"], F.struct("ts", "event_id")
+    recent = usable(events).where(F.col("ts") >= before(as_of, within)).withColumn("_day", F.to_date("ts"))
+    answer = F.max(F.when(F.col("direction") == "inbound", at)).over(Window.partitionBy(*thread, "_day"))
+    old = (F.col("direction") == "outbound") & (F.col("ts") <= before(as_of, days))
+    open_ = recent.withColumns({"_answer": answer, "_old": old}).withColumn("_open", F.col("_old") & (F.col("_answer").isNull() | (at > F.col("_answer"))))
+    by_day = open_.groupBy(*thread, "_day").agg(F.count_if("_open").alias("n"), F.max(F.col("_answer").isNotNull()).alias("answered"))
+    last = F.max(F.when(F.col("answered"), F.col("_day"))).over(Window.partitionBy(*thread))
+    counted = by_day.withColumn("_last", last)
+    return counted.groupBy("contact_id").agg(F.coalesce(F.sum(F.when(F.col("_last").isNull() | (F.col("_day") >= F.col("_last")), F.col("n"))), F.lit(0)).alias("stale_sent"))
 
 
 def engagement_bonus(kpi: DataFrame, as_of: str, points: dict = BONUS) -> DataFrame:

@@ -138,3 +138,86 @@ def run_all(starts: dict[str, Callable[[], StreamingQuery | None]]) -> dict[str,
         except Exception as e:  # recorded: the source's offsets stay where they were
             out[name] = f"error: {str(e)[:200]}"
     return out
+
+
+# --- matches learned within a stream ----------------------------------------------
+
+
+def _matcher(keep_ms: int, wait_ms: int):
+    """A processor keyed by handle; made when called, as workers need the class itself."""
+    from collections.abc import Iterator
+    from typing import Any
+
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Matcher(StatefulProcessor):
+        """Knows a handle's contact from the first row that has one, until no row of
+        the handle came for `keep`; rows without a contact wait for it up to `wait`."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.learned = handle.getValueState("learned", "contact_id string, last long")
+            self.waiting = handle.getListState("waiting", "event_id long, at long")
+
+        def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+            known = self.learned.get()
+            contact, last = (known[0], known[1]) if known is not None else (None, 0)
+            own = sorted(((r.at, r.event_id, r.contact_id) for r in rows), key=lambda r: (r[0], r[1]))
+            contact = contact or next((c for _, _, c in own if c), None)
+            last = max([last, *(at for at, _, _ in own)])
+            if contact:
+                for event_id, _at in list(self.waiting.get()):
+                    yield Row(handle=key[0], event_id=event_id, contact_id=contact, replayed=True)
+                self.waiting.clear()
+                self.learned.update((contact, last))
+                self.handle.registerTimer(last + keep_ms)
+            for at, event_id, given in own:
+                if given or contact:
+                    yield Row(handle=key[0], event_id=event_id, contact_id=given or contact, replayed=False)
+                else:
+                    self.waiting.appendValue((event_id, at))
+                    self.handle.registerTimer(at + wait_ms)
+
+        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            known = self.learned.get()
+            if known is not None and known[1] + keep_ms <= now:
+                self.learned.clear()
+            left = []
+            for event_id, at in list(self.waiting.get()):
+                if at + wait_ms <= now:
+                    yield Row(handle=key[0], event_id=event_id, contact_id=None, replayed=True)
+                else:
+                    left.append((event_id, at))
+            self.waiting.clear()
+            for row in left:
+                self.waiting.appendValue(row)
+
+        def close(self) -> None:
+            pass
+
+    return Matcher()
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def matched_stream(stream: DataFrame, at: str = "ts", late: str = "24 hours", keep: str = "30 days", wait: str = "30 days") -> DataFrame:
+    """stream (handle, event_id, contact_id or null, ts) -> (handle, event_id,
+    contact_id, replayed): every event once.
+
+    Repeated events drop out. The contact of a handle is learned from the first
+    event that has one and stays; events that came before it are given out again
+    with it (replayed), and with none once they have waited longer than `wait` by
+    the watermark. What a handle's state holds is its contact and the numbers of
+    its waiting events. Events without a handle have no state and pass."""
+    from datetime import timedelta
+
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    units = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
+    ms = lambda text: int(timedelta(seconds=int(text.split()[0]) * units[text.split()[1].rstrip("s")]).total_seconds() * 1000)
+    once = deduplicated(stream.where("handle is not null"), "event_id", at, late)
+    rows = once.select("handle", "event_id", "contact_id", F.unix_millis(at).alias("at"), at)
+    return rows.groupBy("handle").transformWithState(_matcher(ms(keep), ms(wait)), "handle string, event_id long, contact_id string, replayed boolean", "Append", "EventTime")
