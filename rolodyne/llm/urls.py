@@ -5,17 +5,19 @@ rejected URLs, with Witten-Bell interpolation from order ORDER down to a uniform
 distribution. A URL that no rule decides is blocked when its log-likelihood
 difference (rejected less accepted) per character is above a threshold.
 
-Rejected examples are a labelled sample: URLs of the table whose own name in the
-host is replaced by one of rejected_names(), which a rule makes of the listed
-words. Accepted examples are the table's URLs, unlabelled and mostly good. So
-that a bad host doesn't vouch for itself, hosts and names are dealt over two
-halves, and each half is judged by the models of the other one. Those judgements
-of URLs that the models haven't seen calibrate the threshold; URLs above it are
-taken out of the accepted examples, and both models are estimated again.
+Labelled examples are names of hosts, given by the caller (a table of names or
+URLs with a label, of which LABELLED are used) or made by a rule from listed words
+of either kind beside words that both have. Each is put in place of the own name
+in URLs of the table. Accepted examples are these and, at the same weight, the
+table's URLs, unlabelled and mostly good. So that a bad host doesn't vouch for
+itself, hosts and names are dealt over two halves, and each half is judged by the
+models of the other one. Those judgements of URLs that the models haven't seen
+calibrate the threshold; URLs above it are taken out of the accepted examples, and
+both models are estimated again.
 
 Counts run over all URLs of the table, distributed, with a map-side part. URLs
-are written in an alphabet of 38 symbols, so that all counts and the table of
-log ratios have at most 38**4 entries a half however long the table is; that
+are written in an alphabet of 48 symbols, so that all counts and the table of
+log ratios have at most 48**4 entries a half however long the table is; that
 bound makes it safe to gather and send to the workers.
 """
 
@@ -33,26 +35,45 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 ORDER = 3
-#: The symbols of the models; digits and other characters count as one symbol each.
-LETTERS, MARKS = "abcdefghijklmnopqrstuvwxyz", "/.-_?=&#:%"
-START, DIGIT, OTHER = 0, 27 + len(MARKS), 0
-SYMBOLS = 2 + len(LETTERS) + len(MARKS)
+#: The symbols of the models; beside them one for the front and one for all other bytes.
+LETTERS, MARKS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "/.-_?=&#:%", "0123456789"
+START, OTHER = 0, 1
+SYMBOLS = 2 + len(LETTERS) + len(MARKS) + len(DIGITS)
 #: The rules of the query: (rule, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Words of rejected hosts, and words that stand beside them.
-REJECTED = "casino poker slots bets betting jackpot lotto pills pharma viagra porn xxx adult sex cams dating ads adserver banner track tracker clicks popup spam scam phish malware virus warez crack torrent loans".split()
-BESIDE = "free cheap best hot online live top win super my the big farm zone club x".split()
+#: Fixed values, defaults where no labels are given: words of rejected hosts (gambling,
+#: drugs, sex, credit, goods, advertising, fraud), of accepted ones, and words beside both.
+REJECTED = (
+    "casino poker slots slot bets bet betting jackpot lotto lottery roulette blackjack bingo gambling wager bookie vegas baccarat "
+    "pills pill pharma pharmacy viagra cialis levitra xanax tramadol steroids weightloss diet keto "
+    "porn porno xxx adult sex sexy nude naked cams webcam escort dating hookup milf fetish erotic "
+    "loans loan payday cash credit debt forex bitcoin profit earn rich money "
+    "replica fake rolex handbags knockoff coupon discount outlet deals sale "
+    "ads ad adserver adtrack banner popup popunder track tracker tracking clicks click traffic affiliate "
+    "spam scam phish phishing malware virus warez crack keygen serial torrent hack cheats leaked"
+).split()
+ACCEPTED = (
+    "library university college school academy institute museum archive history science physics chemistry biology math journal research study lecture "
+    "news press times post daily herald magazine weather radio television film cinema music concert theatre art design photo gallery book reader story "
+    "travel hotel hotels ticket tickets flight train bus road map city town village county council government ministry court law police tax "
+    "health hospital clinic doctor nurse care family child parent garden kitchen recipe food bread coffee wine farm nature animal bird forest river "
+    "code developer software linux server database network cloud docs wiki forum user users answer question help support learn course "
+    "sport football tennis running cycling swimming chess game games puzzle shop store market bank insurance energy water power house home office "
+    "church charity club society union labour trade industry machine car motor boat alarm security camera"
+).split()
+BESIDE = "free cheap best hot hotter online live top win super my the big farm zone club x go get buy now new all world web net center club24 24 365 777 100 land hub plus pro one".split()
 #: First labels of a host that say nothing about whose it is.
 GENERIC = r"^(?:www\d*|m|mobile|blog|shop|news)\."
-#: URLs of the table whose names are replaced, and how often each rejected name is used.
-TEMPLATES, USES = 1000, 3
+#: URLs of the table whose names are replaced, how often each labelled name is used,
+#: and how many labelled names of either kind are taken from a given table.
+TEMPLATES, USES, LABELLED = 1000, 3, 20_000
+EVIDENCE = 30
+#: So large a share of accepted names of unknown words is blocked at most.
+WRONGLY = 0.1
 
 _symbol = np.full(256, OTHER, np.uint8)
-for _k, _c in enumerate(LETTERS):
-    _symbol[ord(_c)] = _symbol[ord(_c.upper())] = 1 + _k
-for _k, _c in enumerate(MARKS):
-    _symbol[ord(_c)] = 27 + _k
-_symbol[48:58] = DIGIT
+for _k, _c in enumerate(LETTERS + MARKS + DIGITS):
+    _symbol[ord(_c)] = _symbol[ord(_c.upper())] = 2 + _k
 
 
 def lower_ascii(c: Column) -> Column:
@@ -79,10 +100,36 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> Col
     return out
 
 
-def rejected_names() -> list[str]:
-    """The labelled sample of rejected host names."""
-    pairs = [(a, b) for a in REJECTED for b in [*BESIDE, *REJECTED] if a != b]
-    return sorted({x for a, b in pairs for x in (f"{a}-{b}", f"{b}-{a}", a + b, b + a)} | set(REJECTED))
+def _half(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word) & 1
+
+
+def made_names(words: list[str]) -> list[tuple[str, int]]:
+    """Names of hosts from words of one kind: alone, beside a word that tells
+    nothing, and two by two; each with the half of its words, so that no word is
+    in names of both halves."""
+    out = {(w, _half(w)) for w in words}
+    for h in (0, 1):
+        own = [w for w in words if _half(w) == h]
+        pairs = [(a, b) for a in own for b in BESIDE] + [(a, own[(k + step) % len(own)]) for k, a in enumerate(own) for step in (1, 7, 23, 41)]
+        out |= {(x, h) for a, b in pairs if a != b for x in (f"{a}-{b}", f"{b}-{a}", a + b, b + a)}
+    return sorted(out)
+
+
+def labelled_names(labels: DataFrame | None = None) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+    """Accepted and rejected names, each with its half. labels: (name, label), label 1 for rejected
+    ones; of names with :// their host's own name counts. LABELLED of either kind
+    are drawn by a hash; without any of a kind the listed words stand for it."""
+    default = made_names(ACCEPTED), made_names(REJECTED)
+    if labels is None:
+        return default
+    host = host_path(F.col("name"))[0]
+    rows = labels.select(lower_ascii(F.when(F.instr("name", "://") > 0, own_name(host)).otherwise(F.col("name"))).alias("name"), F.col("label").cast("int").alias("label")).where("name <> '' and label in (0, 1)").distinct()
+    out = []
+    for kind in (0, 1):
+        names = rows.where(F.col("label") == kind).orderBy(F.xxhash64("name"), "name").limit(LABELLED).collect()  # LABELLED rows
+        out.append(sorted((r.name, _half(r.name)) for r in names) or default[kind])
+    return out[0], out[1]
 
 
 def own_name(host: Column) -> Column:
@@ -90,13 +137,13 @@ def own_name(host: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(host, GENERIC, ""), r"^([^.]*)", 1)
 
 
-def rejected_urls(templates: list[tuple[str, str]], uses: int = USES) -> tuple[list[str], list[int]]:
-    """(before, after the own name) of some URLs -> rejected URLs and the half of each."""
-    names = rejected_names() * uses
+def named_urls(names: list[tuple[str, int]], templates: list[tuple[str, str]], uses: int = USES) -> tuple[list[str], list[int]]:
+    """Names and (before, after the own name) of some URLs -> URLs and the half of each."""
+    names = names * uses
     templates = templates or [("http://www.", ".com/")]
     step = 7919  # a prime, so that names and templates meet in many combinations
-    urls = [(n, "{}{}{}".format(t[0], n, t[1])) for k, n in enumerate(names) for t in (templates[k * step % len(templates)],)]
-    return [u for _, u in urls], [xxhash.xxh3_64_intdigest(n) & 1 for n, _ in urls]
+    chosen = [templates[k * step % len(templates)] for k in range(len(names))]
+    return [f"{before}{n}{after}" for (n, _), (before, after) in zip(names, chosen)], [h for _, h in names]
 
 
 def encode(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,11 +191,12 @@ def ratios(accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
 
 
 def score(ratio: np.ndarray, urls: list[str]) -> np.ndarray:
-    """Log-likelihood difference per symbol; 0 for an empty URL."""
+    """Log-likelihood difference per symbol, where EVIDENCE symbols that tell
+    nothing are added to each URL, as a short one says little; 0 for an empty URL."""
     code, size = encode(urls)
     out, real = np.zeros(len(urls)), size > 0
     if real.any():
-        out[real] = np.add.reduceat(ratio[code].astype(np.float64), (np.cumsum(size) - size)[real]) / size[real]
+        out[real] = np.add.reduceat(ratio[code].astype(np.float64), (np.cumsum(size) - size)[real]) / (size[real] + EVIDENCE)
     return out
 
 
@@ -166,7 +214,7 @@ def scored(urls: DataFrame, tables: np.ndarray) -> DataFrame:
 
 
 def _table(counts: DataFrame) -> np.ndarray:
-    out = np.zeros((2, SYMBOLS ** (ORDER + 1)))
+    out = np.zeros((2, SYMBOLS ** (ORDER + 1)), np.float32)
     rows = counts.toPandas()  # at most 2 * SYMBOLS**(ORDER + 1) rows
     out[rows.half.to_numpy(), rows.code.to_numpy()] = rows.n.to_numpy()
     return out
@@ -179,50 +227,64 @@ class UrlModel:
         self.ratio, self.threshold = ratio, threshold
 
 
-def fit(urls: DataFrame) -> UrlModel | None:
-    """(url) -> model, or None without any URL that has a host. The threshold
-    lies where the halves' judgements of rejected and of the table's URLs, each
-    by the other half's models, are told apart best (balanced accuracy)."""
+def fit(urls: DataFrame, labels: DataFrame | None = None) -> UrlModel | None:
+    """(url), labels (see labelled_names) -> model, or None without any URL that
+    has a host. The threshold lies where the halves' judgements of rejected and of
+    accepted examples, each by the other half's models, are told apart best
+    (balanced accuracy)."""
     host, _ = host_path(F.col("url"))
     rows = urls.select("url", host.alias("host")).where("host <> ''").withColumn("name", own_name(F.col("host")))
     rows = rows.withColumn("half", F.pmod(F.xxhash64("name"), F.lit(2)).cast("int"))
     at = F.instr(F.lower("url"), F.concat(F.lit("://"), F.col("host"))) + 3 + F.length("host") - F.length(F.regexp_replace("host", GENERIC, ""))
     some = rows.where("name <> ''").select("url", at.alias("at"), F.length("name").alias("n")).distinct().orderBy(F.xxhash64("url"), "url").limit(TEMPLATES)
     templates = [(r.url[: r.at - 1], r.url[r.at - 1 + r.n :]) for r in some.collect()]  # TEMPLATES rows
-    bad, half = rejected_urls(templates)
-    half = np.array(half)
-    rejected = np.zeros((2, SYMBOLS ** (ORDER + 1)))
-    for h in (0, 1):
-        code, _ = encode([u for u, x in zip(bad, half) if x == h])
-        rejected[h] = np.bincount(code, minlength=rejected.shape[1])
-    accepted = _table(gram_counts(rows.select("url", "half")))
-    if not accepted.sum():
+    examples, rejected, vouched = [], np.zeros((2, SYMBOLS ** (ORDER + 1)), np.float32), np.zeros((2, SYMBOLS ** (ORDER + 1)), np.float32)
+    for names, counts in zip(labelled_names(labels), (vouched, rejected)):
+        made, half = named_urls(names, templates)
+        examples.append((made, np.array(half)))
+        for h in (0, 1):
+            code, _ = encode([u for u, x in zip(made, half) if x == h])
+            np.add.at(counts[h], *np.unique(code, return_counts=True))
+    table = _table(gram_counts(rows.select("url", "half")))
+    if not table.sum():
         return None
-    # the table a half is judged by comes from the other half
-    tables = np.stack([ratios(accepted[1 - h], rejected[1 - h]) for h in (0, 1)])
+    (fine, fine_half), (bad, half) = examples
+    # a half of the table is judged with the other half's URLs and all labelled names,
+    # a half of the names without any name of their words
+    by_names = np.stack([ratios(_balanced(vouched[1 - h], table[1 - h]), rejected[1 - h]) for h in (0, 1)])
+    tables = np.stack([ratios(_balanced(vouched.sum(axis=0), table[1 - h]), rejected.sum(axis=0)) for h in (0, 1)])
     judged = scored(rows.select("url", "half"), tables)
     step = 200.0
     binned = judged.groupBy(F.floor(F.col("lm_score") * step).alias("b")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("b")  # scores are within -+ log(SYMBOLS) or so: some thousand rows
-    found = np.concatenate([score(tables[h], [u for u, x in zip(bad, half) if x == h]) for h in (0, 1)])
-    edges = np.unique(np.concatenate((binned.b.to_numpy(), np.floor(found * step))))
-    good = np.array([binned.n[binned.b < e].sum() for e in edges]) / binned.n.sum()
-    gain = good + np.array([(np.floor(found * step) >= e).mean() for e in edges])
+    judged_by = lambda urls_, halves: np.concatenate([score(by_names[h], [u for u, x in zip(urls_, halves) if x == h]) for h in (0, 1)])
+    found, allowed = (np.sort(np.floor(judged_by(*e) * step)) for e in ((bad, half), (fine, fine_half)))
+    edges = np.unique(np.concatenate((binned.b.to_numpy(), found, allowed)))
+    upto = np.concatenate(([0], np.cumsum(binned.n.to_numpy())))
+    good = upto[np.searchsorted(binned.b.to_numpy(), edges)] / binned.n.sum()
+    # errors on labelled accepted names, of which the models know no word, stay below WRONGLY
+    fewest = 1 - np.searchsorted(allowed, edges) / max(1, len(allowed)) <= WRONGLY
+    gain = np.where(fewest, good + 1 - np.searchsorted(found, edges) / max(1, len(found)), -1.0)
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     threshold = float((edges[best[0]] + edges[best[-1]]) / 2 / step)
     kept = _table(gram_counts(judged.where(F.col("lm_score") <= threshold).select("url", "half"))).sum(axis=0)
-    kept = kept if kept.sum() else accepted.sum(axis=0)
-    return UrlModel(ratios(kept, rejected.sum(axis=0)), threshold)
+    kept = kept if kept.sum() else table.sum(axis=0)
+    return UrlModel(ratios(_balanced(vouched.sum(axis=0), kept), rejected.sum(axis=0)), threshold)
+
+
+def _balanced(labelled: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Counts of labelled examples and of the table together, so that the table,
+    however long, weighs as much as the labels."""
+    return labelled + table * min(1.0, labelled.sum() / max(1.0, table.sum()))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None) -> DataFrame:
     """-> (page_id, host, path, rule, verdict, lm_score). A rule decides where
-    one fits; else the models do. URLs that are null, empty or without a host are
+    one fits; else the models do, learned from `labels` or the listed words. URLs that are null, empty or without a host are
     allowed where no rule fits them; without any host in the table, so is all
     that no rule decides. Repeated rows and ids are judged alike."""
-    url = F.col("url")
-    host, path = host_path(url)
+    host, path = host_path(F.col("url"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    model = fit(rows.where("url is not null").select("url"))
+    model = fit(rows.where("url is not null").select("url"), labels)
     if model is None:
         with_score, threshold = rows.withColumn("lm_score", F.lit(0.0)), float("inf")
     else:
