@@ -354,10 +354,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("o"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
     gone = gone.select(rekey("o").alias("go"), F.col("th").alias("gth"), "gone")
     joined = packed.join(gone, (packed.o == F.col("go")) & (packed.th == F.col("gth")), "left")
-    lines = F.split(F.col(f"row.`{text_col}`").cast("string"), "\n", -1)
-    numbers = F.transform("gone", lambda g: g.line)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(numbers, i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col(f"row.`{text_col}`")).otherwise(kept)
+    # the numbers that stay by one pass over a hash set, so that a text of many removed lines costs no more than its lines
+    cut = joined.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(F.col(f"row.`{text_col}`").cast("string"), "\n", -1)))
+    joined = cut.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.transform("gone", lambda g: g.line)))
+    kept = F.array_join(F.transform("stay", lambda k: F.get("lines", k)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col(f"row.`{text_col}`")).when(F.size("stay") > 0, kept).otherwise(F.lit(""))
     out = [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names]
     return joined.select(*out, F.coalesce("gone", F.array().cast("array<struct<line:int,kept:bigint>>")).alias("lines_removed"))
 
