@@ -183,6 +183,11 @@ def _inputs() -> list[F.Column]:
     return [F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("double")]
 
 
+def _nulls() -> F.Column:
+    """Which inputs are null; a hash of the values passes over them."""
+    return F.array(*(c.isNull() for c in _inputs()))
+
+
 def _gather(docs: DataFrame, keep: list[str]) -> pd.DataFrame:
     """Features of the documents, one row of each key: rows that share an id or
     all inputs are as many as they like, the smallest features stand for them."""
@@ -213,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rounds:
     known = known.assign(h=[xxhash.xxh3_64_intdigest(str(i)) for i in known.id]).sort_values(["h", "id", "y"])
     stack = lambda s, n: np.frombuffer(b"".join(s), np.float32).reshape(-1, n)
     model = CoTraining(stack(known.t, TEXT_FEATURES), stack(known.m, META_FEATURES), known.y.to_numpy())
-    key = F.xxhash64(*_inputs())
+    key = F.xxhash64(*_inputs(), _nulls())
     handed: list[list[int]] = [[], []]
     for _ in range(rounds):
         judged = score_documents(docs.select("*", key.alias("k")), model).select("doc_id", "k", F.col("text_score").alias("p0"), F.col("meta_score").alias("p1"))
