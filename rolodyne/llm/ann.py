@@ -162,8 +162,8 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = 5, id_col
     always `top` of them, or all where there are fewer.
 
     Rows with a null id and vectors that are null, empty, zero or hold null or
-    non-finite components take no part, nor do vectors of another dimension than
-    the sample's most frequent one. A repeated id is one query, that of its
+    non-finite components take no part. Vectors of different dimensions have no
+    nearness; each dimension is searched by itself. A repeated id is one query, that of its
     vector that sorts first; its other rows are candidates like all others, and
     repeated candidates stay separate rows."""
     spark = vectors.sparkSession
@@ -174,18 +174,23 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = 5, id_col
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     v = v.where(F.col("i").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda c: c != 0))
     schema = "query_id long, rank int, vec_id long, score double"
-    n = v.count()
-    if not n:
+    sizes = {r.dim: r.n for r in v.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one a dimension
+    if not sizes:
         return spark.createDataFrame([], schema)
+    if len(sizes) > 1:
+        each = [nearest_neighbours(vectors.where(F.size(vec_col) == d), every, top, id_col, vec_col) for d in sorted(sizes)]
+        out = each[0]
+        for more in each[1:]:
+            out = out.unionByName(more)
+        return out
+    dim, n = next(iter(sizes.items()))
     draw = F.xxhash64("i", "v")
     share = min(1.0, 1.2 * SAMPLE / n)
     few = v.where(F.pmod(draw, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
     drawn = few.orderBy(draw, "i", "v").limit(SAMPLE).toPandas()  # SAMPLE rows at most
     if not len(drawn):
         drawn = v.orderBy(draw, "i", "v").limit(1000).toPandas()
-    dim = int(pd.Series([len(x) for x in drawn.v]).mode().iloc[0])
-    v = v.where(F.size("v") == dim)
-    sample = np.stack([x for x in drawn.v if len(x) == dim]).astype(kind)
+    sample = np.stack(list(drawn.v)).astype(kind)
     index = Index(sample, max(1, int(np.sqrt(n))), top)
     send = spark.sparkContext.broadcast(index)  # COARSE + FINE centroids and CODES codewords a subspace at most
 
