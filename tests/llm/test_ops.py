@@ -377,6 +377,18 @@ def test_neighbours_are_topped_up(spark, monkeypatch):
     assert (got.groupby("query_id").size() == 40).all() and got.query_id.nunique() == 60
 
 
+def test_neighbours_of_several_dimensions(spark):
+    """Vectors of another dimension are searched among themselves."""
+    r = np.random.default_rng(8)
+    rows = [(k, [float(x) for x in r.normal(size=d)]) for k, d in enumerate([3] * 40 + [5] * 30 + [2])]
+    r2 = random.Random(1)
+    r2.shuffle(rows)
+    got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, top=2).toPandas()
+    size = {i: len(v) for i, v in rows}
+    assert set(got.query_id) == {0, 10, 20, 30, 40, 50, 60} and all(size[a] == size[b] for a, b in zip(got.query_id, got.vec_id))
+    assert (got.groupby("query_id").size() == 2).all()
+
+
 def test_neighbours_of_repeated_ids(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0])]
     got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
@@ -607,7 +619,7 @@ def test_urls_query(spark, sf):
 def test_models_block_hosts_outside_the_sample(spark, sf):
     bad = ["freebetting24", "casinos-winn", "my-trackers", "adultcam77", "cheappillz", "thebigjackpots", "spammy-farms", "viagra4you"]
     fine = ["tionthere", "herwhand", "erstlyat", "thsherin", "ndonther", "inedthat"]
-    names = urls.rejected_names()
+    names = [n for n, _ in urls.made_names(urls.REJECTED)]
     assert not set(bad) & set(names)
     have = pd.read_parquet(f"{sf}/pages.parquet").url.dropna().tolist()
     rows = have + [f"https://www.{n}.example.com/en/{k}.html" for k, n in enumerate(bad + fine)]
@@ -615,6 +627,36 @@ def test_models_block_hosts_outside_the_sample(spark, sf):
     assert (got.verdict[: len(bad)] == "block").mean() >= 0.8 and (got.verdict[len(bad) :] == "allow").all()
 
 
+ORDINARY = "superuser.com onlinelibrary.wiley.com winchester.gov.uk zonealarm.com cheaptickets.com hotels.com essex.ac.uk wikipedia.org stackoverflow.com nytimes.com bbc.co.uk python.org mozilla.org amazon.de lemonde.fr elpais.es nature.com arxiv.org openstreetmap.org gutenberg.org goodreads.com allrecipes.com tripadvisor.com weather.gov europa.eu spiegel.de apache.org ubuntu.com etsy.com ikea.com nintendo.com spotify.com".split()
+BAD = "vegas777.com buy-cialis-now.com payday-cash.biz nudepics.xyz hotcams4u.com cheapviagra.biz adclicktracker.com pokerstarz.win sexychat.club crackedgames.xyz megajackpot.bet quickloans.today popads.net dietpillsreview.info".split()
+
+
+def judged_hosts(spark, sf, hosts, labels=None):
+    have = pd.read_parquet(f"{sf}/pages.parquet").url.dropna().tolist()
+    rows = have + [f"https://www.{h}/a/{k}" for k, h in enumerate(hosts)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = urls.judge(df, rules=[], labels=labels).where(f"page_id >= {len(have)}").collect()
+    return {r.host.removeprefix("www."): r.verdict for r in got}
+
+
+def test_errors_on_hosts_that_exist(spark, sf):
+    """Ordinary hosts, many with listed words or pieces of them, and bad ones."""
+    got = judged_hosts(spark, sf, ORDINARY + BAD)
+    assert sum(got[h] == "block" for h in ORDINARY) <= 0.15 * len(ORDINARY)
+    assert sum(got[h] == "block" for h in BAD) >= 0.8 * len(BAD)
+
+
+def test_labels_are_a_parameter(spark, sf):
+    """Given names, half of them as URLs, take the place of the listed words."""
+    r = random.Random(4)
+    word = lambda a, b: "".join(r.choice(a) + r.choice(b) for _ in range(4))
+    bad, good = [word("qxzv", "uyo") for _ in range(300)], [word("mnrl", "aei") for _ in range(300)]
+    rows = [(n if k % 2 else f"https://www.{n}.example/", y) for y, names in ((1, bad), (0, good)) for k, n in enumerate(names[:250])] + [(None, 1), ("x", None), ("y", 7), (bad[0], 1)]
+    labels = spark.createDataFrame(rows, "name string, label int")
+    got = judged_hosts(spark, sf, [f"{n}.com" for n in bad[250:] + good[250:]], labels)
+    assert sum(got[f"{n}.com"] == "block" for n in bad[250:]) >= 45 and sum(got[f"{n}.com"] == "allow" for n in good[250:]) >= 45
+
+
 def test_models_equal_a_plain_form():
     """Witten-Bell interpolation and the scores, symbol by symbol."""
     good, bad = ["http://a.org/x", "http://bcd.org/yy?z=1", "Ü"], ["http://aaa.com/", "q"]
@@ -641,7 +683,7 @@ def test_models_equal_a_plain_form():
     for u, got in zip(asked, urls.score(ratio, asked)):
         x = symbols(u)
         each = [logs(bad, x[k - urls.ORDER : k], x[k]) - logs(good, x[k - urls.ORDER : k], x[k]) for k in range(urls.ORDER, len(x))]
-        assert abs(got - (sum(each) / len(each) if each else 0)) < 1e-5
+        assert abs(got - (sum(each) / (len(each) + urls.EVIDENCE) if each else 0)) < 1e-5
 
 
 def test_urls_edge_cases(spark):
@@ -768,6 +810,13 @@ def test_quality_edge_cases(spark):
     assert quality.score_documents(docs(spark, EDGE), model).count() == len(EDGE) and quality.score_documents(docs(spark, []), model).count() == 0
 
 
+def test_documents_that_differ_by_where_they_are_null(spark):
+    """Two documents of the same values in different columns are lent apart."""
+    df = spark.createDataFrame([(1, "a", None, "b"), (2, "a", "b", None), (3, None, "a", "b")], "doc_id long, text string, source string, lang string").withColumn("n_chars", F.lit(1.0))
+    key = F.xxhash64(*quality._inputs(), quality._nulls())
+    assert df.select(key).distinct().count() == 3
+
+
 def test_the_surest_of_a_view(spark):
     r = random.Random(5)
     rows = [(k, round(r.random(), 4), r.random()) for k in range(500)]
@@ -937,6 +986,15 @@ def test_line_query(spark, sf, table):
         assert got.n_removed[i] == len(gone) and got.text_sha256[i] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_a_document_of_very_many_lines(spark):
+    """Taking out lines is linear in a text's lines, also where all of them go."""
+    r = random.Random(3)
+    text = "\n".join(f"{r.getrandbits(90):x} of {r.getrandbits(60):x}" for _ in range(100_000))
+    rows = lines.dedup_lines(docs(spark, [text, text, f"{text}\nand one more line at the end"])).toPandas().sort_values("doc_id")
+    assert rows.text.tolist() == [text, "", "and one more line at the end"]
+    assert rows.lines_removed.map(len).tolist() == [0, 100_000, 100_000]
+
+
 def test_short_lines_take_part(spark):
     texts = ["ok\n\n这是一个句子，只有一个字不同而已\nfirst of them", "ok\n\n这是一个句子，只有两个字不同而已\nsecond here"]
     out = {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, texts)).collect()}
