@@ -170,6 +170,19 @@ def batches(rows: DataFrame, size: int = 50) -> DataFrame:
     return ranked.withColumn("batch", F.ceil(F.col("rank") / size).cast("long"))
 
 
+def review_stats(changes: DataFrame, *by: str) -> DataFrame:
+    """Of changes to be reviewed the number and the range of confidence, by kind
+    (1 and 0 where none is known)."""
+    c = changes.where(band(F.col("confidence")) == "medium")
+    return c.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("confidence"), F.lit(1.0)).alias("low"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("high"))
+
+
+def top_contacts(log: DataFrame, n: int = 10, at: str = "at", recent: bool = False) -> DataFrame:
+    """The n contacts with the most changes, or the latest ones; ties by name."""
+    per = log.groupBy("resource_name").agg(F.count(F.lit(1)).alias("changes"), F.max(at).alias("latest"))
+    return per.orderBy(F.desc("latest" if recent else "changes"), "resource_name").limit(n)
+
+
 def change_hash(changes: DataFrame) -> DataFrame:
     """Per contact a digest of its changes, whatever their order."""
     entry = F.to_json(F.struct("field", "old", "new", "reason"))

@@ -58,10 +58,12 @@ def join_decisions(decisions: DataFrame, changes: DataFrame) -> DataFrame:
 
 def merge_stats(stats: DataFrame, renames: DataFrame) -> DataFrame:
     """stats (category, approved, rejected, edited), renames (prefix, target): the
-    counts of categories with a prefix go to its target, the longest prefix first."""
-    j = stats.join(F.broadcast(renames), F.col("category").startswith(F.col("prefix")), "left")
-    to = j.groupBy("category", "approved", "rejected", "edited").agg(F.max_by("target", F.length("prefix")).alias("target"))
-    return to.groupBy(F.coalesce("target", "category").alias("category")).agg(*(F.sum(c).alias(c) for c in ("approved", "rejected", "edited")))
+    counts of categories with a prefix go to its target, the longest prefix first.
+    A category meets the renames by equality with each of its beginnings."""
+    begins = stats.select("category", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("category"), F.lit(1))), lambda n: F.left("category", n))).alias("prefix")).distinct()
+    renamed = begins.join(renames, "prefix").groupBy("category").agg(F.max_by("target", F.length("prefix")).alias("target"))
+    j = stats.join(renamed, "category", "left")
+    return j.groupBy(F.coalesce("target", "category").alias("category")).agg(*(F.sum(c).alias(c) for c in ("approved", "rejected", "edited")))
 
 
 def diacritics_preference(votes: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def recent(rows: DataFrame, by: str, n: int) -> DataFrame:
 def evict(rejections: DataFrame, most: int = 500) -> DataFrame:
     """Keeps the rejections of the `most` contacts with the latest ones."""
     keep = rejections.groupBy("resource_name").agg(F.max("at").alias("_last")).orderBy(F.desc("_last"), "resource_name").limit(most).select("resource_name")
-    return rejections.join(F.broadcast(keep), "resource_name", "left_semi")
+    return rejections.join(keep, "resource_name", "left_semi")
 
 
 def merge_review(rules: DataFrame, reviewed: DataFrame) -> DataFrame:

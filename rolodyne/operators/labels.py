@@ -23,6 +23,19 @@ def additions(wanted: DataFrame, members: DataFrame) -> DataFrame:
     return wanted.distinct().join(members, ["label", "contact"], "left_anti")
 
 
+def key_union(*tables: DataFrame) -> DataFrame:
+    """The distinct keys of all tables of one column."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+def known(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in an index."""
+    return rows.join(index.select(key).distinct(), key, "left_semi")
+
+
 def union_lists(seed: DataFrame, fetched: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
     """(value): seed, fetched and added together, less removed."""
     return seed.union(fetched).union(added).distinct().join(removed, "value", "left_anti")

@@ -192,7 +192,7 @@ def stage_counts(cards: DataFrame, stages: list[str] = STAGES) -> DataFrame:
 def split_active(rows: DataFrame, cap: int = 100) -> DataFrame:
     """rows: id, score, dismissed -> bucket: dismissed, active (the first `cap`) or backlog."""
     top = rows.where(~F.col("dismissed")).orderBy(F.desc("score"), "id").limit(cap).select("id", F.lit(True).alias("in_top"))
-    return rows.join(F.broadcast(top), "id", "left").withColumn("bucket", F.when(F.col("dismissed"), "dismissed").when(F.col("in_top"), "active").otherwise("backlog")).drop("in_top")
+    return rows.join(top, "id", "left").withColumn("bucket", F.when(F.col("dismissed"), "dismissed").when(F.col("in_top"), "active").otherwise("backlog")).drop("in_top")
 
 
 def merge_crm(scores: DataFrame, state: DataFrame) -> DataFrame:

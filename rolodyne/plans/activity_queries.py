@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import activity as A
+from ..operators.labels import known
 from ..session import table
+from ..streaming.ingest import windowed_counts
 from .views import AS_OF, DAYS, INTERACTIONS, interactions
 
 _T = f"TIMESTAMP '{AS_OF}'"
@@ -122,7 +124,7 @@ SELECT CASE WHEN h IS NULL THEN 'missing' WHEN h < 12 THEN 'fresh' WHEN h < 48 T
 def tumbling_counts(spark, sf):
     """Beyond the surveyed operators: tumbling day windows by channel."""
     i = interactions(spark, sf)
-    return i.groupBy(F.window("ts", "1 day").alias("w"), "channel").agg(F.count(F.lit(1)).alias("n")).select(F.to_date("w.start").cast("string").alias("day"), "channel", "n")
+    return windowed_counts(i, "ts", "1 day", "24 hours", "channel").select(F.to_date("window.start").cast("string").alias("day"), "channel", "n")
 
 
 TUMBLING_COUNTS = f"WITH {INTERACTIONS} SELECT strftime(ts, '%Y-%m-%d') AS day, channel, count(*) AS n FROM i GROUP BY ALL"
@@ -130,7 +132,7 @@ TUMBLING_COUNTS = f"WITH {INTERACTIONS} SELECT strftime(ts, '%Y-%m-%d') AS day,
 
 def known_attendees(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
-    return table(spark, sf, "events").join(c, "user_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return known(table(spark, sf, "events"), c, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 KNOWN_ATTENDEES = "SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer) GROUP BY user_id"

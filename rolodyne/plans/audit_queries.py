@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import audit as U
 from ..operators import feedback as B
+from ..operators.outreach import with_delta
 from ..session import table
 from .views import EVENT_CHANGES, event_changes, order_log
 
@@ -188,8 +188,7 @@ SELECT * FROM g ORDER BY latest_us DESC, resource_name LIMIT 20 OFFSET 20"""
 
 
 def top_contacts(spark, sf):
-    n = order_log(spark, sf).groupBy("resource_name").agg(F.count(F.lit(1)).alias("changes"), F.unix_micros(F.max("at")).alias("latest_us"))
-    return n.orderBy(F.desc("changes"), "resource_name").limit(10)
+    return U.top_contacts(order_log(spark, sf)).select("resource_name", "changes", F.unix_micros("latest").alias("latest_us"))
 
 
 TOP_CONTACTS = "SELECT o_custkey AS resource_name, count(*) AS changes, epoch_us(max(o_orderdate)) AS latest_us FROM orders GROUP BY 1 ORDER BY changes DESC, resource_name LIMIT 10"
@@ -205,8 +204,8 @@ CHANGELOG_SEARCH = "SELECT o_custkey AS resource_name, o_orderkey AS seq, o_orde
 
 def follower_delta(spark, sf):
     n = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    lag = F.lag("n").over(Window.partitionBy("event_type").orderBy("d"))
-    return n.select("event_type", F.col("d").cast("string").alias("day"), "n", (F.col("n") - lag).alias("delta"))
+    deltas = with_delta(n.select(F.col("event_type").alias("account"), F.col("d").alias("at"), F.col("n").alias("followers")))
+    return deltas.select(F.col("account").alias("event_type"), F.col("at").cast("string").alias("day"), F.col("followers").alias("n"), "delta")
 
 
 FOLLOWER_DELTA = "WITH n AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL) SELECT *, n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM n"
@@ -221,8 +220,7 @@ KEEP_LAST_N = "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (P
 
 
 def review_stats(spark, sf):
-    c = _lines(spark, sf).where(U.band(F.col("confidence")) == "medium")
-    return c.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("confidence"), F.lit(1.0)).alias("low"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("high"))
+    return U.review_stats(_lines(spark, sf), "l_returnflag", "l_linestatus")
 
 
 REVIEW_STATS = f"WITH {_LINES} SELECT l_returnflag, l_linestatus, count(*) AS n, min(confidence) AS low, max(confidence) AS high FROM l WHERE confidence >= 0.60 AND confidence < 0.90 GROUP BY ALL"

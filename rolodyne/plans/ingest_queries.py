@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators.rules import phone
 from ..session import table
+from ..shared import shared_dir
 from ..streaming import ingest as I
 
 
@@ -24,14 +25,13 @@ INCREMENTAL_INGEST = "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*
 
 
 def stream_kpi(spark, sf):
-    """Events as a stream, deduplicated, written by month, then counted."""
+    """Events as a stream, every seventh of them twice, deduplicated, written by
+    month, then counted."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rolodyne-stream-')}"
-    import uuid
-
-    run = f"{base}/stream-{uuid.uuid4().hex}"
+    run = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     events = I.read_stream(spark, sf, schema, pathGlobFilter="events.parquet")
+    events = events.unionByName(events.where("event_id % 7 = 0"))
     query = I.run_ingest(I.deduplicated(events), f"{run}/out", f"{run}/state")
     query.awaitTermination()
     done = spark.read.parquet(f"{run}/out")

@@ -123,7 +123,7 @@ SELECT label, CAST(sum(n) AS BIGINT) AS members, string_agg(concat(org, ':', n),
 
 def key_union(spark, sf):
     a, b = table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf, "orders").select(F.col("o_custkey").alias("id"))
-    return a.union(b).distinct()
+    return L.key_union(a, b)
 
 
 KEY_UNION = "SELECT c_custkey AS id FROM customer UNION SELECT o_custkey FROM orders"

@@ -25,6 +25,15 @@ def phone_extract(spark, sf):
 PHONE_EXTRACT = f"WITH f AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{T.PHONES[0]}'), lambda x: regexp_replace(x, '\\D', '', 'g')) AS f FROM documents) SELECT doc_id, len(f) AS n, array_to_string(f, ',') AS phones FROM f WHERE len(f) > 0"
 
 
+def links_in_text(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", T.urls_in(F.concat_ws(" ", "url", F.col("html"))).alias("found"))
+    return p.select("page_id", F.size("found").cast("long").alias("n"), F.md5(F.array_join("found", "\n")).alias("links_md5"))
+
+
+_URL = T.URL.replace("'", "''")
+LINKS_IN_TEXT = f"SELECT page_id, len(f) AS n, md5(array_to_string(f, chr(10))) AS links_md5 FROM (SELECT page_id, regexp_extract_all(concat_ws(' ', url, html), '{_URL}') AS f FROM pages)"
+
+
 def mask_pii(spark, sf):
     d = table(spark, sf, "documents").where(F.col("text").contains("@"))
     return d.select("doc_id", F.md5(M.mask_email(F.col("text"))).alias("masked_md5"))
@@ -133,6 +142,7 @@ EMAIL_NAMES = """SELECT c_custkey, concat(upper(lower(c_mktsegment)[1]), lower(c
 QUERIES = {
     "email_extract": (email_extract, EMAIL_EXTRACT),
     "phone_extract": (phone_extract, PHONE_EXTRACT),
+    "links_in_text": (links_in_text, LINKS_IN_TEXT),
     "mask_pii": (mask_pii, MASK_PII),
     "mask_names": (mask_names, MASK_NAMES),
     "ascii_fold": (ascii_fold, ASCII_FOLD),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import activity_queries, audit_queries, contact_queries, ingest_queries, kept_queries, outreach_queries, resolve_queries, scoring_queries, text_queries
+from .plans import activity_queries, audit_queries, contact_queries, ingest_queries, kept_queries, outreach_queries, resolve_queries, rule_queries, scoring_queries, text_queries
 
-_ALL = {**activity_queries.QUERIES, **audit_queries.QUERIES, **text_queries.QUERIES, **resolve_queries.QUERIES, **scoring_queries.QUERIES, **ingest_queries.QUERIES, **outreach_queries.QUERIES, **contact_queries.QUERIES, **kept_queries.QUERIES}
+_ALL = {**activity_queries.QUERIES, **audit_queries.QUERIES, **text_queries.QUERIES, **resolve_queries.QUERIES, **scoring_queries.QUERIES, **ingest_queries.QUERIES, **outreach_queries.QUERIES, **contact_queries.QUERIES, **kept_queries.QUERIES, **rule_queries.QUERIES}
 
 
 def queries() -> dict:

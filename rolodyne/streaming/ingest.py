@@ -23,7 +23,7 @@ def network_of(raw: Column) -> Column:
     low = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
     out = low
     for prefix, name in reversed(PREFIXES):
-        rest = F.regexp_replace(F.substring(low, len(prefix) + 1, 10_000), r"^[.:-]+", "")
+        rest = F.regexp_replace(F.substring(low, F.lit(len(prefix) + 1), F.length(low)), r"^[.:-]+", "")
         out = F.when(low.startswith(prefix), F.lit(name) if name else F.coalesce(F.nullif(rest, F.lit("")), F.lit(prefix))).otherwise(out)
     return out
 
