@@ -144,6 +144,33 @@ def display_names(ids: DataFrame, plan: DataFrame, signals: DataFrame) -> DataFr
     return ids.join(p, "id", "left").join(s, "id", "left").select("id", F.coalesce(F.nullif("p", F.lit("")), F.nullif("s", F.lit("")), F.col("id")).alias("name"))
 
 
+def filter_rows(rows: DataFrame, needle: str | None = None, fields: tuple[str, ...] = ("name",), equal: dict[str, str] | None = None, begins: dict[str, str] | None = None, holds: dict[str, str] | None = None, present: dict[str, bool] | None = None) -> DataFrame:
+    """The filters of a list, those given: a text in any of the fields (whatever its
+    case; null fields hold nothing), columns equal to a value or beginning with
+    one, arrays that hold a value, columns that are there or not. A value of 'all'
+    or an empty one filters nothing."""
+    some = lambda given: [(c, v) for c, v in (given or {}).items() if v not in (None, "", "all", "__all__")]
+    if needle and needle.strip():
+        found = F.lit(False)
+        for c in fields:
+            found = found | F.contains(F.lower(text(c)), F.lit(needle.lower()))
+        rows = rows.where(found)
+    for c, v in some(equal):
+        rows = rows.where(F.col(c) == v)
+    for c, v in some(begins):
+        rows = rows.where(F.col(c).startswith(v))
+    for c, v in some(holds):
+        rows = rows.where(F.array_contains(c, v))
+    for c, v in (present or {}).items():
+        rows = rows.where(F.col(c).isNotNull() if v else F.col(c).isNull())
+    return rows
+
+
+def undecided(changes: DataFrame, decisions: DataFrame, key: str = "change_id") -> DataFrame:
+    """Changes without a decision."""
+    return changes.join(decisions.select(key).distinct(), key, "left_anti")
+
+
 def sort_rows(rows: DataFrame, by: str, kinds: list[str] | None = None) -> DataFrame:
     """By name, gap, date, or a list's order of kinds."""
     if by == "type":

@@ -111,6 +111,13 @@ def duplicate_classes(contacts: DataFrame, threshold: float | None = 80.0) -> Da
     return linked.join(size, F.col("component") == F.col("c")).select("resource_name", "class_id", "members", kind.alias("match_type"), "phone_links", "email_links", "name_links", (F.col("phone_links") + F.col("email_links") + F.col("name_links")).alias("links"))
 
 
+def sorted_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of duplicates() with their place: the surest first, then phone, email
+    and name, then by their ids."""
+    order = F.array_position(F.array(*map(F.lit, ("phone", "email", "name"))), F.col("match_type"))
+    return global_rank(pairs.withColumn("_order", order), [F.desc("confidence"), F.col("_order"), F.col("a"), F.col("b")], "place").drop("_order")
+
+
 def near_names(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """Distinct names a (na), b (nb) -> every pair whose plain or token-sorted
     ratio reaches the threshold, and few others."""

@@ -140,6 +140,14 @@ def year_label(last: Column, as_of: str) -> Column:
     return F.when(last.isNull(), F.lit("never")).otherwise(F.least(F.year(last), F.year(F.lit(as_of).cast("date"))).cast("string"))
 
 
+def signal_counts(signals: DataFrame, kinds: tuple[str, ...] = ("job_change", "active", "profile", "no_activity")) -> DataFrame:
+    """(signal_type, n) for every kind, those without any as zero; others as 'other'."""
+    kind = F.when(F.col("signal_type").isin(list(kinds)), F.col("signal_type")).otherwise("other")
+    n = signals.groupBy(kind.alias("signal_type")).agg(F.count(F.lit(1)).alias("n"))
+    every = signals.sparkSession.createDataFrame([(k,) for k in kinds], "signal_type string")
+    return every.join(n, "signal_type", "full_outer").select("signal_type", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def score_stats(scored: DataFrame) -> DataFrame:
     return scored.agg(
         F.count(F.lit(1)).alias("total"),

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as U
 from ..operators import daily, phones
+from ..operators import resolve as R
 from ..operators import scoring as S
+from ..operators.outreach import filter_rows, undecided
 from ..session import table
 from ..shared import shared_dir
 from ..sources import files
@@ -160,6 +162,37 @@ def score_figures(spark, sf):
 SCORE_FIGURES = """SELECT count(*) AS total, count(*) FILTER (c_custkey % 5 = 0) AS job_change, count(*) FILTER (c_custkey % 5 = 1) AS active, count(*) FILTER (c_custkey % 5 = 2) AS profile, count(*) FILTER (c_custkey % 5 = 3) AS no_activity, round(avg(c_custkey % 4), 1) AS avg_completeness,
  count(*) FILTER (c_custkey % 3 <> 0 AND c_custkey % 9 <> 0) AS enriched, round(avg(CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 9 END), 1) AS avg_bonus FROM customer"""
 
+def filtered_list(spark, sf):
+    """Orders as cards of a list, narrowed by text, stage, kind, beginning and
+    presence, and by what has no decision."""
+    o = table(spark, sf, "orders")
+    cards = o.select(F.col("o_orderkey").alias("change_id"), F.concat(F.lit("Card "), "o_custkey").alias("name"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("org"), F.col("o_orderstatus").alias("stage"), F.array("o_orderpriority", F.concat(F.lit("k"), F.col("o_orderkey") % 4)).alias("kinds"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("seen")).alias("signal"))
+    open_ = undecided(cards, o.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("change_id")))
+    found = filter_rows(open_, "LOW", ("name", "org"), {"stage": "O", "name": "all"}, {"name": "Card 1"}, {"kinds": "k2"}, {"signal": True})
+    return found.select("change_id", "name", "org")
+
+
+FILTERED_LIST = """SELECT o_orderkey AS change_id, concat('Card ', o_custkey) AS name, o_orderpriority AS org FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 3 <> 0 AND contains(lower(o_orderpriority), 'low') AND o_orderstatus = 'O'
+ AND starts_with(CAST(o_custkey AS VARCHAR), '1') AND o_orderkey % 4 = 2"""
+
+
+def signal_kinds(spark, sf):
+    return S.signal_counts(table(spark, sf, "customer").select(F.element_at(F.array(*map(F.lit, ("job_change", "active", "profile", "odd"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("signal_type")))
+
+
+SIGNAL_KINDS = """SELECT k AS signal_type, count(c_custkey) AS n FROM (VALUES ('job_change', 0), ('active', 1), ('profile', 2), ('no_activity', -1), ('other', 3)) v(k, m) LEFT JOIN customer ON c_custkey % 4 = m GROUP BY k"""
+
+
+def ranked_pairs(spark, sf):
+    """Pairs of suppliers in the order a list shows them."""
+    p = table(spark, sf, "supplier").select("s_suppkey", F.concat_ws("/", "s_nationkey", F.floor(F.col("s_acctbal") / 500)).alias("key"))
+    pairs = R.equal_pairs(p, "s_suppkey", "key").select("a", "b", F.element_at(F.array(F.lit("phone"), F.lit("email"), F.lit("name")), (F.col("a") % 3 + 1).cast("int")).alias("match_type"), (F.lit(0.9) - F.col("b") % 2 * F.lit(0.1)).alias("confidence"))
+    return R.sorted_pairs(pairs).select("a", "b", "match_type", "place")
+
+
+RANKED_PAIRS = """WITH p AS (SELECT s_suppkey AS k, concat_ws('/', s_nationkey, CAST(floor(s_acctbal / 500) AS BIGINT)) AS key FROM supplier), m AS (SELECT x.k AS a, y.k AS b FROM p x JOIN p y ON x.key = y.key AND x.k < y.k)
+SELECT a, b, ['phone', 'email', 'name'][1 + a % 3] AS match_type, row_number() OVER (ORDER BY b % 2, a % 3, a, b) AS place FROM m"""
+
 QUERIES = {
     "kept_days": (kept_days, KEPT_DAYS),
     "kept_history": (kept_history, KEPT_HISTORY),
@@ -169,4 +202,7 @@ QUERIES = {
     "international_phones": (international_phones, INTERNATIONAL_PHONES),
     "verified_changes": (verified_changes, VERIFIED_CHANGES),
     "score_figures": (score_figures, SCORE_FIGURES),
+    "filtered_list": (filtered_list, FILTERED_LIST),
+    "signal_kinds": (signal_kinds, SIGNAL_KINDS),
+    "ranked_pairs": (ranked_pairs, RANKED_PAIRS),
 }

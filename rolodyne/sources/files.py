@@ -266,6 +266,42 @@ def items(column: Column, key: str, element: str) -> Column:
     return F.when(is_list, plain).otherwise(F.coalesce(held[key], held["items"], held["data"]))
 
 
+def read_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A JSON document as one row, or None where there is no such file; any other
+    failure is raised, and so is a document that isn't JSON."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return None
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def write_document(spark: SparkSession, path: str, document: dict, tries: int = 2) -> None:
+    """Writes a small JSON document in place of the one there, whole or not at all:
+    beside it first, then renamed; tried once more where writing fails."""
+    import json
+    import uuid
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, beside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.tmp"))
+    fs = target.getFileSystem(conf)
+    for attempt in range(tries):
+        try:
+            out = fs.create(beside, True)
+            try:
+                out.write(bytearray(json.dumps(document, ensure_ascii=False).encode()))
+            finally:
+                out.close()
+            if fs.exists(target):
+                fs.delete(target, False)
+            if not fs.rename(beside, target):
+                raise OSError(f"{path} can't be renamed")
+            return
+        except Exception:  # the second failure is raised
+            if attempt == tries - 1:
+                raise
+
+
 def keep_runs(runs: DataFrame, new: DataFrame, key: str, by: str, most: int = 90) -> DataFrame:
     """A bounded run log: new rows replace those of their key, the last `most` stay."""
     old = runs.join(new.select(key), key, "left_anti")

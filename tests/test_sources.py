@@ -258,3 +258,19 @@ def test_updates_under_a_condition(spark, tmp_path):
     assert max(sizes) == 7 and sum(sizes) > 40
     rest.write_updates(updates, "updates", request="7")  # all of it again: nothing is written twice
     assert all(json.load(open(store / f"p{k}"))["writes"] <= 1 for k in range(40)) and json.load(open(report))[0] == 36
+
+
+def test_documents(spark, tmp_path):
+    """A missing document is none, a broken one an error; writing replaces, and is tried again."""
+    path = str(tmp_path / "state.json")
+    assert S.read_document(spark, path) is None
+    for k in (1, 2):
+        S.write_document(spark, path, {"n": k, "name": "Žofia", "list": [{"a": k}]})
+    row = S.read_document(spark, path).first()
+    assert (row.n, row.name, row.list[0].a) == (2, "Žofia", 2)
+    assert S.read_document(spark, path, "n long").first().n == 2
+    (tmp_path / "bad.json").write_text('{"n": ')
+    with pytest.raises(Exception):
+        S.read_document(spark, str(tmp_path / "bad.json"), "n long").collect()
+    with pytest.raises(Exception):
+        S.write_document(spark, str(tmp_path / "bad.json" / "below"), {})
