@@ -1,19 +1,18 @@
-"""Shared pieces of the training-data operators: session settings, written
-intermediate tables, connected components and Arrow batch helpers."""
+"""Shared pieces of the training-data operators: session settings, Arrow batch
+helpers and hashes. Written intermediate tables are the library's."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from ..shared import connected_components, intermediate, materialize, parts, rekey, remove, shared_dir
+
+__all__ = ["connected_components", "intermediate", "materialize", "mix", "parts", "powers", "read_table", "rekey", "remove", "shared_dir", "slices", "tune"]
 
 #: Rows and bytes of an Arrow batch; texts may be very long, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -23,8 +22,6 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def tune(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches that Python workers get."""
@@ -37,85 +34,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); only where it is
-    unset, as in tests, a temporary one is made."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = getattr(spark.sparkContext, "_rolodyne_dir", None)
-        if base is None:
-            base = spark.sparkContext._rolodyne_dir = f"file://{tempfile.mkdtemp(prefix='rolodyne-')}"
-    return base
-
-
-def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the
-    lineage, survives lost executors and gives later joins a known size. Where
-    about how many (narrow) rows there are is known, no more files are written
-    than those fill."""
-    spark = df.sparkSession
-    if rows is not None:
-        df = df.coalesce(max(1, min(parts(spark), -(-rows // 100_000))))
-    path = f"{shared_dir(spark)}/rolodyne-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._rolodyne_path = path
-    return out
-
-
-def remove(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any more."""
-    path = getattr(df, "_rolodyne_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _written[:] = [x for x in _written if x[1] != path]
-
-
-@contextmanager
-def intermediate() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes the tables written within, but for those given to the function it
-    yields: for work whose result is written and no longer needs them."""
-    mark, kept = len(_written), set()
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.add(df._rolodyne_path)
-        return df
-
-    yield keep
-    for spark, path in _written[mark:]:
-        if path not in kept:
-            _delete(spark, path)
-    _written[mark:] = [x for x in _written[mark:] if x[1] in kept]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended; its folder goes with it
-            return
-
-
-def rekey(col: str) -> Column:
-    """The same long, in a form of which the planner doesn't know the
-    partitioning, so that a join gets exchanges that AQE can split by skew."""
-    return F.bitwise_not(F.bitwise_not(F.col(col)))
-
-
-def parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice have about `most` bytes at most."""
     for b in batches:
@@ -131,37 +49,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             at = to
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """edges (src, dst), longs -> (node, component): every node with an edge and
-    the smallest node it reaches.
-
-    Alternates large-star and small-star steps (Kiveris et al., 2014): after a
-    logarithmic number of rounds every node hangs from its smallest. Each round
-    is written to the shared folder; hubs only meet in aggregations with a
-    map-side part and in joins that AQE can split. Nothing is collected but a
-    row count and a checksum."""
-    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e = materialize(e)
-    last, n = None, 2 * e.count()
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(rekey("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, n)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        keyed = low.select(rekey("u").alias("k"), "m")
-        small = large.join(keyed, large.u == keyed.k).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        nxt = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), n)
-        remove(large)
-        remove(e)
-        e = nxt
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n of each at least."""
     if len(_powers[0]) < n:
