@@ -236,6 +236,40 @@ def legal_ids(c: Column) -> Column:
     )
 
 
+#: Ways a date is written in notes, and which group is year, month, day.
+DATES = [(r"\b(\d{1,2})\.\s?(\d{1,2})\.\s?(\d{4})\b", (3, 2, 1)), (r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", (1, 2, 3)), (r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", (3, 2, 1)), (r"\b(\d{1,2})-(\d{1,2})-(\d{4})\b", (3, 2, 1))]
+#: Words near a date that tell what it is.
+OCCASIONS = [("birthday", ["birthday", "born", "narod", "nar."]), ("nameday", ["name day", "nameday", "meniny"]), ("anniversary", ["anniversary", "wedding", "výroč"])]
+
+
+def dates_in(c: Column, latest_year: int) -> Column:
+    """Dates in a text, pattern by pattern, as array of struct(raw, date, occasion):
+    the date in ISO form, months and days only checked for range; the words from 40
+    characters before it to 20 after tell the occasion."""
+
+    def of(pattern: str, order: tuple[int, int, int], whole: Column) -> Column:
+        found = F.regexp_extract_all(whole, F.lit(f"({pattern})"), 1)
+        # where each begins: what stands before it, and the dates before
+        between = F.transform(F.split(whole, pattern, -1), lambda x: F.length(x))
+        sizes = F.transform(found, lambda x: F.length(x))
+
+        def one(raw: Column, i: Column, parts: Column, lengths: Column) -> Column:
+            total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, b: a + b)
+            begin = total(parts, i + 1) + total(lengths, i)
+            first = F.greatest(begin - 40, F.lit(0))
+            near = F.lower(F.substring(whole, first + 1, begin + F.length(raw) + 20 - first))
+            occasion = F.lit("unknown")
+            for name, marks in reversed(OCCASIONS):
+                occasion = F.when(near.rlike("|".join(rf"\Q{m}\E" for m in marks)), name).otherwise(occasion)
+            y, m, d = (F.regexp_extract(raw, pattern, k).cast("int") for k in order)
+            sound = m.between(1, 12) & d.between(1, 31) & y.between(1900, latest_year)
+            return F.when(sound, F.struct(raw.alias("raw"), F.format_string("%04d-%02d-%02d", y, m, d).alias("date"), occasion.alias("occasion")))
+
+        return let(F.struct(found.alias("f"), between.alias("b"), sizes.alias("s")), lambda x: F.array_compact(F.transform(x.f, lambda raw, i: one(raw, i, x.b, x.s))))
+
+    return F.flatten(F.array(*(of(pattern, order, text(c)) for pattern, order in DATES)))
+
+
 def distinguished_name(c: Column) -> Column:
     """X.500 text like CN=Ann Lee/O=Acme to a map of upper-case keys."""
     m = F.str_to_map(text(c), F.lit("[/,]"), F.lit("="))

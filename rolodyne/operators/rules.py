@@ -273,22 +273,18 @@ def name_rules(learned: dict[str, str] | None = None) -> Column:
 
 
 def date_rules(latest_year: int) -> Column:
-    """Birthdays and other days found in the first note, over Arrow batches."""
+    """Birthdays and other days found in the first note, where the contact has none."""
+    note = F.split(T.text(F.try_element_at("biographies", F.lit(1)).value), r"\Q── Last Interaction\E")[0]
+    none = lambda array: F.coalesce(F.size(array) <= 0, F.lit(True))
 
-    @F.pandas_udf(f"array<{CHANGE}>")
-    def run(note: pd.Series, birthdays: pd.Series, events: pd.Series) -> pd.Series:
-        out = []
-        for t, nb, ne in zip(note, birthdays, events):
-            found = []
-            for d in N.dates_in((t or "").split("── Last Interaction")[0], latest_year):
-                if d["occasion"] == "birthday" and not nb > 0:
-                    found.append({"field": "birthdays[+]", "old": "", "new": d["date"], "confidence": 0.60, "reason": f"birthday extracted from notes ({d['raw']})", "extra": None})
-                elif d["occasion"] in ("nameday", "anniversary") and not ne > 0:
-                    found.append({"field": "events[+]", "old": "", "new": d["date"], "confidence": 0.55, "reason": f"event extracted from notes ({d['occasion']}: {d['raw']})", "extra": {"type": d["occasion"]}})
-            out.append(found)
-        return pd.Series(out)
-
-    return run(T.text(F.try_element_at("biographies", F.lit(1)).value), F.size("birthdays"), F.size("events"))
+    def make(d: Column) -> Column:
+        born, day = d.occasion == "birthday", d.occasion.isin("nameday", "anniversary")
+        return _changes(
+            _change(born & none("birthdays"), "birthdays[+]", F.lit(""), d.date, 0.60, F.concat(F.lit("birthday extracted from notes ("), d.raw, F.lit(")"))),
+            _change(day & none("events"), "events[+]", F.lit(""), d.date, 0.55, F.concat(F.lit("event extracted from notes ("), d.occasion, F.lit(": "), d.raw, F.lit(")")), F.create_map(F.lit("type"), d.occasion)),
+        )
+
+    return _each(T.dates_in(note, latest_year), make)
 
 
 def shared_address_rule(contacts: DataFrame, least: int = 3) -> DataFrame:

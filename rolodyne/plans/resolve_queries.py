@@ -242,9 +242,31 @@ al AS (SELECT DISTINCT lower(c_mktsegment) AS tag, concat('Segment ', length(c_m
 c AS (SELECT t.tag, al.name AS by_alias, g.name AS same, s.name AS close FROM t LEFT JOIN al USING (tag) LEFT JOIN g ON g.low = lower(t.tag) LEFT JOIN s ON s.tag = t.tag)
 SELECT tag, coalesce(by_alias, same, close, array_to_string(list_transform(string_split(tag, ' '), lambda w: concat(upper(w[1]), lower(w[2:]))), ' ')) AS group_name, CASE WHEN by_alias IS NOT NULL THEN 'alias' WHEN same IS NOT NULL THEN 'equal' WHEN close IS NOT NULL THEN 'similar' ELSE 'create' END AS route FROM c"""
 
+def participant_names(spark, sf):
+    """Customers' spelled names, two a record, against the suppliers': the best of
+    plain, token-sorted and token-set similarity at 92."""
+    left, right = _customer_names(spark, sf)
+    number = F.substring("id", 2, 20).cast("long")
+    records = left.groupBy(F.floor(number / 2).alias("record")).agg(F.collect_list("name").alias("names"))
+    return R.fuzzy_participants(records, right.select(F.col("key").alias("contact"), "name"), 92.0).withColumn("score", F.round("score", 4))
+
+
+PARTICIPANT_NAMES = """WITH RECURSIVE a AS (SELECT DISTINCT c_custkey // 2 AS record, concat(translate(CAST(c_custkey * 7919 % 99991 AS VARCHAR), '0123456789', 'aeioubdgkm'), ' ', lower(c_mktsegment)) AS q FROM customer),
+b AS (SELECT concat('s', s_suppkey) AS contact, concat(lower(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][1 + s_suppkey % 5]), ' ', translate(CAST(s_suppkey * 7919 % 99991 AS VARCHAR), '0123456789', 'aeioubdgkm')) AS h FROM supplier),
+w AS (SELECT q, h, list_sort(list_distinct(string_split(q, ' '))) AS u, list_sort(list_distinct(string_split(h, ' '))) AS v FROM (SELECT DISTINCT q FROM a), (SELECT DISTINCT h FROM b) WHERE greatest(length(q), length(h)) < 1.5 * least(length(q), length(h))),
+s AS (SELECT *, list_filter(u, lambda x: list_contains(v, x)) AS c FROM w),
+k AS (SELECT q, h, array_to_string(c, ' ') AS c, array_to_string(list_concat(c, list_filter(u, lambda x: NOT list_contains(c, x))), ' ') AS l, array_to_string(list_concat(c, list_filter(v, lambda x: NOT list_contains(c, x))), ' ') AS r, array_to_string(list_sort(string_split(q, ' ')), ' ') AS sq, array_to_string(list_sort(string_split(h, ' ')), ' ') AS sh FROM s),
+p AS (SELECT q, h, q AS x, h AS y, 1.0 AS scale FROM k UNION ALL SELECT q, h, sq, sh, 0.95 FROM k UNION ALL SELECT q, h, l, r, 0.95 FROM k UNION ALL SELECT q, h, c, l, 0.95 FROM k WHERE c <> '' UNION ALL SELECT q, h, c, r, 0.95 FROM k WHERE c <> ''),
+t(q, h, scale, x, y, i, m) AS (SELECT q, h, scale, x, y, 0, list_transform(range(0, length(y) + 1), lambda z: 0) FROM p
+ UNION ALL SELECT q, h, scale, x, y, i + 1, list_reduce(range(1, length(y) + 1), lambda acc, j: list_append(acc, CASE WHEN x[i + 1] = y[j] THEN m[j] + 1 ELSE greatest(acc[-1], m[j + 1]) END), [0::INT]) FROM t
+ WHERE i < length(x) AND scale * 200.0 * (m[-1] + length(x) - i) >= 92 * (length(x) + length(y))),
+f AS (SELECT q, h, max(scale * 200.0 * m[-1] / (length(x) + length(y)))::DOUBLE AS score FROM t WHERE i = length(x) GROUP BY q, h HAVING score >= 92)
+SELECT record, contact, round(score, 4) AS score FROM a JOIN f USING (q) JOIN b USING (h) QUALIFY row_number() OVER (PARTITION BY record ORDER BY score DESC, contact) = 1"""
+
 QUERIES |= {
     "name_join": (name_join, NAME_JOIN),
     "name_assignment": (name_assignment, NAME_ASSIGNMENT),
     "duplicate_classes": (duplicate_classes, DUPLICATE_CLASSES),
     "tag_groups": (tag_groups, TAG_GROUPS),
+    "participant_names": (participant_names, PARTICIPANT_NAMES),
 }

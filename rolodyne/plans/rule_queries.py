@@ -11,6 +11,7 @@ from ..operators import resolve as R
 from ..operators import rules
 from ..schemas import CONTACT
 from ..session import table
+from ..streaming import ingest
 
 #: Spellings of a number with the eight digits t, by the customer's key.
 SPELLED = ["concat('09', t)", "concat('+4219', t)", "concat('00420 6', left(t, 2), ' ', right(t, 6))", "concat('+420-2', t)", "concat('02/', t)", "concat('+421 9', left(t, 2), ' ', substr(t, 3, 3), ' ', right(t, 3))", "concat('+44 7700 9', left(t, 5))", "left(t, 4)", "''", "concat('9', t)", "concat('(0', '9', left(t, 2), ') ', right(t, 6))", "concat('+421 5', left(t, 1), '/', right(t, 7))"]
@@ -80,6 +81,51 @@ SELECT k AS c_custkey, 'names[0].givenName' AS field, '' AS old, w[1] AS new, 0.
 UNION ALL SELECT k, 'names[0].familyName', '', array_to_string(w[2:], ' '), 0.8, 'name extracted from display name' FROM w"""
 
 
+#: Notes with the digits e (eight, the first a 5), beside whatever follows the marker.
+NOTES = ["concat('tel 0911 ', left(e, 3), ' ', substr(e, 4, 3))", "concat('write to X', k, '@Firm.SK, or x', k, '@firm.sk')", "concat('IČO: ', e)", "concat('DIČ ', '20', e)", "concat('IČ DPH sk20', e)", "concat('born ', 1 + k % 28, '.2.19', 50 + k % 50)", "concat('wedding 2001-0', 1 + k % 9, '-05, signed 2002-03-04')", "''", "concat('call +421 911 222 333, +421 903 ', left(e, 3), ' ', substr(e, 4, 3))", "concat('meniny 4/5/', 1990 + k % 30, ' or 13/13/2000')"]
+_NOTES = "CASE k % 10 " + " ".join(f"WHEN {n} THEN {x}" for n, x in enumerate(NOTES)) + " END"
+
+
+def note_proposals(spark, sf):
+    """What the customers' notes hold; what follows an earlier block's marker is left out."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("5"), F.right(F.lpad((F.col("c_custkey") * 7919 % 100_000_000).cast("string"), 8, "0"), F.lit(7))).alias("e"))
+    note = F.concat(F.expr(_NOTES), F.when(F.col("k") % 3 == 0, "\n── Last Interaction (auto) ──\nborn 3.4.1999 z@z.zz").otherwise(""))
+    contact = F.struct(F.array(F.struct(note.alias("value"))).alias("biographies"), F.array(F.struct(F.lit("+421 911 222 333").alias("value"))).alias("phoneNumbers"), F.when(F.col("k") % 20 == 5, F.array(F.struct(F.struct(F.lit(1990).alias("year")).alias("date")))).alias("birthdays"))
+    people = c.select("k", F.from_json(F.to_json(contact), CONTACT).alias("c")).select("k", "c.*")
+    return _proposals(people, F.concat(rules.note_rules(), rules.date_rules(2024)))
+
+
+NOTE_PROPOSALS = """WITH c AS (SELECT c_custkey AS k, concat('5', right(lpad(CAST(c_custkey * 7919 % 100000000 AS VARCHAR), 8, '0'), 7)) AS e FROM customer),
+r AS (SELECT k, 'phoneNumbers[+]' AS field, concat('+421 911 ', e[1:3], ' ', e[4:6]) AS new, 0.7 AS confidence, 'phone number found in notes' AS reason FROM c WHERE k % 10 = 0
+ UNION ALL SELECT k, 'phoneNumbers[+]', concat('+421 903 ', e[1:3], ' ', e[4:6]), 0.7, 'phone number found in notes' FROM c WHERE k % 10 = 8
+ UNION ALL SELECT k, 'emailAddresses[+]', concat('x', k, '@firm.sk'), 0.7, 'email found in notes' FROM c WHERE k % 10 = 1
+ UNION ALL SELECT k, 'userDefined[+]', e, 0.92, 'company ID found in notes' FROM c WHERE k % 10 = 2
+ UNION ALL SELECT k, 'userDefined[+]', concat('20', e), 0.92, 'tax ID found in notes' FROM c WHERE k % 10 = 3
+ UNION ALL SELECT k, 'userDefined[+]', concat('SK20', e), 0.92, 'VAT ID found in notes' FROM c WHERE k % 10 = 4
+ UNION ALL SELECT k, 'birthdays[+]', concat('19', 50 + k % 50, '-02-', lpad(CAST(1 + k % 28 AS VARCHAR), 2, '0')), 0.6, concat('birthday extracted from notes (', 1 + k % 28, '.2.19', 50 + k % 50, ')') FROM c WHERE k % 10 = 5 AND k % 20 <> 5
+ UNION ALL SELECT k, 'events[+]', d, 0.55, concat('event extracted from notes (anniversary: ', d, ')') FROM (SELECT k, unnest([concat('2001-0', 1 + k % 9, '-05'), '2002-03-04']) AS d FROM c WHERE k % 10 = 6)
+ UNION ALL SELECT k, 'events[+]', concat(1990 + k % 30, '-05-04'), 0.55, concat('event extracted from notes (nameday: 4/5/', 1990 + k % 30, ')') FROM c WHERE k % 10 = 9)
+SELECT k AS c_custkey, field, '' AS old, new, confidence::DOUBLE AS confidence, reason FROM r"""
+
+
+def message_records(spark, sf):
+    """Conversations as messages of five networks -> interaction records, flat."""
+    c = table(spark, sf, "conversations")
+    network = F.element_at(F.array(*map(F.lit, ("WhatsApp", "facebookgo.x", "matrix-Signal", "linkedin", "newnet"))), (F.col("conv_id") % 5 + 1).cast("int"))
+    person = lambda handle, own: F.struct(handle.alias("handle"), F.lit("n").alias("name"), F.lit(own).alias("self"))
+    people = F.array(person(F.concat(F.lit("p"), "conv_id", F.lit("@x.example")), False), person(F.concat(F.lit("+421 90"), F.col("turn") % 10, F.lit(" 123 456")), False), person(F.concat(F.lit("@h"), "conv_id"), False), person(F.lit("me@own.example"), True))
+    body = F.when(F.col("turn") % 4 == 3, F.lit("  ")).otherwise(F.col("text"))
+    messages = c.select(network.alias("network"), F.concat(F.lit("chat"), "conv_id").alias("chat"), F.col("turn").cast("string").alias("id"), F.when(F.col("role") != "system", F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn"))).alias("ts"), body.alias("text"), (F.col("role") == "assistant").alias("is_sender"), F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("file"))).otherwise(F.array().cast("array<string>")).alias("attachments"), people.alias("participants"))
+    m = ingest.to_records(messages)
+    return m.select("interactionId", "channel", "direction", "threadId", F.unix_micros("timestamp").alias("at_us"), F.length("summary").cast("long").alias("size"), F.left("summary", F.lit(20)).alias("begins"), F.array_join("matchCandidates.emails", ",").alias("emails"), F.array_join("matchCandidates.phones", ",").alias("phones"), F.array_join("matchCandidates.handles", ",").alias("handles"))
+
+
+MESSAGE_RECORDS = """WITH m AS (SELECT *, ['WhatsApp', 'facebookgo.x', 'matrix-Signal', 'linkedin', 'newnet'][1 + conv_id % 5] AS network, ['whatsapp', 'messenger', 'signal', 'linkedin_dm', 'newnet'][1 + conv_id % 5] AS channel, trim(CASE WHEN turn % 4 = 3 THEN '' ELSE text END) AS body FROM conversations WHERE role <> 'system'),
+s AS (SELECT *, CASE WHEN body <> '' THEN body WHEN conv_id % 2 = 0 THEN '[attachment]' ELSE '[empty]' END AS said FROM m)
+SELECT substr(sha256(concat_ws('|', network, concat('chat', conv_id), turn::VARCHAR)), 1, 16) AS "interactionId", channel, CASE WHEN role = 'assistant' THEN 'outbound' ELSE 'inbound' END AS direction, concat(channel, ':chat', conv_id) AS "threadId", (conv_id * 1000 + turn) * 1000000 AS at_us,
+ least(length(said), 500) AS size, CASE WHEN length(said) > 500 THEN concat(said[1:499], '…') ELSE said END[1:20] AS begins, concat('p', conv_id, '@x.example') AS emails, concat('+421 90', turn % 10, ' 123 456') AS phones, concat('@h', conv_id) AS handles FROM s"""
+
+
 def note_blocks(spark, sf):
     """Notes that get a block, then another day's block in its place, then lose it."""
     c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("met at "), F.lower("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, "\nand again").otherwise(""))).alias("note"), F.concat(F.lit("Stage: "), "c_nationkey").alias("body"))
@@ -124,6 +170,8 @@ t(x, y, i, r) AS (SELECT x, y, 0, list_transform(range(0, length(y) + 1), lambda
 SELECT x AS name_a, y AS name_b, round(200.0 * r[-1] / (length(x) + length(y)), 2)::DOUBLE AS score FROM t WHERE i = length(x) AND 200.0 * r[-1] / (length(x) + length(y)) >= 80"""
 
 QUERIES = {
+    "note_proposals": (note_proposals, NOTE_PROPOSALS),
+    "message_records": (message_records, MESSAGE_RECORDS),
     "phone_proposals": (phone_proposals, PHONE_PROPOSALS),
     "page_proposals": (page_proposals, PAGE_PROPOSALS),
     "name_fill_proposals": (name_fill_proposals, NAME_FILL_PROPOSALS),

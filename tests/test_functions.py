@@ -130,9 +130,29 @@ def test_name_steps():
     assert names.accents("Marian", {"marian": "Marian"}) == ("Marian", 0.0)
 
 
-def test_dates_in_notes():
-    got = names.dates_in("born 1.2.1980, wedding 2001-13-01, anniversary 5/6/2010, 3.3.1800", 2024)
-    assert [(d["date"], d["occasion"]) for d in got] == [("1980-02-01", "birthday"), ("2010-06-05", "anniversary")]
+def plain_dates(note, latest_year):
+    import re
+
+    out = []
+    for pattern, (y, m, d) in T.DATES:
+        for found in re.finditer(pattern, note or ""):
+            year, month, day = (int(found[k]) for k in (y, m, d))
+            if 1 <= month <= 12 and 1 <= day <= 31 and 1900 <= year <= latest_year:
+                near = note[max(0, found.start() - 40) : found.end() + 20].lower()
+                kind = next((name for name, marks in T.OCCASIONS if any(x in near for x in marks)), "unknown")
+                out.append((found[0], f"{year:04d}-{month:02d}-{day:02d}", kind))
+    return out
+
+
+def test_dates_in_notes(spark):
+    import random
+
+    r = random.Random(2)
+    pieces = ["born ", "1.2.1980", " 2001-13-01", "wedding ", " 5/6/2010", "3.3.1800", " name day ", "7-8-1999", "výročie ", "x" * 45, " and ", "\n", "12. 12. 2012", "2024-02-30", "31/31/2000", "1999", "é"]
+    notes_ = ["born 1.2.1980, wedding 2001-13-01, anniversary 5/6/2010, 3.3.1800", None, "", *("".join(r.choice(pieces) for _ in range(r.randrange(1, 12))) for _ in range(300))]
+    rows = spark.createDataFrame(list(enumerate(notes_)), "i int, note string").select("i", T.dates_in(F.col("note"), 2024).alias("d")).collect()
+    assert {x.i: [tuple(d) for d in x.d] for x in rows} == {i: plain_dates(n, 2024) for i, n in enumerate(notes_)}
+    assert [(d[1], d[2]) for d in plain_dates(notes_[0], 2024)] == [("1980-02-01", "birthday"), ("2010-06-05", "anniversary")]
 
 
 BLOCK = "── Activity (auto · 2024-01-31) ──\nbody\n── End Activity ──"
