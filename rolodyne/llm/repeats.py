@@ -9,10 +9,10 @@ digests are grouped over the whole table, and the earliest occurrence of each, b
 document id and offset, stays. Later ones are taken out, all of them with run=1;
 with a larger `run` only where repeated units follow each other without a gap and
 have so many words together, so that common short sentences and license lines
-survive (RUN is what the query and the pipeline take). Units of fewer than UNIT
-words are too common to be told by their own words: they are hashed with what
+survive (RUN is what the query and the pipeline take). There, units of fewer than
+UNIT words are too common to be told by their own words: they are hashed with what
 follows them, and end a run like any other unit unless they are repeats
-themselves. Characters of scripts without blanks count as half a word.
+themselves; with a run of fewer than UNIT words they are told by their own. Characters of scripts without blanks count as half a word.
 """
 
 from __future__ import annotations
@@ -47,10 +47,11 @@ def _count(piece: str, words: int, dense: bool) -> int:
     return max(words, len(piece) // WORD_CHARS) if words else 0
 
 
-def units(text: str) -> list[tuple[int, int, int, int]]:
+def units(text: str, alone: bool = False) -> list[tuple[int, int, int, int]]:
     """(start, end, words, digest) of all units with a word; offsets are code
     points of the text, and blanks around a unit belong to it. The digest of a
-    unit of fewer than UNIT words also covers what follows it, up to AHEAD words."""
+    unit of fewer than UNIT words also covers what follows it, up to AHEAD words,
+    unless all units stand alone."""
     found, at = [], 0
     dense = _dense.search(text) is not None
     ends = [m.end() for m in _end.finditer(text)]
@@ -72,7 +73,7 @@ def units(text: str) -> list[tuple[int, int, int, int]]:
         at = end
     out = []
     for k, (start, end, n, norm) in enumerate(found):
-        if n < UNIT:
+        if n < UNIT and not alone:
             have, parts = n, [norm]
             for _, _, more, then in found[k + 1 : k + 1 + AHEAD]:
                 if have >= AHEAD:
@@ -90,10 +91,10 @@ def _unit(found: list, text: str, start: int, end: int, dense: bool) -> None:
         found.append((start, end, _count(text[start:end], len(words), dense), " ".join(words).lower().strip(_trim)))
 
 
-def _unit_rows(rows: DataFrame) -> DataFrame:
+def _unit_rows(rows: DataFrame, alone: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", 2 << 20):
-            found = [units(t) for t in b.column("t").to_pylist()]
+            found = [units(t, alone) for t in b.column("t").to_pylist()]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             take = pa.array(np.repeat(np.arange(len(found)), counts))
             flat = [u for us in found for u in us]
@@ -113,7 +114,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     equal id and text are one document; null texts have no spans; null ids rank
     last. Units are cut twice rather than kept: they take more room than texts."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("o"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    found = _unit_rows(rows)
+    found = _unit_rows(rows, run < UNIT)
     place = F.struct("o", "th", "start")
     first = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(rekey("h").alias("fh"), F.col("g").alias("fg"), "first")
     # two ints to a long: they travel twice

@@ -1014,7 +1014,7 @@ def plain_size(piece):
     return max(len(re.sub(NO_BLANKS, " ", piece).split()) + (dense + 1) // 2, len(piece) // 24)
 
 
-def plain_units(text):
+def plain_units(text, alone=False):
     """(start, end, words, what is hashed), cut one character or word at a time."""
     pieces, start = [], 0
     for k, c in enumerate(text):
@@ -1046,7 +1046,7 @@ def plain_units(text):
     out = []
     for k, (s, e) in enumerate(cut):
         n, what = plain_size(text[s:e]), (plain[k],)
-        if n < 4:
+        if n < 4 and not alone:
             total, j = n, k + 1
             while total < 16 and j < len(cut) and j <= k + 16:
                 total, what, j = total + plain_size(text[cut[j][0] : cut[j][1]]), (*what, plain[j]), j + 1
@@ -1056,7 +1056,7 @@ def plain_units(text):
 
 
 def brute_spans(texts, ids, least=24):
-    first, found = {}, {i: plain_units(t or "") for i, t in zip(ids, texts)}
+    first, found = {}, {i: plain_units(t or "", least < 4) for i, t in zip(ids, texts)}
     for i in ids:
         for s, _, _, h in found[i]:
             first.setdefault(h, (i, s))
@@ -1151,3 +1151,11 @@ def test_repeats_of_text_without_blanks(spark):
     out = {x.doc_id: x.text for x in repeats.drop_repeats(docs(spark, texts)).collect()}
     assert out[0] == texts[0] and out[1] == texts[1].replace(passage, "")
     assert len(out[3]) < len(texts[3]) - 300
+
+
+def test_equal_short_units_go_with_run_one(spark):
+    """A short line is a repeat whatever follows it, unless longer runs are asked for."""
+    texts = ["Alpha beta gamma.\nthis line stands here only once", "Alpha beta gamma.\nquite another line follows it here", "no repeats at all in here"]
+    got = {r.doc_id: r.text for r in repeats.drop_repeats(docs(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "quite another line follows it here", 2: texts[2]}
+    assert {r.doc_id: r.text for r in repeats.drop_repeats(docs(spark, texts), run=24).collect()} == dict(enumerate(texts))
