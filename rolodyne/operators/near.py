@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import parts
+
 #: So many whole segments are looked up together; one for texts of over LONG edits.
 SHARED, LONG = 2, 8
 
@@ -125,7 +127,9 @@ def _entries(names: DataFrame, col: str, keys: Callable, forms: tuple, threshold
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.int64()))], ["k", "name", "n", "sig"])
 
-    return names.select(F.col(col).cast("string")).where(f"`{col}` <> ''").mapInArrow(run, "k long, name string, n int, sig long")
+    # a name is small and its entries are many: however few the names' bytes, all tasks share them
+    dealt = names.select(F.col(col).cast("string")).where(f"`{col}` <> ''").repartition(parts(names.sparkSession))
+    return dealt.mapInArrow(run, "k long, name string, n int, sig long")
 
 
 def edits_allowed(m: Column, n: Column, threshold: float) -> Column:
