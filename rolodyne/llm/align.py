@@ -11,7 +11,8 @@ the documents of a task are gathered into blocks, each with the list of the id
 pairs that occur in it and, by document, how often. Only those lists meet in the
 count, and only the counts of its own pairs come back to a block. Blocks have a
 bounded number of entries, so neither a frequent pair nor a long document makes a
-large group.
+large group; they are written as a row a document and lists of LISTED pairs, so that
+no row grows with the block.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ VOCABULARY, MODEL = "byte_bpe_50k", "piece_bpe_32k.model"
 #: A pair of ids in one number; vocabularies have fewer than 2**BITS entries.
 BITS = 20
 #: A block is closed when it has so many (document, pair) entries or documents; a
-#: slice of a text of about SLICE bytes is aligned at a time.
-ENTRIES, DOCUMENTS, SLICE = 500_000, 20_000, 2 << 20
+#: slice of texts of about SLICE bytes is aligned at a time.
+ENTRIES, DOCUMENTS, LISTED, SLICE = 500_000, 20_000, 4096, 256 << 10
 
 
 class _Names:
@@ -144,28 +145,29 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema).withColumnRenamed("i", id_col)
 
 
-_BLOCK = "block long, pairs array<long>, totals array<long>, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, entry_doc array<int>, entry_pair array<int>, entry_n array<int>"
+_BLOCK = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, entry_pair array<long>, entry_n array<int>, pairs array<long>, totals array<long>"
 _PER_DOC = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, model: str = MODEL) -> DataFrame:
-    """Rows of documents, so many in a row as have ENTRIES entries: their figures,
-    the id pairs they hold (sorted, with their number in the block) and the entries:
-    document and pair, by their places in those lists, and how often."""
+    """A row a document (pairs is null): its block, its figures, the id pairs it holds
+    and how often; and rows of at most LISTED pairs of a block with their number in
+    it (entry_pair is null). Documents of a task are in one block until it has
+    ENTRIES entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, kinds = TaskContext.get().partitionId() << 32, dict(zip(_PER_DOC, (pa.int64(),) * 5 + (pa.string(),)))
-        figures, doc, pair, times, entries = {k: [] for k in _PER_DOC}, [], [], [], 0
+        number, documents, pair, times, entries = TaskContext.get().partitionId() << 32, 0, [], [], 0
+        longs, names = pa.list_(pa.int64()), ["block", *_PER_DOC, "entry_pair", "entry_n", "pairs", "totals"]
+        kinds = dict(zip(_PER_DOC, (pa.int64(),) * 5 + (pa.string(),)))
+        lists = lambda values, bounds: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
-        def closed() -> pa.RecordBatch:
+        def listed() -> Iterator[pa.RecordBatch]:
             known, which = np.unique(np.concatenate(pair), return_inverse=True)
-            n = np.concatenate(times)
             totals = np.zeros(len(known), np.int64)
-            np.add.at(totals, which, n)
-            values = [pa.array([number], pa.int64()), pa.array([known], pa.list_(pa.int64())), pa.array([totals], pa.list_(pa.int64()))]
-            values += [pa.array([figures[k]], pa.list_(kinds[k])) for k in _PER_DOC]
-            values += [pa.array([v.astype(np.int32)], pa.list_(pa.int32())) for v in (np.concatenate(doc), which, n)]
-            return pa.RecordBatch.from_arrays(values, ["block", "pairs", "totals", *_PER_DOC, "entry_doc", "entry_pair", "entry_n"])
+            np.add.at(totals, which, np.concatenate(times))
+            for at in range(0, len(known), LISTED):
+                some = [pa.array([x[at : at + LISTED]], longs) for x in (known, totals)]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.nulls(1, kinds[k]) for k in _PER_DOC), pa.nulls(1, longs), pa.nulls(1, pa.list_(pa.int32())), *some], names)
 
         for batch in slices(batches, "t", SLICE):
             x = Alignment(batch.column("t").to_pylist(), vocabulary, model)
@@ -173,18 +175,18 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             order = np.lexsort((links, x.text))
             links, of = links[order], x.text[order]
             first = np.flatnonzero(np.append(True, (links[1:] != links[:-1]) | (of[1:] != of[:-1]))[: len(links)])
-            doc.append(of[first] + len(figures["doc_id"]))
             pair.append(links[first])
             times.append(np.diff(np.append(first, len(links))))
-            entries += len(first)
-            values = (batch.column("i").to_pylist(), np.diff(x.a_at), np.diff(x.b_at), x.per_text(x.text[x.closes]), x.per_text(x.text), [hashlib.sha256(g).hexdigest() if g else "" for g in x.groups_text()])
-            for k, v in zip(_PER_DOC, values):
-                figures[k].extend(v)
-            if entries >= ENTRIES or len(figures["doc_id"]) >= DOCUMENTS:
-                yield closed()
-                number, figures, doc, pair, times, entries = number + 1, {k: [] for k in _PER_DOC}, [], [], [], 0
-        if figures["doc_id"]:
-            yield closed()
+            bounds = np.searchsorted(of[first], np.arange(x.n + 1))
+            values = (batch.column("i"), np.diff(x.a_at), np.diff(x.b_at), x.per_text(x.text[x.closes]), x.per_text(x.text), [hashlib.sha256(g).hexdigest() if g else "" for g in x.groups_text()])
+            figures = [v if isinstance(v, pa.Array) else pa.array(v, kinds[k]) for k, v in zip(_PER_DOC, values)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(x.n, number)), *figures, lists(pair[-1], bounds), lists(times[-1].astype(np.int32), bounds), pa.nulls(x.n, longs), pa.nulls(x.n, longs)], names)
+            documents, entries = documents + x.n, entries + len(first)
+            if entries >= ENTRIES or documents >= DOCUMENTS:
+                yield from listed()
+                number, documents, pair, times, entries = number + 1, 0, [], [], 0
+        if documents:
+            yield from listed()
 
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, _BLOCK)
 
@@ -192,7 +194,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 def pair_counts(found: DataFrame) -> DataFrame:
     """blocks() -> (pair, n, best): how often ids are linked, and whether that is the
     most of its second id. Second ids are no more than the vocabulary has."""
-    listed = found.select(F.explode(F.arrays_zip("pairs", "totals")).alias("x")).select(F.col("x.pairs").alias("pair"), "x.totals")
+    listed = found.where("pairs is not null").select(F.explode(F.arrays_zip("pairs", "totals")).alias("x")).select(F.col("x.pairs").alias("pair"), "x.totals")
     counts = materialize(listed.groupBy("pair").agg(F.sum("totals").alias("n")))
     second = F.col("pair").bitwiseAND((1 << BITS) - 1)
     most = counts.groupBy(second.alias("second")).agg(F.max("n").alias("most"))
@@ -207,24 +209,23 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     rows and ids count as often as they are there."""
     found = materialize(blocks(docs, id_col, text_col, vocabulary, model))
     counts = materialize(pair_counts(found))
-    asked = found.select(F.col("block").alias("of"), F.explode("pairs").alias("asked"))
+    asked = found.where("pairs is not null").select(F.col("block").alias("of"), F.explode("pairs").alias("asked"))
     answers = asked.join(counts, F.col("asked") == counts.pair).select("of", "pair", "n", "best")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
         right = right.sort_by("pair")
-        n, best = right.column("n").to_numpy(), right.column("best").to_numpy()
-        for row in left.to_batches():  # one row
-            value = lambda k: row.column(k)[0].values
-            of, which, times = (value(k).to_numpy() for k in ("entry_doc", "entry_pair", "entry_n"))
-            bounds = np.searchsorted(of, np.arange(len(value("doc_id")) + 1))
-            upto = lambda v: np.concatenate(([0], np.cumsum(v, dtype=np.int64)))[bounds]
-            sums = [np.diff(upto(v)) for v in (times * best[which], times * n[which])] if len(of) else [np.zeros(len(bounds) - 1, np.int64)] * 2
-            out.append(pa.table([*(value(k) for k in _PER_DOC[:5]), *map(pa.array, sums), value("groups_sha256")], [*_PER_DOC[:5], "n_best", "count_sum", "groups_sha256"]))
+        known, n, best = (right.column(k).to_numpy() for k in ("pair", "n", "best"))
+        out = []
+        for rows in left.to_batches():
+            pairs, times = rows.column("entry_pair"), rows.column("entry_n").flatten().to_numpy()
+            which, bounds = np.searchsorted(known, pairs.flatten().to_numpy()), np.concatenate(([0], np.cumsum(pairs.value_lengths().to_numpy())))
+            sums = [np.diff(np.concatenate(([0], np.cumsum(v, dtype=np.int64)))[bounds]) for v in (times * best[which], times * n[which])]
+            out.append(pa.table([*(rows.column(k) for k in _PER_DOC[:5]), *map(pa.array, sums), rows.column("groups_sha256")], [*_PER_DOC[:5], "n_best", "count_sum", "groups_sha256"]))
         return pa.concat_tables(out)
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return found.drop("pairs", "totals").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    each = found.where("pairs is null").drop("pairs", "totals")
+    return each.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(run, schema).withColumnRenamed("doc_id", id_col)
 
 
 def op13_alignment(spark, sf_dir):

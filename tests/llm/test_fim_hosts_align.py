@@ -250,3 +250,13 @@ def test_alignments_keep_spans_and_products(spark):
             group = [(i, j) for i in range(len(x.a)) for j in range(len(x.b)) if x.a_group[i] == x.b_group[j]]
             overlap = {(i, j) for i, j in group if max(np.append(0, x.a_end)[i], np.append(0, x.b_end)[j]) < min(x.a_end[i], x.b_end[j])}
             assert links == (set(group) if p else overlap) and len(rows[k].links) == len(links)
+
+
+def test_alignment_rows_do_not_grow_with_their_block(spark, sf):
+    """A row is a document, or a bounded list of pairs, however many a block holds."""
+    few = spark.read.parquet(f"{sf}/documents.parquet").limit(200).coalesce(1)
+    found = align.blocks(few).collect()
+    each, listed = [r for r in found if r.pairs is None], [r for r in found if r.pairs is not None]
+    assert len(each) == 200 and {len(r.entry_pair) for r in each} != {0} and all(sum(r.entry_n) == r.n_links for r in each)
+    assert len({r.block for r in found}) == 1 < len(listed) and max(len(r.pairs) for r in listed) <= align.LISTED
+    assert sum(sum(r.totals) for r in listed) == sum(r.n_links for r in each)
