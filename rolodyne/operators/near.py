@@ -11,6 +11,13 @@ segments; a probe looks each of them up by length at the few places where they
 can be. What meets there is compared by counts of characters (a 64-bit signature,
 of which d edits change d bits at most) before any similarity is computed. Pairs
 found are a superset of those that reach T, none is missed.
+
+Names that have most of their characters in common with very many others (a few
+frequent words) make lists of the index as long as the table, and each pair meets in
+many of them. Up to DIRECT pairs both sides are therefore dealt into cells of about
+ROWS rows each, which compare the signatures of all pairs of equal lengths at once and
+then the texts of those that are left: a pair meets in one cell only, once, and nothing
+but what reaches T leaves it.
 """
 
 from __future__ import annotations
@@ -19,15 +26,21 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import parts
+from ..functions.similarity import py_ratio
+from ..shared import materialize, parts
 
 #: So many whole segments are looked up together; one for texts of over LONG edits.
 SHARED, LONG = 2, 8
+#: Pairs are compared in cells of ROWS rows a side up to DIRECT of them (some nanoseconds
+#: each), by the index beyond. Names of one prefix are together in one of GROUPS groups;
+#: of one name's rows COPIES are, beyond that they are dealt over cells.
+ROWS, DIRECT, GROUPS, COPIES = 4096, 10**12, 4096, 256
 
 
 def least_common(m: int, n: int, threshold: float) -> int:
@@ -136,16 +149,176 @@ def edits_allowed(m: Column, n: Column, threshold: float) -> Column:
     return m + n - 2 * F.ceil((m + n) * (threshold / 200.0) - 1e-9)
 
 
+class _Texts:
+    """Texts as numbers: their lengths, and the classes of their characters."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.at = np.cumsum(self.size) - self.size
+
+    def rank(self, alphabet: np.ndarray) -> None:
+        self.codes = np.searchsorted(alphabet, self.codes)
+        row = np.repeat(np.arange(len(self.texts)), self.size)
+        n = np.bincount(row * 32 + self.codes % 32, minlength=32 * len(self.texts)).reshape(-1, 32)
+        bit = np.uint64(1) << np.arange(0, 64, 2, dtype=np.uint64)
+        self.sign = ((n > 0) * bit | (n > 1) * (bit << np.uint64(1))).sum(axis=1, dtype=np.uint64)
+
+    def columns(self, which: np.ndarray, size: int) -> np.ndarray:
+        """The characters of texts of one size, a row for each place."""
+        return self.codes[self.at[which][None, :] + np.arange(size)[:, None]]
+
+
+def _common(masks: np.ndarray, m: int, i: np.ndarray, b: np.ndarray, j: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) those with a common subsequence of `need` characters, and
+    its length; bit-parallel as similarity.lcs, all pairs at once. masks: for each
+    character where it is in each text of m; b: the other texts' characters by place."""
+    full = np.uint64((1 << m) - 1)
+    v, n, width = np.full(len(i), full), len(b), masks.shape[1]
+    flat = masks.ravel()
+    for t in range(n):
+        u = v & flat[b[t][j] * width + i]
+        v = (v + u) | (v - u)
+        if t % 3 == 2 or t == n - 1:  # what can't get there any more is left out
+            keep = np.flatnonzero(m - np.bitwise_count(v & full).astype(np.int64) + (n - 1 - t) >= need)
+            if len(keep) < len(i):
+                i, j, v = i[keep], j[keep], v[keep]
+    return i, j, m - np.bitwise_count(v & full).astype(np.int64)
+
+
+def _alike(x: _Texts, y: _Texts, threshold: float, same: tuple[np.ndarray, np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in x, place in y, ratio) of all pairs that reach the threshold; same:
+    numbers of both sides' texts that have to be equal, too."""
+    alphabet = np.unique(np.concatenate((x.codes, y.codes)))
+    x.rank(alphabet)
+    y.rank(alphabet)
+    for m in np.unique(x.size[x.size > 0]).tolist():
+        of_m = np.flatnonzero(x.size == m)
+        allowed = partners(m, threshold)
+        others = [n for n in np.unique(y.size).tolist() if n in allowed]
+        step = max(16, (1 << 22) // (len(alphabet) + 1))
+        for rows in (of_m[s : s + step] for s in range(0, len(of_m), step)):
+            if not others:
+                break
+            if m <= 64:
+                masks = np.zeros((len(alphabet), len(rows)), np.uint64)
+                for place, codes in enumerate(x.columns(rows, m)):
+                    masks[codes, np.arange(len(rows))] |= np.uint64(1 << place)
+            for n in others:
+                of_n, edits, need = np.flatnonzero(y.size == n), allowed[n], least_common(m, n, threshold)
+                wide = max(1, (1 << 18) // len(rows))
+                for cols in (of_n[s : s + wide] for s in range(0, len(of_n), wide)):
+                    near = np.bitwise_count(x.sign[rows][:, None] ^ y.sign[cols][None, :]) <= edits
+                    if same is not None:
+                        near &= same[0][rows][:, None] == same[1][cols][None, :]
+                    at = np.flatnonzero(near)
+                    i, j = at // len(cols), at % len(cols)
+                    if m <= 64:
+                        i, j, common = _common(masks, m, i, y.columns(cols, n), j, need)
+                        ratio = 200.0 * common / (m + n)
+                    else:
+                        ratio = np.array([py_ratio(x.texts[k], y.texts[q]) for k, q in zip(rows[i], cols[j])], np.float64)
+                    keep = ratio >= threshold
+                    yield rows[i[keep]], cols[j[keep]], ratio[keep]
+
+
+def matches(a: list[str], b: list[str], threshold: float, forms: tuple[Callable[[str], str], ...], prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in a, place in b, the best ratio of a form in both) of every pair of
+    names with the same prefix that reaches the threshold."""
+    same = None
+    if prefix:
+        number = {p: k for k, p in enumerate({t[:prefix] for t in (*a, *b)})}
+        same = tuple(np.array([number[t[:prefix]] for t in side], np.int64) for side in (a, b))
+    found = [f for form in forms for f in _alike(_Texts([form(t) for t in a]), _Texts([form(t) for t in b]), threshold, same) if len(f[0])]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    i, j, ratio = (np.concatenate(c) for c in zip(*found))
+    if len(forms) > 1:
+        pair = i * len(b) + j
+        order = np.argsort(pair, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(pair[order]) != 0))
+        i, j, ratio = i[order][first], j[order][first], np.maximum.reduceat(ratio[order], first)
+    return i, j, ratio
+
+
+def _dealt(rows: DataFrame, name: str, prefix: int) -> DataFrame:
+    """rows with the group of their prefix and a number that deals them over the
+    shards of it: equal names are together, as far as there aren't very many."""
+    rows = rows.where(F.coalesce(F.col(name), F.lit("")) != "")
+    many = rows.groupBy(F.col(name).alias("_name")).agg(F.floor(F.count(F.lit(1)) / COPIES).alias("_times")).where("_times > 0")
+    salt = F.pmod(F.monotonically_increasing_id(), F.coalesce("_times", F.lit(0)) + 1)
+    group = F.pmod(F.xxhash64(F.left(name, F.lit(prefix))), F.lit(GROUPS)).cast("int") if prefix else F.lit(0)
+    return materialize(rows.join(many, F.col(name) == F.col("_name"), "left").withColumn("_deal", F.xxhash64(name, salt)).withColumn("_group", group).drop("_name", "_times"))
+
+
+def near_rows(a: DataFrame, b: DataFrame, threshold: float, forms: tuple[Callable[[str], str], ...] = (str, token_sorted), prefix: int = 0) -> DataFrame:
+    """Rows a (na, ...), b (nb, ...) -> (na, ..., nb, ..., score): every pair of rows
+    of whose names the same form reaches `threshold` percent on both sides, with the
+    best such ratio; empty and null names are in none. forms: what is compared of a
+    name; with a prefix only names that begin with the same so many characters.
+    Other columns are told apart by their names."""
+    if not 0 < threshold <= 100:
+        raise ValueError("a threshold above 0 and up to 100")
+    spark, columns = a.sparkSession, (a.columns, b.columns)
+    types = [*a.schema.fields, *b.schema.fields]
+    a, b = _dealt(a, "na", prefix), _dealt(b, "nb", prefix)
+    sizes = [{r._group: r.n for r in side.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).collect()} for side in (a, b)]  # GROUPS numbers at most
+    both = sorted(sizes[0].keys() & sizes[1].keys())
+    score = F.lit(None).cast("double").alias("score")
+    if not both:
+        return a.select(*columns[0]).join(b.select(*columns[1]), F.lit(False)).select("*", score)
+    if sum(sizes[0][g] * sizes[1][g] for g in both) > DIRECT:
+        ratio = _best_ratio(forms)
+        pairs = _indexed_pairs(a.select("na").distinct(), b.select("nb").distinct(), threshold, forms, prefix).withColumn("score", ratio("na", "nb")).where(F.col("score") >= threshold)
+        return a.join(pairs, "na").join(b, "nb").select(*columns[0], *columns[1], "score")
+    layout = [(g, -(-sizes[0][g] // ROWS), -(-sizes[1][g] // ROWS)) for g in both]
+    cells = F.broadcast(spark.createDataFrame(layout, "_group int, _p int, _q int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = a.join(cells, "_group").select("_group", F.pmod("_deal", "_p").cast("int").alias("_x"), every("_q").alias("_y"), *columns[0])
+    right = b.join(cells, "_group").select("_group", every("_p").alias("_x"), F.pmod("_deal", "_q").cast("int").alias("_y"), *columns[1])
+    tasks = max(parts(spark), min(2000, sum(p * q for _, p, q in layout) // 8))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        (names, own), (others, theirs) = (np.unique(np.array(t.column(c).to_pylist(), object), return_inverse=True) for t, c in ((x, "na"), (y, "nb")))
+        i, j, ratio = matches(names.tolist(), others.tolist(), threshold, forms, prefix)
+        # the rows of each name
+        (order, n), (order_y, n_y) = ((np.argsort(w, kind="stable"), np.bincount(w, minlength=k)) for w, k in ((own, len(names)), (theirs, len(others))))
+        times = n[i] * n_y[j]
+        pair = np.repeat(np.arange(len(i)), times)
+        nth = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
+        rows = order[(np.cumsum(n) - n)[i[pair]] + nth // n_y[j[pair]]]
+        rows_y = order_y[(np.cumsum(n_y) - n_y)[j[pair]] + nth % n_y[j[pair]]]
+        return pa.table([*x.select(columns[0]).take(pa.array(rows)).columns, *y.select(columns[1]).take(pa.array(rows_y)).columns, pa.array(ratio[pair], pa.float64())], [*columns[0], *columns[1], "score"])
+
+    by = ["_group", "_x", "_y"]
+    # the work of a cell isn't told by its bytes: as many tasks as asked for
+    met = left.repartition(tasks, *by).groupBy(*by).cogroup(right.repartition(tasks, *by).groupBy(*by))
+    return met.applyInArrow(meet, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in types) + ", score double")
+
+
+def _best_ratio(forms: tuple[Callable[[str], str], ...]) -> Callable[[str, str], Column]:
+    @F.pandas_udf("double")
+    def best(x, y):
+        return x.combine(y, lambda p, q: max(py_ratio(f(p), f(q)) for f in forms)).astype("float64")
+
+    return best
+
+
 def near_pairs(a: DataFrame, b: DataFrame, threshold: float, forms: tuple[Callable[[str], str], ...] = (str, token_sorted), prefix: int = 0) -> DataFrame:
+    """Distinct names a (na), b (nb) -> (na, nb): near_rows() without the score."""
+    return near_rows(a.select("na"), b.select("nb"), threshold, forms, prefix).select("na", "nb")
+
+
+def _indexed_pairs(a: DataFrame, b: DataFrame, threshold: float, forms: tuple[Callable[[str], str], ...], prefix: int) -> DataFrame:
     """Distinct names a (na), b (nb) -> (na, nb): every pair of which some two
     forms reach `threshold` percent, and few others; empty and null names are in
     none. forms: what is compared of a name; with a prefix only names that begin
     with the same so many characters. The larger side is best given as a, which
     is indexed; b's names are looked up. Work and memory of a name grow with the
     square of the number of edits, which is a share of its length."""
-    if not 0 < threshold <= 100:
-        raise ValueError("a threshold above 0 and up to 100")
     indexed = _entries(a, "na", index_keys, forms, threshold, prefix).select("k", F.col("name").alias("na"), F.col("n").alias("m"), F.col("sig").alias("x"))
     asked = _entries(b, "nb", probe_keys, forms, threshold, prefix).select(F.col("k").alias("asked"), F.col("name").alias("nb"), "n", "sig")
     alike = F.bit_count(F.col("x").bitwiseXOR(F.col("sig"))) <= edits_allowed(F.col("m"), F.col("n"), threshold)
-    return indexed.join(asked, (F.col("k") == F.col("asked")) & alike).select("na", "nb").distinct()
+    # a list of short names has very many entries: never sent whole to the driver
+    return indexed.join(asked.hint("shuffle_hash"), (F.col("k") == F.col("asked")) & alike).select("na", "nb").distinct()

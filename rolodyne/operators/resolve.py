@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import fast_name_ratio, fast_ratio, weighted_ratio
 from ..functions.text import compare_key, digits, text, title_case
 from ..shared import connected_components, global_rank, materialize, rekey, remove
-from .near import near_pairs, sorted_characters
+from .near import near_pairs, near_rows, sorted_characters
 
 
 def phone_key(c: Column, size: int = 9) -> Column:
@@ -39,11 +39,11 @@ def groups(rows: DataFrame, id_col: str, key: str) -> DataFrame:
 def fuzzy_pairs(rows: DataFrame, id_col: str, name: str, threshold: float = 80.0, block: int = 3) -> DataFrame:
     """Pairs a < b whose names share the first folded characters and are at least
     `threshold` alike. Distinct names are compared, not rows, so equal names cost
-    nothing; which ones is told by an index of their segments.
+    nothing.
     -> (name_a, name_b, score) over distinct folded names."""
     keys = rows.select(compare_key(F.col(name)).alias("na")).where(F.length("na") >= block).distinct()
-    near = near_pairs(keys, keys.withColumnRenamed("na", "nb"), threshold, (str,), block).where("na < nb")
-    return near.withColumn("score", fast_ratio("na", "nb")).where(F.col("score") >= threshold).select(F.col("na").alias("name_a"), F.col("nb").alias("name_b"), "score")
+    near = near_rows(keys, keys.withColumnRenamed("na", "nb"), threshold, (str,), block).where("na < nb")
+    return near.select(F.col("na").alias("name_a"), F.col("nb").alias("name_b"), "score")
 
 
 def duplicates(contacts: DataFrame, threshold: float = 80.0) -> DataFrame:

@@ -162,3 +162,36 @@ def test_participants_equal_all_pairs(spark):
         got = {x.record: round(x.score, 6) for x in R.fuzzy_participants(records, contacts, cutoff).collect()}
         best = {n: max(round(weighted(n, m), 6) for m in have) for n in names}
         assert got == {n: s for n, s in best.items() if s >= cutoff}
+
+
+def frequent_names(n, seed):
+    """Names of which most characters are one of two frequent words, some very long, some of other scripts."""
+    r = random.Random(seed)
+    some = ["".join(r.choice("aeiobd") for _ in range(r.randrange(1, 6))) + r.choice([" automobile", " household"]) for _ in range(n)]
+    return sorted({*some, *(" ".join(reversed(x.split())) for x in some[: n // 3]), "žofia household", "北京 automobile", "x" * 64, "x" * 63 + "y", "xy" * 40, "xy" * 39 + "yx", "a", "ab"})
+
+
+@pytest.mark.parametrize("direct", [10**12, 0])
+def test_near_rows_equal_all_pairs(spark, monkeypatch, direct):
+    """Every pair once, nothing else, whatever way it is found; equal names are rows of their own."""
+    monkeypatch.setattr(near, "DIRECT", direct)
+    monkeypatch.setattr(near, "ROWS", 40)
+    monkeypatch.setattr(near, "COPIES", 3)
+    x, y = frequent_names(60, 1), frequent_names(50, 2)
+    left, right = [(k, n) for k, n in enumerate(x + x[:5] * 7 + [""])], [(k, n) for k, n in enumerate(y + y[-3:])]
+    a, b = spark.createDataFrame(left, "i long, na string"), spark.createDataFrame([*right, (99, None)], "j long, nb string")
+    for forms, prefix in (((str, near.token_sorted), 0), ((str,), 2)):
+        want = {(i, j): max(py_ratio(f(p), f(q)) for f in forms) for i, p in left for j, q in right if p and p[:prefix] == q[:prefix]}
+        got = near.near_rows(a, b, 80.0, forms, prefix).collect()
+        assert len(got) == len({(r.i, r.j) for r in got}) and all(r.na == left[r.i][1] and r.nb == right[r.j][1] for r in got)
+        assert {(r.i, r.j): r.score for r in got} == pytest.approx({k: s for k, s in want.items() if s >= 80.0})
+
+
+def test_only_near_pairs_leave_a_cell(spark):
+    """Names alike in a frequent word don't meet as candidates by the million: each pair comes once, if it is near."""
+    names = [f"{k:05d}".translate(str.maketrans("0123456789", "aeioubdgkm")) + " automobile" for k in range(0, 100_000, 50)]
+    a = spark.createDataFrame([(n,) for n in names], "na string")
+    pairs = near.near_pairs(a, a.withColumnRenamed("na", "nb"), 92.0, (str,)).collect()
+    assert len(pairs) == len(set(pairs)) and all(py_ratio(r.na, r.nb) >= 92.0 for r in pairs)
+    few = names[:60]
+    assert {(r.na, r.nb) for r in pairs if r.na in few} == {(p, q) for p in few for q in names if py_ratio(p, q) >= 92.0}
