@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import fast_name_ratio, fast_ratio, weighted_ratio
+from ..functions.similarity import fast_ratio, weighted_ratio
 from ..functions.text import compare_key, digits, text, title_case
 from ..shared import connected_components, global_rank, materialize, rekey, remove
 from .near import near_pairs, near_rows, sorted_characters
@@ -132,15 +132,12 @@ def scored_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, c
     first letters and loses the others."""
     a = left.select("id", compare_key(F.col("name")).alias("na"), compare_key(text("org")).alias("oa"))
     b = right.select("key", compare_key(F.col("name")).alias("nb"), compare_key(text("org")).alias("ob"))
-    da, db = a.select("na").distinct(), b.select("nb").distinct()
-    if block:
-        pairs = da.withColumn("blk", F.left("na", F.lit(block))).join(db.withColumn("blk", F.left("nb", F.lit(block))), "blk")
-    else:
-        pairs = near_names(da, db, threshold)
-    near = pairs.withColumn("score", fast_name_ratio("na", "nb")).where(F.col("score") >= threshold)
-    full = a.join(near, "na").join(b, "nb")
-    bonus = F.when((F.col("oa") != "") & (F.col("ob") != ""), F.when(fast_ratio("oa", "ob") >= company, 15.0)).otherwise(0.0)
-    return full.select("id", "key", F.least(F.lit(100.0), F.col("score") + F.coalesce(bonus, F.lit(0.0))).alias("score"))
+    full = near_rows(a, b, threshold, prefix=block or 0)
+    # companies are compared once each, not once for every pair of people
+    orgs = near_pairs(a.select(F.col("oa").alias("na")).distinct(), b.select(F.col("ob").alias("nb")).distinct(), company, (str,))
+    alike = materialize(orgs.select(F.col("na").alias("ca"), F.col("nb").alias("cb"), F.lit(15.0).alias("bonus")))
+    known = full.join(alike, (F.col("oa") == F.col("ca")) & (F.col("ob") == F.col("cb")), "left")
+    return known.select("id", "key", F.least(F.lit(100.0), F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
 
 
 def best_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, company: float = 75.0, block: int | None = None) -> DataFrame:
