@@ -11,8 +11,10 @@ and coded. A query meets the lists it probes in cells: a long list is dealt over
 several cells by a hash of the row, and so are the queries of a list many of them
 probe, so that a cell never holds more than about CELL rows of either. In a cell,
 asymmetric distance tables (query against codewords) rank the rows; the best
-RERANK of each query, with all that tie with the last, are scored exactly on the
-original vectors. Queries that find too few rows probe all lists.
+RERANK of each query are scored exactly on the original vectors, and so are all rows
+that could be nearer than the last wanted of those: a row's nearness by codes is off by
+a share of what its codes leave over, and that share is measured on the sample's
+true neighbours. Queries that find too few rows probe all lists.
 """
 
 from __future__ import annotations
@@ -64,6 +66,7 @@ class Index:
         self.cuts = np.array_split(np.arange(self.dim), min(SUBSPACES, self.dim))
         self.books = [kmeans(np.ascontiguousarray(rest[:, c]), CODES, seed=seed) for c in self.cuts]
         self.probe = self._calibrate(x, own, top)
+        self.margin = self._margin(x, own, top)
 
     def _assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """List of each unit vector, and what its centroids leave over."""
@@ -90,6 +93,26 @@ class Index:
         at = min(len(needed) - 1, int(np.ceil(TARGET * len(needed))) - 1)
         return int(min(self.lists, needed[at] + 2))
 
+    def _margin(self, x: np.ndarray, own: np.ndarray, top: int) -> float:
+        """What codes miss of a true neighbour's nearness, as a share of what they
+        leave over of it: TARGET of the sample's true neighbours miss no more."""
+        about = self.decode(own, self.code(x)[1])
+        over, shares = np.sqrt(((x - about) ** 2).sum(axis=1)), []
+        for k in np.linspace(0, len(x) - 1, min(300, len(x))).astype(int):
+            near = x @ x[k]
+            near[k] = -np.inf
+            true = np.argsort(-near)[: min(top, len(x) - 1)]
+            shares.append((near[true] - about[true] @ x[k]) / np.maximum(over[true], 1e-9))
+        shares = np.concatenate(shares)
+        return float(np.clip(np.quantile(shares, TARGET), 0, 1)) if len(shares) else 1.0
+
+    def decode(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Unit vectors as their lists and codes tell them."""
+        out = self.coarse[own // len(self.fine)] + self.fine[own % len(self.fine)]
+        for k, (c, b) in enumerate(zip(self.cuts, self.books)):
+            out[:, c] += b[codes[:, k]]
+        return out
+
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vectors -> list and residual codes of each."""
         own, rest = self._assign(x)
@@ -132,7 +155,8 @@ def search_cell(index: Index, which: int, base: tuple[np.ndarray, np.ndarray, np
     ids, codes, x = base
     order = np.argsort(ids, kind="stable")
     ids, codes, x = ids[order], codes[order], x[order]
-    x64, out = x.astype(np.float64), []
+    x64, xu, out = x.astype(np.float64), unit(x), []
+    over = np.sqrt(((xu - index.decode(np.full(len(ids), which), codes)) ** 2).sum(axis=1))
     for s in range(0, len(queries[0]), 128):
         qid, q = queries[0][s : s + 128], queries[1][s : s + 128]
         qu = unit(q)
@@ -145,7 +169,10 @@ def search_cell(index: Index, which: int, base: tuple[np.ndarray, np.ndarray, np
             near[k, lo[k] + same[:1]] = -np.inf
         take = min(RERANK, len(ids))
         last = np.partition(near, len(ids) - take, axis=1)[:, len(ids) - take]
-        i, j = np.nonzero((near >= last[:, None]) & np.isfinite(near))
+        exact = np.where((near >= last[:, None]) & np.isfinite(near), qu @ xu.T, -np.inf)
+        wanted = lambda m: np.partition(m, len(ids) - min(top, len(ids)), axis=1)[:, len(ids) - min(top, len(ids))][:, None] - 1e-5
+        exact = np.where((near + index.margin * over >= wanted(exact)) & np.isfinite(near), qu @ xu.T, exact)
+        i, j = np.nonzero((exact >= wanted(exact)) & np.isfinite(exact))
         score = cosine(q[i].astype(np.float64), x64[j])
         best = np.lexsort((ids[j], -score, i))
         i, j, score = i[best], j[best], score[best]

@@ -335,6 +335,17 @@ def test_neighbours_recall(spark, sf):
     assert hits / (5 * len(queries)) >= 0.9
 
 
+def test_neighbours_in_tight_clusters(spark):
+    """Rows that lie closer together than codes can tell are found, too."""
+    r = np.random.default_rng(3)
+    x = (r.normal(size=(6, 64))[r.integers(0, 6, 6000)] + 0.1 * r.normal(size=(6000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = ann.nearest_neighbours(df).toPandas()
+    u = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    hits = sum(len(set(g.vec_id) & {k for k in np.argsort(-(u @ u[q]))[:6] if k != q}) for q, g in got.groupby("query_id"))
+    assert len(got) == 600 and hits / 600 >= 0.95
+
+
 def test_neighbours_edge_cases(spark):
     schema = "vec_id long, embedding array<float>, cell string"
     assert ann.nearest_neighbours(spark.createDataFrame([], schema)).count() == 0
