@@ -236,10 +236,14 @@ def assign_one_to_one(scored: DataFrame, first_come: bool = False, few: int = FE
             ranked = materialize(global_rank(large, order, "_rank"))
             for begin in range(0, ranked.count(), few):
                 lot = ranked.where((F.col("_rank") > begin) & (F.col("_rank") <= begin + few)).drop("_rank")
-                for earlier in taken if begin else []:
-                    lot = _without(lot, earlier)
-                taken = ([] if not begin else taken) + [materialize(_one_task(lot.select("id", "key", "score"), first_come))]
-            done += taken
+                if begin:  # one table of all that is taken, so that plans don't grow with the lots
+                    lot = _without(lot, taken)
+                fixed = _one_task(lot.select("id", "key", "score"), first_come)
+                more = materialize(taken.unionByName(fixed) if begin else fixed)
+                if begin:
+                    remove(taken)
+                taken = more
+            done.append(taken)
     else:
         done.append(materialize(_one_task(left, first_come)))
     out = done[0]

@@ -121,6 +121,13 @@ def test_assignment_of_chains(spark, first_come):
         assert {tuple(x) for x in R.assign_one_to_one(df, first_come, few).collect()} == want
 
 
+def test_plans_of_an_assignment_do_not_grow_with_its_lots(spark):
+    df = spark.range(800).select(F.floor(F.col("id") / 2).alias("id"), (F.floor(F.col("id") / 2) + F.col("id") % 2).alias("key"), (-F.col("id")).cast("double").alias("score"))
+    out = R.assign_one_to_one(df, few=90)
+    assert out.count() == 400 and out.where("id = key").count() == 400
+    assert out._jdf.queryExecution().analyzed().toString().count("Relation") <= 4
+
+
 def test_a_long_chain_takes_few_jobs(spark):
     n = 130_000
     df = spark.range(2 * n).select(F.floor(F.col("id") / 2).alias("id"), (F.floor(F.col("id") / 2) + F.col("id") % 2).alias("key"), (-F.col("id")).cast("double").alias("score"))
