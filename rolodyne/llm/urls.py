@@ -18,7 +18,8 @@ both models are estimated again.
 Counts run over all URLs of the table, distributed, with a map-side part. URLs
 are written in an alphabet of 48 symbols, so that all counts and the table of
 log ratios have at most 48**4 entries a half however long the table is; that
-bound makes it safe to gather and send to the workers.
+bound makes it safe to gather and send to the workers. The driver holds few such
+tables at a time and works on them by parts.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,8 @@ GENERIC = r"^(?:www\d*|m|mobile|blog|shop|news)\."
 #: URLs of the table whose names are replaced, how often each labelled name is used,
 #: and how many labelled names of either kind are taken from a given table.
 TEMPLATES, USES, LABELLED = 1000, 3, 20_000
+#: So many URLs of labelled names are encoded at once.
+AT_ONCE = 2000
 EVIDENCE = 30
 #: So large a share of accepted names of unknown words is blocked at most.
 WRONGLY = 0.1
@@ -175,24 +179,38 @@ def gram_counts(urls: DataFrame) -> DataFrame:
     return urls.mapInArrow(run, "code long, half int, n long").groupBy("code", "half").agg(F.sum("n").alias("n"))
 
 
-def log_probabilities(counts: np.ndarray) -> np.ndarray:
-    """Witten-Bell interpolation over all orders: log P(symbol | ORDER symbols)."""
-    low = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for order in range(ORDER + 1):
-        n = counts.reshape(-1, *[SYMBOLS] * (order + 1)).sum(axis=0)
+def _log_parts(counts: np.ndarray) -> Iterator[np.ndarray]:
+    """Witten-Bell interpolation over all orders: log P(symbol | ORDER symbols), a
+    part for each first symbol."""
+
+    def smoothed(n: np.ndarray, low: np.ndarray) -> np.ndarray:
         total = n.sum(axis=-1, keepdims=True)
         kinds = np.maximum((n > 0).sum(axis=-1, keepdims=True), 1)
-        low = (n + kinds * low) / (total + kinds)
-    return np.log(low).ravel()
+        return (n + kinds * low) / (total + kinds)
+
+    low = np.full(SYMBOLS, 1.0 / SYMBOLS)
+    for order in range(ORDER):
+        low = smoothed(counts.reshape(-1, *[SYMBOLS] * (order + 1)).sum(axis=0), low)
+    for n in counts.reshape([SYMBOLS] * (ORDER + 1)):
+        yield np.log(smoothed(n, low)).ravel()
+
+
+def log_probabilities(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate(list(_log_parts(counts)))
 
 
 def ratios(accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
-    return (log_probabilities(rejected) - log_probabilities(accepted)).astype(np.float32)
+    out = np.empty(SYMBOLS ** (ORDER + 1), np.float32)
+    for part, good, bad in zip(out.reshape(SYMBOLS, -1), _log_parts(accepted), _log_parts(rejected)):
+        part[:] = bad - good
+    return out
 
 
 def score(ratio: np.ndarray, urls: list[str]) -> np.ndarray:
     """Log-likelihood difference per symbol, where EVIDENCE symbols that tell
     nothing are added to each URL, as a short one says little; 0 for an empty URL."""
+    if len(urls) > AT_ONCE:
+        return np.concatenate([score(ratio, urls[at : at + AT_ONCE]) for at in range(0, len(urls), AT_ONCE)])
     code, size = encode(urls)
     out, real = np.zeros(len(urls)), size > 0
     if real.any():
@@ -200,9 +218,9 @@ def score(ratio: np.ndarray, urls: list[str]) -> np.ndarray:
     return out
 
 
-def scored(urls: DataFrame, tables: np.ndarray) -> DataFrame:
-    """(url, half, ...) -> with column lm_score, by the table of log ratios of its half."""
-    send = urls.sparkSession.sparkContext.broadcast(tables)  # SYMBOLS**(ORDER + 1) entries a half
+def scored(urls: DataFrame, send: Broadcast) -> DataFrame:
+    """(url, half, ...) -> with column lm_score, by the table of log ratios of its
+    half; they are sent, SYMBOLS**(ORDER + 1) entries a half."""
 
     @F.pandas_udf("double")
     def judge_batch(url: pd.Series, half: pd.Series) -> pd.Series:
@@ -213,11 +231,25 @@ def scored(urls: DataFrame, tables: np.ndarray) -> DataFrame:
     return urls.withColumn("lm_score", judge_batch("url", "half"))
 
 
-def _table(counts: DataFrame) -> np.ndarray:
-    out = np.zeros((2, SYMBOLS ** (ORDER + 1)), np.float32)
-    rows = counts.toPandas()  # at most 2 * SYMBOLS**(ORDER + 1) rows
-    out[rows.half.to_numpy(), rows.code.to_numpy()] = rows.n.to_numpy()
-    return out
+def _table(counts: DataFrame, halves: int) -> np.ndarray:
+    out = np.zeros(halves * SYMBOLS ** (ORDER + 1), np.float32)
+    place = F.col("half") * SYMBOLS ** (ORDER + 1) + F.col("code")
+    for b in counts.select(place.cast("int").alias("at"), F.col("n").cast("float")).toArrow().to_batches():  # at most SYMBOLS**(ORDER + 1) rows a half, of 8 bytes
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    return out.reshape(halves, -1)
+
+
+#: Codes of grams, in order, and how often each is there.
+Grams = tuple[np.ndarray, np.ndarray]
+
+
+def _grams(urls: list[str]) -> Grams:
+    code, n = np.zeros(0, np.int64), np.zeros(0)
+    for at in range(0, len(urls), AT_ONCE):
+        more, times = np.unique(encode(urls[at : at + AT_ONCE])[0], return_counts=True)
+        code, where = np.unique(np.concatenate((code, more)), return_inverse=True)
+        n = np.bincount(where, np.concatenate((n, times)))
+    return code, n
 
 
 class UrlModel:
@@ -238,26 +270,30 @@ def fit(urls: DataFrame, labels: DataFrame | None = None) -> UrlModel | None:
     at = F.instr(F.lower("url"), F.concat(F.lit("://"), F.col("host"))) + 3 + F.length("host") - F.length(F.regexp_replace("host", GENERIC, ""))
     some = rows.where("name <> ''").select("url", at.alias("at"), F.length("name").alias("n")).distinct().orderBy(F.xxhash64("url"), "url").limit(TEMPLATES)
     templates = [(r.url[: r.at - 1], r.url[r.at - 1 + r.n :]) for r in some.collect()]  # TEMPLATES rows
-    examples, rejected, vouched = [], np.zeros((2, SYMBOLS ** (ORDER + 1)), np.float32), np.zeros((2, SYMBOLS ** (ORDER + 1)), np.float32)
-    for names, counts in zip(labelled_names(labels), (vouched, rejected)):
+    examples, labelled = [], []
+    for names in labelled_names(labels):
         made, half = named_urls(names, templates)
-        examples.append((made, np.array(half)))
-        for h in (0, 1):
-            code, _ = encode([u for u, x in zip(made, half) if x == h])
-            np.add.at(counts[h], *np.unique(code, return_counts=True))
-    table = _table(gram_counts(rows.select("url", "half")))
-    if not table.sum():
+        examples.append([[u for u, x in zip(made, half) if x == h] for h in (0, 1)])
+        labelled.append([_grams(own) for own in examples[-1]])
+    vouched, rejected = labelled
+    table = _table(gram_counts(rows.select("url", "half")), 2)
+    if not table.any():
         return None
-    (fine, fine_half), (bad, half) = examples
     # a half of the table is judged with the other half's URLs and all labelled names,
     # a half of the names without any name of their words
-    by_names = np.stack([ratios(_balanced(vouched[1 - h], table[1 - h]), rejected[1 - h]) for h in (0, 1)])
-    tables = np.stack([ratios(_balanced(vouched.sum(axis=0), table[1 - h]), rejected.sum(axis=0)) for h in (0, 1)])
-    judged = scored(rows.select("url", "half"), tables)
-    step = 200.0
+    step, judged_names = 200.0, ([], [])
+    for h in (0, 1):
+        ratio = ratios(_balanced([vouched[1 - h]], table[1 - h]), _counted([rejected[1 - h]]))
+        for out, halves in zip(judged_names, examples):
+            out.append(score(ratio, halves[h]))
+    ratio = None
+    tables = np.empty_like(table)
+    for h in (0, 1):
+        tables[h] = ratios(_balanced(vouched, table[1 - h]), _counted(rejected))
+    send = urls.sparkSession.sparkContext.broadcast(tables)
+    judged = scored(rows.select("url", "half"), send)
     binned = judged.groupBy(F.floor(F.col("lm_score") * step).alias("b")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("b")  # scores are within -+ log(SYMBOLS) or so: some thousand rows
-    judged_by = lambda urls_, halves: np.concatenate([score(by_names[h], [u for u, x in zip(urls_, halves) if x == h]) for h in (0, 1)])
-    found, allowed = (np.sort(np.floor(judged_by(*e) * step)) for e in ((bad, half), (fine, fine_half)))
+    allowed, found = (np.sort(np.floor(np.concatenate(x) * step)) for x in judged_names)
     edges = np.unique(np.concatenate((binned.b.to_numpy(), found, allowed)))
     upto = np.concatenate(([0], np.cumsum(binned.n.to_numpy())))
     good = upto[np.searchsorted(binned.b.to_numpy(), edges)] / binned.n.sum()
@@ -266,15 +302,25 @@ def fit(urls: DataFrame, labels: DataFrame | None = None) -> UrlModel | None:
     gain = np.where(fewest, good + 1 - np.searchsorted(found, edges) / max(1, len(found)), -1.0)
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     threshold = float((edges[best[0]] + edges[best[-1]]) / 2 / step)
-    kept = _table(gram_counts(judged.where(F.col("lm_score") <= threshold).select("url", "half"))).sum(axis=0)
-    kept = kept if kept.sum() else table.sum(axis=0)
-    return UrlModel(ratios(_balanced(vouched.sum(axis=0), kept), rejected.sum(axis=0)), threshold)
+    table = table[0] + table[1]
+    kept = _table(gram_counts(judged.where(F.col("lm_score") <= threshold).select("url", F.lit(0).alias("half"))), 1)[0]
+    send.destroy()
+    return UrlModel(ratios(_balanced(vouched, kept if kept.any() else table), _counted(rejected)), threshold)
+
 
+def _counted(labelled: list[Grams]) -> np.ndarray:
+    out = np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
+    for code, n in labelled:
+        out[code] += n.astype(np.float32)
+    return out
 
-def _balanced(labelled: np.ndarray, table: np.ndarray) -> np.ndarray:
+
+def _balanced(labelled: list[Grams], table: np.ndarray) -> np.ndarray:
     """Counts of labelled examples and of the table together, so that the table,
     however long, weighs as much as the labels."""
-    return labelled + table * min(1.0, labelled.sum() / max(1.0, table.sum()))
+    out = _counted(labelled)
+    out += table * np.float32(min(1.0, sum(n.sum() for _, n in labelled) / max(1.0, table.sum(dtype=np.float64))))
+    return out
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None) -> DataFrame:
@@ -288,7 +334,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str =
     if model is None:
         with_score, threshold = rows.withColumn("lm_score", F.lit(0.0)), float("inf")
     else:
-        with_score, threshold = scored(rows.withColumn("half", F.lit(0)), model.ratio[None]), model.threshold
+        send = pages.sparkSession.sparkContext.broadcast(model.ratio[None])
+        with_score, threshold = scored(rows.withColumn("half", F.lit(0)), send), model.threshold
     found = with_score.select("page_id", host.alias("host"), path.alias("path"), "lm_score").withColumn("rule", match_rules(F.col("host"), F.col("path"), rules))
     by_rule = F.lit(None).cast("string")
     for r, v in rules:

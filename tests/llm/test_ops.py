@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -627,6 +628,17 @@ def test_urls_query(spark, sf):
     assert (free.verdict[bad] == "block").mean() > 0.95 and (free.verdict[~bad] == "allow").mean() > 0.97
 
 
+def test_url_models_take_little_of_the_driver(spark, sf):
+    """Tables of SYMBOLS**4 entries are held a few at a time (172 MB at most, 453 before)."""
+    docs = spark.createDataFrame([(u,) for u in pd.read_parquet(f"{sf}/pages.parquet").url.dropna()], "url string")
+    tracemalloc.start()
+    try:
+        assert urls.fit(docs) is not None
+        assert tracemalloc.get_traced_memory()[1] < 220 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_models_block_hosts_outside_the_sample(spark, sf):
     bad = ["freebetting24", "casinos-winn", "my-trackers", "adultcam77", "cheappillz", "thebigjackpots", "spammy-farms", "viagra4you"]
     fine = ["tionthere", "herwhand", "erstlyat", "thsherin", "ndonther", "inedthat"]
