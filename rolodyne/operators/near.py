@@ -39,8 +39,12 @@ from ..shared import materialize, parts
 SHARED, LONG = 2, 8
 #: Pairs are compared in cells of ROWS rows a side up to DIRECT of them (some nanoseconds
 #: each), by the index beyond. Names of one prefix are together in one of GROUPS groups;
-#: of one name's rows COPIES are, beyond that they are dealt over cells.
+#: of the rows with a name's characters COPIES are, beyond that they are dealt over cells.
 ROWS, DIRECT, GROUPS, COPIES = 4096, 10**12, 4096, 256
+#: RUN * RUN pairs are worked on at once.
+RUN = 512
+#: So much of a ratio of words in another order counts for a weighted one (similarity.weighted).
+TOKENS = 0.95
 
 
 def least_common(m: int, n: int, threshold: float) -> int:
@@ -122,9 +126,10 @@ def token_sorted(s: str) -> str:
     return " ".join(sorted(s.split()))
 
 
-def sorted_characters(s: str) -> str:
-    """The characters but blanks; edits between two texts are edits here, too."""
-    return "".join(sorted(s.replace(" ", "")))
+def set_characters(s: str) -> str:
+    """The characters of a name's different words and of the blanks between them: in
+    whatever order the words of two names are put, their edits are edits here, too."""
+    return "".join(sorted(" ".join(set(s.split()))))
 
 
 def _entries(names: DataFrame, col: str, keys: Callable, forms: tuple, threshold: float, prefix: int) -> DataFrame:
@@ -187,6 +192,38 @@ def _common(masks: np.ndarray, m: int, i: np.ndarray, b: np.ndarray, j: np.ndarr
     return i, j, m - np.bitwise_count(v & full).astype(np.int64)
 
 
+def _runs(sign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, where each one's rows begin in an order of all rows, how many there
+    are, and that order; a signature of over RUN rows comes again for the next ones."""
+    order = np.argsort(sign, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(sign[order]) != 0))
+    n = np.diff(np.append(first, len(sign)))
+    times = -(-n // RUN)
+    begin = np.repeat(first, times) + RUN * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+    return sign[order][begin], begin, np.minimum(RUN, np.repeat(first + n, times) - begin), order
+
+
+def _near_signs(x: np.ndarray, y: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of signatures that differ in `edits` bits at most, some at
+    a time; equal signatures are compared once for all their rows."""
+    (sx, at_x, n_x, order_x), (sy, at_y, n_y, order_y) = _runs(x), _runs(y)
+    wide = max(1, RUN * RUN // len(sx))
+    for at in range(0, len(sy), wide):
+        some = sy[at : at + wide]
+        near = np.flatnonzero(np.bitwise_count(sx[:, None] ^ some[None, :]) <= edits)
+        p, q = near // len(some), near % len(some) + at
+        ends = np.cumsum(n_x[p] * n_y[q])
+        lo = 0
+        while lo < len(p):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + RUN * RUN, side="right")))
+            u, v = p[lo:hi], q[lo:hi]
+            times = n_x[u] * n_y[v]
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            of = np.repeat(n_y[v], times)
+            yield order_x[np.repeat(at_x[u], times) + nth // of], order_y[np.repeat(at_y[v], times) + nth % of]
+            lo = hi
+
+
 def _alike(x: _Texts, y: _Texts, threshold: float, same: tuple[np.ndarray, np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(place in x, place in y, ratio) of all pairs that reach the threshold; same:
     numbers of both sides' texts that have to be equal, too."""
@@ -206,16 +243,14 @@ def _alike(x: _Texts, y: _Texts, threshold: float, same: tuple[np.ndarray, np.nd
                 for place, codes in enumerate(x.columns(rows, m)):
                     masks[codes, np.arange(len(rows))] |= np.uint64(1 << place)
             for n in others:
-                of_n, edits, need = np.flatnonzero(y.size == n), allowed[n], least_common(m, n, threshold)
-                wide = max(1, (1 << 18) // len(rows))
-                for cols in (of_n[s : s + wide] for s in range(0, len(of_n), wide)):
-                    near = np.bitwise_count(x.sign[rows][:, None] ^ y.sign[cols][None, :]) <= edits
+                cols, need = np.flatnonzero(y.size == n), least_common(m, n, threshold)
+                places = y.columns(cols, n) if m <= 64 else None
+                for i, j in _near_signs(x.sign[rows], y.sign[cols], allowed[n]):
                     if same is not None:
-                        near &= same[0][rows][:, None] == same[1][cols][None, :]
-                    at = np.flatnonzero(near)
-                    i, j = at // len(cols), at % len(cols)
+                        alike = same[0][rows[i]] == same[1][cols[j]]
+                        i, j = i[alike], j[alike]
                     if m <= 64:
-                        i, j, common = _common(masks, m, i, y.columns(cols, n), j, need)
+                        i, j, common = _common(masks, m, i, places, j, need)
                         ratio = 200.0 * common / (m + n)
                     else:
                         ratio = np.array([py_ratio(x.texts[k], y.texts[q]) for k, q in zip(rows[i], cols[j])], np.float64)
@@ -231,25 +266,61 @@ def matches(a: list[str], b: list[str], threshold: float, forms: tuple[Callable[
         number = {p: k for k, p in enumerate({t[:prefix] for t in (*a, *b)})}
         same = tuple(np.array([number[t[:prefix]] for t in side], np.int64) for side in (a, b))
     found = [f for form in forms for f in _alike(_Texts([form(t) for t in a]), _Texts([form(t) for t in b]), threshold, same) if len(f[0])]
+    return _best(found, len(b), len(forms) > 1)
+
+
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, again: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All that was found in one; again: pairs may come more than once, their best counts."""
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     i, j, ratio = (np.concatenate(c) for c in zip(*found))
-    if len(forms) > 1:
-        pair = i * len(b) + j
+    if again and len(i):
+        pair = i * width + j
         order = np.argsort(pair, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(pair[order]) != 0))
         i, j, ratio = i[order][first], j[order][first], np.maximum.reduceat(ratio[order], first)
     return i, j, ratio
 
 
+def _by_token_sets(a: list[str], b: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As matches(), by the ratio of both names' different words, the common ones in
+    front. Names of the same characters meet, and then their words are compared."""
+    i, j, _ = matches(a, b, threshold, (set_characters,))
+    x, y = ({k: frozenset(side[k].split()) for k in np.unique(at).tolist()} for side, at in ((a, i), (b, j)))
+
+    def ratio(u: frozenset, v: frozenset) -> float:
+        both = sorted(u & v)
+        left, right = " ".join(both + sorted(u - v)), " ".join(both + sorted(v - u))
+        if left != right and len(left) == len(right) == least_common(len(left), len(right), threshold):
+            return 0.0  # short ones may have no edit at all
+        return py_ratio(left, right)
+
+    score = np.fromiter((ratio(x[p], y[q]) for p, q in zip(i.tolist(), j.tolist())), np.float64, len(i))
+    keep = score >= threshold
+    return i[keep], j[keep], score[keep]
+
+
+def weighted_matches(a: list[str], b: list[str], cutoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As matches(), where the plain ratio reaches the cutoff or, at TOKENS, that of
+    the sorted words or of the sets of words."""
+    found = [matches(a, b, cutoff, (str,))]
+    if cutoff / TOKENS <= 100:
+        for i, j, ratio in (matches(a, b, cutoff / TOKENS - 1e-9, (token_sorted,)), _by_token_sets(a, b, cutoff / TOKENS - 1e-9)):
+            found.append((i, j, TOKENS * ratio))
+    return _best(found, len(b), True)
+
+
 def _dealt(rows: DataFrame, name: str, prefix: int) -> DataFrame:
     """rows with the group of their prefix and a number that deals them over the
-    shards of it: equal names are together, as far as there aren't very many."""
-    rows = rows.where(F.coalesce(F.col(name), F.lit("")) != "")
-    many = rows.groupBy(F.col(name).alias("_name")).agg(F.floor(F.count(F.lit(1)) / COPIES).alias("_times")).where("_times > 0")
+    shards of it: names of the same characters are together, as far as there aren't
+    very many, as their signatures are compared once."""
+    rows = rows.where(F.coalesce(F.col(name), F.lit("")) != "").withColumn("_key", F.xxhash64(F.array_sort(F.split(name, ""))))
+    many = rows.groupBy(F.col("_key").alias("_many")).agg(F.floor(F.count(F.lit(1)) / COPIES).alias("_times")).where("_times > 0")
     salt = F.pmod(F.monotonically_increasing_id(), F.coalesce("_times", F.lit(0)) + 1)
     group = F.pmod(F.xxhash64(F.left(name, F.lit(prefix))), F.lit(GROUPS)).cast("int") if prefix else F.lit(0)
-    return materialize(rows.join(many, F.col(name) == F.col("_name"), "left").withColumn("_deal", F.xxhash64(name, salt)).withColumn("_group", group).drop("_name", "_times"))
+    # the sides are dealt apart, or near names would fill the cells of equal numbers
+    deal = F.xxhash64(F.lit(name), "_key", salt)
+    return materialize(rows.join(many, F.col("_key") == F.col("_many"), "left").withColumn("_deal", deal).withColumn("_group", group).drop("_key", "_many", "_times"))
 
 
 def near_rows(a: DataFrame, b: DataFrame, threshold: float, forms: tuple[Callable[[str], str], ...] = (str, token_sorted), prefix: int = 0) -> DataFrame:
@@ -260,6 +331,29 @@ def near_rows(a: DataFrame, b: DataFrame, threshold: float, forms: tuple[Callabl
     Other columns are told apart by their names."""
     if not 0 < threshold <= 100:
         raise ValueError("a threshold above 0 and up to 100")
+    ratio = _best_ratio(forms)
+    indexed = lambda x, y: _indexed_pairs(x, y, threshold, forms, prefix).withColumn("score", ratio("na", "nb")).where(F.col("score") >= threshold)
+    return _met(a, b, lambda x, y: matches(x, y, threshold, forms, prefix), indexed, prefix)
+
+
+def weighted_pairs(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
+    """Distinct names a (na), b (nb), words with single blanks between them -> (na, nb):
+    every pair of which the plain ratio reaches the cutoff or, at TOKENS, that of the
+    sorted words or of the sets of words, common ones in front; and few others."""
+
+    def indexed(x: DataFrame, y: DataFrame) -> DataFrame:
+        pairs = _indexed_pairs(x, y, cutoff, (str,), 0)
+        if cutoff / TOKENS <= 100:
+            pairs = pairs.unionByName(_indexed_pairs(x, y, cutoff / TOKENS - 1e-9, (token_sorted, set_characters), 0)).distinct()
+        return pairs.withColumn("score", F.lit(None).cast("double"))
+
+    return _met(a.select("na"), b.select("nb"), lambda x, y: weighted_matches(x, y, cutoff), indexed, 0, 4).select("na", "nb")
+
+
+def _met(a: DataFrame, b: DataFrame, find: Callable, indexed: Callable, prefix: int, side: int = 1) -> DataFrame:
+    """near_rows(), with what finds the pairs of two lists of names, in cells, and
+    those of two tables of distinct names, by the index. Cells have side * ROWS rows
+    a side: larger ones where few pairs are found."""
     spark, columns = a.sparkSession, (a.columns, b.columns)
     types = [*a.schema.fields, *b.schema.fields]
     a, b = _dealt(a, "na", prefix), _dealt(b, "nb", prefix)
@@ -269,19 +363,18 @@ def near_rows(a: DataFrame, b: DataFrame, threshold: float, forms: tuple[Callabl
     if not both:
         return a.select(*columns[0]).join(b.select(*columns[1]), F.lit(False)).select("*", score)
     if sum(sizes[0][g] * sizes[1][g] for g in both) > DIRECT:
-        ratio = _best_ratio(forms)
-        pairs = _indexed_pairs(a.select("na").distinct(), b.select("nb").distinct(), threshold, forms, prefix).withColumn("score", ratio("na", "nb")).where(F.col("score") >= threshold)
+        pairs = indexed(a.select("na").distinct(), b.select("nb").distinct())
         return a.join(pairs, "na").join(b, "nb").select(*columns[0], *columns[1], "score")
-    layout = [(g, -(-sizes[0][g] // ROWS), -(-sizes[1][g] // ROWS)) for g in both]
+    layout = [(g, -(-sizes[0][g] // (side * ROWS)), -(-sizes[1][g] // (side * ROWS))) for g in both]
     cells = F.broadcast(spark.createDataFrame(layout, "_group int, _p int, _q int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = a.join(cells, "_group").select("_group", F.pmod("_deal", "_p").cast("int").alias("_x"), every("_q").alias("_y"), *columns[0])
     right = b.join(cells, "_group").select("_group", every("_p").alias("_x"), F.pmod("_deal", "_q").cast("int").alias("_y"), *columns[1])
-    tasks = max(parts(spark), min(2000, sum(p * q for _, p, q in layout) // 8))
+    tasks = max(parts(spark), min(2000, side * side * sum(p * q for _, p, q in layout) // 8))
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         (names, own), (others, theirs) = (np.unique(np.array(t.column(c).to_pylist(), object), return_inverse=True) for t, c in ((x, "na"), (y, "nb")))
-        i, j, ratio = matches(names.tolist(), others.tolist(), threshold, forms, prefix)
+        i, j, ratio = find(names.tolist(), others.tolist())
         # the rows of each name
         (order, n), (order_y, n_y) = ((np.argsort(w, kind="stable"), np.bincount(w, minlength=k)) for w, k in ((own, len(names)), (theirs, len(others))))
         times = n[i] * n_y[j]

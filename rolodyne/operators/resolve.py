@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import fast_ratio, weighted_ratio
 from ..functions.text import compare_key, digits, text, title_case
-from ..shared import connected_components, global_rank, materialize, rekey, remove
-from .near import near_pairs, near_rows, sorted_characters
+from ..shared import connected_components, global_rank, materialize, parts, rekey, remove
+from .near import near_pairs, near_rows, weighted_pairs
 
 
 def phone_key(c: Column, size: int = 9) -> Column:
@@ -352,7 +352,8 @@ def _common_words(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["s", col])
 
-        return names.select(col).mapInArrow(run, f"s string, {col} string")
+        # few bytes, but not little work: all tasks share the names
+        return names.select(col).repartition(parts(names.sparkSession)).mapInArrow(run, f"s string, {col} string")
 
     near = F.greatest(F.length("na"), F.length("nb")) < 1.5 * F.least(F.length("na"), F.length("nb"))
     out = None
@@ -372,12 +373,13 @@ def fuzzy_participants(records: DataFrame, names: DataFrame, cutoff: float = 92.
     record's participants; ties to the smaller contact.
 
     Above a cutoff of 90 partial ratios don't count. What then reaches the cutoff
-    has a plain or token-sorted ratio of it, or common words that are nearly all of
-    one name, or nearly the same characters: three indexes find those pairs. Below,
-    no index finds all pairs; a block size is needed, which limits them to equal
-    first letters."""
+    has a plain ratio of it, or at 0.95 one of the sorted words or of the sets of words,
+    or common words that are nearly all of one name: only such pairs leave the cells
+    or indexes where names meet. Below, no index finds all pairs; a block size is
+    needed, which limits them to equal first letters."""
     asked = records.select("record", F.explode("names").alias("n")).select("record", compare_key(F.col("n")).alias("q")).where("q <> ''").distinct()
-    have = names.select("contact", compare_key(F.col("name")).alias("h")).where("h <> ''")
+    asked = materialize(asked)  # read again and again below, as are the names
+    have = materialize(names.select("contact", compare_key(F.col("name")).alias("h")).where("h <> ''"))
     q, h = asked.select("q").distinct(), have.select("h").distinct()
     if block:
         pairs = q.join(h, F.left("q", F.lit(block)) == F.left("h", F.lit(block)))
@@ -385,14 +387,12 @@ def fuzzy_participants(records: DataFrame, names: DataFrame, cutoff: float = 92.
         raise ValueError("a cutoff of 90 or less needs a block size")
     else:
         plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
-        x, y = q.select("q", plain(F.col("q")).alias("na")), h.select("h", plain(F.col("h")).alias("nb"))
-        na, nb = x.select("na").where("na <> ''").distinct(), y.select("nb").where("nb <> ''").distinct()
-        alike = near_names(na, nb, cutoff)
-        # token sets count 0.95: their common words make up one name but for a letter or two ...
-        sets = _common_words(na, nb, cutoff / 0.95) if cutoff <= 95 else alike.limit(0)
-        # ... or the names' other words differ little, and then so do all their characters
-        letters = near_pairs(na, nb, cutoff / 0.95, (sorted_characters,)) if cutoff <= 95 else alike.limit(0)
-        pairs = x.join(alike.unionByName(sets).unionByName(letters).distinct(), "na").join(y, "nb").select("q", "h")
+        x, y = (materialize(side) for side in (q.select("q", plain(F.col("q")).alias("na")), h.select("h", plain(F.col("h")).alias("nb"))))
+        na, nb = (materialize(side.where(f"{c} <> ''").select(c).distinct()) for side, c in ((x, "na"), (y, "nb")))
+        alike = weighted_pairs(na, nb, cutoff)
+        if cutoff <= 95:  # token sets count 0.95: their common words may make up one name but for a letter or two
+            alike = alike.unionByName(_common_words(na, nb, cutoff / 0.95)).distinct()
+        pairs = x.join(alike, "na").join(y, "nb").select("q", "h")
     near = pairs.withColumn("score", weighted_ratio("q", "h")).where(F.col("score") >= cutoff).select("q", "h", "score")
     hits = asked.join(near, "q").join(have, "h")
     w = Window.partitionBy("record").orderBy(F.desc("score"), "contact")

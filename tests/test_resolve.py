@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -202,3 +203,46 @@ def test_only_near_pairs_leave_a_cell(spark):
     assert len(pairs) == len(set(pairs)) and all(py_ratio(r.na, r.nb) >= 92.0 for r in pairs)
     few = names[:60]
     assert {(r.na, r.nb) for r in pairs if r.na in few} == {(p, q) for p in few for q in names if py_ratio(p, q) >= 92.0}
+
+
+@pytest.mark.parametrize("direct", [10**12, 0])
+def test_participants_with_repeated_and_edited_words(spark, monkeypatch, direct):
+    """Words that come twice in a name and first letters that differ: no index loses them."""
+    from rolodyne.functions.similarity import weighted
+
+    monkeypatch.setattr(near, "DIRECT", direct)
+    monkeypatch.setattr(near, "ROWS", 40)
+    r = random.Random(3)
+    words = ["bartholomew", "vysokohorska", "jan", "novak", "maria", "de", "la", "cruz", "ann", "li", "zuzana", "karol", "von"]
+    asked = sorted({" ".join(r.choices(words, k=r.randrange(3, 7))) for _ in range(60)} | {"cruz li maria vysokohorska", "de de karol jan bartholomew"})
+    have = {"li cruz aaria vysokohorska", "zartholomew karol jan de"}
+    for n in asked:
+        w = r.sample(list(dict.fromkeys(n.split())), len(set(n.split())))
+        w[0] = r.choice("qzxa") + w[0][1:]
+        have.add(" ".join(r.sample(w, len(w))))
+    records = spark.createDataFrame([(n, [n]) for n in asked], "record string, names array<string>")
+    contacts = spark.createDataFrame([(n, n) for n in have], "contact string, name string")
+    got = {x.record: round(x.score, 6) for x in R.fuzzy_participants(records, contacts, 91.0).collect()}
+    best = {n: max(round(weighted(n, m), 6) for m in have) for n in asked}
+    assert got == {n: s for n, s in best.items() if s >= 91.0} and len(got) > 10
+
+
+def test_names_of_the_same_letters_are_no_candidates(spark):
+    """Names with a frequent word and the letters of another name: only those that reach the cutoff leave a cell."""
+    from rolodyne.functions.similarity import weighted
+
+    words = [f"{k:05d}".translate(str.maketrans("0123456789", "aeioubdgkm")) for k in range(0, 100_000, 50)]
+    a = spark.createDataFrame([(f"{w} automobile",) for w in words], "na string")
+    b = spark.createDataFrame([(f"automobile {w}",) for w in words[::2]], "nb string")
+    pairs = near.weighted_pairs(a, b, 92.0).collect()
+    assert len(pairs) == len(set(pairs)) == 1000 and all(weighted(r.na, r.nb) >= 92.0 for r in pairs)
+
+
+def test_equal_signatures_meet_once(monkeypatch):
+    """All pairs of near signatures, each once, whatever the parts that they are worked on in."""
+    monkeypatch.setattr(near, "RUN", 3)
+    r = np.random.default_rng(5)
+    x, y = (r.choice(r.integers(0, 32, 6, np.uint64), n) for n in (40, 25))
+    for edits in (0, 1, 2):
+        got = [p for i, j in near._near_signs(x, y, edits) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(40) for j in range(25) if int(x[i] ^ y[j]).bit_count() <= edits}
