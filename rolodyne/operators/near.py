@@ -323,17 +323,17 @@ def _dealt(rows: DataFrame, name: str, prefix: int) -> DataFrame:
     return materialize(rows.join(many, F.col("_key") == F.col("_many"), "left").withColumn("_deal", deal).withColumn("_group", group).drop("_key", "_many", "_times"))
 
 
-def near_rows(a: DataFrame, b: DataFrame, threshold: float, forms: tuple[Callable[[str], str], ...] = (str, token_sorted), prefix: int = 0) -> DataFrame:
+def near_rows(a: DataFrame, b: DataFrame, threshold: float, forms: tuple[Callable[[str], str], ...] = (str, token_sorted), prefix: int = 0, names: bool = True) -> DataFrame:
     """Rows a (na, ...), b (nb, ...) -> (na, ..., nb, ..., score): every pair of rows
     of whose names the same form reaches `threshold` percent on both sides, with the
     best such ratio; empty and null names are in none. forms: what is compared of a
     name; with a prefix only names that begin with the same so many characters.
-    Other columns are told apart by their names."""
+    Other columns are told apart by their names; without `names` only they come out."""
     if not 0 < threshold <= 100:
         raise ValueError("a threshold above 0 and up to 100")
     ratio = _best_ratio(forms)
     indexed = lambda x, y: _indexed_pairs(x, y, threshold, forms, prefix).withColumn("score", ratio("na", "nb")).where(F.col("score") >= threshold)
-    return _met(a, b, lambda x, y: matches(x, y, threshold, forms, prefix), indexed, prefix)
+    return _met(a, b, lambda x, y: matches(x, y, threshold, forms, prefix), indexed, prefix, names=names)
 
 
 def weighted_pairs(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
@@ -350,39 +350,41 @@ def weighted_pairs(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
     return _met(a.select("na"), b.select("nb"), lambda x, y: weighted_matches(x, y, cutoff), indexed, 0, 4).select("na", "nb")
 
 
-def _met(a: DataFrame, b: DataFrame, find: Callable, indexed: Callable, prefix: int, side: int = 1) -> DataFrame:
+def _met(a: DataFrame, b: DataFrame, find: Callable, indexed: Callable, prefix: int, side: int = 1, names: bool = True) -> DataFrame:
     """near_rows(), with what finds the pairs of two lists of names, in cells, and
     those of two tables of distinct names, by the index. Cells have side * ROWS rows
     a side: larger ones where few pairs are found."""
     spark, columns = a.sparkSession, (a.columns, b.columns)
-    types = [*a.schema.fields, *b.schema.fields]
+    out = [[c for c in of if names or c not in ("na", "nb")] for of in columns]
+    types = [f for f in (*a.schema.fields, *b.schema.fields) if f.name in out[0] + out[1]]
     a, b = _dealt(a, "na", prefix), _dealt(b, "nb", prefix)
     sizes = [{r._group: r.n for r in side.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).collect()} for side in (a, b)]  # GROUPS numbers at most
     both = sorted(sizes[0].keys() & sizes[1].keys())
     score = F.lit(None).cast("double").alias("score")
     if not both:
-        return a.select(*columns[0]).join(b.select(*columns[1]), F.lit(False)).select("*", score)
+        return a.select(*out[0]).join(b.select(*out[1]), F.lit(False)).select("*", score)
     if sum(sizes[0][g] * sizes[1][g] for g in both) > DIRECT:
         pairs = indexed(a.select("na").distinct(), b.select("nb").distinct())
-        return a.join(pairs, "na").join(b, "nb").select(*columns[0], *columns[1], "score")
+        return a.join(pairs, "na").join(b, "nb").select(*out[0], *out[1], "score")
     layout = [(g, -(-sizes[0][g] // (side * ROWS)), -(-sizes[1][g] // (side * ROWS))) for g in both]
     cells = F.broadcast(spark.createDataFrame(layout, "_group int, _p int, _q int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = a.join(cells, "_group").select("_group", F.pmod("_deal", "_p").cast("int").alias("_x"), every("_q").alias("_y"), *columns[0])
     right = b.join(cells, "_group").select("_group", every("_p").alias("_x"), F.pmod("_deal", "_q").cast("int").alias("_y"), *columns[1])
-    tasks = max(parts(spark), min(2000, side * side * sum(p * q for _, p, q in layout) // 8))
+    number = sum(p * q for _, p, q in layout)
+    tasks = max(parts(spark), min(number, 8 * parts(spark)), min(2000, side * side * number // 8))
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        (names, own), (others, theirs) = (np.unique(np.array(t.column(c).to_pylist(), object), return_inverse=True) for t, c in ((x, "na"), (y, "nb")))
-        i, j, ratio = find(names.tolist(), others.tolist())
+        (texts, own), (others, theirs) = (np.unique(np.array(t.column(c).to_pylist(), object), return_inverse=True) for t, c in ((x, "na"), (y, "nb")))
+        i, j, ratio = find(texts.tolist(), others.tolist())
         # the rows of each name
-        (order, n), (order_y, n_y) = ((np.argsort(w, kind="stable"), np.bincount(w, minlength=k)) for w, k in ((own, len(names)), (theirs, len(others))))
+        (order, n), (order_y, n_y) = ((np.argsort(w, kind="stable"), np.bincount(w, minlength=k)) for w, k in ((own, len(texts)), (theirs, len(others))))
         times = n[i] * n_y[j]
         pair = np.repeat(np.arange(len(i)), times)
         nth = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
         rows = order[(np.cumsum(n) - n)[i[pair]] + nth // n_y[j[pair]]]
         rows_y = order_y[(np.cumsum(n_y) - n_y)[j[pair]] + nth % n_y[j[pair]]]
-        return pa.table([*x.select(columns[0]).take(pa.array(rows)).columns, *y.select(columns[1]).take(pa.array(rows_y)).columns, pa.array(ratio[pair], pa.float64())], [*columns[0], *columns[1], "score"])
+        return pa.table([*x.select(out[0]).take(pa.array(rows)).columns, *y.select(out[1]).take(pa.array(rows_y)).columns, pa.array(ratio[pair], pa.float64())], [*out[0], *out[1], "score"])
 
     by = ["_group", "_x", "_y"]
     # the work of a cell isn't told by its bytes: as many tasks as asked for

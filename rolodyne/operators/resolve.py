@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import fast_ratio, weighted_ratio
@@ -124,6 +127,21 @@ def near_names(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     return near_pairs(a, b, threshold)
 
 
+#: So much more has the score of a name with a similar company, 100 at most.
+BONUS = 15.0
+
+
+def _with_bonus(score: str, bonus: str) -> Column:
+    return F.least(F.lit(100.0), F.col(score) + F.coalesce(bonus, F.lit(0.0)))
+
+
+def _alike_companies(a: DataFrame, b: DataFrame, company: float) -> DataFrame:
+    """Folded companies of a (oa), b (ob) -> (oa, ob, bonus) of those that are similar;
+    they are compared once each, not once for every pair of people."""
+    orgs = near_pairs(a.select(F.col("oa").alias("na")).distinct(), b.select(F.col("ob").alias("nb")).distinct(), company, (str,))
+    return materialize(orgs.select(F.col("na").alias("oa"), F.col("nb").alias("ob"), F.lit(BONUS).alias("bonus")))
+
+
 def scored_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, company: float = 75.0, block: int | None = None) -> DataFrame:
     """left (id, name, org), right (key, name, org) -> (id, key, score): the better
     of plain and token-sorted ratio, 15 more for a similar company, 100 at most.
@@ -133,11 +151,9 @@ def scored_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, c
     a = left.select("id", compare_key(F.col("name")).alias("na"), compare_key(text("org")).alias("oa"))
     b = right.select("key", compare_key(F.col("name")).alias("nb"), compare_key(text("org")).alias("ob"))
     full = near_rows(a, b, threshold, prefix=block or 0)
-    # companies are compared once each, not once for every pair of people
-    orgs = near_pairs(a.select(F.col("oa").alias("na")).distinct(), b.select(F.col("ob").alias("nb")).distinct(), company, (str,))
-    alike = materialize(orgs.select(F.col("na").alias("ca"), F.col("nb").alias("cb"), F.lit(15.0).alias("bonus")))
+    alike = _alike_companies(a, b, company).toDF("ca", "cb", "bonus")
     known = full.join(alike, (F.col("oa") == F.col("ca")) & (F.col("ob") == F.col("cb")), "left")
-    return known.select("id", "key", F.least(F.lit(100.0), F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
+    return known.select("id", "key", _with_bonus("score", "bonus").alias("score"))
 
 
 def best_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, company: float = 75.0, block: int | None = None) -> DataFrame:
@@ -252,6 +268,159 @@ def assign_one_to_one(scored: DataFrame, first_come: bool = False, few: int = FE
     return out
 
 
+#: assigned_matches() begins with so many pairs of names, then takes what makes FOUND pairs to
+#: pass through in one task, but no more than COMPARED at once unless few of them are matches.
+BEGIN, FOUND, COMPARED = 40_000_000, 10_000_000, 2_000_000_000
+#: A lot compares so many times what the last one did at most.
+GROWTH = 16
+
+
+def _in_order(lists: list[list[np.ndarray]], first_come: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (i, k, score) of some lists in the order of a pass: numbers of one word are
+    sorted, if three fit into one."""
+    scores = np.unique(np.concatenate([np.unique(s) for _, _, s in lists]))[::-1]
+    bits_i, bits_k, bits_s = (int(x).bit_length() for x in (max(i.max() for i, _, _ in lists), max(k.max() for _, k, _ in lists), len(scores)))
+    if bits_i + bits_k + bits_s > 63:
+        i, k, score = (np.concatenate(c) for c in zip(*lists))
+        order = np.lexsort((k, -score, i) if first_come else (k, i, -score))
+        return i[order], k[order], score[order]
+    at_i, at_s = (bits_k + bits_s, bits_k) if first_come else (bits_k, bits_k + bits_i)
+    words = np.concatenate([i << at_i | np.searchsorted(-scores, -s) << at_s | k for i, k, s in lists])
+    words.sort()
+    return words >> at_i & (1 << bits_i) - 1, words & (1 << bits_k) - 1, scores[words >> at_s & (1 << bits_s) - 1]
+
+
+def _first_free(i: np.ndarray, k: np.ndarray, size: int = 1 << 14) -> list[int]:
+    """Places of the pairs that a pass over them as they come fixes."""
+    used_i, used_k, keep = bytearray(int(i.max()) + 1), bytearray(int(k.max()) + 1), []
+    seen_i, seen_k = np.frombuffer(used_i, np.uint8), np.frombuffer(used_k, np.uint8)
+    for at in range(0, len(i), size):
+        free = np.flatnonzero(seen_i[i[at : at + size]] + seen_k[k[at : at + size]] == 0) + at
+        x, y = i[free], k[free]
+        ends = np.append(np.flatnonzero(np.diff(x)) + 1, len(x))
+        for begin, end, one in zip([0, *ends[:-1].tolist()], ends.tolist(), x[ends - 1].tolist() if len(x) else []):
+            if used_i[one]:
+                continue
+            for p in range(begin, end):  # those of one i that follow each other
+                other = y[p]
+                if not used_k[other]:
+                    used_i[one] = used_k[other] = 1
+                    keep.append(int(free[p]))
+                    break
+    return keep
+
+
+def _packed(pairs: DataFrame) -> DataFrame:
+    """(i, k, score) written as some thousands of pairs a row, how many they are and how
+    many have a score of 100: what one task reads then are few rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                i, k, score = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array([len(i)], pa.int64()), pa.array([int((score >= 100).sum())], pa.int64()), pa.array([i.tobytes() + k.tobytes() + score.tobytes()])], ["n", "top", "pairs"])
+
+    return materialize(pairs.select("i", "k", "score").mapInArrow(pack, "n long, top long, pairs binary"))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[list[np.ndarray]]:
+    for b in batches:
+        for n, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            i, k, score = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int64, n, 8 * n), np.frombuffer(data, np.float64, n, 16 * n)
+            keep = score >= least
+            yield [i[keep], k[keep], score[keep]]
+
+
+def _passed(packed: DataFrame, n: int, first_come: bool, least: float = 0.0) -> DataFrame:
+    """n packed pairs -> the (i, k, score), of a score of `least`, that a pass in order
+    fixes, in one task, some bytes a pair; very many are left to assign_one_to_one()."""
+    columns = ["i", "k", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = [some for some in _unpacked(batches, least) if len(some[0])]
+        if lists:
+            i, k, score = _in_order(lists, first_come)
+            keep = _first_free(i, k)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (i, k, score)], columns)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _unpacked(batches, least):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in some], ["id", "key", "score"])
+
+    if n > 4 * FOUND:
+        return assign_one_to_one(packed.mapInArrow(rows, "id long, key long, score double"), first_come).toDF(*columns)
+    return packed.coalesce(1).mapInArrow(run, "i long, k long, score double")
+
+
+def _side_by_side(spark: SparkSession, *work: Callable[[], object]) -> list:
+    with ThreadPoolExecutor(len(work)) as pool:
+        return [done.result() for done in [pool.submit(inheritable_thread_target(spark)(one)) for one in work]]
+
+
+def assigned_matches(left: DataFrame, right: DataFrame, threshold: float = 85.0, company: float = 75.0, block: int | None = None, rules: tuple[bool, ...] = (False,)) -> list[DataFrame]:
+    """left (id, name, org), right (key, name, org) -> for each rule (its first_come)
+    what assign_one_to_one() makes of scored_matches(): (id, key, score).
+
+    Most pairs are never made: ids come in lots, in their order, and each lot is only
+    compared with the keys that the earlier ones left. That is the order in which ids
+    choose; of the best pairs it is that of those with the highest score there is, 100,
+    which are fixed first. Pairs of less are then made of the ids and keys left, the
+    better ones first where they are many. Lots grow as far as few pairs are found."""
+    numbers = lambda rows, c, n: materialize(global_rank(rows.select(c).where(f"{c} is not null").distinct(), [F.col(c)], n))
+    # few bytes, but not little work: all tasks share the names
+    folded = lambda rows, c, name, org: materialize(rows.select(c, "name", "org").repartition(parts(rows.sparkSession)).select(c, compare_key(F.col("name")).alias(name), compare_key(text("org")).alias(org)))
+    spark = left.sparkSession
+    ids, keys, a, b = _side_by_side(spark, lambda: numbers(left, "id", "i"), lambda: numbers(right, "key", "k"), lambda: folded(left, "id", "na", "oa"), lambda: folded(right, "key", "nb", "ob"))
+    alike = _alike_companies(a, b, company)
+    orgs = [materialize(alike.select(o).distinct().withColumn(c, F.monotonically_increasing_id())) for o, c in (("oa", "ca"), ("ob", "cb"))]
+    alike = materialize(alike.join(orgs[0], "oa").join(orgs[1], "ob").select(F.col("ca").alias("one"), F.col("cb").alias("other"), "bonus"))
+    a, b = _side_by_side(spark, lambda: materialize(a.join(ids, "id").join(orgs[0], "oa", "left").select("i", "na", "ca")), lambda: materialize(b.join(keys, "key").join(orgs[1], "ob", "left").select("k", "nb", "cb")))
+    n, m = ids.count(), keys.count()
+
+    def scored(x: DataFrame, y: DataFrame, least: float) -> tuple[DataFrame, int, int]:
+        """Packed pairs that reach `least`, how many they are, and of a score of 100."""
+        # a similar company makes 100 of 85 and more
+        base = max(threshold, least - BONUS - 1e-9 if threshold < 100 - BONUS or least >= 100 else least)
+        near = near_rows(x, y, base, prefix=block or 0, names=False)
+        known = near.join(alike, (F.col("ca") == F.col("one")) & (F.col("cb") == F.col("other")), "left")
+        packed = _packed(known.select("i", "k", _with_bonus("score", "bonus").alias("score")).where(F.col("score") >= least))
+        return packed, *(x or 0 for x in packed.agg(F.sum("n"), F.sum("top")).first())
+
+    size = max(1, BEGIN // max(1, m))
+    begun, every, top = scored(a.where(F.col("i") <= size), b, threshold)
+
+    def assign(first_come: bool) -> DataFrame:
+        least = threshold if first_come or size >= n else 100.0
+        packed, found, begin, lot, left_keys, taken = begun, every, 0, size, m, None
+        while True:
+            fixed = _passed(packed, found, first_come, least)
+            taken, before = materialize(fixed if taken is None else taken.unionByName(fixed)), taken
+            for old in (before, packed):
+                if old is not None and old is not begun:
+                    remove(old)
+            compared, found = lot * left_keys, top if packed is begun and least > threshold else found
+            begin, left_keys = begin + lot, m - taken.count()
+            if begin >= n or not left_keys:
+                break
+            share = max(found, 1) / compared
+            lot = min(n - begin, max(1, int(min(GROWTH * compared, FOUND / share, max(COMPARED, 4 * left_keys / share)) / left_keys)))
+            packed, found, _ = scored(a.where((F.col("i") > begin) & (F.col("i") <= begin + lot)), b.join(taken.select("k"), "k", "left_anti"), least)
+        if least <= threshold or not left_keys:
+            return taken
+        # no pair of 100 is left of free ids and keys
+        many = every / (min(size, n) * m) * (n - m + left_keys) * left_keys > FOUND
+        for bound in [threshold + (100 - threshold) * k / 4 for k in (3, 2, 1, 0)] if many else [threshold]:
+            packed, found, _ = scored(a.join(taken.select("i"), "i", "left_anti"), b.join(taken.select("k"), "k", "left_anti"), bound)
+            taken, before = materialize(taken.unionByName(_passed(packed, found, first_come))), taken
+            remove(before)
+            remove(packed)
+        return taken
+
+    done = _side_by_side(spark, *(lambda rule=rule: assign(rule) for rule in rules))
+    remove(begun)
+    return [pairs.join(ids, "i").join(keys, "k").select("id", "key", "score") for pairs in done]
+
+
 def ranked_lookup(candidates: DataFrame, index: DataFrame) -> DataFrame:
     """candidates (record, rule, pos, key), index (rule, key, contact, seq): the
     contact of the first rule and position that hits; of several contacts with a

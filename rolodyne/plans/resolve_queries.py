@@ -185,9 +185,7 @@ NAME_JOIN = f"WITH RECURSIVE {_NAMES} SELECT id, key, round(score, 4) AS score F
 def name_assignment(spark, sf):
     """Each customer and each supplier at most once, by both rules of order."""
     left, right = _customer_names(spark, sf)
-    scored = R.materialize(R.scored_matches(left, right, 85.0))
-    best = R.assign_one_to_one(scored).select(F.lit("best").alias("rule"), "id", "key", F.round("score", 4).alias("score"))
-    first = R.assign_one_to_one(scored, first_come=True).select(F.lit("first").alias("rule"), "id", "key", F.round("score", 4).alias("score"))
+    best, first = (pairs.select(F.lit(rule).alias("rule"), "id", "key", F.round("score", 4).alias("score")) for rule, pairs in zip(("best", "first"), R.assigned_matches(left, right, 85.0, rules=(False, True))))
     return best.unionByName(first)
 
 

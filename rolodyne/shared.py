@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_changed = threading.Lock()  # jobs of one query may run side by side
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +44,8 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
         df = df.coalesce(max(1, min(parts(spark), -(-rows // 100_000))))
     path = f"{shared_dir(spark)}/rolodyne-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    with _changed:
+        _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._rolodyne_path = path
     return out
@@ -53,7 +56,8 @@ def remove(df: DataFrame) -> None:
     path = getattr(df, "_rolodyne_path", None)
     if path:
         _delete(df.sparkSession, path)
-        _written[:] = [x for x in _written if x[1] != path]
+        with _changed:
+            _written[:] = [x for x in _written if x[1] != path]
 
 
 @contextmanager

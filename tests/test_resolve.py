@@ -246,3 +246,68 @@ def test_equal_signatures_meet_once(monkeypatch):
     for edits in (0, 1, 2):
         got = [p for i, j in near._near_signs(x, y, edits) for p in zip(i.tolist(), j.tolist())]
         assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(40) for j in range(25) if int(x[i] ^ y[j]).bit_count() <= edits}
+
+
+def alike_people(spark):
+    """600 people and 120 others who are all alike, a part of them of the same company."""
+    left = [(f"c{k}", f"bartholomew vysokohorska {k * 37 % 100}", "abc"[k % 3] * 4) for k in range(600)]
+    right = [(f"s{k}", f"vysokohorska bartholomew {k * 53 % 100}", "abxyz"[k % 5] * 4) for k in range(120)]
+    return spark.createDataFrame(left, "id string, name string, org string"), spark.createDataFrame(right, "key string, name string, org string")
+
+
+def in_lots(monkeypatch, found):
+    for name, value in (("BEGIN", 6000), ("FOUND", found), ("COMPARED", 6000), ("GROWTH", 4)):
+        monkeypatch.setattr(R, name, value, raising=False)
+
+
+def test_name_assignment_does_not_write_all_pairs(spark, monkeypatch):
+    """Nearly all pairs of people are alike, but only a few for each are ever needed."""
+    from rolodyne.plans import resolve_queries
+
+    in_lots(monkeypatch, 6000)
+    monkeypatch.setattr(resolve_queries, "_customer_names", lambda spark, sf: alike_people(spark))
+    write, written = R.materialize, []
+
+    def counted(df, *more):
+        out = write(df, *more)
+        written.append(out.agg(F.sum("n")).first()[0] or 0 if "pairs" in out.columns else out.count())
+        return out
+
+    monkeypatch.setattr(R, "materialize", counted)
+    out = resolve_queries.name_assignment(spark, "")
+    assert out.groupBy("rule").count().collect() and max(written) < 600 * 120 / 3
+
+
+@pytest.mark.parametrize("found, threshold", [(6000, 85.0), (1000, 85.0), (6000, 70.0), (10**7, 85.0)])
+def test_assignment_in_lots_equals_that_of_all_pairs(spark, monkeypatch, found, threshold):
+    left, right = alike_people(spark)
+    if threshold < 85:  # other first names, so that a company makes less than 100 of some
+        left, right = (rows.withColumn("name", F.when(F.length(c) % 2 == 0, F.regexp_replace("name", "bartholomew", "bartosz")).otherwise(F.col("name"))) for rows, c in ((left, "id"), (right, "key")))
+    pairs = {(r.id, r.key): r.score for r in R.scored_matches(left, right, threshold).collect()}
+    assert len(pairs) > 6000
+    in_lots(monkeypatch, found)
+    if found > 10**6:
+        monkeypatch.setattr(R, "BEGIN", 10**6)
+    for first_come, got in zip((False, True), R.assigned_matches(left, right, threshold, rules=(False, True))):
+        assert {(r.id, r.key, r.score) for r in got.collect()} == in_order(pairs, first_come)
+
+
+def test_assignment_of_no_names(spark):
+    left, right = alike_people(spark)
+    assert all(got.count() == 0 for got in R.assigned_matches(left, right.limit(0), rules=(False, True)))
+    assert all(got.count() == 0 for got in R.assigned_matches(left.withColumn("name", F.lit(" ")), right, rules=(False, True)))
+
+
+def test_a_pass_of_numbers_is_the_pass_in_order():
+    r = np.random.default_rng(4)
+    i, k, score = r.integers(1, 60, 900), r.integers(1, 50, 900), r.choice(np.array([100.0, 99.5, 97.0, 85.0]), 900)
+    for wide in (0, 1 << 40):  # three numbers that fit into a word, or don't
+        lists = [[i[at : at + 200], k[at : at + 200], score[at : at + 200]] for at in range(0, 900, 200)]
+        if wide:
+            lists = [[x * wide, y * (1 << 20), s] for x, y, s in lists]
+        for first_come in (False, True):
+            x, y, s = R._in_order(lists, first_come)
+            x, y = (x // wide, y >> 20) if wide else (x, y)
+            keep = R._first_free(x, y, 64)
+            want = R._in_turn(list(zip(i.tolist(), k.tolist(), score.tolist())), first_come)
+            assert [(x[p], y[p], s[p]) for p in keep] == [(i[p], k[p], score[p]) for p in want]
